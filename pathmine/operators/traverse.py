@@ -197,8 +197,9 @@ def ast_paths(graphs: DataFrame, nodes: DataFrame, edges: DataFrame, opts: Extra
     ``seq`` follows the original emission order: post-order of the top, then left child
     position, right child position, then the two leaves in depth-first order.
     """
-    graphs, nodes, edges = tree_size_filter(graphs, nodes, edges, opts.max_tree_size)
-    nn = cut_lineage(normalize_nodes(graphs, nodes, opts))
+    # one pass over the node input: normalise, write, then count sizes from the written copy
+    nn_all = cut_lineage(normalize_nodes(graphs, nodes, opts))
+    graphs, nn, edges = tree_size_filter(graphs, nn_all, edges, opts.max_tree_size)
     roots = entry_nodes(nn, opts.entry_id)
     leaves = tree_leaves(nn, edges, roots)
     pieces = leaf_pieces(leaves, opts.max_length, opts.up_symbol, opts.down_symbol)

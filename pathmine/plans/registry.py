@@ -46,3 +46,24 @@ def q_tree_size_filter(spark, sf):
     graphs, nodes, _ = V.v1_trees(spark, sf)
     sizes = nodes.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n_nodes"))
     return sizes.where((F.col("n_nodes") > 0) & (F.col("n_nodes") <= 60))
+
+
+# ---------------------------------------------------------------- I3 / I4 / I5 / C3
+@register("cfg_paths", S.flow_walk(S.events_ctes(), "ed_cfg", "cfg"))
+def q_cfg_paths(spark, sf):
+    return T.flow_paths(*V.v2_flows(spark, sf), "cfg", ExtractOptions())
+
+
+@register("cdg_paths", S.flow_walk(S.v4_ctes(), "ed_cdg", "cdg"))
+def q_cdg_paths(spark, sf):
+    return T.flow_paths(*V.v4_control(spark, sf), "cdg", ExtractOptions())
+
+
+@register("ddg_paths", S.flow_walk(S.events_ctes(), "ed_ddg", "ddg"))
+def q_ddg_paths(spark, sf):
+    return T.flow_paths(*V.v3_dependence(spark, sf), "ddg", ExtractOptions())
+
+
+@register("ddg_paths_contains", S.flow_walk(S.events_ctes(containment=True), "ed_ddg", "ddg"))
+def q_ddg_paths_contains(spark, sf):
+    return T.flow_paths(*V.v3_dependence(spark, sf, containment=True), "ddg", ExtractOptions())

@@ -90,3 +90,100 @@ SELECT gid AS graph_id, 'ast' AS kind,
        row_number() OVER (PARTITION BY gid ORDER BY top_key, o_l, o_r, key_l, key_r) - 1 AS seq,
        start_token, path, end_token
 FROM pairs"""
+
+
+def events_ctes(containment: bool = False) -> str:
+    """V2/V3 inputs: consecutive steps per user (global position + 1)."""
+    label = (
+        "CASE k % 3 WHEN 0 THEN 'v' WHEN 1 THEN 'v1' ELSE 'v12' END" if containment else "'v' || CAST(k % 3 AS VARCHAR)"
+    )
+    return f"""
+ev AS (
+  SELECT user_id, event_type, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
+         row_number() OVER (ORDER BY user_id, ts, event_id) - 1 AS pos
+  FROM events),
+st AS (
+  SELECT a.user_id, a.pos, a.event_type AS src, b.event_type AS dst, a.k
+  FROM ev a JOIN ev b ON b.pos = a.pos + 1 AND a.user_id = b.user_id),
+nn AS (
+  SELECT DISTINCT CAST(user_id AS VARCHAR) AS gid, event_type AS node_id,
+         '(' || upper(event_type) || ')' AS ntype, {norm_token('event_type')} AS ntoken
+  FROM ev),
+ed_cfg AS (SELECT CAST(user_id AS VARCHAR) AS gid, src, dst, min(pos) AS ord, NULL::VARCHAR AS label FROM st GROUP BY ALL),
+ed_ddg AS (SELECT CAST(user_id AS VARCHAR) AS gid, src, dst, min(pos) AS ord, label
+           FROM (SELECT *, {label} AS label FROM st) GROUP BY user_id, src, dst, label)"""
+
+
+def v4_ctes() -> str:
+    return f"""
+nn AS (
+  SELECT CAST(r_regionkey AS VARCHAR) AS gid, '0' AS node_id, '(REGION)' AS ntype, {norm_token('r_name')} AS ntoken FROM region
+  UNION ALL
+  SELECT 'solo', '0', '(REGION)', {norm_token('r_name')} FROM region WHERE r_regionkey = (SELECT min(r_regionkey) FROM region)
+  UNION ALL
+  SELECT CAST(r_regionkey AS VARCHAR), '1_' || CAST(n_nationkey AS VARCHAR), '(NATION)', {norm_token('n_name')}
+  FROM nation JOIN region ON n_regionkey = r_regionkey
+  UNION ALL
+  SELECT CAST(r_regionkey AS VARCHAR), '2_' || CAST(c_custkey AS VARCHAR), '(' || c_mktsegment || ')', {norm_token('c_name')}
+  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+ed_cdg AS (
+  SELECT CAST(r_regionkey AS VARCHAR) AS gid, '0' AS src, '1_' || CAST(n_nationkey AS VARCHAR) AS dst,
+         CAST(n_nationkey AS BIGINT) AS ord, NULL::VARCHAR AS label
+  FROM nation JOIN region ON n_regionkey = r_regionkey
+  UNION ALL
+  SELECT CAST(r_regionkey AS VARCHAR), '1_' || CAST(n_nationkey AS VARCHAR), '2_' || CAST(c_custkey AS VARCHAR),
+         CAST(c_custkey AS BIGINT), NULL::VARCHAR
+  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
+
+
+def flow_walk(ctes: str, edges: str, kind: str, label_match: str = "contains") -> str:
+    """Simple-path walk by WITH RECURSIVE over CTEs ``nn`` and ``{edges}``."""
+    labelled = kind == "ddg"
+    entry = "min(node_id)" if kind == "cdg" else "CASE WHEN bool_or(node_id = '1000101') THEN '1000101' ELSE min(node_id) END"
+    node_filter = f"WHERE gid IN (SELECT gid FROM {edges})" if kind == "cdg" else ""
+    if labelled:
+        if label_match == "equals":
+            compat = "(w.carried IS NULL OR w.carried = '' OR coalesce(w.carried = lk.label, false))"
+            take = compat
+        else:
+            compat = ("(w.carried IS NULL OR w.carried = '' OR coalesce(contains(w.carried, lk.label), false)"
+                      " OR coalesce(contains(lk.label, w.carried), false))")
+            take = "(w.carried IS NULL OR w.carried = '' OR coalesce(contains(w.carried, lk.label), false))"
+        new_carried = f"CASE WHEN {take} THEN lk.label ELSE w.carried END"
+    else:
+        compat = "true"
+        new_carried = "w.carried"
+    dedup = (
+        "SELECT gid, start_token, path, end_token, min(ords) AS ords FROM res GROUP BY gid, start_token, path, end_token"
+        if labelled
+        else "SELECT * FROM res"
+    )
+    return f"""
+WITH RECURSIVE {ctes},
+nf AS (SELECT * FROM nn {node_filter}),
+lk AS (SELECT e.gid, e.src, e.dst, e.ord, e.label, n.ntype AS dst_type, n.ntoken AS dst_token
+       FROM {edges} e JOIN nf n ON n.gid = e.gid AND n.node_id = e.dst),
+rt AS (SELECT gid, {entry} AS root FROM nf GROUP BY gid),
+walk AS (
+  SELECT n.gid, n.node_id AS node, [n.node_id] AS visited, [n.ntype] AS types, []::BIGINT[] AS ords,
+         n.ntoken AS start_token, n.ntoken AS token, ''::VARCHAR AS carried, false AS closed, NULL::VARCHAR AS close_type
+  FROM rt JOIN nf n ON n.gid = rt.gid AND n.node_id = rt.root
+  UNION ALL
+  SELECT w.gid, lk.dst,
+         list_append(w.visited, lk.dst),
+         CASE WHEN list_contains(w.visited, lk.dst) THEN w.types ELSE list_append(w.types, lk.dst_type) END,
+         list_append(w.ords, CAST(lk.ord AS BIGINT)),
+         w.start_token, lk.dst_token, {new_carried},
+         list_contains(w.visited, lk.dst), lk.dst_type
+  FROM walk w JOIN lk ON lk.gid = w.gid AND lk.src = w.node
+  WHERE NOT w.closed AND {compat}),
+res AS (
+  SELECT gid, start_token, array_to_string(types, '_') || '^' || close_type AS path, token AS end_token, ords
+  FROM walk WHERE closed
+  UNION ALL
+  SELECT gid, start_token, array_to_string(types, '_'), token, ords
+  FROM walk w WHERE NOT closed AND NOT EXISTS (SELECT 1 FROM lk WHERE lk.gid = w.gid AND lk.src = w.node)),
+dd AS ({dedup})
+SELECT gid AS graph_id, '{kind}' AS kind, row_number() OVER (PARTITION BY gid ORDER BY ords) - 1 AS seq,
+       start_token, path, end_token
+FROM dd"""
