@@ -67,3 +67,179 @@ def q_ddg_paths(spark, sf):
 @register("ddg_paths_contains", S.flow_walk(S.events_ctes(containment=True), "ed_ddg", "ddg"))
 def q_ddg_paths_contains(spark, sf):
     return T.flow_paths(*V.v3_dependence(spark, sf, containment=True), "ddg", ExtractOptions())
+
+
+# ---------------------------------------------------------------- L2 / L3 dataset layer
+from pathmine.operators import dataset as D  # noqa: E402
+from pathmine.operators import split as SP  # noqa: E402
+from pathmine.operators import vocab as VC  # noqa: E402
+from pathmine.options import FormatOptions  # noqa: E402
+from pathmine.plans import pipelines as P  # noqa: E402
+
+FOPTS = FormatOptions()
+_MR = S.model_rows_ctes(FOPTS.max_paths)
+_FMT = f"WITH {S.path_dataset_ctes()},{_MR},{S.split_ctes()},{S.kept_cte(FOPTS.include)}"
+
+
+def _rows(spark, sf):
+    return P.to_model_rows(P.flagship(spark, sf), FOPTS)
+
+
+def _kept(spark, sf):
+    return P.format_dataset(P.flagship(spark, sf), FOPTS)[0]
+
+
+@register("path_dataset", f"WITH {S.path_dataset_ctes()} SELECT * FROM pd")
+def q_path_dataset(spark, sf):
+    return P.flagship(spark, sf)
+
+
+@register(
+    "require_ast",
+    f"WITH {S.path_dataset_ctes()} SELECT graph_id, label FROM funcs",
+)
+def q_require_ast(spark, sf):
+    g, n, e = V.v1_trees(spark, sf)
+    return D.require_ast(T.ast_paths(g, n, e), D.labels(g))
+
+
+@register(
+    "sample_per_kind",
+    f"""WITH pa AS ({S.v1_ast_paths()})
+SELECT graph_id, kind, seq, start_token, path, end_token FROM (
+  SELECT *, row_number() OVER (PARTITION BY graph_id, kind
+            ORDER BY md5(concat_ws('|', '7', graph_id, kind, CAST(seq AS VARCHAR))), seq) AS rk FROM pa) WHERE rk <= 50""",
+)
+def q_sample_per_kind(spark, sf):
+    return D.sample_per_kind(T.ast_paths(*V.v1_trees(spark, sf)), 50, "7")
+
+
+@register(
+    "model_rows",
+    f"WITH {S.path_dataset_ctes()},{_MR} SELECT graph_id, label || ' ' || array_to_string(list_concat(list_concat(ast, cfg), list_concat(cdg, ddg)), ' ') AS line FROM rows",
+)
+def q_model_rows(spark, sf):
+    rows = _rows(spark, sf)
+    return rows.select("graph_id", D.render_row(rows).alias("line"))
+
+
+@register("format_dataset", f"{_FMT} SELECT graph_id, split, line FROM kept")
+def q_format_dataset(spark, sf):
+    return _kept(spark, sf).select("graph_id", "split", "line")
+
+
+@register("shuffle_rows", f"WITH {S.path_dataset_ctes()},{_MR},{S.split_ctes()} SELECT graph_id, pos FROM sh")
+def q_shuffle_rows(spark, sf):
+    return SP.shuffle_rows(_rows(spark, sf), FOPTS.seed).select("graph_id", "pos")
+
+
+@register("split_dataset", f"WITH {S.path_dataset_ctes()},{_MR},{S.split_ctes()} SELECT graph_id, pos, split FROM sp")
+def q_split_dataset(spark, sf):
+    return SP.split_dataset(SP.shuffle_rows(_rows(spark, sf), FOPTS.seed)).select("graph_id", "pos", "split")
+
+
+@register(
+    "split_counts",
+    f"WITH {S.path_dataset_ctes()},{_MR},{S.split_ctes()} SELECT split, count(*) AS n FROM sp GROUP BY split",
+)
+def q_split_counts(spark, sf):
+    return VC.split_counts(SP.split_dataset(SP.shuffle_rows(_rows(spark, sf), FOPTS.seed)))
+
+
+@register("select_kinds", f"{_FMT} SELECT graph_id, line FROM kept")
+def q_select_kinds(spark, sf):
+    return _kept(spark, sf).select("graph_id", "line")
+
+
+@register("label_freq", f"{_FMT},{S.train_slots_cte(FOPTS.include)} SELECT label, count(*) AS freq FROM tr GROUP BY label")
+def q_label_freq(spark, sf):
+    return VC.label_freq(_kept(spark, sf).where(F.col("split") == "train"))
+
+
+@register(
+    "token_freq",
+    f"{_FMT},{S.train_slots_cte(FOPTS.include)} SELECT token, count(*) AS freq FROM "
+    "(SELECT f[1] AS token FROM ts UNION ALL SELECT f[3] FROM ts) GROUP BY token",
+)
+def q_token_freq(spark, sf):
+    return VC.token_freq(VC.slot_contexts(_kept(spark, sf).where(F.col("split") == "train"), FOPTS.include))
+
+
+@register(
+    "path_freq",
+    f"{_FMT},{S.train_slots_cte(FOPTS.include)} SELECT f[2] AS path_hash, count(*) AS freq FROM ts GROUP BY f[2]",
+)
+def q_path_freq(spark, sf):
+    return VC.path_freq(VC.slot_contexts(_kept(spark, sf).where(F.col("split") == "train"), FOPTS.include))
+
+
+@register(
+    "vocab_meta",
+    f"""{_FMT} SELECT CAST(round_even((SELECT count(*) FROM rows)::DOUBLE * 0.89::DOUBLE, 0) AS BIGINT) AS num_training_examples,
+       (SELECT count(*) FROM kept WHERE split = 'train') AS train_rows_kept""",
+)
+def q_vocab_meta(spark, sf):
+    rows = _rows(spark, sf)
+    kept, split = P.format_dataset(P.flagship(spark, sf), FOPTS)
+    n = rows.agg(F.bround(F.count(F.lit(1)).cast("double") * F.lit(0.89)).cast("long").alias("num_training_examples"))
+    k = kept.where(F.col("split") == "train").agg(F.count(F.lit(1)).alias("train_rows_kept"))
+    return n.crossJoin(k)
+
+
+@register(
+    "head_per_kind",
+    f"WITH {S.path_dataset_ctes()},{_MR} SELECT graph_id, kind, seq, start_token, path, end_token FROM hk",
+)
+def q_head_per_kind(spark, sf):
+    return D.head_per_kind(D.valid_contexts(D.label_filter(P.flagship(spark, sf))), FOPTS.max_paths).select(
+        "graph_id", "kind", "seq", "start_token", "path", "end_token"
+    )
+
+
+@register(
+    "avg_paths",
+    f"""WITH {S.path_dataset_ctes()},{_MR}
+SELECT {", ".join(f"sum(CASE WHEN kind = '{k}' THEN 1 ELSE 0 END) / nullif((SELECT count(*) FROM ex), 0) AS avg_{k}" for k in ("ast", "cfg", "cdg", "ddg"))}
+FROM hk""",
+)
+def q_avg_paths(spark, sf):
+    ctx = P.flagship(spark, sf)
+    lf = D.label_filter(ctx)
+    n = lf.agg(F.count_distinct("graph_id").alias("_n"))
+    hk = D.head_per_kind(D.valid_contexts(lf), FOPTS.max_paths)
+    sums = hk.agg(*[F.sum((F.col("kind") == k).cast("long")).alias(f"s_{k}") for k in ("ast", "cfg", "cdg", "ddg")])
+    j = sums.crossJoin(n)
+    return j.select(*[(F.col(f"s_{k}") / F.when(F.col("_n") > 0, F.col("_n"))).alias(f"avg_{k}") for k in ("ast", "cfg", "cdg", "ddg")])
+
+
+_EXCL = ("machinery|nation",)
+
+
+@register(
+    "example_counts",
+    f"""WITH {S.path_dataset_ctes()}
+SELECT count(*) FILTER (WHERE NOT bad) AS valid_examples, count(*) FILTER (WHERE bad) AS bad_label_examples
+FROM (SELECT DISTINCT graph_id, (label IS NULL OR trim(label) = '' OR label IN ('{_EXCL[0]}')) AS bad FROM pd)""",
+)
+def q_example_counts(spark, sf):
+    ex = P.flagship(spark, sf).select("graph_id", "label").distinct()
+    bad = F.col("label").isNull() | (F.trim("label") == "") | F.col("label").isin(list(_EXCL))
+    return VC.example_counts(ex.withColumn("is_bad", bad))
+
+
+@register(
+    "label_filter",
+    f"WITH {S.path_dataset_ctes()} SELECT DISTINCT graph_id, label FROM pd WHERE label <> '' AND label NOT IN ('{_EXCL[0]}')",
+)
+def q_label_filter(spark, sf):
+    return D.label_filter(P.flagship(spark, sf), _EXCL).select("graph_id", "label").distinct()
+
+
+@register(
+    "path_dict",
+    f"""WITH {S.path_dataset_ctes()}
+SELECT {S.java_hash('path')} AS path_hash, arg_max(path, [graph_id, kind, lpad(CAST(seq AS VARCHAR), 20, '0')]) AS path,
+       count(DISTINCT path) AS n_paths FROM pd GROUP BY 1""",
+)
+def q_path_dict(spark, sf):
+    return VC.path_dictionary(P.flagship(spark, sf))

@@ -16,7 +16,7 @@ def subtokens(x: str) -> str:
         f" '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g'), '[0-9_]', ' ', 'g')"
     )
     return (
-        f"list_filter(list_transform(regexp_split_to_array({spaced}, '\\s+'), t -> {norm_token('t')}), t -> t <> '')"
+        f"list_filter(list_transform(regexp_split_to_array({spaced}, '\\s+'), lambda t: {norm_token('t')}), lambda t: t <> '')"
     )
 
 
@@ -29,7 +29,7 @@ def paren(x: str) -> str:
 
 
 def java_hash(x: str) -> str:
-    h = f"list_reduce(list_prepend(0::BIGINT, list_transform(string_split({x}, ''), c -> unicode(c)::BIGINT)), (h, c) -> (h * 31 + c) % 4294967296)"
+    h = f"list_reduce(list_prepend(0::BIGINT, list_transform(string_split({x}, ''), lambda c: unicode(c)::BIGINT)), lambda h, c: (h * 31 + c) % 4294967296)"
     return f"(CASE WHEN {x} = '' THEN 0::BIGINT ELSE ((({h}) + 2147483648) % 4294967296) - 2147483648 END)"
 
 
@@ -187,3 +187,83 @@ dd AS ({dedup})
 SELECT gid AS graph_id, '{kind}' AS kind, row_number() OVER (PARTITION BY gid ORDER BY ords) - 1 AS seq,
        start_token, path, end_token
 FROM dd"""
+
+
+def v1_labels() -> str:
+    name = "c_mktsegment || '_' || n_name"
+    return (f"SELECT CAST(c_custkey AS VARCHAR) AS gid, {label(name)} AS label "
+            "FROM customer JOIN nation ON c_nationkey = n_nationkey")
+
+
+def path_dataset_ctes(k: int = 200, seed: str = "0") -> str:
+    """CTE ``pd``: the flagship long table (graph_id, label, kind, seq, start_token, path, end_token)."""
+    return f"""
+pa AS ({v1_ast_paths()}),
+pc AS ({flow_walk(events_ctes(), "ed_cfg", "cfg")}),
+pg AS ({flow_walk(v4_ctes(), "ed_cdg", "cdg")}),
+pe AS ({flow_walk(events_ctes(), "ed_ddg", "ddg")}),
+lab AS ({v1_labels()}),
+funcs AS (SELECT gid AS graph_id, label FROM lab WHERE label <> '' AND gid IN (SELECT graph_id FROM pa)),
+allc AS (SELECT * FROM pa UNION ALL SELECT * FROM pc UNION ALL SELECT * FROM pg UNION ALL SELECT * FROM pe),
+js AS (SELECT allc.*, funcs.label,
+              row_number() OVER (PARTITION BY allc.graph_id, kind
+                                 ORDER BY md5(concat_ws('|', '{seed}', allc.graph_id, kind, CAST(seq AS VARCHAR))), seq) AS rk
+       FROM allc JOIN funcs ON allc.graph_id = funcs.graph_id),
+pd AS (SELECT graph_id, label, kind, seq, start_token, path, end_token FROM js WHERE rk <= {k})"""
+
+
+def max_case(max_paths: dict) -> str:
+    return ("CASE kind " + " ".join(f"WHEN '{k}' THEN {int(v)}" for k, v in max_paths.items()) + " ELSE 0 END")
+
+
+def pad(x: str, n: int) -> str:
+    return f"list_concat(coalesce({x}, []::VARCHAR[]), list_transform(range(greatest({n} - len(coalesce({x}, []::VARCHAR[])), 0)), lambda i: ''))"
+
+
+def model_rows_ctes(max_paths: dict, exclude: tuple = ()) -> str:
+    """CTEs ``lf`` (label-filtered), ``vc`` (valid), ``hk`` (capped), ``rows`` (slot arrays)."""
+    ex = "".join(f" AND label <> '{e}'" for e in exclude if e)
+    valid = " AND ".join(f"{c} IS NOT NULL AND trim({c}) <> ''" for c in ("start_token", "path", "end_token"))
+    pads = ", ".join(f"{pad('p_' + k, int(max_paths.get(k, 0)))} AS {k}" for k in ("ast", "cfg", "cdg", "ddg"))
+    aggs = ", ".join(f"list(slot ORDER BY seq) FILTER (WHERE kind = '{k}') AS p_{k}" for k in ("ast", "cfg", "cdg", "ddg"))
+    return f"""
+lf AS (SELECT * FROM pd WHERE label IS NOT NULL AND trim(label) <> ''{ex}),
+vc AS (SELECT * FROM lf WHERE {valid}),
+hk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY graph_id, kind ORDER BY seq) AS rk FROM vc)
+       WHERE rk <= {max_case(max_paths)}),
+sl AS (SELECT graph_id, kind, seq, start_token || ',' || CAST({java_hash('path')} AS VARCHAR) || ',' || end_token AS slot FROM hk),
+per AS (SELECT graph_id, {aggs} FROM sl GROUP BY graph_id),
+ex AS (SELECT DISTINCT graph_id, label FROM lf),
+rows AS (SELECT ex.graph_id, ex.label, {pads} FROM ex LEFT JOIN per USING (graph_id))"""
+
+
+def split_ctes(seed: str = "0") -> str:
+    """CTEs ``sh`` (shuffled position) and ``sp`` (split)."""
+    b1 = "round_even(n::DOUBLE * 0.89::DOUBLE, 0)"
+    b2 = f"{b1} + round_even(n::DOUBLE * 0.035::DOUBLE, 0)"
+    b3 = f"{b2} + round_even(n::DOUBLE * 0.075::DOUBLE, 0)"
+    return f"""
+sh AS (SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', '{seed}', graph_id)), graph_id) - 1 AS pos FROM rows),
+cnt AS (SELECT count(*) AS n FROM rows),
+sp AS (SELECT sh.*, CASE WHEN pos < {b1} THEN 'train' WHEN pos < {b2} THEN 'val' WHEN pos < {b3} THEN 'test' END AS split
+       FROM sh, cnt)"""
+
+
+def kept_cte(include: tuple) -> str:
+    inc = [k for k in ("ast", "cfg", "cdg", "ddg") if k in include]
+    cond = " AND ".join(f"len({k}) > 0 AND {k}[1] <> ''" for k in inc)
+    cat = inc[0]
+    for k in inc[1:]:
+        cat = f"list_concat({cat}, {k})"
+    return f"""
+kept AS (SELECT *, label || ' ' || array_to_string({cat}, ' ') AS line FROM sp WHERE split IS NOT NULL AND {cond})"""
+
+
+def train_slots_cte(include: tuple) -> str:
+    inc = [k for k in ("ast", "cfg", "cdg", "ddg") if k in include]
+    cat = inc[0]
+    for k in inc[1:]:
+        cat = f"list_concat({cat}, {k})"
+    return f"""
+tr AS (SELECT * FROM kept WHERE split = 'train'),
+ts AS (SELECT graph_id, label, string_split(s, ',') AS f FROM (SELECT graph_id, label, unnest({cat}) AS s FROM tr) WHERE s <> '')"""
