@@ -179,3 +179,8 @@ def select_kinds(rows: DataFrame, include: tuple) -> DataFrame:
     for k in inc:
         ok = ok & (F.size(k) > 0) & (F.get(F.col(k), 0) != "")
     return rows.where(ok).withColumn("line", render_row(rows, tuple(inc)))
+
+
+def skip_processed(functions: DataFrame, done: DataFrame) -> DataFrame:
+    """C4: drop functions already present in the dataset (resume)."""
+    return functions.join(done.select("graph_id").distinct(), "graph_id", "left_anti")

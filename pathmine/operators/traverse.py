@@ -77,12 +77,15 @@ def _links(nnodes: DataFrame, edges: DataFrame, with_label: bool = False) -> Dat
     dst_attrs = nnodes.select(
         "graph_id", F.col("node_id").alias("dst"), F.col("ntype").alias("dst_type"), F.col("ntoken").alias("dst_token")
     )
-    return cut_lineage(edges.select(*cols).join(dst_attrs, ["graph_id", "dst"]).repartition("graph_id", "src"))
+    first = edges.groupBy("graph_id", "src").agg(F.min("ord").alias("_first_ord"))
+    j = edges.select(*cols).join(dst_attrs, ["graph_id", "dst"]).join(first, ["graph_id", "src"])
+    j = j.withColumn("first", F.col("ord") == F.col("_first_ord")).drop("_first_ord")
+    return cut_lineage(j.repartition("graph_id", "src"))
 
 
-def tree_leaves(nnodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """Walk down from each root; return every reachable leaf with its root-to-leaf arrays
-    ``ids``, ``types`` (normalised) and ``ords`` (child positions, root = 0)."""
+def tree_walk(nnodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """Walk down from each root; return every reachable node with its root-to-node arrays
+    ``ids``, ``types`` (normalised) and ``ords`` (child positions, root = 0) and ``is_leaf``."""
     links = _links(nnodes, edges)
     frontier = cut_lineage(
         roots.join(nnodes, (roots["graph_id"] == nnodes["graph_id"]) & (roots["root"] == nnodes["node_id"])).select(
@@ -94,7 +97,7 @@ def tree_leaves(nnodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFr
             F.col("ntoken").alias("token"),
         )
     )
-    leaves = []
+    visited_nodes = []
     while True:
         f = frontier.alias("f")
         lk = links.alias("l")
@@ -111,9 +114,15 @@ def tree_leaves(nnodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFr
                 F.col("l.ord").cast("long").alias("ord"),
                 F.col("l.dst_type").alias("dst_type"),
                 F.col("l.dst_token").alias("dst_token"),
+                F.col("l.first").alias("first"),
+            )
+        )
+        # one row per visited node: the leaf row, or the row of its first child edge
+        visited_nodes.append(
+            step.where(F.col("dst").isNull() | F.col("first")).select(
+                "graph_id", "node", "ids", "types", "ords", "token", F.col("dst").isNull().alias("is_leaf")
             )
         )
-        leaves.append(step.where(F.col("dst").isNull()).select("graph_id", "node", "ids", "types", "ords", "token"))
         nxt = step.where(F.col("dst").isNotNull() & ~F.array_contains("ids", F.col("dst"))).select(
             "graph_id",
             F.col("dst").alias("node"),
@@ -125,12 +134,26 @@ def tree_leaves(nnodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFr
         if nxt.isEmpty():
             break
         frontier = nxt
-    out = leaves[0]
-    for extra in leaves[1:]:
+    out = visited_nodes[0]
+    for extra in visited_nodes[1:]:
         out = out.unionByName(extra)
     return out
 
 
+def tree_leaves(nnodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """Reachable leaves (no out-edges) with their root-to-leaf arrays."""
+    return tree_walk(nnodes, edges, roots).where("is_leaf").drop("is_leaf")
+
+
+def post_order(walked: DataFrame) -> DataFrame:
+    """Depth-first post-order index per graph. Sort key = child positions from the root
+    with INT_MAX appended, so a descendant sorts before its ancestor and earlier subtrees first."""
+    key = F.concat("ords", F.array(F.lit(INT_MAX).cast("long")))
+    return number_within(walked.withColumn("_k", key), ["graph_id"], ["_k"], out="post").select(
+        "graph_id", F.col("node").alias("node_id"), "post"
+    )
+
+
 def leaf_pieces(leaves: DataFrame, max_length: int | None, up: str, down: str) -> DataFrame:
     """Each token-bearing leaf climbs to its ancestors. A piece of length L ends at the
     child ``c`` of top ``T``; only L <= max_length - 2 can ever be paired (the other side has
@@ -191,6 +214,15 @@ def pair_pieces(pieces: DataFrame, max_length: int | None, max_width: int | None
     )
 
 
+def ast_pieces(graphs: DataFrame, nodes: DataFrame, edges: DataFrame, opts: ExtractOptions = ExtractOptions()) -> DataFrame:
+    """B6 -> H7 -> C1 for ordered trees."""
+    nn_all = cut_lineage(normalize_nodes(graphs, nodes, opts))
+    graphs, nn, edges = tree_size_filter(graphs, nn_all, edges, opts.max_tree_size)
+    roots = entry_nodes(nn, opts.entry_id)
+    leaves = tree_leaves(nn, edges, roots)
+    return leaf_pieces(leaves, opts.max_length, opts.up_symbol, opts.down_symbol)
+
+
 def ast_paths(graphs: DataFrame, nodes: DataFrame, edges: DataFrame, opts: ExtractOptions = ExtractOptions()) -> DataFrame:
     """Leaf -> top -> leaf contexts of ordered trees.
 
@@ -198,11 +230,7 @@ def ast_paths(graphs: DataFrame, nodes: DataFrame, edges: DataFrame, opts: Extra
     position, right child position, then the two leaves in depth-first order.
     """
     # one pass over the node input: normalise, write, then count sizes from the written copy
-    nn_all = cut_lineage(normalize_nodes(graphs, nodes, opts))
-    graphs, nn, edges = tree_size_filter(graphs, nn_all, edges, opts.max_tree_size)
-    roots = entry_nodes(nn, opts.entry_id)
-    leaves = tree_leaves(nn, edges, roots)
-    pieces = leaf_pieces(leaves, opts.max_length, opts.up_symbol, opts.down_symbol)
+    pieces = ast_pieces(graphs, nodes, edges, opts)
     pairs = pair_pieces(pieces, opts.max_length, opts.max_width, opts.up_symbol, opts.down_symbol)
     numbered = number_within(
         pairs,

@@ -243,3 +243,433 @@ SELECT {S.java_hash('path')} AS path_hash, arg_max(path, [graph_id, kind, lpad(C
 )
 def q_path_dict(spark, sf):
     return VC.path_dictionary(P.flagship(spark, sf))
+
+
+# ---------------------------------------------------------------- H: scalar functions
+from pathmine.functions import nodes as FN  # noqa: E402
+from pathmine.functions import text as FT  # noqa: E402
+
+
+def _names(spark, sf):
+    """Every name-like string of the tables plus every whitespace-separated word of every document."""
+    t = lambda n: V.table(spark, sf, n)
+    cols = [
+        t("part").select(F.col("p_name").alias("s")),
+        t("part").select(F.col("p_type").alias("s")),
+        t("part").select(F.col("p_brand").alias("s")),
+        t("customer").select(F.col("c_name").alias("s")),
+        t("supplier").select(F.col("s_name").alias("s")),
+        t("nation").select(F.col("n_name").alias("s")),
+        t("orders").select(F.col("o_orderpriority").alias("s")),
+        t("documents").select(F.explode(F.split("text", r"[ \t\n\r]+")).alias("s")),
+    ]
+    out = cols[0]
+    for c in cols[1:]:
+        out = out.unionByName(c)
+    return out.distinct()
+
+
+_NAMES_SQL = """names AS (
+  SELECT DISTINCT s FROM (
+    SELECT p_name AS s FROM part UNION ALL SELECT p_type FROM part UNION ALL SELECT p_brand FROM part
+    UNION ALL SELECT c_name FROM customer UNION ALL SELECT s_name FROM supplier UNION ALL SELECT n_name FROM nation
+    UNION ALL SELECT o_orderpriority FROM orders
+    UNION ALL SELECT unnest(regexp_split_to_array(text, '[ \\t\\n\\r]+')) FROM documents))"""
+
+
+@register("normalize_token", f"WITH {_NAMES_SQL} SELECT s, {S.norm_token('s')} AS token FROM names")
+def q_normalize_token(spark, sf):
+    return _names(spark, sf).select("s", FT.normalize_token("s").alias("token"))
+
+
+@register(
+    "split_subtokens",
+    f"WITH {_NAMES_SQL} SELECT s, array_to_string({S.subtokens('s')}, ' ') AS subtokens, CAST(len({S.subtokens('s')}) AS INTEGER) AS n FROM names",
+)
+def q_split_subtokens(spark, sf):
+    st = FT.split_subtokens("s")
+    return _names(spark, sf).select("s", F.array_join(st, " ").alias("subtokens"), F.size(st).alias("n"))
+
+
+@register("make_label", f"WITH {_NAMES_SQL} SELECT s, {S.label('s')} AS label FROM names")
+def q_make_label(spark, sf):
+    return _names(spark, sf).select("s", FT.make_label("s").alias("label"))
+
+
+@register("java_hash", f"WITH {_NAMES_SQL} SELECT s, {S.java_hash('s')} AS h FROM names")
+def q_java_hash(spark, sf):
+    return _names(spark, sf).select("s", FT.java_hash("s").alias("h"))
+
+
+_RAW_LABELS_SQL = """raw AS (
+  SELECT '"(LINE_' || l_returnflag || ',' || p_name || ',' || p_type || ')"' AS raw FROM lineitem JOIN part ON l_partkey = p_partkey
+  UNION ALL SELECT '"(' || o_orderpriority || ')"' FROM orders
+  UNION ALL SELECT '"(' || c_mktsegment || ', ' || c_name || ' )"' FROM customer)"""
+
+
+def _raw_labels(spark, sf):
+    t = lambda n: V.table(spark, sf, n)
+    li, part = t("lineitem"), t("part")
+    a = li.join(part, li.l_partkey == part.p_partkey).select(
+        F.concat(F.lit('"(LINE_'), "l_returnflag", F.lit(","), "p_name", F.lit(","), "p_type", F.lit(')"')).alias("raw")
+    )
+    b = t("orders").select(F.concat(F.lit('"('), "o_orderpriority", F.lit(')"')).alias("raw"))
+    c = t("customer").select(F.concat(F.lit('"('), "c_mktsegment", F.lit(", "), "c_name", F.lit(' )"')).alias("raw"))
+    return a.unionByName(b).unionByName(c)
+
+
+@register(
+    "parse_node_label",
+    f"""WITH {_RAW_LABELS_SQL},
+p AS (SELECT raw, list_transform(string_split(substr(raw, 3, greatest(length(raw) - 4, 0)), ','), lambda x: trim(x)) AS f FROM raw)
+SELECT f[1] AS type, f[2] AS token, CAST(len(f) AS INTEGER) AS n_fields, count(*) AS n FROM p GROUP BY ALL""",
+)
+def q_parse_node_label(spark, sf):
+    f = FN.parse_node_label("raw")
+    p = _raw_labels(spark, sf).select(f.alias("f"))
+    return p.groupBy(
+        F.get("f", 0).alias("type"), F.get("f", 1).alias("token"), F.size("f").alias("n_fields")
+    ).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register(
+    "mask_self",
+    f"""WITH {S.v1_ctes()}
+SELECT gid AS graph_id, node_id,
+       CASE WHEN typ = name THEN '<SELF>' ELSE typ END AS type,
+       CASE WHEN typ = name THEN '<SELF>' ELSE tok END AS token FROM o0
+UNION ALL SELECT gid, '1000101', 'METHOD', '<SELF>' FROM g""",
+)
+def q_mask_self(spark, sf):
+    g, n, _ = V.v1_trees(spark, sf)
+    j = n.where(~F.col("node_id").contains("_")).join(g, "graph_id")
+    t, k = FN.mask_self("type", "token", "name")
+    return j.select("graph_id", "node_id", t.alias("type"), k.alias("token"))
+
+
+@register(
+    "normalize_nodes",
+    f"""WITH {S.v1_ctes()}
+SELECT gid AS graph_id, node_id, ntype, ntoken FROM o
+UNION ALL SELECT gid, parent || '_' || CAST(ord AS VARCHAR), ntype, ntoken FROM l
+UNION ALL SELECT gid, '1000101', '(METHOD)', 'self' FROM g""",
+)
+def q_normalize_nodes(spark, sf):
+    g, n, _ = V.v1_trees(spark, sf)
+    return T.normalize_nodes(g, n, ExtractOptions())
+
+
+_SLOTS_SQL = f"""WITH pa AS ({S.v1_ast_paths()}),
+enc AS (SELECT graph_id, seq, start_token || ',' || CAST({S.java_hash('path')} AS VARCHAR) || ',' || end_token AS slot FROM pa)"""
+
+
+def _slots(spark, sf):
+    pa = T.ast_paths(*V.v1_trees(spark, sf))
+    return pa.select("graph_id", "seq", FT.encode_context("start_token", FT.java_hash("path"), "end_token").alias("slot"))
+
+
+@register("encode_context", f"{_SLOTS_SQL} SELECT graph_id, seq, slot FROM enc")
+def q_encode_context(spark, sf):
+    return _slots(spark, sf)
+
+
+@register(
+    "decode_context",
+    f"""{_SLOTS_SQL}
+SELECT graph_id, seq, CAST(len(string_split(slot, ',')) AS INTEGER) AS arity, string_split(slot, ',')[1] AS start_token,
+       string_split(slot, ',')[2] AS path, string_split(slot, ',')[3] AS end_token FROM enc""",
+)
+def q_decode_context(spark, sf):
+    d = FT.decode_context("slot")
+    return _slots(spark, sf).select("graph_id", "seq", d["arity"].alias("arity"), d["start_token"].alias("start_token"),
+                                     d["path"].alias("path"), d["end_token"].alias("end_token"))
+
+
+@register(
+    "slice_slots",
+    f"""WITH {S.path_dataset_ctes()},{_MR},
+ln AS (SELECT graph_id, string_split(label || ' ' || array_to_string(list_concat(list_concat(ast, cfg), list_concat(cdg, ddg)), ' '), ' ') AS f FROM rows)
+SELECT graph_id, f[1] AS label,
+       CAST(len(list_filter(f[2:201], lambda x: x <> '')) AS INTEGER) AS n_ast,
+       CAST(len(list_filter(f[202:211], lambda x: x <> '')) AS INTEGER) AS n_cfg,
+       CAST(len(list_filter(f[212:261], lambda x: x <> '')) AS INTEGER) AS n_cdg,
+       CAST(len(list_filter(f[262:361], lambda x: x <> '')) AS INTEGER) AS n_ddg
+FROM ln""",
+)
+def q_slice_slots(spark, sf):
+    rows = _rows(spark, sf)
+    f = F.split(D.render_row(rows), " ")
+    out, start = [], 1
+    for k in ("ast", "cfg", "cdg", "ddg"):
+        m = FOPTS.max_paths[k]
+        out.append(F.size(F.filter(FT.slice_slots(f, start, m), lambda x: x != "")).alias(f"n_{k}"))
+        start += m
+    return rows.select("graph_id", F.get(f, 0).alias("label"), *out)
+
+
+# ---------------------------------------------------------------- C1 / E7 / E4 / I6 / C4
+@register(
+    "leaf_pieces",
+    f"WITH {S.v1_pieces_ctes()} SELECT gid AS graph_id, top, o, len, up_path, down_path, tok AS start_token FROM pieces",
+)
+def q_leaf_pieces(spark, sf):
+    p = T.ast_pieces(*V.v1_trees(spark, sf))
+    return p.select("graph_id", "top", "o", "len", "up_path", "down_path", F.col("tok").alias("start_token"))
+
+
+@register(
+    "post_order",
+    f"""WITH {S.v1_ctes()},
+k AS (SELECT gid, '1000101' AS node_id, [0, 2147483647] AS key FROM g
+      UNION ALL SELECT gid, node_id, [0, ord, 2147483647] FROM o
+      UNION ALL SELECT gid, parent || '_' || CAST(ord AS VARCHAR), [0, pord, ord, 2147483647] FROM l)
+SELECT gid AS graph_id, node_id, row_number() OVER (PARTITION BY gid ORDER BY key) - 1 AS post FROM k""",
+)
+def q_post_order(spark, sf):
+    g, n, e = V.v1_trees(spark, sf)
+    nn = T.normalize_nodes(g, n, ExtractOptions())
+    return T.post_order(T.tree_walk(nn, e, T.entry_nodes(nn, ExtractOptions().entry_id)))
+
+
+@register(
+    "child_ordinal",
+    f"""WITH {S.events_ctes()}
+SELECT gid AS graph_id, src, dst, label, row_number() OVER (PARTITION BY gid, src ORDER BY ord) - 1 AS child_ord FROM ed_ddg""",
+)
+def q_child_ordinal(spark, sf):
+    from pyspark.sql import Window
+
+    _, _, e = V.v3_dependence(spark, sf)
+    w = Window.partitionBy("graph_id", "src").orderBy("ord")
+    return e.select("graph_id", "src", "dst", "label", (F.row_number().over(w) - 1).alias("child_ord"))
+
+
+@register(
+    "reachable",
+    f"""WITH RECURSIVE {S.events_ctes()},
+e0 AS (SELECT gid, src, dst FROM ed_ddg WHERE label = 'v0'),
+rt AS (SELECT gid, CASE WHEN bool_or(node_id = '1000101') THEN '1000101' ELSE min(node_id) END AS root FROM nn GROUP BY gid),
+lim AS (SELECT max(c) AS m FROM (SELECT count(*) AS c FROM nn GROUP BY gid)),
+r(gid, node_id, depth) AS (
+  SELECT gid, root, 0 FROM rt
+  UNION
+  SELECT r.gid, e0.dst, r.depth + 1 FROM r JOIN e0 ON e0.gid = r.gid AND e0.src = r.node_id, lim WHERE r.depth + 1 < lim.m)
+SELECT gid AS graph_id, node_id, min(depth) AS depth FROM r GROUP BY gid, node_id""",
+)
+def q_reachable(spark, sf):
+    _, n, e = V.v3_dependence(spark, sf)
+    return T.reachable(n, e.where(F.col("label") == "v0"), T.entry_nodes(n, ExtractOptions().entry_id))
+
+
+@register(
+    "resume_anti",
+    f"""WITH {S.v1_ctes()}
+SELECT gid AS graph_id FROM g WHERE gid NOT IN (SELECT CAST(c_custkey AS VARCHAR) FROM customer WHERE c_acctbal > 5000)""",
+)
+def q_resume_anti(spark, sf):
+    g, _, _ = V.v1_trees(spark, sf)
+    done = V.table(spark, sf, "customer").where(F.col("c_acctbal") > 5000).select(F.col("c_custkey").cast("string").alias("graph_id"))
+    return D.skip_processed(g, done).select("graph_id")
+
+
+# ---------------------------------------------------------------- A5 / A4 / B9 / B10 / H15 record text
+from pathmine.operators.numbering import global_position  # noqa: E402
+from pathmine.session import ensure_checkpoint_dir  # noqa: E402
+from pathmine.sources import records as R  # noqa: E402
+
+
+def _records(spark, sf, broken: bool = False):
+    """Records of the flagship dataset; ``broken`` puts a newline into every path whose end token
+    is 'urgent' (a context split over two lines, B10) and blanks the end token of every
+    context whose start token is 'urgent' (invalid, B9)."""
+    pd_ = P.flagship(spark, sf)
+    if broken:
+        pd_ = pd_.withColumn(
+            "path", F.when(F.col("end_token") == "urgent", F.regexp_replace("path", r"^([^\^]*\^)", "$1\n")).otherwise(F.col("path"))
+        ).withColumn("end_token", F.when(F.col("start_token") == "urgent", F.lit(" ")).otherwise(F.col("end_token")))
+    numbering = global_position(pd_.select("graph_id").distinct(), ["graph_id"], "rec")
+    return D.render_records(pd_, numbering)
+
+
+def _roundtrip(spark, sf):
+    recs = _records(spark, sf, broken=True)
+    base = ensure_checkpoint_dir(spark).replace("file:", "")
+    import uuid
+
+    out = f"{base}/records-{uuid.uuid4().hex}"
+    R.write_records(recs, out)
+    return D.repair_contexts(D.parse_records(R.read_records(spark, out)))
+
+
+_REC_SQL = f"""WITH {S.path_dataset_ctes()},
+num AS (SELECT graph_id, row_number() OVER (ORDER BY graph_id) - 1 AS rec FROM (SELECT DISTINCT graph_id FROM pd)),
+body AS (SELECT graph_id, kind, string_agg(coalesce(start_token, '') || chr(9) || coalesce(path, '') || chr(9) || coalesce(end_token, ''), chr(10) ORDER BY seq) AS b
+         FROM pd GROUP BY graph_id, kind),
+wide AS (SELECT num.graph_id, num.rec, (SELECT any_value(label) FROM pd WHERE pd.graph_id = num.graph_id) AS label,
+                max(b) FILTER (WHERE kind = 'ast') AS ast, max(b) FILTER (WHERE kind = 'cfg') AS cfg,
+                max(b) FILTER (WHERE kind = 'cdg') AS cdg, max(b) FILTER (WHERE kind = 'ddg') AS ddg
+         FROM num LEFT JOIN body USING (graph_id) GROUP BY num.graph_id, num.rec)"""
+
+
+@register(
+    "c2v_render",
+    f"""{_REC_SQL}
+SELECT graph_id, rec, concat_ws(chr(10), '#' || CAST(rec AS VARCHAR), 'label:' || label, 'file:' || graph_id || '.c',
+       'path: ast', ast, 'path: cfg', cfg, 'path: cdg', cdg, 'path: ddg', ddg) || chr(10) AS record FROM wide""",
+)
+def q_c2v_render(spark, sf):
+    return _records(spark, sf)
+
+
+@register(
+    "c2v_parse",
+    f"""{_REC_SQL}
+SELECT rec AS rec_id, pd.kind, pd.start_token, pd.path,
+       CASE WHEN pd.start_token = 'urgent' THEN '' ELSE pd.end_token END AS end_token
+FROM pd JOIN num USING (graph_id)""",
+)
+def q_c2v_parse(spark, sf):
+    return _roundtrip(spark, sf).select("rec_id", "kind", "start_token", "path", "end_token")
+
+
+@register(
+    "repair_context",
+    f"""{_REC_SQL}
+SELECT rec AS rec_id, pd.kind, pd.start_token, pd.path FROM pd JOIN num USING (graph_id) WHERE pd.end_token = 'urgent'""",
+)
+def q_repair_context(spark, sf):
+    r = _roundtrip(spark, sf)
+    return r.where(F.col("end_token") == "urgent").select("rec_id", "kind", "start_token", "path")
+
+
+@register(
+    "valid_context",
+    f"""{_REC_SQL}
+SELECT rec AS rec_id, pd.kind, count(*) AS n_valid FROM pd JOIN num USING (graph_id)
+WHERE pd.start_token <> 'urgent' GROUP BY ALL""",
+)
+def q_valid_context(spark, sf):
+    r = D.valid_contexts(_roundtrip(spark, sf))
+    return r.groupBy("rec_id", "kind").agg(F.count(F.lit(1)).alias("n_valid"))
+
+
+@register(
+    "file_index",
+    f"""{_REC_SQL} SELECT rec AS rec_id, CAST(graph_id AS BIGINT) AS file_index FROM wide""",
+)
+def q_file_index(spark, sf):
+    recs = _records(spark, sf)
+    return recs.select(
+        F.regexp_extract("record", r"^#(\d+)", 1).cast("long").alias("rec_id"),
+        FT.file_index(F.regexp_extract("record", r"(?m)^(file:.*)$", 1)).alias("file_index"),
+    )
+
+
+# ---------------------------------------------------------------- L4 repositories (V8)
+from pathmine.operators import repos as RP  # noqa: E402
+
+_V8_SQL = """per AS (SELECT l_partkey, count(*) AS stars, count(DISTINCT l_suppkey) AS forks, sum(l_quantity) AS qty
+        FROM lineitem GROUP BY l_partkey),
+repos AS (SELECT p_name || '-' || CAST(p_partkey AS VARCHAR) AS name, '/' || p_brand || '/' || CAST(p_partkey AS VARCHAR) AS link,
+                 CAST(coalesce(stars, 0) AS BIGINT) AS stars, CAST(coalesce(forks, 0) AS BIGINT) AS forks,
+                 CAST(p_size AS BIGINT) AS size, p_partkey, qty
+          FROM part LEFT JOIN per ON p_partkey = l_partkey),
+nr AS (SELECT count(*) AS n FROM repos),
+ls AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY stars DESC, p_partkey) - 1 AS list_pos FROM repos), nr WHERE list_pos < n * 0.6),
+lf AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY forks DESC, p_partkey) - 1 AS list_pos FROM repos), nr WHERE list_pos < n * 0.6),
+un AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY link ORDER BY src) AS rk FROM
+        (SELECT *, 0 AS src FROM ls UNION ALL SELECT *, 1 AS src FROM lf)) WHERE rk = 1),
+st AS (SELECT avg(stars) AS ms, stddev_pop(stars) AS ss, avg(forks) AS mf, stddev_pop(forks) AS sf FROM un),
+zs AS (SELECT un.*, (stars - ms) / ss + (forks - mf) / sf AS zscore FROM un, st),
+rk AS (SELECT *, row_number() OVER (ORDER BY zscore DESC, name) - 1 AS rank FROM zs),
+mc AS (SELECT rk.*, coalesce(CAST(r2.qty AS BIGINT), -1) AS method_count FROM rk LEFT JOIN repos r2 USING (name))"""
+
+
+def _v8(spark, sf):
+    return V.v8_repos(spark, sf)
+
+
+def _ranked(spark, sf):
+    repos, ls, lf, counts = _v8(spark, sf)
+    un = RP.union_repos(ls.select(*RP.REPO_COLS), lf.select(*RP.REPO_COLS))
+    z = RP.zscores(un)
+    rk = RP.rank_by(z, [F.col("zscore").desc(), F.col("name")], "rank")
+    return RP.attach_method_counts(rk, counts)
+
+
+@register("repos_project", f"WITH {_V8_SQL} SELECT name, link, stars, forks, size FROM repos")
+def q_repos_project(spark, sf):
+    return _v8(spark, sf)[0].select(*RP.REPO_COLS)
+
+
+@register("top_repos", f"WITH {_V8_SQL} SELECT name, stars FROM repos ORDER BY stars DESC, name LIMIT 30")
+def q_top_repos(spark, sf):
+    return RP.top_repos(_v8(spark, sf)[0], 30).select("name", "stars")
+
+
+@register("repo_union", f"WITH {_V8_SQL} SELECT name, link, stars, forks, size, src AS source FROM un")
+def q_repo_union(spark, sf):
+    _, ls, lf, _ = _v8(spark, sf)
+    return RP.union_repos(ls.select(*RP.REPO_COLS), lf.select(*RP.REPO_COLS))
+
+
+@register(
+    "repo_diff",
+    f"""WITH {_V8_SQL}
+SELECT DISTINCT name, 'first_only' AS side FROM ls WHERE name NOT IN (SELECT name FROM lf)
+UNION ALL SELECT DISTINCT name, 'second_only' FROM lf WHERE name NOT IN (SELECT name FROM ls)""",
+)
+def q_repo_diff(spark, sf):
+    _, ls, lf, _ = _v8(spark, sf)
+    return RP.repo_difference(ls, lf)
+
+
+@register("repo_zscore", f"WITH {_V8_SQL} SELECT name, zscore, rank FROM rk")
+def q_repo_zscore(spark, sf):
+    return _ranked(spark, sf).select("name", "zscore", "rank")
+
+
+@register("method_counts", f"WITH {_V8_SQL} SELECT name, method_count FROM mc")
+def q_method_counts(spark, sf):
+    return _ranked(spark, sf).select("name", "method_count")
+
+
+@register(
+    "method_total",
+    f"WITH {_V8_SQL} SELECT CAST(sum(method_count) AS BIGINT) AS total_methods, count(*) AS n_repos FROM mc WHERE method_count > 1000",
+)
+def q_method_total(spark, sf):
+    return RP.method_total(_ranked(spark, sf), 1000).select(F.col("total_methods").cast("long"), "n_repos")
+
+
+@register(
+    "running_total",
+    f"""WITH {_V8_SQL}
+SELECT name, rank, CAST(sum(method_count) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS running_total FROM mc""",
+)
+def q_running_total(spark, sf):
+    r = RP.running_total(_ranked(spark, sf), "rank", "method_count")
+    return r.select("name", "rank", F.col("running_total").cast("long"))
+
+
+@register("repo_slice", f"WITH {_V8_SQL} SELECT name, rank FROM rk WHERE rank BETWEEN 10 AND 29")
+def q_repo_slice(spark, sf):
+    return RP.repo_slice(_ranked(spark, sf), "rank", 10, 29).select("name", "rank")
+
+
+@register("existing_anti", f"WITH {_V8_SQL} SELECT name FROM un WHERE name NOT IN (SELECT name FROM repos WHERE size > 40)")
+def q_existing_anti(spark, sf):
+    repos, ls, lf, _ = _v8(spark, sf)
+    un = RP.union_repos(ls.select(*RP.REPO_COLS), lf.select(*RP.REPO_COLS))
+    return RP.skip_existing(un, repos.where(F.col("size") > 40)).select("name")
+
+
+@register(
+    "rank_repositories",
+    f"""WITH {_V8_SQL}
+SELECT name, link, stars, forks, size, zscore, rank, method_count,
+       CAST(sum(method_count) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS running_total FROM mc""",
+)
+def q_rank_repositories(spark, sf):
+    r = RP.running_total(_ranked(spark, sf), "rank", "method_count")
+    return r.select("name", "link", "stars", "forks", "size", "zscore", "rank", "method_count", F.col("running_total").cast("long"))

@@ -59,19 +59,20 @@ l AS (
   FROM lineitem JOIN o ON l_orderkey = o.o_orderkey JOIN part ON l_partkey = p_partkey)"""
 
 
-def v1_ast_paths(max_length: int = 8, max_width: int = 2, max_tree_size: int | None = 200) -> str:
-    """Contexts of V1 trees (three levels) by plain joins."""
+def v1_pieces_ctes(max_tree_size: int | None = 200) -> str:
+    """CTEs up to ``pieces`` (gid, top, top_key, top_type, o, len, up_path, down_path, tok, leaf_key)."""
     size_filter = ""
+    where_keep = ""
     if max_tree_size is not None:
         size_filter = f"""
 sz AS (
-  SELECT g.gid, 1 + (SELECT count(*) FROM o WHERE o.gid = g.gid) + (SELECT count(*) FROM l WHERE l.gid = g.gid) AS n
-  FROM g),
+  SELECT g.gid, 1 + coalesce(oc.n, 0) + coalesce(lc.n, 0) AS n
+  FROM g LEFT JOIN (SELECT gid, count(*) AS n FROM o GROUP BY gid) oc USING (gid)
+         LEFT JOIN (SELECT gid, count(*) AS n FROM l GROUP BY gid) lc USING (gid)),
 keep AS (SELECT gid FROM sz WHERE n > 0 AND n <= {max_tree_size}),"""
-    keep_join = "JOIN keep USING (gid)" if max_tree_size is not None else ""
-    return f"""
-WITH {v1_ctes()},{size_filter}
-pieces AS (
+        where_keep = "WHERE gid IN (SELECT gid FROM keep)"
+    return f"""{v1_ctes()},{size_filter}
+pieces0 AS (
   SELECT gid, parent AS top, [0, pord, 2147483647] AS top_key, ptype AS top_type, ord AS o, 1 AS len,
          ntype AS up_path, ntype AS down_path, ntoken AS tok, [0, pord, ord] AS leaf_key FROM l
   UNION ALL
@@ -80,12 +81,18 @@ pieces AS (
   UNION ALL
   SELECT gid, '1000101', [0, 2147483647], '(METHOD)', ord, 1, ntype, ntype, ntoken, [0, ord]
   FROM o WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.parent = o.node_id AND l.gid = o.gid)),
+pieces AS (SELECT * FROM pieces0 {where_keep})"""
+
+
+def v1_ast_paths(max_length: int = 8, max_width: int = 2, max_tree_size: int | None = 200) -> str:
+    """Contexts of V1 trees (three levels) by plain joins."""
+    return f"""
+WITH {v1_pieces_ctes(max_tree_size)},
 pairs AS (
   SELECT a.gid, a.top_key, a.o AS o_l, b.o AS o_r, a.leaf_key AS key_l, b.leaf_key AS key_r,
          a.tok AS start_token, a.up_path || '^' || a.top_type || '_' || b.down_path AS path, b.tok AS end_token
   FROM pieces a JOIN pieces b ON a.gid = b.gid AND a.top = b.top
-   AND b.o - a.o BETWEEN 1 AND {max_width} AND a.len + 1 + b.len <= {max_length}
-  {keep_join.replace('USING (gid)', 'ON keep.gid = a.gid')})
+   AND b.o - a.o BETWEEN 1 AND {max_width} AND a.len + 1 + b.len <= {max_length})
 SELECT gid AS graph_id, 'ast' AS kind,
        row_number() OVER (PARTITION BY gid ORDER BY top_key, o_l, o_r, key_l, key_r) - 1 AS seq,
        start_token, path, end_token

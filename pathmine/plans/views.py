@@ -155,3 +155,32 @@ def v4_control(spark: SparkSession, sf_dir: str):
         cn.select("graph_id", F.col("parent").alias("src"), F.col("node_id").alias("dst"), F.col("c_custkey").cast("long").alias("ord"))
     ).withColumn("label", F.lit(None).cast("string"))
     return graphs, nodes, edges
+
+
+def v8_repos(spark: SparkSession, sf_dir: str):
+    """V8 repositories from parts: (repos, stars_list, forks_list, method_counts).
+    The two source lists are the top 60 % of parts by stars and by forks."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size")
+    li = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_quantity")
+    per = li.groupBy("l_partkey").agg(
+        F.count(F.lit(1)).alias("stars"), F.count_distinct("l_suppkey").alias("forks"), F.sum("l_quantity").alias("qty")
+    )
+    j = part.join(per, part.p_partkey == per.l_partkey, "left")
+    repos = j.select(
+        F.concat(F.col("p_name"), F.lit("-"), F.col("p_partkey").cast("string")).alias("name"),
+        F.concat(F.lit("/"), F.col("p_brand"), F.lit("/"), F.col("p_partkey").cast("string")).alias("link"),
+        F.coalesce(F.col("stars"), F.lit(0)).cast("long").alias("stars"),
+        F.coalesce(F.col("forks"), F.lit(0)).cast("long").alias("forks"),
+        F.col("p_size").cast("long").alias("size"),
+        F.col("p_partkey"),
+        F.col("qty"),
+    )
+    n = repos.agg(F.count(F.lit(1)).alias("_n"))
+    lists = []
+    for key in ("stars", "forks"):
+        ranked = global_position(repos, [F.col(key).desc(), F.col("p_partkey")], "list_pos")
+        lists.append(
+            ranked.crossJoin(F.broadcast(n)).where(F.col("list_pos") < F.col("_n") * 0.6).drop("_n", "qty")
+        )
+    counts = repos.where(F.col("qty").isNotNull()).select("name", F.col("qty").cast("long").alias("method_count"))
+    return repos.drop("qty"), lists[0], lists[1], counts
