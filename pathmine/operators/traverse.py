@@ -13,7 +13,7 @@ deepest graph, not the number of graphs.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathmine.functions.nodes import normalize_node
@@ -70,23 +70,33 @@ def entry_nodes(nodes: DataFrame, entry_id: str | None) -> DataFrame:
     return agg.select("graph_id", F.when(F.col("_has") == 1, F.lit(entry_id)).otherwise(F.col("_min")).alias("root"))
 
 
-def _links(nnodes: DataFrame, edges: DataFrame, with_label: bool = False) -> DataFrame:
+def _links(nnodes: DataFrame, edges: DataFrame, with_label: bool = False, child_positions: bool = False) -> DataFrame:
     """Edge + destination attributes, written once and hash-partitioned on the loop's join
-    key (graph_id, src): every round then shuffles only the frontier."""
+    key (graph_id, src): every round then shuffles only the frontier.
+
+    ``child_positions``: replace ``ord`` by the dense 0-based position among the parent's
+    children (E4) and flag the first child. Only used on trees that passed the size filter,
+    so each window partition (one parent) is bounded."""
     cols = ["graph_id", "src", "dst", "ord"] + (["label"] if with_label else [])
     dst_attrs = nnodes.select(
         "graph_id", F.col("node_id").alias("dst"), F.col("ntype").alias("dst_type"), F.col("ntoken").alias("dst_token")
     )
-    first = edges.groupBy("graph_id", "src").agg(F.min("ord").alias("_first_ord"))
-    j = edges.select(*cols).join(dst_attrs, ["graph_id", "dst"]).join(first, ["graph_id", "src"])
-    j = j.withColumn("first", F.col("ord") == F.col("_first_ord")).drop("_first_ord")
+    j = edges.select(*cols).join(dst_attrs, ["graph_id", "dst"])
+    if child_positions:
+        j = child_ordinal(j)
     return cut_lineage(j.repartition("graph_id", "src"))
 
 
+def child_ordinal(edges: DataFrame) -> DataFrame:
+    """Dense 0-based child position per parent, plus a first-child flag."""
+    w = Window.partitionBy("graph_id", "src").orderBy("ord", "dst")
+    return edges.withColumn("ord", (F.row_number().over(w) - 1).cast("long")).withColumn("first", F.col("ord") == 0)
+
+
 def tree_walk(nnodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
     """Walk down from each root; return every reachable node with its root-to-node arrays
     ``ids``, ``types`` (normalised) and ``ords`` (child positions, root = 0) and ``is_leaf``."""
-    links = _links(nnodes, edges)
+    links = _links(nnodes, edges, child_positions=True)
     frontier = cut_lineage(
         roots.join(nnodes, (roots["graph_id"] == nnodes["graph_id"]) & (roots["root"] == nnodes["node_id"])).select(
             roots["graph_id"],

@@ -19,6 +19,7 @@ def local_session(cores: str = "8", partitions: int = 8, app: str = "pathmine")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.serializer", "org.apache.spark.serializer.KryoSerializer")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
