@@ -96,4 +96,4 @@ def slice_slots(arr, start: int, length: int) -> Column:
 
 def file_index(c) -> Column:
     """Numeric id out of a ``file:<n>.c`` line."""
-    return F.regexp_extract(_col(c), r"file:\s*(\d+)\.c", 1).cast("long")
+    return F.regexp_extract(_col(c), r"file:\s*(\d+)\.c", 1).try_cast("long")

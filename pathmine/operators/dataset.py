@@ -84,7 +84,7 @@ def parse_records(records: DataFrame) -> DataFrame:
     Output: (rec_id, label, file, kind, pos, line). Header lines are recognised only at the
     record's head positions (Q25); section lines switch the kind."""
     lines = records.select(F.col("record"), F.posexplode(F.split("record", "\n")).alias("pos", "line"))
-    lines = lines.withColumn("rec_id", F.regexp_extract(F.col("record"), r"^#(\d+)", 1).cast("long"))
+    lines = lines.withColumn("rec_id", F.regexp_extract(F.col("record"), r"^#(\d+)", 1).try_cast("long"))
     lines = lines.withColumn("label", F.regexp_extract(F.col("record"), r"(?m)^label:(.*)$", 1))
     lines = lines.withColumn("file", F.regexp_extract(F.col("record"), r"(?m)^file:(.*)$", 1))
     sec = F.regexp_extract("line", r"^path: (ast|cfg|cdg|ddg)\s*$", 1)

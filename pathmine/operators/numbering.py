@@ -48,6 +48,5 @@ def number_within(df: DataFrame, group_cols: list, order_cols: list, out: str =
     keys = [F.col(c) if isinstance(c, str) else c for c in group_cols]
     positioned = global_position(df, keys + list(order_cols), "_gpos")
     starts = positioned.groupBy(*group_cols).agg(F.min("_gpos").alias("_gstart"))
-    return positioned.join(starts, list(group_cols)).withColumn(out, F.col("_gpos") - F.col("_gstart")).drop(
-        "_gpos", "_gstart"
-    )
+    numbered = positioned.join(starts, list(group_cols)).withColumn(out, F.col("_gpos") - F.col("_gstart"))
+    return numbered.select(*df.columns, out)

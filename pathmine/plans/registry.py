@@ -560,7 +560,7 @@ def q_valid_context(spark, sf):
 def q_file_index(spark, sf):
     recs = _records(spark, sf)
     return recs.select(
-        F.regexp_extract("record", r"^#(\d+)", 1).cast("long").alias("rec_id"),
+        F.regexp_extract("record", r"^#(\d+)", 1).try_cast("long").alias("rec_id"),
         FT.file_index(F.regexp_extract("record", r"(?m)^(file:.*)$", 1)).alias("file_index"),
     )
 
