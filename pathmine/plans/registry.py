@@ -673,3 +673,112 @@ SELECT name, link, stars, forks, size, zscore, rank, method_count,
 def q_rank_repositories(spark, sf):
     r = RP.running_total(_ranked(spark, sf), "rank", "method_count")
     return r.select("name", "link", "stars", "forks", "size", "zscore", "rank", "method_count", F.col("running_total").cast("long"))
+
+
+# ---------------------------------------------------------------- L1 preprocessing (V5 documents, V6 pages)
+from pathmine.operators import preprocess as PP  # noqa: E402
+from pathmine.sources import files as FS  # noqa: E402
+
+_LICENSE = "(?i)licen[cs]e"
+
+
+def _docs(spark, sf):
+    d = V.table(spark, sf, "documents")
+    return d.select(F.col("source").alias("project"), F.col("doc_id").cast("string").alias("path"), "doc_id", F.col("text").alias("content"))
+
+
+@register(
+    "ext_filter",
+    f"SELECT page_id, regexp_matches(url, '{FS.EXT_PATTERN}') AS is_source FROM pages",
+)
+def q_ext_filter(spark, sf):
+    return V.table(spark, sf, "pages").select("page_id", FS.is_source_file("url").alias("is_source"))
+
+
+@register(
+    "directive_split",
+    f"""WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)
+SELECT doc_id, md5(array_to_string(list_concat(list_filter(l, lambda x: regexp_matches(x, '{_LICENSE}')),
+                   list_filter(l, lambda x: NOT regexp_matches(x, '{_LICENSE}') AND NOT regexp_matches(x, '^#'))), chr(10))) AS h,
+       CAST(len(list_filter(l, lambda x: regexp_matches(x, '{_LICENSE}'))) AS INTEGER) AS n_moved
+FROM s""",
+)
+def q_directive_split(spark, sf):
+    d = V.table(spark, sf, "documents")
+    lines = F.split("text", "\n")
+    return d.select(
+        "doc_id",
+        F.md5(PP.split_directives("text", _LICENSE, "^#")).alias("h"),
+        F.size(F.filter(lines, lambda x: x.rlike(_LICENSE))).alias("n_moved"),
+    )
+
+
+@register(
+    "strip_comments",
+    "SELECT page_id, md5(regexp_replace(html, '(?s)<!--.*?-->', '', 'g')) AS h, "
+    "octet_length(encode(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'))) AS n_bytes FROM pages",
+)
+def q_strip_comments(spark, sf):
+    s = PP.strip_comments("html", "html")
+    return V.table(spark, sf, "pages").select("page_id", F.md5(s).alias("h"), F.octet_length(s).cast("long").alias("n_bytes"))
+
+
+@register("size_filter", "SELECT doc_id FROM documents WHERE octet_length(encode(text)) + 49 <= 3072")
+def q_size_filter(spark, sf):
+    return V.table(spark, sf, "documents").where(PP.size_ok("text", 3072)).select("doc_id")
+
+
+@register(
+    "fn_ids_multiple",
+    """SELECT doc_id, source AS project, row_number() OVER (PARTITION BY source ORDER BY CAST(doc_id AS VARCHAR)) - 1 AS fn_id
+FROM documents WHERE octet_length(encode(text)) + 49 <= 3072""",
+)
+def q_fn_ids_multiple(spark, sf):
+    d = _docs(spark, sf).where(PP.size_ok("content", 3072)).withColumn("pos", F.lit(0))
+    return PP.number_per_project(d).select("doc_id", "project", "fn_id")
+
+
+@register(
+    "fn_ids_single",
+    """SELECT doc_id, row_number() OVER (ORDER BY source, CAST(doc_id AS VARCHAR)) - 1 AS fn_id
+FROM documents WHERE octet_length(encode(text)) + 49 <= 3072""",
+)
+def q_fn_ids_single(spark, sf):
+    d = _docs(spark, sf).where(PP.size_ok("content", 3072)).withColumn("pos", F.lit(0))
+    return PP.number_global(d).select("doc_id", "fn_id")
+
+
+def _pages_as_files(spark, sf):
+    """V6 pages written as a source tree: one directory per host, files named <page_id>.c."""
+    import uuid
+
+    base = ensure_checkpoint_dir(spark).replace("file:", "") + f"/pages-{uuid.uuid4().hex}"
+    p = V.table(spark, sf, "pages").select(
+        F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1).alias("project"), "page_id", "html"
+    )
+    p.select("project", F.concat(F.lit("// page "), F.col("page_id").cast("string"), F.lit("\n"), F.col("html")).alias("value")).write.partitionBy(
+        "project"
+    ).text(base)
+    files = FS.scan_sources(spark, base)
+    return files.select(F.regexp_replace("project", "^project=", "").alias("project"), "path", "content", "length")
+
+
+@register("scan_pages")
+def q_scan_pages(spark, sf):
+    return _pages_as_files(spark, sf).select("project", "path", "length")
+
+
+@register("extract_blocks")
+def q_extract_blocks(spark, sf):
+    pages = V.table(spark, sf, "pages").select(
+        F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1).alias("project"),
+        F.col("page_id").cast("string").alias("path"),
+        F.array_join(F.regexp_extract_all("html", F.lit(r"(?s)<script>(.*?)</script>"), 1), "\n").alias("content"),
+    )
+    return PP.extract_functions(pages)
+
+
+@register("preprocess")
+def q_preprocess(spark, sf):
+    files = _pages_as_files(spark, sf).withColumn("path", F.concat(F.col("path"), F.lit(".c")))
+    return PP.preprocess(files, 3072, "multiple")
