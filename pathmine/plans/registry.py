@@ -782,3 +782,16 @@ def q_extract_blocks(spark, sf):
 def q_preprocess(spark, sf):
     files = _pages_as_files(spark, sf).withColumn("path", F.concat(F.col("path"), F.lit(".c")))
     return PP.preprocess(files, 3072, "multiple")
+
+
+# ---------------------------------------------------------------- A3 graph dumps
+from pathmine.sources import dot as DOT  # noqa: E402
+
+
+@register("graph_dump_roundtrip", S.v1_ast_paths())
+def q_graph_dump_roundtrip(spark, sf):
+    """V1 rendered to DOT text per graph (graphs within the size bound) and parsed back."""
+    g, n, e = V.v1_trees(spark, sf)
+    g, n, e = T.tree_size_filter(g, n, e, ExtractOptions().max_tree_size)
+    dumps = DOT.render_dot(g, n, e)
+    return T.ast_paths(*DOT.parse_dot(dumps, "ast"), ExtractOptions())
