@@ -795,3 +795,27 @@ def q_graph_dump_roundtrip(spark, sf):
     g, n, e = T.tree_size_filter(g, n, e, ExtractOptions().max_tree_size)
     dumps = DOT.render_dot(g, n, e)
     return T.ast_paths(*DOT.parse_dot(dumps, "ast"), ExtractOptions())
+
+
+# ---------------------------------------------------------------- J1 incremental stream
+from pathmine.streaming import incremental as INC  # noqa: E402
+
+
+@register("resume_stream", S.v1_ast_paths())
+def q_resume_stream(spark, sf):
+    """V1 dumps arrive in two drops (graphs in the first half of the id order, then the rest);
+    the stream is started once per drop and resumes from its checkpoint."""
+    import uuid
+
+    base = ensure_checkpoint_dir(spark).replace("file:", "") + f"/stream-{uuid.uuid4().hex}"
+    g, n, e = V.v1_trees(spark, sf)
+    g, n, e = T.tree_size_filter(g, n, e, ExtractOptions().max_tree_size)
+    dumps = global_position(DOT.render_dot(g, n, e), ["graph_id"], "pos")
+    total = dumps.count()
+    first = dumps.where(F.col("pos") < total // 2).drop("pos")
+    second = dumps.where(F.col("pos") >= total // 2).drop("pos")
+    first.write.parquet(f"{base}/in/drop=1")
+    INC.incremental_ast(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt")
+    second.write.parquet(f"{base}/in/drop=2")
+    INC.incremental_ast(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt")
+    return INC.read_output(spark, f"{base}/out")
