@@ -374,6 +374,6 @@ def reachable(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame
         nxt = cut_lineage(nxt)
         if nxt.isEmpty():
             break
-        seen = cut_lineage(seen.unionByName(nxt))
+        seen = seen.unionByName(nxt)  # union of written pieces: shallow lineage
         frontier = nxt
     return seen

@@ -819,3 +819,69 @@ def q_resume_stream(spark, sf):
     second.write.parquet(f"{base}/in/drop=2")
     INC.incremental_ast(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt")
     return INC.read_output(spark, f"{base}/out")
+
+
+# ---------------------------------------------------------------- K graph-table queries (V9)
+from pathmine.operators import cpg as K  # noqa: E402
+
+_CALL_LIST = K.USERSPACE_CALLS + ["malloc", "free"]
+_CALL_LIST_SQL = ", ".join(f"'{n}'" for n in _CALL_LIST)
+
+
+@register("list_methods", f"WITH {S.v1_ctes()} SELECT gid AS graph_id, name FROM g")
+def q_list_methods(spark, sf):
+    return K.list_methods(V.v9_cpg(spark, sf)[0])
+
+
+@register(
+    "calls_in_list",
+    f"WITH {S.v9_ctes()} SELECT gid AS graph_id, 'c' || onode AS node_id, cname AS name FROM cn WHERE cname IN ({_CALL_LIST_SQL})",
+)
+def q_calls_in_list(spark, sf):
+    nodes, _ = V.v9_cpg(spark, sf)
+    names = spark.createDataFrame([(n,) for n in _CALL_LIST], "name string")
+    return K.calls_in(nodes, names).select("graph_id", "node_id", "name")
+
+
+@register(
+    "arg_op_calls",
+    f"""WITH {S.v9_ctes()}
+SELECT gid AS graph_id, 'c' || onode AS node_id FROM cn
+WHERE cname = 'malloc' AND EXISTS (SELECT 1 FROM ll WHERE ll.gid = cn.gid AND ll.onode = cn.onode AND arg = 1 AND flag = 'R' AND status <> 'O')""",
+)
+def q_arg_op_calls(spark, sf):
+    nodes, edges = V.v9_cpg(spark, sf)
+    return K.calls_with_argument_op(nodes, edges).select("graph_id", "node_id")
+
+
+@register(
+    "unreached_sources",
+    f"""WITH {S.v9_ctes()},
+fr AS (SELECT cn.gid, cn.k FROM cn WHERE cname = 'free' AND EXISTS (SELECT 1 FROM ll WHERE ll.gid = cn.gid AND ll.onode = cn.onode AND arg = 1))
+SELECT DISTINCT gid AS graph_id, 'v' || CAST(k AS VARCHAR) AS code FROM cn a
+WHERE cname = 'malloc' AND NOT EXISTS (SELECT 1 FROM fr WHERE fr.gid = a.gid AND fr.k > a.k)""",
+)
+def q_unreached_sources(spark, sf):
+    return K.unfreed_allocations(*V.v9_cpg(spark, sf))
+
+
+@register(
+    "reach_semi",
+    f"""WITH {S.v9_ctes()}
+SELECT g.gid AS graph_id, g.name FROM g JOIN customer ON CAST(c_custkey AS VARCHAR) = g.gid
+WHERE c_acctbal > 5000 AND EXISTS (SELECT 1 FROM cn WHERE cn.gid = g.gid)""",
+)
+def q_reach_semi(spark, sf):
+    return K.writes_reaching_from_const_params(*V.v9_cpg(spark, sf))
+
+
+@register(
+    "subtree_flag",
+    f"""WITH {S.v9_ctes()}
+SELECT gid AS graph_id, 'a' || onode AS node_id, 'v' || CAST(k AS VARCHAR) || ' = ...' AS code FROM cn
+WHERE ttype = 'int' AND cname = '<operator>.subtraction'
+  AND EXISTS (SELECT 1 FROM ll WHERE ll.gid = cn.gid AND ll.onode = cn.onode
+              AND ((flag = 'N' AND status = 'F') OR (flag = 'R' AND status = 'O')))""",
+)
+def q_subtree_flag(spark, sf):
+    return K.pointer_difference_to_int(*V.v9_cpg(spark, sf))

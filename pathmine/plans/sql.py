@@ -54,7 +54,7 @@ l AS (
   SELECT o.gid, o.node_id AS parent, o.ord AS pord, o.ntype AS ptype,
          row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_orderkey, l_partkey, l_suppkey,
             l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS ord,
-         '(LINE_' || l_returnflag || l_linestatus || ')' AS ntype,
+         '(LINE_' || l_returnflag || l_linestatus || ')' AS ntype, p_name AS tok,
          {norm_token('p_name')} AS ntoken
   FROM lineitem JOIN o ON l_orderkey = o.o_orderkey JOIN part ON l_partkey = p_partkey)"""
 
@@ -274,3 +274,16 @@ def train_slots_cte(include: tuple) -> str:
     return f"""
 tr AS (SELECT * FROM kept WHERE split = 'train'),
 ts AS (SELECT graph_id, label, string_split(s, ',') AS f FROM (SELECT graph_id, label, unnest({cat}) AS s FROM tr) WHERE s <> '')"""
+
+
+def v9_ctes() -> str:
+    """V9 code property graph pieces: cn (order calls), ll (argument lines)."""
+    return f"""{v1_ctes()},
+oo AS (SELECT o0.gid, o0.node_id AS onode, o0.ord AS k, orders.o_orderstatus AS st, o0.tok AS pr
+       FROM o0 JOIN orders ON orders.o_orderkey = o0.o_orderkey),
+cn AS (SELECT *, CASE pr WHEN '1-URGENT' THEN 'malloc' WHEN '2-HIGH' THEN '<operator>.subtraction'
+                         WHEN '3-MEDIUM' THEN '<operator>.addition' WHEN '4-NOT SPECIFIED' THEN '<operator>.indirectFieldAccess'
+                         WHEN '5-LOW' THEN 'free' ELSE 'unknown' END AS cname,
+                 CASE st WHEN 'F' THEN 'int' WHEN 'O' THEN 'char*' WHEN 'P' THEN 'char[8]' ELSE 'ANY' END AS ttype FROM oo),
+ll AS (SELECT gid, parent AS onode, parent || '_' || CAST(ord AS VARCHAR) AS lnode, ord AS arg,
+              substr(ntype, 7, 1) AS flag, substr(ntype, 8, 1) AS status, tok AS code FROM l)"""

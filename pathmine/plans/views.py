@@ -184,3 +184,82 @@ def v8_repos(spark: SparkSession, sf_dir: str):
         )
     counts = repos.where(F.col("qty").isNotNull()).select("name", F.col("qty").cast("long").alias("method_count"))
     return repos.drop("qty"), lists[0], lists[1], counts
+
+
+# Fixed mapping for the V9 code-property-graph view (our own fixture, not from the original tool).
+CPG_CALL_BY_PRIORITY = {
+    "1-URGENT": "malloc",
+    "2-HIGH": "<operator>.subtraction",
+    "3-MEDIUM": "<operator>.addition",
+    "4-NOT SPECIFIED": "<operator>.indirectFieldAccess",
+    "5-LOW": "free",
+}
+CPG_TARGET_TYPE_BY_STATUS = {"F": "int", "O": "char*", "P": "char[8]"}
+
+
+def _mapped(col, mapping: dict, default=None):
+    expr = None
+    for k, v in mapping.items():
+        expr = (F.when(col == k, F.lit(v)) if expr is None else expr.when(col == k, F.lit(v)))
+    return expr.otherwise(F.lit(default))
+
+
+def v9_cpg(spark: SparkSession, sf_dir: str):
+    """V9 code property graph per customer: METHOD -> one assignment per order
+    (target identifier, source call named by priority) -> the order's lines as call arguments.
+    Returns (nodes, edges): nodes(graph_id, node_id, label, name, code, type_full_name),
+    edges(graph_id, src, dst, kind in AST/REACHING_DEF, ord)."""
+    graphs, nodes1, edges1 = v1_trees(spark, sf_dir)
+    cust = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("graph_id"), "c_acctbal")
+    orders = table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("onode"), "o_orderstatus", "o_orderpriority"
+    )
+    # order nodes of V1 carry the child position under the method
+    o = edges1.where(F.col("src") == DEFAULT_ENTRY_ID).select("graph_id", F.col("dst").alias("onode"), F.col("ord").alias("k"))
+    o = o.join(orders, "onode")
+    lines = edges1.where(F.col("src") != DEFAULT_ENTRY_ID).select(
+        "graph_id", F.col("src").alias("onode"), F.col("dst").alias("lnode"), F.col("ord").alias("arg")
+    )
+    li_attr = nodes1.select("graph_id", F.col("node_id").alias("lnode"), F.col("type").alias("ltype"), F.col("token").alias("ltoken"))
+    lines = lines.join(li_attr, ["graph_id", "lnode"])
+    flag = F.substring("ltype", 6, 1)
+    status = F.substring("ltype", 7, 1)
+    line_label = F.when(flag == "N", "IDENTIFIER").when(flag == "A", "LITERAL").otherwise("CALL")
+    line_name = F.when(flag == "R", F.when(status == "O", "<operator>.addressOf").otherwise("<operator>.multiplication")).otherwise(F.col("ltoken"))
+    line_type = F.when(flag == "N", F.when(status == "O", "int").otherwise("char*")).otherwise(F.lit("ANY"))
+    method = graphs.select("graph_id", F.lit(DEFAULT_ENTRY_ID).alias("node_id"), F.lit("METHOD").alias("label"), "name",
+                           F.col("name").alias("code"), F.lit("ANY").alias("type_full_name"))
+    param = cust.select("graph_id", F.lit("p").alias("node_id"), F.lit("PARAMETER").alias("label"), F.lit("arg").alias("name"),
+                        F.lit("arg").alias("code"),
+                        F.when(F.col("c_acctbal") > 5000, "const char*").otherwise("char*").alias("type_full_name"))
+    call_name = _mapped(F.col("o_orderpriority"), CPG_CALL_BY_PRIORITY, "unknown")
+    assign = o.select("graph_id", F.concat(F.lit("a"), "onode").alias("node_id"), F.lit("CALL").alias("label"),
+                      F.lit("<operator>.assignment").alias("name"), F.concat(F.lit("v"), F.col("k").cast("string"), F.lit(" = ...")).alias("code"),
+                      F.lit("ANY").alias("type_full_name"))
+    target = o.select("graph_id", F.concat(F.lit("t"), "onode").alias("node_id"), F.lit("IDENTIFIER").alias("label"),
+                      F.concat(F.lit("v"), F.col("k").cast("string")).alias("name"), F.concat(F.lit("v"), F.col("k").cast("string")).alias("code"),
+                      _mapped(F.col("o_orderstatus"), CPG_TARGET_TYPE_BY_STATUS, "ANY").alias("type_full_name"))
+    source = o.select("graph_id", F.concat(F.lit("c"), "onode").alias("node_id"), F.lit("CALL").alias("label"), call_name.alias("name"),
+                      F.concat(call_name, F.lit("#"), F.col("k").cast("string")).alias("code"), F.lit("ANY").alias("type_full_name"))
+    argn = lines.select("graph_id", "lnode", line_label.alias("label"), line_name.alias("name"), F.col("ltoken").alias("code"),
+                        line_type.alias("type_full_name")).withColumnRenamed("lnode", "node_id")
+    nodes = method.unionByName(param).unionByName(assign).unionByName(target).unionByName(source).unionByName(argn)
+    ast = (
+        o.select("graph_id", F.lit(DEFAULT_ENTRY_ID).alias("src"), F.concat(F.lit("a"), "onode").alias("dst"), F.col("k").alias("ord"))
+        .unionByName(o.select("graph_id", F.concat(F.lit("a"), "onode").alias("src"), F.concat(F.lit("t"), "onode").alias("dst"), F.lit(1).cast("long").alias("ord")))
+        .unionByName(o.select("graph_id", F.concat(F.lit("a"), "onode").alias("src"), F.concat(F.lit("c"), "onode").alias("dst"), F.lit(2).cast("long").alias("ord")))
+        .unionByName(lines.select("graph_id", F.concat(F.lit("c"), "onode").alias("src"), F.col("lnode").alias("dst"), F.col("arg").cast("long").alias("ord")))
+        .withColumn("kind", F.lit("AST"))
+    )
+    nxt = o.select("graph_id", F.col("onode").alias("prev"), (F.col("k") + 1).alias("k"))
+    o2 = o.select("graph_id", "onode", "k")
+    chain = nxt.join(o2, ["graph_id", "k"])
+    ddg = (
+        o.select("graph_id", F.concat(F.lit("c"), "onode").alias("src"), F.concat(F.lit("t"), "onode").alias("dst"))
+        .unionByName(chain.select("graph_id", F.concat(F.lit("t"), "prev").alias("src"), F.concat(F.lit("c"), "onode").alias("dst")))
+        .unionByName(chain.join(lines.select("graph_id", "onode", "lnode"), ["graph_id", "onode"]).select(
+            "graph_id", F.concat(F.lit("t"), "prev").alias("src"), F.col("lnode").alias("dst")))
+        .unionByName(o.where(F.col("k") == 1).select("graph_id", F.lit("p").alias("src"), F.concat(F.lit("c"), "onode").alias("dst")))
+        .withColumn("ord", F.lit(0).cast("long")).withColumn("kind", F.lit("REACHING_DEF"))
+    )
+    return nodes, ast.unionByName(ddg)
