@@ -360,7 +360,7 @@ def reachable(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame
     breadth-first with a per-graph visited set (anti-join), so each node is reached once."""
     seen = cut_lineage(roots.select("graph_id", F.col("root").alias("node_id"), F.lit(0).alias("depth")))
     frontier = seen
-    e = edges.select("graph_id", F.col("src").alias("node_id"), "dst").distinct()
+    e = cut_lineage(edges.select("graph_id", F.col("src").alias("node_id"), "dst").distinct())
     depth = 0
     while True:
         depth += 1
@@ -377,3 +377,32 @@ def reachable(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame
         seen = seen.unionByName(nxt)  # union of written pieces: shallow lineage
         frontier = nxt
     return seen
+
+
+def reach_from(edges: DataFrame, seeds: DataFrame, direction: str = "forward", checkpoint_every: int = 4) -> DataFrame:
+    """(graph_id, node_id) of every node at the end of a path of one or more edges from any seed
+    (``direction='backward'``: every node from which such a path leads to a seed). Set
+    semantics: one visited set per graph, no per-origin state. Rounds are persisted and the
+    lineage is cut by a reliable checkpoint every ``checkpoint_every`` rounds."""
+    a, b = ("src", "dst") if direction == "forward" else ("dst", "src")
+    e = cut_lineage(edges.select("graph_id", F.col(a).alias("node_id"), F.col(b).alias("nxt")).distinct())
+    frontier = cut_lineage(seeds.select("graph_id", "node_id").distinct())
+    visited = None
+    held = []
+    rounds = 0
+    while True:
+        rounds += 1
+        nxt = frontier.join(e, ["graph_id", "node_id"]).select("graph_id", F.col("nxt").alias("node_id")).distinct()
+        if visited is not None:
+            nxt = nxt.join(visited, ["graph_id", "node_id"], "left_anti")
+        nxt = cut_lineage(nxt) if rounds % checkpoint_every == 0 else nxt.persist()
+        held.append(nxt)
+        if nxt.isEmpty():
+            break
+        visited = nxt if visited is None else visited.unionByName(nxt)
+        if rounds % checkpoint_every == 0:
+            visited = cut_lineage(visited)
+        frontier = nxt
+    if visited is None:
+        return seeds.select("graph_id", "node_id").limit(0)
+    return visited
