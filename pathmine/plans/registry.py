@@ -885,3 +885,41 @@ WHERE ttype = 'int' AND cname = '<operator>.subtraction'
 )
 def q_subtree_flag(spark, sf):
     return K.pointer_difference_to_int(*V.v9_cpg(spark, sf))
+
+
+# ---------------------------------------------------------------- G4 several datasets, cumulative vocabularies
+@register(
+    "vocab_cumulative",
+    f"""WITH {S.path_dataset_ctes()},{_MR},
+rd AS (SELECT *, split_part(label, '|', 1) AS dataset FROM rows),
+sh2 AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY md5(concat_ws('|', '0', graph_id)), graph_id) - 1 AS pos,
+               count(*) OVER (PARTITION BY dataset) AS n FROM rd),
+sp2 AS (SELECT *, CASE WHEN pos < round_even(n::DOUBLE * 0.89::DOUBLE, 0) THEN 'train' END AS split FROM sh2),
+tr2 AS (SELECT * FROM sp2 WHERE split = 'train' AND len(ast) > 0 AND ast[1] <> '' AND len(cfg) > 0 AND cfg[1] <> ''
+        AND len(ddg) > 0 AND ddg[1] <> ''),
+tk AS (SELECT dataset, string_split(s, ',') AS f FROM (SELECT dataset, unnest(list_concat(list_concat(ast, cfg), ddg)) AS s FROM tr2) WHERE s <> ''),
+v AS (SELECT dataset, 'token' AS kind, token AS term, count(*) AS freq FROM
+        (SELECT dataset, f[1] AS token FROM tk UNION ALL SELECT dataset, f[3] FROM tk) GROUP BY ALL
+      UNION ALL SELECT dataset, 'path', f[2], count(*) FROM tk GROUP BY ALL
+      UNION ALL SELECT dataset, 'target', label, count(*) FROM tr2 GROUP BY ALL),
+ds AS (SELECT DISTINCT dataset FROM rd),
+grid AS (SELECT ds.dataset, t.kind, t.term FROM ds, (SELECT DISTINCT kind, term FROM v) t),
+cum AS (SELECT grid.dataset, grid.kind, grid.term,
+               sum(coalesce(v.freq, 0)) OVER (PARTITION BY grid.kind, grid.term ORDER BY grid.dataset
+                                              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS freq
+        FROM grid LEFT JOIN v USING (dataset, kind, term))
+SELECT dataset, kind, term, CAST(freq AS BIGINT) AS freq FROM cum WHERE freq > 0""",
+)
+def q_vocab_cumulative(spark, sf):
+    rows = _rows(spark, sf).withColumn("dataset", F.split("label", r"\|").getItem(0))
+    sp = SP.split_by_dataset(rows, "dataset", FOPTS.seed)
+    kept = D.select_kinds(sp.where(F.col("split") == "train"), FOPTS.include)
+    sc = VC.slot_contexts(kept, FOPTS.include).join(kept.select("graph_id", "dataset"), "graph_id")
+    toks = sc.select("dataset", F.explode(F.array("start_token", "end_token")).alias("term"))
+    v = (
+        toks.groupBy("dataset", "term").agg(F.count(F.lit(1)).alias("freq")).withColumn("kind", F.lit("token"))
+        .unionByName(sc.groupBy("dataset", F.col("path_hash").alias("term")).agg(F.count(F.lit(1)).alias("freq")).withColumn("kind", F.lit("path")))
+        .unionByName(kept.groupBy("dataset", F.col("label").alias("term")).agg(F.count(F.lit(1)).alias("freq")).withColumn("kind", F.lit("target")))
+    )
+    v = v.withColumn("dataset_ord", F.col("dataset"))
+    return VC.cumulative_vocab(v).select("dataset", "kind", "term", F.col("freq").cast("long"))
