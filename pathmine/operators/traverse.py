@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pathmine.functions.nodes import normalize_node
 from pathmine.operators.numbering import number_within
 from pathmine.options import ExtractOptions
-from pathmine.session import cut_lineage
+from pathmine.session import cut_lineage, keep_round
 
 INT_MAX = 2147483647
 PATH_COLS = ["graph_id", "kind", "seq", "start_token", "path", "end_token"]
@@ -97,7 +97,7 @@ def tree_walk(nnodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFram
     """Walk down from each root; return every reachable node with its root-to-node arrays
     ``ids``, ``types`` (normalised) and ``ords`` (child positions, root = 0) and ``is_leaf``."""
     links = _links(nnodes, edges, child_positions=True)
-    frontier = cut_lineage(
+    frontier = keep_round(
         roots.join(nnodes, (roots["graph_id"] == nnodes["graph_id"]) & (roots["root"] == nnodes["node_id"])).select(
             roots["graph_id"],
             F.col("node_id").alias("node"),
@@ -105,14 +105,17 @@ def tree_walk(nnodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFram
             F.array(F.col("ntype")).alias("types"),
             F.array(F.lit(0).cast("long")).alias("ords"),
             F.col("ntoken").alias("token"),
-        )
+        ),
+        1,
     )
     visited_nodes = []
+    rounds = 0
     while True:
+        rounds += 1
         f = frontier.alias("f")
         lk = links.alias("l")
         step = f.join(lk, (F.col("f.graph_id") == F.col("l.graph_id")) & (F.col("f.node") == F.col("l.src")), "left")
-        step = cut_lineage(
+        step = keep_round(
             step.select(
                 F.col("f.graph_id").alias("graph_id"),
                 F.col("f.node").alias("node"),
@@ -125,7 +128,8 @@ def tree_walk(nnodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFram
                 F.col("l.dst_type").alias("dst_type"),
                 F.col("l.dst_token").alias("dst_token"),
                 F.col("l.first").alias("first"),
-            )
+            ),
+            rounds,
         )
         # one row per visited node: the leaf row, or the row of its first child edge
         visited_nodes.append(
@@ -287,13 +291,14 @@ def flow_paths(
         F.col("ntoken").alias("token"),
         F.lit("").alias("carried"),
     )
-    frontier = cut_lineage(frontier)
     outputs = []
+    rounds = 0
     while True:
+        rounds += 1
         f = frontier.alias("f")
         lk = links.alias("l")
         step = f.join(lk, (F.col("f.graph_id") == F.col("l.graph_id")) & (F.col("f.node") == F.col("l.src")), "left")
-        step = cut_lineage(
+        step = keep_round(
             step.select(
                 "f.*",
                 F.col("l.dst").alias("dst"),
@@ -301,7 +306,8 @@ def flow_paths(
                 (F.col("l.label") if labelled else F.lit(None).cast("string")).alias("elabel"),
                 F.col("l.dst_type").alias("dst_type"),
                 F.col("l.dst_token").alias("dst_token"),
-            )
+            ),
+            rounds,
         )
         joined_types = F.array_join("types", down)
         outputs.append(

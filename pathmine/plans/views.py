@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pathmine.operators.numbering import global_position
 from pathmine.options import DEFAULT_ENTRY_ID
+from pathmine.session import cut_lineage
 
 LINEITEM_COLS = [
     "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
@@ -35,7 +36,7 @@ def v1_trees(spark: SparkSession, sf_dir: str):
     o = orders.join(graphs, F.col("o_custkey").cast("string") == graphs.graph_id).withColumn(
         "ord", F.row_number().over(Window.partitionBy("graph_id").orderBy("o_orderdate", "o_orderkey"))
     )
-    o = o.select(
+    o = cut_lineage(o.select(
         "graph_id",
         "o_orderkey",
         "ord",
@@ -44,7 +45,7 @@ def v1_trees(spark: SparkSession, sf_dir: str):
         .otherwise(F.concat(F.lit("ORDER_"), F.col("o_orderstatus")))
         .alias("type"),
         F.col("o_orderpriority").alias("token"),
-    )
+    ))  # feeds both nodes and edges: written once
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
     li = table(spark, sf_dir, "lineitem").select(*LINEITEM_COLS)
     lines = (
@@ -52,14 +53,14 @@ def v1_trees(spark: SparkSession, sf_dir: str):
         .join(part, li.l_partkey == part.p_partkey)
         .withColumn("ord", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", *LINEITEM_COLS)))
     )
-    lines = lines.select(
+    lines = cut_lineage(lines.select(
         "graph_id",
         "parent",
         "ord",
         F.concat(F.col("parent"), F.lit("_"), F.col("ord").cast("string")).alias("node_id"),
         F.concat(F.lit("LINE_"), F.col("l_returnflag"), F.col("l_linestatus")).alias("type"),
         F.col("p_name").alias("token"),
-    )
+    ))
     root = graphs.select("graph_id", F.lit(DEFAULT_ENTRY_ID).alias("node_id"), F.lit("METHOD").alias("type"), F.col("name").alias("token"))
     nodes = root.unionByName(o.select("graph_id", "node_id", "type", "token")).unionByName(
         lines.select("graph_id", "node_id", "type", "token")

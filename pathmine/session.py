@@ -50,3 +50,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (survives executor loss); keeps the physical partitioning."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def keep_round(df: DataFrame, round_no: int, every: int = 4) -> DataFrame:
+    """Loop-round materialisation: persisted (memory, spilling to disk), with a reliable
+    checkpoint every ``every`` rounds so lineage never grows past ``every`` rounds. A lost
+    executor's cached blocks are recomputed from at most that many rounds."""
+    if round_no % every == 0:
+        return cut_lineage(df)
+    from pyspark import StorageLevel
+
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
