@@ -72,3 +72,29 @@ def test_dot_roundtrip_and_reader(spark, tmp_path):
     assert sorted(map(tuple, again[1].collect())) == sorted(map(tuple, n.collect()))
     g2, n2, e2 = DOT.parse_dot(dumps, "ddg")
     assert e2.count() == 4 and e2.where(F.col("label").isNull()).count() == 4
+
+
+def test_scan_functions_skips_other_names(spark, tmp_path):
+    d = tmp_path / "fns"
+    d.mkdir()
+    (d / "0.c").write_text("int a(void) { return 0; }")
+    (d / "2.c").write_text("int b(void) { return 2; }")
+    (d / "x.c").write_text("int c(void) { return 9; }")
+    (d / "3.h").write_text("int h;")
+    got = sorted((r.fn_id, r.code) for r in FS.scan_functions(spark, str(d)).collect())
+    assert got == [(0, "int a(void) { return 0; }"), (2, "int b(void) { return 2; }")]
+
+
+def test_write_modes(spark, tmp_path):
+    import pytest
+    from pyspark.errors import AnalysisException
+
+    from pathmine.sources.records import read_records, write_records
+
+    recs = spark.createDataFrame([("#0\nlabel:a\nfile:1.c\npath: ast\nx\tP\ty\npath: cfg\npath: cdg\npath: ddg\n",)], "record string")
+    out = str(tmp_path / "r")
+    write_records(recs, out)
+    with pytest.raises(AnalysisException):
+        write_records(recs, out)
+    write_records(recs.union(recs), out, mode="ignore")  # existing output kept
+    assert read_records(spark, out).count() == 1
