@@ -44,7 +44,7 @@ def number_within(df: DataFrame, group_cols: list, order_cols: list, out: str =
     """
     if bounded:
         w = Window.partitionBy(*group_cols).orderBy(*order_cols)
-        return df.withColumn(out, F.row_number().over(w) - 1)
+        return df.withColumn(out, (F.row_number().over(w) - 1).cast("long"))
     keys = [F.col(c) if isinstance(c, str) else c for c in group_cols]
     positioned = global_position(df, keys + list(order_cols), "_gpos")
     starts = positioned.groupBy(*group_cols).agg(F.min("_gpos").alias("_gstart"))

@@ -74,7 +74,7 @@ def _links(nnodes: DataFrame, edges: DataFrame, with_label: bool = False, child_
     """Edge + destination attributes, written once and hash-partitioned on the loop's join
     key (graph_id, src): every round then shuffles only the frontier.
 
-    ``child_positions``: replace ``ord`` by the dense 0-based position among the parent's
+    ``child_positions``: replace ``ord`` by the dense 1-based position among the parent's
     children (E4) and flag the first child. Only used on trees that passed the size filter,
     so each window partition (one parent) is bounded."""
     cols = ["graph_id", "src", "dst", "ord"] + (["label"] if with_label else [])
@@ -88,9 +88,9 @@ def _links(nnodes: DataFrame, edges: DataFrame, with_label: bool = False, child_
 
 
 def child_ordinal(edges: DataFrame) -> DataFrame:
-    """Dense 0-based child position per parent, plus a first-child flag."""
+    """Dense 1-based child position per parent (the root keeps 0), plus a first-child flag."""
     w = Window.partitionBy("graph_id", "src").orderBy("ord", "dst")
-    return edges.withColumn("ord", (F.row_number().over(w) - 1).cast("long")).withColumn("first", F.col("ord") == 0)
+    return edges.withColumn("ord", F.row_number().over(w).cast("long")).withColumn("first", F.col("ord") == 1)
 
 
 def tree_walk(nnodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:

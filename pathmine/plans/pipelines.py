@@ -44,11 +44,11 @@ def flagship(spark, sf_dir: str, opts: ExtractOptions = ExtractOptions()) -> Dat
     )
 
 
-def to_model_rows(ctx: DataFrame, fopts: FormatOptions = FormatOptions()) -> DataFrame:
+def to_model_rows(ctx: DataFrame, fopts: FormatOptions = FormatOptions(), materialize: bool = True) -> DataFrame:
     """B8 -> B9 -> E3 -> H10/H11 -> H13. Examples keep a row even with no valid context.
     The dataset is read twice (examples and contexts), so it is written once first: the
     L2/L3 stage boundary, like the dataset file between the original tool's stages."""
-    lf = D.label_filter(cut_lineage(ctx), fopts.not_include_methods)
+    lf = D.label_filter(cut_lineage(ctx) if materialize else ctx, fopts.not_include_methods)
     examples = lf.select("graph_id", "label").distinct()
     capped = D.head_per_kind(D.valid_contexts(lf), fopts.max_paths)
     slots = D.model_rows(capped, None).drop("label")
@@ -59,9 +59,10 @@ def to_model_rows(ctx: DataFrame, fopts: FormatOptions = FormatOptions()) -> Dat
     )
 
 
-def format_dataset(ctx: DataFrame, fopts: FormatOptions = FormatOptions()):
-    """L3: returns (split rows with ``line`` after kind selection, all split rows)."""
-    rows = cut_lineage(to_model_rows(ctx, fopts))  # the range sort samples its input: read a written copy
+def format_dataset(ctx: DataFrame, fopts: FormatOptions = FormatOptions(), materialize: bool = True):
+    """L3: returns (split rows with ``line`` after kind selection, all split rows).
+    ``materialize=False`` when ``ctx`` is already a written table."""
+    rows = cut_lineage(to_model_rows(ctx, fopts, materialize))  # the range sort samples its input: read a written copy
     shuffled = SP.shuffle_rows(rows, fopts.seed)
     split = cut_lineage(SP.split_dataset(shuffled))
     kept = D.select_kinds(split.where(F.col("split").isNotNull()), fopts.include)

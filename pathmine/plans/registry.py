@@ -81,17 +81,24 @@ _MR = S.model_rows_ctes(FOPTS.max_paths)
 _FMT = f"WITH {S.path_dataset_ctes()},{_MR},{S.split_ctes()},{S.kept_cte(FOPTS.include)}"
 
 
+def _dataset(spark, sf):
+    """The L2 output as a stage: written once per session, read by the L3 keys."""
+    from pathmine.plans.stages import stage
+
+    return stage(spark, "path_dataset", f"{sf}|{ExtractOptions()}", lambda: P.flagship(spark, sf))
+
+
 def _rows(spark, sf):
-    return P.to_model_rows(P.flagship(spark, sf), FOPTS)
+    return P.to_model_rows(_dataset(spark, sf), FOPTS, materialize=False)
 
 
 def _kept(spark, sf):
-    return P.format_dataset(P.flagship(spark, sf), FOPTS)[0]
+    return P.format_dataset(_dataset(spark, sf), FOPTS, materialize=False)[0]
 
 
 @register("path_dataset", f"WITH {S.path_dataset_ctes()} SELECT * FROM pd")
 def q_path_dataset(spark, sf):
-    return P.flagship(spark, sf)
+    return _dataset(spark, sf)
 
 
 @register(
@@ -180,7 +187,7 @@ def q_path_freq(spark, sf):
 )
 def q_vocab_meta(spark, sf):
     rows = _rows(spark, sf)
-    kept, split = P.format_dataset(P.flagship(spark, sf), FOPTS)
+    kept, split = P.format_dataset(_dataset(spark, sf), FOPTS, materialize=False)
     n = rows.agg(F.bround(F.count(F.lit(1)).cast("double") * F.lit(0.89)).cast("long").alias("num_training_examples"))
     k = kept.where(F.col("split") == "train").agg(F.count(F.lit(1)).alias("train_rows_kept"))
     return n.crossJoin(k)
@@ -191,7 +198,7 @@ def q_vocab_meta(spark, sf):
     f"WITH {S.path_dataset_ctes()},{_MR} SELECT graph_id, kind, seq, start_token, path, end_token FROM hk",
 )
 def q_head_per_kind(spark, sf):
-    return D.head_per_kind(D.valid_contexts(D.label_filter(P.flagship(spark, sf))), FOPTS.max_paths).select(
+    return D.head_per_kind(D.valid_contexts(D.label_filter(_dataset(spark, sf))), FOPTS.max_paths).select(
         "graph_id", "kind", "seq", "start_token", "path", "end_token"
     )
 
@@ -203,7 +210,7 @@ SELECT {", ".join(f"sum(CASE WHEN kind = '{k}' THEN 1 ELSE 0 END) / nullif((SELE
 FROM hk""",
 )
 def q_avg_paths(spark, sf):
-    ctx = P.flagship(spark, sf)
+    ctx = _dataset(spark, sf)
     lf = D.label_filter(ctx)
     n = lf.agg(F.count_distinct("graph_id").alias("_n"))
     hk = D.head_per_kind(D.valid_contexts(lf), FOPTS.max_paths)
@@ -222,7 +229,7 @@ SELECT count(*) FILTER (WHERE NOT bad) AS valid_examples, count(*) FILTER (WHERE
 FROM (SELECT DISTINCT graph_id, (label IS NULL OR trim(label) = '' OR label IN ('{_EXCL[0]}')) AS bad FROM pd)""",
 )
 def q_example_counts(spark, sf):
-    ex = P.flagship(spark, sf).select("graph_id", "label").distinct()
+    ex = _dataset(spark, sf).select("graph_id", "label").distinct()
     bad = F.col("label").isNull() | (F.trim("label") == "") | F.col("label").isin(list(_EXCL))
     return VC.example_counts(ex.withColumn("is_bad", bad))
 
@@ -232,7 +239,7 @@ def q_example_counts(spark, sf):
     f"WITH {S.path_dataset_ctes()} SELECT DISTINCT graph_id, label FROM pd WHERE label <> '' AND label NOT IN ('{_EXCL[0]}')",
 )
 def q_label_filter(spark, sf):
-    return D.label_filter(P.flagship(spark, sf), _EXCL).select("graph_id", "label").distinct()
+    return D.label_filter(_dataset(spark, sf), _EXCL).select("graph_id", "label").distinct()
 
 
 @register(
@@ -242,7 +249,7 @@ SELECT {S.java_hash('path')} AS path_hash, arg_max(path, [graph_id, kind, lpad(C
        count(DISTINCT path) AS n_paths FROM pd GROUP BY 1""",
 )
 def q_path_dict(spark, sf):
-    return VC.path_dictionary(P.flagship(spark, sf))
+    return VC.path_dictionary(_dataset(spark, sf))
 
 
 # ---------------------------------------------------------------- H: scalar functions
@@ -441,7 +448,7 @@ def q_child_ordinal(spark, sf):
 
     _, _, e = V.v3_dependence(spark, sf)
     w = Window.partitionBy("graph_id", "src").orderBy("ord")
-    return e.select("graph_id", "src", "dst", "label", (F.row_number().over(w) - 1).alias("child_ord"))
+    return e.select("graph_id", "src", "dst", "label", (F.row_number().over(w) - 1).cast("long").alias("child_ord"))
 
 
 @register(
@@ -482,7 +489,7 @@ def _records(spark, sf, broken: bool = False):
     """Records of the flagship dataset; ``broken`` puts a newline into every path whose end token
     is 'urgent' (a context split over two lines, B10) and blanks the end token of every
     context whose start token is 'urgent' (invalid, B9)."""
-    pd_ = P.flagship(spark, sf)
+    pd_ = _dataset(spark, sf)
     if broken:
         pd_ = pd_.withColumn(
             "path", F.when(F.col("end_token") == "urgent", F.regexp_replace("path", r"^([^\^]*\^)", "$1\n")).otherwise(F.col("path"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pathmine.operators.numbering import global_position
 from pathmine.options import DEFAULT_ENTRY_ID
-from pathmine.session import cut_lineage
+from pathmine.plans.stages import stage
 
 LINEITEM_COLS = [
     "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
@@ -36,7 +36,7 @@ def v1_trees(spark: SparkSession, sf_dir: str):
     o = orders.join(graphs, F.col("o_custkey").cast("string") == graphs.graph_id).withColumn(
         "ord", F.row_number().over(Window.partitionBy("graph_id").orderBy("o_orderdate", "o_orderkey"))
     )
-    o = cut_lineage(o.select(
+    o = stage(spark, "v1_orders", sf_dir, lambda: o.select(
         "graph_id",
         "o_orderkey",
         "ord",
@@ -45,7 +45,7 @@ def v1_trees(spark: SparkSession, sf_dir: str):
         .otherwise(F.concat(F.lit("ORDER_"), F.col("o_orderstatus")))
         .alias("type"),
         F.col("o_orderpriority").alias("token"),
-    ))  # feeds both nodes and edges: written once
+    ))  # feeds both nodes and edges: written once per session
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
     li = table(spark, sf_dir, "lineitem").select(*LINEITEM_COLS)
     lines = (
@@ -53,7 +53,7 @@ def v1_trees(spark: SparkSession, sf_dir: str):
         .join(part, li.l_partkey == part.p_partkey)
         .withColumn("ord", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", *LINEITEM_COLS)))
     )
-    lines = cut_lineage(lines.select(
+    lines = stage(spark, "v1_lines", sf_dir, lambda: lines.select(
         "graph_id",
         "parent",
         "ord",
@@ -79,7 +79,7 @@ def _event_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events").select(
         "event_id", "ts", "user_id", "event_type", F.get_json_object("props", "$.k").cast("int").alias("k")
     )
-    pos = global_position(ev, ["user_id", "ts", "event_id"], "pos")
+    pos = stage(spark, "event_positions", sf_dir, lambda: global_position(ev, ["user_id", "ts", "event_id"], "pos"))
     a = pos.select("user_id", "pos", F.col("event_type").alias("src"), "k")
     b = pos.select(F.col("user_id").alias("u2"), (F.col("pos") - 1).alias("pos"), F.col("event_type").alias("dst"))
     return a.join(b, "pos").where(F.col("user_id") == F.col("u2")).drop("u2"), pos
