@@ -85,7 +85,7 @@ def _dataset(spark, sf):
     """The L2 output as a stage: written once per session, read by the L3 keys."""
     from pathmine.plans.stages import stage
 
-    return stage(spark, "path_dataset", f"{sf}|{ExtractOptions()}", lambda: P.flagship(spark, sf))
+    return stage(spark, "path_dataset", f"{sf}|{ExtractOptions()}", lambda: P.flagship(spark, sf), inputs=sf)
 
 
 def _rows(spark, sf):

@@ -36,7 +36,7 @@ def v1_trees(spark: SparkSession, sf_dir: str):
     o = orders.join(graphs, F.col("o_custkey").cast("string") == graphs.graph_id).withColumn(
         "ord", F.row_number().over(Window.partitionBy("graph_id").orderBy("o_orderdate", "o_orderkey"))
     )
-    o = stage(spark, "v1_orders", sf_dir, lambda: o.select(
+    o = stage(spark, "v1_orders", sf_dir, inputs=sf_dir, build=lambda: o.select(
         "graph_id",
         "o_orderkey",
         "ord",
@@ -53,7 +53,7 @@ def v1_trees(spark: SparkSession, sf_dir: str):
         .join(part, li.l_partkey == part.p_partkey)
         .withColumn("ord", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", *LINEITEM_COLS)))
     )
-    lines = stage(spark, "v1_lines", sf_dir, lambda: lines.select(
+    lines = stage(spark, "v1_lines", sf_dir, inputs=sf_dir, build=lambda: lines.select(
         "graph_id",
         "parent",
         "ord",
@@ -79,7 +79,8 @@ def _event_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events").select(
         "event_id", "ts", "user_id", "event_type", F.get_json_object("props", "$.k").cast("int").alias("k")
     )
-    pos = stage(spark, "event_positions", sf_dir, lambda: global_position(ev, ["user_id", "ts", "event_id"], "pos"))
+    pos = stage(spark, "event_positions", sf_dir, inputs=sf_dir,
+                build=lambda: global_position(ev, ["user_id", "ts", "event_id"], "pos"))
     a = pos.select("user_id", "pos", F.col("event_type").alias("src"), "k")
     b = pos.select(F.col("user_id").alias("u2"), (F.col("pos") - 1).alias("pos"), F.col("event_type").alias("dst"))
     return a.join(b, "pos").where(F.col("user_id") == F.col("u2")).drop("u2"), pos
