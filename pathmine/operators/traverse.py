@@ -394,15 +394,13 @@ def reach_from(edges: DataFrame, seeds: DataFrame, direction: str = "forward", c
     e = cut_lineage(edges.select("graph_id", F.col(a).alias("node_id"), F.col(b).alias("nxt")).distinct())
     frontier = cut_lineage(seeds.select("graph_id", "node_id").distinct())
     visited = None
-    held = []
     rounds = 0
     while True:
         rounds += 1
         nxt = frontier.join(e, ["graph_id", "node_id"]).select("graph_id", F.col("nxt").alias("node_id")).distinct()
         if visited is not None:
             nxt = nxt.join(visited, ["graph_id", "node_id"], "left_anti")
-        nxt = cut_lineage(nxt) if rounds % checkpoint_every == 0 else nxt.persist()
-        held.append(nxt)
+        nxt = keep_round(nxt, rounds, checkpoint_every)
         if nxt.isEmpty():
             break
         visited = nxt if visited is None else visited.unionByName(nxt)
