@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pathmine.functions.nodes import normalize_node
 from pathmine.operators.numbering import number_within
 from pathmine.options import ExtractOptions
-from pathmine.session import cut_lineage, keep_round
+from pathmine.session import cut_lineage, keep_round, keep_short
 
 INT_MAX = 2147483647
 PATH_COLS = ["graph_id", "kind", "seq", "start_token", "path", "end_token"]
@@ -84,7 +84,7 @@ def _links(nnodes: DataFrame, edges: DataFrame, with_label: bool = False, child_
     j = edges.select(*cols).join(dst_attrs, ["graph_id", "dst"])
     if child_positions:
         j = child_ordinal(j)
-    return cut_lineage(j.repartition("graph_id", "src"))
+    return keep_short(j.repartition("graph_id", "src"))
 
 
 def child_ordinal(edges: DataFrame) -> DataFrame:
@@ -230,7 +230,7 @@ def pair_pieces(pieces: DataFrame, max_length: int | None, max_width: int | None
 
 def ast_pieces(graphs: DataFrame, nodes: DataFrame, edges: DataFrame, opts: ExtractOptions = ExtractOptions()) -> DataFrame:
     """B6 -> H7 -> C1 for ordered trees."""
-    nn_all = cut_lineage(normalize_nodes(graphs, nodes, opts))
+    nn_all = keep_short(normalize_nodes(graphs, nodes, opts))
     graphs, nn, edges = tree_size_filter(graphs, nn_all, edges, opts.max_tree_size)
     roots = entry_nodes(nn, opts.entry_id)
     leaves = tree_leaves(nn, edges, roots)
@@ -278,7 +278,7 @@ def flow_paths(
         nodes = nodes.join(with_edges, "graph_id", "left_semi")
     if not labelled:
         edges = edges.groupBy("graph_id", "src", "dst").agg(F.min("ord").alias("ord"))
-    nn = cut_lineage(normalize_nodes(graphs, nodes, opts))
+    nn = keep_short(normalize_nodes(graphs, nodes, opts))
     roots = entry_nodes(nn, None if kind == "cdg" else opts.entry_id)
     links = _links(nn, edges, with_label=labelled)
     frontier = roots.join(nn, (roots["graph_id"] == nn["graph_id"]) & (roots["root"] == nn["node_id"])).select(

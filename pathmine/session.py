@@ -61,3 +61,11 @@ def keep_round(df: DataFrame, round_no: int, every: int = 4) -> DataFrame:
     from pyspark import StorageLevel
 
     return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def keep_short(df: DataFrame) -> DataFrame:
+    """A table with short lineage that is read several times (normalised nodes, links):
+    persisted, not written; losing an executor recomputes it from its inputs in one step."""
+    from pyspark import StorageLevel
+
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
