@@ -53,19 +53,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def keep_round(df: DataFrame, round_no: int, every: int = 4) -> DataFrame:
-    """Loop-round materialisation: persisted (memory, spilling to disk), with a reliable
-    checkpoint every ``every`` rounds so lineage never grows past ``every`` rounds. A lost
-    executor's cached blocks are recomputed from at most that many rounds."""
+    """Loop-round materialisation: persisted on executor disks (no heap pressure, however many
+    rounds a session runs), with a reliable checkpoint every ``every`` rounds so lineage never
+    grows past ``every`` rounds. A lost executor's blocks are recomputed from at most that many rounds."""
     if round_no % every == 0:
         return cut_lineage(df)
     from pyspark import StorageLevel
 
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    return df.persist(StorageLevel.DISK_ONLY)
 
 
 def keep_short(df: DataFrame) -> DataFrame:
     """A table with short lineage that is read several times (normalised nodes, links):
-    persisted, not written; losing an executor recomputes it from its inputs in one step."""
+    persisted on executor disks, not written to the shared folder; losing an executor
+    recomputes it from its inputs in one step."""
     from pyspark import StorageLevel
 
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    return df.persist(StorageLevel.DISK_ONLY)
