@@ -10,7 +10,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pathmine.plans.registry import QUERIES  # noqa: E402
-from pathmine.session import local_session  # noqa: E402
+from pathmine.session import local_session, release_persisted  # noqa: E402
 
 HEADLINE = ["ast_paths", "cfg_paths", "cdg_paths", "ddg_paths", "path_dataset", "format_dataset", "token_freq", "path_freq"]
 
@@ -26,6 +26,7 @@ def main() -> None:
         df = QUERIES[name](spark, sf_dir)
         df.write.format("noop").mode("overwrite").save()  # computes every column, unlike count()
         times[name] = round(time.time() - t, 3)
+        release_persisted()
     sf = sf_dir.rstrip("/").rsplit("sf", 1)[-1]
     print(json.dumps({"metric": "total_query_time", "value": round(sum(times.values()), 3), "unit": "sec",
                       "queries": times, "sf": sf}))

@@ -60,7 +60,7 @@ def keep_round(df: DataFrame, round_no: int, every: int = 4) -> DataFrame:
         return cut_lineage(df)
     from pyspark import StorageLevel
 
-    return df.persist(StorageLevel.DISK_ONLY)
+    return _track(df.persist(StorageLevel.DISK_ONLY))
 
 
 def keep_short(df: DataFrame) -> DataFrame:
@@ -69,4 +69,24 @@ def keep_short(df: DataFrame) -> DataFrame:
     recomputes it from its inputs in one step."""
     from pyspark import StorageLevel
 
-    return df.persist(StorageLevel.DISK_ONLY)
+    return _track(df.persist(StorageLevel.DISK_ONLY))
+
+
+_PERSISTED: list = []
+
+
+def _track(df: DataFrame) -> DataFrame:
+    _PERSISTED.append(df)
+    return df
+
+
+def release_persisted() -> int:
+    """Unpersist every table this library persisted so far. Call between independent jobs in a
+    long-lived session (the registered queries do, before they start)."""
+    n = len(_PERSISTED)
+    while _PERSISTED:
+        try:
+            _PERSISTED.pop().unpersist(blocking=False)
+        except Exception:  # session already stopped
+            pass
+    return n
