@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pathmine.llm import decontaminate, mixing, secrets, sharding, simhash, toxicity
+from pathmine.llm import decontaminate, embeddings, licenses, mixing, secrets, sharding, simhash, toxicity, warc
 from pathmine.llm.common import table
 
 QUERIES: dict = {}
@@ -51,3 +51,18 @@ def op4(spark, sf):
 @register("op10_toxicity")
 def op10(spark, sf):
     return toxicity.score_documents(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@register("op5_license_scan")
+def op5(spark, sf):
+    return licenses.scan_licenses(table(spark, sf, "documents"))
+
+
+@register("op7_embedding_near_dedup")
+def op7(spark, sf):
+    return embeddings.near_duplicates(table(spark, sf, "embeddings"))
+
+
+@register("op9_warc_derivatives", warc.oracle())
+def op9(spark, sf):
+    return warc.derivatives(warc.responses(table(spark, sf, "pages")))
