@@ -125,7 +125,7 @@ def item_blocks(items: DataFrame, item_id: str, text_col: str, block_chars: int
 
 
 def hits_column(items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
-                rate: float = 0.06) -> Column:
+                rate: float = 0.08) -> Column:
     """Array column of the matching items of a text column."""
     def one(block: list[tuple[int, str]]) -> Column:
         held: list[Matcher] = []

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pathmine.llm import decontaminate, embeddings, licenses, mixing, secrets, sharding, simhash, toxicity, warc
+from pathmine.llm import decontaminate, embeddings, licenses, mixing, secrets, sharding, simhash, suffixes, toxicity, warc
 from pathmine.llm.common import table
 
 QUERIES: dict = {}
@@ -66,3 +66,8 @@ def op7(spark, sf):
 @register("op9_warc_derivatives", warc.oracle())
 def op9(spark, sf):
     return warc.derivatives(warc.responses(table(spark, sf, "pages")))
+
+
+@register("op2_suffix_array_dedup")
+def op2(spark, sf):
+    return suffixes.remove_repeats(table(spark, sf, "documents")).drop("kept")
