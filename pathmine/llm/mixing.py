@@ -68,41 +68,50 @@ def _evidence(markers: list[list[str]], text: Column) -> list[Column]:
     return [F.size(F.filter(words, _among(m))).alias(f"_c{e}") for e, m in enumerate(markers)]
 
 
-def features(docs: DataFrame, model: dict, text_col: str) -> DataFrame:
-    """``docs`` and _tokens, _p0, _p1, ... (posterior). The evidence of long texts counts as ``sharpness`` words, so
-    that a text in two languages keeps a soft membership. Texts without words have the prior."""
-    k = range(len(model["names"]))
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it and the optimizer copies it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _posterior(model: dict, words: Column) -> Column:
+    """array<double>: softmax of the log prior and the evidence. The evidence of long texts counts as ``sharpness``
+    words, so that a text in two languages keeps a soft membership. Texts without words have the prior."""
+    def logits(c: Column) -> Column:
+        n = [F.get(c, e) for e in range(len(model["markers"]))]
+        scale = F.least(F.lit(1.0), F.lit(model["sharpness"]) / F.greatest(reduce(lambda a, b: a + b, n), F.lit(1.0)))
+        return _let(scale, lambda s: F.array(*(model["prior"][i] + s * reduce(lambda a, b: a + b, [x * t for x, t in zip(n, row, strict=True)])
+                                               for i, row in enumerate(model["theta"]))))
+
+    def softmax(x: Column) -> Column:
+        return _let(F.array_max(x), lambda top: _let(F.transform(x, lambda v: F.exp(v - top)), lambda e: _let(
+            F.aggregate(e, F.lit(0.0), lambda s, v: s + v), lambda total: F.transform(e, lambda v: v / total))))
+
     known = [w for m in model["markers"] for w in m]
-    d = docs.withColumn("_w", _words(F.col(f"`{text_col}`").cast("string"))).withColumn("_tokens", F.size("_w").cast("double"))
-    d = d.withColumn("_w", F.filter("_w", _among(known)))
-    d = d.withColumns({f"_c{e}": F.size(F.filter("_w", _among(m))).cast("double") for e, m in enumerate(model["markers"])}).drop("_w")
-    n = reduce(lambda a, b: a + b, [F.col(f"_c{e}") for e in k], F.lit(0.0))
-    d = d.withColumn("_scale", F.least(F.lit(1.0), F.lit(model["sharpness"]) / F.greatest(n, F.lit(1.0))))
-    d = d.withColumns({f"_l{i}": model["prior"][i] + F.col("_scale") * reduce(
-        lambda a, b: a + b, [F.col(f"_c{e}") * model["theta"][i][e] for e in k], F.lit(0.0)) for i in k})
-    d = d.withColumn("_top", F.greatest(*(F.col(f"_l{i}") for i in k)) if len(k) > 1 else F.col("_l0"))
-    d = d.withColumn("_sum", reduce(lambda a, b: a + b, [F.exp(F.col(f"_l{i}") - F.col("_top")) for i in k]))
-    d = d.withColumns({f"_p{i}": F.exp(F.col(f"_l{i}") - F.col("_top")) / F.col("_sum") for i in k})
-    return d.drop("_scale", "_top", "_sum", *(f"_c{e}" for e in k), *(f"_l{i}" for i in k))
-
-
-def rate_column(steps: list[list[float]]) -> Column:
+    counts = _let(F.filter(words, _among(known)), lambda w: F.array(*(F.size(F.filter(w, _among(m))).cast("double") for m in model["markers"])))
+    return _let(_let(counts, logits), softmax)
+
+
+def rate_of(steps: list[list[float]], p: list[Column]) -> Column:
     """Rate after the given steps: each is a projected step from the one before, from 1."""
     rate = F.lit(1.0)
     for z in steps:
-        rate = F.greatest(F.lit(0.0), rate - reduce(lambda a, b: a + b, [F.col(f"_p{i}") * v for i, v in enumerate(z)], F.lit(0.0)))
+        rate = F.greatest(F.lit(0.0), rate - reduce(lambda a, b: a + b, [x * v for x, v in zip(p, z, strict=True)], F.lit(0.0)))
     return rate
 
 
+def rate_column(steps: list[list[float]], n_domains: int) -> Column:
+    return rate_of(steps, [F.col(f"_p{i}") for i in range(n_domains)])
+
+
 def fit_rates(table: DataFrame, n_domains: int, target: list[float] | None, temper: float = 0.7, tolerance: float = 1e-6,
-              max_steps: int = 40) -> tuple[list[list[float]], dict]:
+              headroom: float = 0.95, max_steps: int = 40) -> tuple[list[list[float]], dict]:
     """Projected-gradient steps on 1/2 sum_d (expected share_d - target_d)^2, each domain's gradient scaled by its own
     natural share. ``target``: weights per domain (default: natural shares to the power ``temper``). The target total
-    is the largest one that asks of no domain more than it has, so rates need no repetition of documents."""
+    asks of no domain more than the ``headroom`` part of what it has, so rates need no repetition of documents."""
     k = range(n_domains)
 
     def totals(steps: list[list[float]]) -> list[float]:
-        r = rate_column(steps)
+        r = rate_column(steps, n_domains)
         row = table.agg(F.sum("_tokens").alias("n"), *(F.sum(r * F.col("_tokens") * F.col(f"_p{i}")).alias(f"a{i}") for i in k)).first()
         n = row["n"] or 0.0
         return [(row[f"a{i}"] or 0.0) / n if n else 0.0 for i in k]
@@ -112,7 +121,7 @@ def fit_rates(table: DataFrame, n_domains: int, target: list[float] | None, temp
     if not sum(weight):
         return [], {"natural": natural, "target": natural, "reached": natural}
     weight = [w / sum(weight) for w in weight]
-    scale = min(s / w for s, w in zip(natural, weight, strict=True) if w > 0)
+    scale = headroom * min(s / w for s, w in zip(natural, weight, strict=True) if w > 0)
     goal, steps, now = [w * scale for w in weight], [], natural
     for _ in range(max_steps):
         off = [a - g for a, g in zip(now, goal, strict=True)]
@@ -126,19 +135,25 @@ def fit_rates(table: DataFrame, n_domains: int, target: list[float] | None, temp
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, domain_col: str, target: dict[str, float] | None = None) -> tuple:
     """(classifier, steps, totals, written feature table (doc_id, _crc, _tokens, _p...)) over all rows."""
     model = learn(docs, labels, id_col, text_col, domain_col)
-    if not model["names"]:
+    trained = bool(model["names"])
+    if not trained:
         model |= {"names": ["all"], "markers": [[]], "prior": [0.0], "theta": [[0.0]]}
     d = C.id_text(docs, id_col, text_col)
-    table = C.written(features(d, model, "_text").select(F.col("_id").alias("doc_id"), _draw("_id", "_text").alias("_u"), "_tokens",
-                                                         *(f"_p{i}" for i in range(len(model["names"])))), "mixing-features")
+    found = F.transform(F.array(_words(F.col("_text"))), lambda w: F.struct(F.size(w).cast("double").alias("_tokens"), _posterior(model, w).alias("_p")))
+    table = C.written(d.select(F.col("_id").alias("doc_id"), _draw("_id", "_text").alias("_u"), F.inline(found)).select(
+        "doc_id", "_u", "_tokens", *(F.get("_p", i).alias(f"_p{i}") for i in range(len(model["names"])))), "mixing-features")
     goal = [float(target.get(n, 0.0)) for n in model["names"]] if target else None
-    steps, totals = fit_rates(table, len(model["names"]), goal)
+    steps, totals = fit_rates(table, len(model["names"]), goal) if trained else ([], {})
     return model, steps, totals, table
 
 
-def _draw(id_col: str, text_col: str) -> Column:
+def _draw_of(row_id: Column, text: Column) -> Column:
     """Uniform number in [0, 1) that the row's id and text decide."""
-    return F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.crc32(F.col(f"`{text_col}`").cast("string"))), F.lit(1 << 30)) / float(1 << 30)
+    return F.pmod(F.xxhash64(row_id, F.crc32(text)), F.lit(1 << 30)) / float(1 << 30)
+
+
+def _draw(id_col: str, text_col: str) -> Column:
+    return _draw_of(F.col(id_col), F.col(text_col))
 
 
 def _copies(rate: Column, draw: Column) -> Column:
@@ -156,7 +171,7 @@ def mix_rates(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     model, steps, _, table = fit(docs, labels, id_col, text_col, domain_col, target)
     best = F.greatest(*(F.col(f"_p{i}") for i in range(len(model["names"])))) if len(model["names"]) > 1 else F.col("_p0")
     domain = F.coalesce(*(F.when(F.col(f"_p{i}") == F.col("_best"), F.lit(n)) for i, n in enumerate(model["names"])))
-    return table.withColumn("_best", best).withColumn("_rate", rate_column(steps)).select(
+    return table.withColumn("_best", best).withColumn("_rate", rate_column(steps, len(model["names"]))).select(
         "doc_id", F.col("_tokens").cast("long").alias("n_tokens"), domain.alias("domain"), F.col("_best").alias("p_domain"),
         F.col("_rate").alias("rate"), _copies(F.col("_rate"), F.col("_u")).alias("copies"))
 
@@ -165,8 +180,9 @@ def mix(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         target: dict[str, float] | None = None) -> DataFrame:
     """``docs`` mixed: each row as often as its copies say (with the default target not or once); columns unchanged."""
     model, steps, _, _ = fit(docs, labels, id_col, text_col, domain_col, target)
-    named = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(f"`{id_col}`").cast("long").alias("_id"),
-                        F.col(f"`{text_col}`").cast("string").alias("_text"))
-    d = features(named, model, "_text").withColumn("_n", _copies(rate_column(steps), _draw("_id", "_text")))
-    kept = d.where("_n > 0").select("_row", F.explode(F.array_repeat(F.lit(0), F.col("_n").cast("int"))).alias("_k"))
-    return kept.select("_row.*")
+    text, k = F.col(f"`{text_col}`").cast("string"), range(len(model["names"]))
+    rate = _let(_posterior(model, _words(text)), lambda p: rate_of(steps, [F.get(p, i) for i in k]))
+    draw = _draw_of(F.col(f"`{id_col}`").cast("long"), text)
+    named = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.array_repeat(
+        F.lit(0), _let(rate, lambda r: _copies(r, draw)).cast("int")).alias("_n"))
+    return named.select("_row", F.explode("_n").alias("_k")).select("_row.*")

@@ -12,7 +12,8 @@ Equal 50-byte strings must be sorted in one place. An anchor is a 20-byte string
    equal ones marks all but those of its smallest document.
 4. Marks are united per document and cut out of its text.
 
-An anchor with more than ``heavy_rows`` contexts is not given to one task: its windows are grouped by their bytes.
+An anchor with more than ``heavy_rows`` contexts is not given to one task: equal contexts are collapsed and their windows
+grouped by bytes instead.
 """
 
 from __future__ import annotations
@@ -159,8 +160,9 @@ def marks_of(rows: pd.DataFrame, at_once: int = 12_000) -> Iterator[pd.DataFrame
 # ------------------------------------------------------------------ Spark
 def _hash_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        hashes = [np.unique(anchors((t or "").encode("utf-8", "replace"))[1]) for t in b["_text"]]
-        yield pd.DataFrame({"h": np.concatenate(hashes), "doc": np.repeat(b["_id"].to_numpy(np.int64), [len(h) for h in hashes])})
+        found = [np.unique(anchors((t or "").encode("utf-8", "replace"))[1], return_counts=True) for t in b["_text"]]
+        yield pd.DataFrame({"h": np.concatenate([h for h, _ in found]), "doc": np.repeat(b["_id"].to_numpy(np.int64), [len(h) for h, _ in found]),
+                            "n": np.concatenate([n for _, n in found]).astype(np.int32)})
 
 
 def bitmap(hashes: DataFrame, bits: int = BITMAP_BITS) -> np.ndarray:
@@ -217,12 +219,18 @@ def _sorted_marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _heavy_marks(rows: DataFrame) -> DataFrame:
-    """The same marks for anchors with very many contexts, by grouping windows: pre-aggregated, no group in one task."""
+    """The same marks for anchors with very many contexts, without giving an anchor to one task: contexts are collapsed
+    and their windows grouped by bytes, both pre-aggregated before the shuffle."""
     n = F.octet_length("ctx")
-    w = rows.where(n >= WINDOW).select("doc", "th", "pos", "ctx", F.explode(F.sequence(F.lit(0), n - WINDOW)).alias("o")).select(
-        "doc", "th", (F.col("pos") + F.col("o")).alias("start"), F.expr(f"substring(ctx, o + 1, {WINDOW})").alias("w"))
-    low = w.groupBy("w").agg(F.min("doc").alias("low"))
-    return w.join(low, "w").where(F.col("doc") > F.col("low")).select("doc", "th", "start", (F.col("start") + WINDOW).alias("end"))
+    kinds = C.written(rows.groupBy("ctx").agg(F.min("doc").alias("low")), "heavy-contexts")
+    placed = rows.join(kinds, "ctx")
+    full = placed.where((F.col("doc") > F.col("low")) & (n >= WINDOW)).select("doc", "th", F.col("pos").alias("start"), (F.col("pos") + n).alias("end"))
+    w = kinds.where(n >= WINDOW).select("ctx", "low", F.explode(F.sequence(F.lit(0), n - WINDOW)).alias("o")).withColumn(
+        "w", F.expr(f"substring(ctx, o + 1, {WINDOW})"))
+    first = w.groupBy("w").agg(F.min("low").alias("first"))
+    hits = w.join(first, "w").where(F.col("low") > F.col("first")).select("ctx", "o")
+    lead = placed.where(F.col("doc") == F.col("low")).join(hits, "ctx")
+    return full.unionByName(lead.select("doc", "th", (F.col("pos") + F.col("o")).alias("start"), (F.col("pos") + F.col("o") + WINDOW).alias("end")))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", heavy_rows: int = 1_000_000) -> DataFrame:
@@ -235,8 +243,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     C.small_batches(spark, 512)
     d = C.id_text(docs, id_col, text_col).withColumn("_th", F.xxhash64("_text"))
     sources = d.where("_id is not null")
-    found = C.written(sources.select("_id", "_text").mapInPandas(_hash_rows, "h long, doc long").groupBy("h").agg(
-        F.min("doc").alias("a"), F.max("doc").alias("z"), F.count(F.lit(1)).alias("n")).where("a < z").select("h", "n"), "anchors")
+    found = C.written(sources.select("_id", "_text").mapInPandas(_hash_rows, "h long, doc long, n int").groupBy("h").agg(
+        F.min("doc").alias("a"), F.max("doc").alias("z"), F.sum("n").alias("n")).where("a < z").select("h", "n"), "anchors")
     rows = contexts(sources, found.select("h"))
     heavy = found.where(F.col("n") > heavy_rows).select("h")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -248,7 +256,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if heavy.isEmpty():
         marks = sort_and_mark(rows)
     else:
-        marks = sort_and_mark(rows.join(heavy, "h", "left_anti")).unionByName(_heavy_marks(rows.join(heavy, "h", "left_semi")))
+        marks = sort_and_mark(rows.join(heavy, "h", "left_anti")).unionByName(_heavy_marks(C.written(rows.join(heavy, "h", "left_semi"), "heavy-rows")))
     spans = C.written(marks.groupBy("doc", "th").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("marks")), "marks")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
