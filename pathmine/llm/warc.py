@@ -64,11 +64,12 @@ def derivatives(found: DataFrame) -> DataFrame:
                       F.col("payload_digest"), F.lit(f"{CRLF}title: "), title, F.lit(CRLF),
                       F.array_join(F.transform(links, lambda x: F.concat(F.lit("outlink: "), x, F.lit(CRLF))), ""))
     d = found.withColumn("payload_digest", _sha(F.col("payload")))
-    d = d.withColumn("_made", F.array(
-        F.struct(F.lit("metadata").alias("record_type"), F.lit("application/warc-fields").alias("content_type"), fields.alias("block")),
-        F.struct(F.lit("conversion").alias("record_type"), F.lit("text/plain; charset=utf-8").alias("content_type"), plain_text(F.col("payload")).alias("block"))))
+    d = d.withColumn("record_type", F.explode(F.array(F.lit("metadata"), F.lit("conversion"))))
+    meta = F.col("record_type") == "metadata"
     d = d.select("page_id", "target_uri", F.col("record_id").alias("refers_to"), F.col("http_headers").alias("source_headers"),
-                 F.col("payload_digest").alias("source_payload_digest"), F.inline("_made"))
+                 F.col("payload_digest").alias("source_payload_digest"), "record_type",
+                 F.when(meta, "application/warc-fields").otherwise("text/plain; charset=utf-8").alias("content_type"),
+                 F.when(meta, fields).otherwise(plain_text(F.col("payload"))).alias("block"))
     return d.select("page_id", "record_type", _uuid(F.concat_ws("|", "record_type", "refers_to")).alias("record_id"), "refers_to", "target_uri",
                     "content_type", "source_headers", "source_payload_digest", _sha(F.col("block")).alias("block_digest"),
                     F.octet_length("block").cast("long").alias("content_length"), "block")
