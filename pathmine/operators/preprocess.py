@@ -23,20 +23,25 @@ FUNCTION_HEADER = (
 # Control words that look like function headers.
 CONTROL_WORDS = ["if", "while", "do", "for", "switch", "else", "case", "IF", "WHILE", "DO", "FOR", "SWITCH", "ELSE", "CASE"]
 INCLUDE_LINE = r"^[ \t]*#[ \t]*include"
-DIRECTIVE_LINE = r"^#"
+DIRECTIVE_LINE = r"^[ \t]*#"
 # C comments, keeping string and character literals intact (group 1 is put back).
-C_COMMENT = r"""("(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*')|//[^\n]*|(?s)/\*.*?\*/"""
+# Possessive, so that a literal of any length needs no stack.
+C_COMMENT = r"""("[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+')|//[^\n]*+|/\*(?s:.*?)\*/"""
 HTML_COMMENT = r"(?s)<!--.*?-->"
 DEFAULT_SIZE_OVERHEAD = 49
 
 _HEADER_RE = re.compile(FUNCTION_HEADER, re.DOTALL)
 _CONTROL = set(CONTROL_WORDS)
+_TOKEN_RE = re.compile(r"""//[^\n]*|/\*.*?\*/|"(?:[^"\\]|\\.)*"|'(?:[^'\\\n]|\\.)*'|[{}]""", re.DOTALL)
 
 
 def split_directives(content, include_pattern: str = INCLUDE_LINE, drop_pattern: str = DIRECTIVE_LINE):
     """B2: lines matching ``include_pattern`` first (in order), then the other lines that do not
     match ``drop_pattern``."""
-    lines = F.split(content if not isinstance(content, str) else F.col(content), "\n")
+    text = content if not isinstance(content, str) else F.col(content)
+    if drop_pattern == DIRECTIVE_LINE:  # a directive goes on after a backslash at the line's end
+        text = F.regexp_replace(text, r"\\\r?\n", " ")
+    lines = F.split(text, "\n")
     inc = F.filter(lines, lambda x: x.rlike(include_pattern))
     rest = F.filter(lines, lambda x: ~x.rlike(include_pattern) & ~x.rlike(drop_pattern))
     return F.array_join(F.concat(inc, rest), "\n")
@@ -47,7 +52,9 @@ def strip_comments(content, flavour: str = "c"):
     c = content if not isinstance(content, str) else F.col(content)
     if flavour == "html":
         return F.regexp_replace(c, HTML_COMMENT, "")
-    return F.regexp_replace(c, C_COMMENT, "$1")
+    # a comment becomes one blank: mark what was matched, take the marks after literals off again
+    marked = F.regexp_replace(F.regexp_replace(c, C_COMMENT, "$1\u0001"), "([\"'])\u0001", "$1")
+    return F.translate(marked, "\u0001", " ")
 
 
 def size_ok(code_col, max_size: int, overhead: int = DEFAULT_SIZE_OVERHEAD):
@@ -56,63 +63,37 @@ def size_ok(code_col, max_size: int, overhead: int = DEFAULT_SIZE_OVERHEAD):
     return F.octet_length(c) + F.lit(overhead) <= F.lit(max_size)
 
 
-def find_functions(code: str, legacy_quotes: bool = False, legacy_slice: bool = False) -> list[tuple[str, str]]:
-    """I1 for one text: (name, function text) in order. The header is rebuilt without the class
-    prefix. Quotes suspend brace counting until the same quote closes (``legacy_quotes`` keeps
-    the original behaviour where a quote is never closed, Q17); the body ends at the closing
-    brace (``legacy_slice`` keeps one extra character, Q18)."""
-    out = []
+def _brace_pairs(code: str) -> dict[int, int]:
+    """Position of each opening brace -> position of its closing brace; braces in literals and comments don't count."""
+    pairs, opened = {}, []
+    for token in _TOKEN_RE.finditer(code):
+        if token.group() == "{":
+            opened.append(token.start())
+        elif token.group() == "}" and opened:
+            pairs[opened.pop()] = token.start()
+    return pairs
+
+
+def find_functions(code: str) -> list[tuple[str, str]]:
+    """I1 for one text: (name, function text) in order: every header whose body closes, from the opening brace to its
+    partner. The header is rebuilt without the class prefix; control words are no functions."""
     if not code:
-        return out
-    n = len(code)
-    for m in _HEADER_RE.finditer(code):
-        name = m.group(4)
-        if name in _CONTROL:
-            continue
-        wait, depth, start, end, opened = "", 0, 0, -1, False
-        i = m.end()
-        while i < n:
-            ch = code[i]
-            if wait:
-                if ch == wait and not legacy_quotes:
-                    wait = ""
-                i += 1
-                continue
-            if ch in "\"'":
-                wait = ch
-                i += 1
-                continue
-            if opened and depth == 0:
-                end = i if legacy_slice else i - 1
-                break
-            if ch == "{":
-                if not opened:
-                    opened, start = True, i
-                depth += 1
-            elif ch == "}":
-                depth -= 1
-            i += 1
-        else:
-            if opened and depth == 0 and not legacy_slice:
-                end = n - 1
-        if end < 0:
-            continue
-        body = code[start: end + 1].strip()
-        if not body:
+        return []
+    pairs, found = _brace_pairs(code), []
+    for head in _HEADER_RE.finditer(code):
+        close = pairs.get(head.end())
+        if close is None or head[4] in _CONTROL:
             continue
-        header = ""
-        for g, wrap in ((2, False), (3, False), (4, False), (5, True), (6, False)):
-            v = m.group(g)
-            if v is not None:
-                header += ("(" + v.strip() + ") ") if wrap else (v.strip() + " ")
-        out.append((name, header + "\n" + body))
-    return out
+        words = [head[2], head[3], head[4], f"({head[5].strip()})", head[6]]
+        said = "".join(w.strip() + " " for w in words if w is not None)
+        found.append((head[4], f"{said}\n{code[head.end():close + 1]}"))
+    return found
 
 
 FUNCTION_SCHEMA = "project string, path string, pos int, name string, code string"
 
 
-def extract_functions(files: DataFrame, legacy_quotes: bool = False, legacy_slice: bool = False) -> DataFrame:
+def extract_functions(files: DataFrame) -> DataFrame:
     """I1 as a Spark job: files(project, path, content) -> (project, path, pos, name, code).
     Files are independent, so Spark spreads them over tasks; each Arrow batch is scanned in a
     Python worker."""
@@ -121,7 +102,7 @@ def extract_functions(files: DataFrame, legacy_quotes: bool = False, legacy_slic
         for pdf in batches:
             rows = []
             for project, path, content in zip(pdf["project"], pdf["path"], pdf["content"]):
-                for pos, (name, code) in enumerate(find_functions(content or "", legacy_quotes, legacy_slice)):
+                for pos, (name, code) in enumerate(find_functions(content or "")):
                     rows.append((project, path, pos, name, code))
             yield pd.DataFrame(rows, columns=["project", "path", "pos", "name", "code"]).astype({"pos": "int32"})
 

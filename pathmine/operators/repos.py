@@ -14,9 +14,9 @@ from pathmine.session import cut_lineage
 REPO_COLS = ["name", "link", "stars", "forks", "size"]
 
 
-def read_repos(spark, path: str) -> DataFrame:
-    """A10: JSON list (or JSON lines) of repository objects -> projected columns."""
-    df = spark.read.option("multiLine", True).json(path)
+def read_repos(spark, path: str, one_list: bool = False) -> DataFrame:
+    """A10: JSON lines of repository objects -> projected columns. ``one_list``: each file is one JSON list."""
+    df = spark.read.option("multiLine", one_list).json(path)
     return df.select(
         F.col("name").cast("string"),
         F.col("link").cast("string"),
@@ -32,13 +32,11 @@ def top_repos(repos: DataFrame, k: int) -> DataFrame:
 
 
 def union_repos(first: DataFrame, second: DataFrame) -> DataFrame:
-    """One row per link, the first list wins. ``list_pos`` keeps the list order
-    (first list, then second) for later positional operators."""
-    a = first.withColumn("_src", F.lit(0))
-    b = second.withColumn("_src", F.lit(1))
-    u = a.unionByName(b)
-    best = u.groupBy("link").agg(F.min("_src").alias("_src"))
-    return u.join(best, ["link", "_src"]).dropDuplicates(["link"]).withColumnRenamed("_src", "source")
+    """One row per link: the first list's, and within a list the earlier one. One aggregate."""
+    rest = [c for c in first.columns if c != "link"]
+    u = first.withColumn("_src", F.lit(0)).unionByName(second.withColumn("_src", F.lit(1))).withColumn("_pos", F.monotonically_increasing_id())
+    best = u.groupBy("link").agg(F.min_by(F.struct(*rest, "_src"), F.struct("_src", "_pos")).alias("_r"))
+    return best.select("link", *(F.col(f"_r.{c}").alias(c) for c in rest), F.col("_r._src").alias("source"))
 
 
 def repo_difference(first: DataFrame, second: DataFrame) -> DataFrame:
@@ -51,12 +49,13 @@ def repo_difference(first: DataFrame, second: DataFrame) -> DataFrame:
 
 
 def zscores(repos: DataFrame) -> DataFrame:
-    """z(stars) + z(forks) with population standard deviation (one-row aggregate, broadcast)."""
+    """z(stars) + z(forks) with population standard deviation (one-row aggregate, broadcast). Null where a column
+    does not vary."""
     stats = repos.agg(
         F.avg("stars").alias("_ms"), F.stddev_pop("stars").alias("_ss"),
         F.avg("forks").alias("_mf"), F.stddev_pop("forks").alias("_sf"),
     )
-    z = (F.col("stars") - F.col("_ms")) / F.col("_ss") + (F.col("forks") - F.col("_mf")) / F.col("_sf")
+    z = F.try_divide(F.col("stars") - F.col("_ms"), F.col("_ss")) + F.try_divide(F.col("forks") - F.col("_mf"), F.col("_sf"))
     return repos.crossJoin(F.broadcast(stats)).withColumn("zscore", z).drop("_ms", "_ss", "_mf", "_sf")
 
 
@@ -94,6 +93,15 @@ def running_total(ranked: DataFrame, pos_col: str, value_col: str, out: str = "r
     return local.join(F.broadcast(offs), "_pid").withColumn(out, F.col("_local") + F.col("_off")).drop("_pid", "_local", "_off")
 
 
+def total_of_large(ranked: DataFrame, pos_col: str, value_col: str, threshold: int, limit: int | None = None) -> DataFrame:
+    """Running total of the values over ``threshold`` (a missing count, -1, and small ones add nothing). With
+    ``limit`` the list ends with the row whose total first passes it."""
+    out = running_total(ranked.withColumn("_large", F.when(F.col(value_col) > threshold, F.col(value_col)).otherwise(0)), pos_col, "_large")
+    if limit is not None:
+        out = out.where(F.col("running_total") - F.col("_large") <= limit)
+    return out.drop("_large")
+
+
 def repo_slice(ranked: DataFrame, pos_col: str, start: int, end: int) -> DataFrame:
     """Inclusive positional slice [start, end]."""
     return ranked.where((F.col(pos_col) >= start) & (F.col(pos_col) <= end))

@@ -652,10 +652,21 @@ def q_method_total(spark, sf):
 @register(
     "running_total",
     f"""WITH {_V8_SQL}
-SELECT name, rank, CAST(sum(method_count) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS running_total FROM mc""",
+SELECT name, rank, CAST(sum(CASE WHEN method_count > 1000 THEN method_count ELSE 0 END) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS running_total FROM mc""",
 )
 def q_running_total(spark, sf):
-    r = RP.running_total(_ranked(spark, sf), "rank", "method_count")
+    r = RP.total_of_large(_ranked(spark, sf), "rank", "method_count", 1000)
+    return r.select("name", "rank", F.col("running_total").cast("long"))
+
+
+@register(
+    "running_total_cut",
+    f"""WITH {_V8_SQL}, t AS (SELECT name, rank, CASE WHEN method_count > 1000 THEN method_count ELSE 0 END AS large FROM mc),
+s AS (SELECT *, CAST(sum(large) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS running_total FROM t)
+SELECT name, rank, running_total FROM s WHERE running_total - large <= 20000""",
+)
+def q_running_total_cut(spark, sf):
+    r = RP.total_of_large(_ranked(spark, sf), "rank", "method_count", 1000, 20000)
     return r.select("name", "rank", F.col("running_total").cast("long"))
 
 
@@ -675,10 +686,10 @@ def q_existing_anti(spark, sf):
     "rank_repositories",
     f"""WITH {_V8_SQL}
 SELECT name, link, stars, forks, size, zscore, rank, method_count,
-       CAST(sum(method_count) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS running_total FROM mc""",
+       CAST(sum(CASE WHEN method_count > 1000 THEN method_count ELSE 0 END) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS running_total FROM mc""",
 )
 def q_rank_repositories(spark, sf):
-    r = RP.running_total(_ranked(spark, sf), "rank", "method_count")
+    r = RP.total_of_large(_ranked(spark, sf), "rank", "method_count", 1000)
     return r.select("name", "link", "stars", "forks", "size", "zscore", "rank", "method_count", F.col("running_total").cast("long"))
 
 

@@ -1,98 +1,71 @@
-"""Brute-force single-graph path enumeration used as an independent check of the
-DataFrame operators on small hand-drawn graphs."""
+"""Path enumeration on single graphs straight from the definitions, to hold the DataFrame operators against."""
 
-import re
+from itertools import combinations
 
 
 def norm_token(tok):
-    t = re.sub(r"\s+", "", tok.lower())
-    t = re.sub("[\"',]", "", t)
-    letters = re.sub("[^A-Za-z]", "", t)
-    return letters if letters else t
+    kept = [c for c in tok.lower() if not c.isspace() and c not in "\"',"]
+    return "".join([c for c in kept if c.isascii() and c.isalpha()] or kept)
 
 
 def node_attr(nodes, n, name):
-    typ, tok = nodes[n]
+    """(type in parentheses, normalised token); the function's own name is <SELF>."""
+    kind, tok = nodes[n]
     if tok is None:
-        return typ, None
-    if typ == "METHOD" and tok == name:
+        return kind, None
+    if kind == name:
+        kind = tok = "<SELF>"
+    elif (kind, tok) == ("METHOD", name):
         tok = "<SELF>"
-    elif typ == name:
-        typ, tok = "<SELF>", "<SELF>"
-    if not (typ.startswith("(") and typ.endswith(")")):
-        typ = "(" + typ + ")"
-    return typ, norm_token(tok)
+    wrapped = kind if kind[:1] + kind[-1:] == "()" else f"({kind})"
+    return wrapped, norm_token(tok)
 
 
-def flow(nodes, edges, entry, name="f", labelled=False, up="^", down="_"):
-    """edges: list of (src, dst, label) in insertion order."""
-    out = []
-
-    def succ(n):
-        return [e for e in edges if e[0] == n]
-
-    def walk(n, path, visited, start, carried):
-        typ, tok = node_attr(nodes, n, name)
-        path = path + [typ if not path else down + typ]
-        if not visited:
-            start = tok
-        visited = visited + [n]
-        es = succ(n)
-        if not es:
-            out.append((start, "".join(path), tok))
-            return
-        for s, d, lab in es:
-            if labelled and carried:
-                if lab is None or not (lab in carried or carried in lab):
-                    continue
-            if d not in visited:
-                if not labelled:
-                    walk(d, path, visited, start, carried)
-                elif not carried or lab in carried:
-                    walk(d, path, visited, start, lab)
-                else:
-                    walk(d, path, visited, start, carried)
-            else:
-                dt, dk = node_attr(nodes, d, name)
-                out.append((start, "".join(path) + up + dt, dk))
+def ast(nodes, edges, root, name="f", max_length=8, max_width=2, up="^", down="_"):
+    """Every pair of leaves with tokens, left before right, over their lowest common ancestor: at most ``max_length``
+    nodes, and at most ``max_width`` between the ancestor's two children. edges: (src, dst) in child order."""
+    above, place, kids = {}, {}, {}
+    for s, d in edges:
+        above[d], place[d] = s, len(kids.setdefault(s, []))
+        kids[s].append(d)
 
-    walk(entry, [], [], None, "")
-    if labelled:
-        seen, ded = set(), []
-        for c in out:
-            if c not in seen:
-                seen.add(c)
-                ded.append(c)
-        return ded
-    return out
+    def to_root(n):
+        chain = [n]
+        while chain[-1] in above:
+            chain.append(above[chain[-1]])
+        return chain
 
+    def label(n):
+        return node_attr(nodes, n, name)[0]
 
-def ast(nodes, edges, root, name="f", max_length=8, max_width=2, up="^", down="_"):
-    """edges: list of (src, dst) in child order."""
-    kids = {}
-    for s, d in edges:
-        kids.setdefault(s, []).append(d)
-    pieces, paths = {}, []
+    leaves = [c for c in map(to_root, nodes) if c[0] not in kids and c[-1] == root and node_attr(nodes, c[0], name)[1]]
+    leaves.sort(key=lambda c: [place[n] for n in reversed(c[:-1])])
+    out = []
+    for a, b in combinations(leaves, 2):
+        top = next(n for n in a if n in b)
+        left, right = a[: a.index(top)], b[: b.index(top)]
+        if place[right[-1]] - place[left[-1]] <= max_width and len(left) + 1 + len(right) <= max_length:
+            path = up.join(map(label, [*left, top])) + down + down.join(map(label, reversed(right)))
+            after = [*(place[n] for n in reversed(a[a.index(top):-1])), len(nodes)]  # a node comes after all below it
+            out.append((after, place[left[-1]], place[right[-1]], (node_attr(nodes, a[0], name)[1], path, node_attr(nodes, b[0], name)[1])))
+    return [row for *_, row in sorted(out, key=lambda x: x[:3])]
 
-    def post(n):
-        for c in kids.get(n, []):
-            post(c)
-        ch = kids.get(n, [])
-        if not ch:
-            typ, tok = node_attr(nodes, n, name)
-            pieces[n] = [[n]] if tok else []
-            return
-        per = [pieces[c] for c in ch]
-        pieces[n] = [p + [n] for pl in per for p in pl if len(p) <= max_length]
-        for i, left in enumerate(per):
-            for right in per[i + 1: min(i + max_width + 1, len(per))]:
-                for u in left:
-                    for d in right:
-                        if len(u) + 1 + len(d) <= max_length:
-                            ut = [node_attr(nodes, x, name)[0] for x in u]
-                            dt = [node_attr(nodes, x, name)[0] for x in d]
-                            p = "".join(t + up for t in ut) + node_attr(nodes, n, name)[0] + "".join(down + t for t in dt[::-1])
-                            paths.append((node_attr(nodes, u[0], name)[1], p, node_attr(nodes, d[0], name)[1]))
 
-    post(root)
-    return paths
+def flow(nodes, edges, entry, name="f", labelled=False, up="^", down="_"):
+    """Simple paths from the entry that end in a node without successors, and those that close on a node of their own.
+    Labelled: an edge goes on only if its label and the carried one contain each other; the narrower is carried.
+    edges: (src, dst, label)."""
+    start, out, todo = node_attr(nodes, entry, name)[1], [], [((entry,), "")]
+    while todo:
+        path, carried = todo.pop()
+        types, end = [node_attr(nodes, n, name)[0] for n in path], node_attr(nodes, path[-1], name)[1]
+        leaving = [e for e in edges if e[0] == path[-1]]
+        if path[-1] in path[:-1]:
+            out.append((start, down.join(types[:-1]) + up + types[-1], end))
+        elif not leaving:
+            out.append((start, down.join(types), end))
+        else:
+            for _, to, lab in reversed(leaving):
+                if not (labelled and carried) or (lab is not None and (lab in carried or carried in lab)):
+                    todo.append(((*path, to), lab if labelled and (not carried or lab in carried) else carried))
+    return list(dict.fromkeys(out)) if labelled else out

@@ -25,8 +25,8 @@ def test_find_functions_cases():
     code = dict(PP.find_functions(C_FILE))
     assert code["bar"].startswith("int bar (const char* s) const \n{")
     assert code["onel"].endswith("{ x(); }")
-    # legacy quote handling drops the function whose body has a quote (original behaviour)
-    assert [n for n, _ in PP.find_functions(C_FILE, legacy_quotes=True)] == ["add", "onel"]
+    odd = "int x;\nint f(int a) {\n char c = '\\''; char *s = \"\\\"}\"; }\nint g(int b) { return b; }"
+    assert [n for n, _ in PP.find_functions(odd)] == ["f", "g"]
 
 
 def test_preprocess_pipeline_on_files(spark, tmp_path):
@@ -48,7 +48,7 @@ def test_directives_and_comments(spark):
     df = spark.createDataFrame([("a\n#include <x.h>\n#define Y 1\nb",)], "c string")
     assert df.select(PP.split_directives("c").alias("r")).collect()[0].r == "#include <x.h>\na\nb"
     df2 = spark.createDataFrame([('s = "// no"; // yes\n/* a\n b */ t',)], "c string")
-    assert df2.select(PP.strip_comments("c").alias("r")).collect()[0].r == 's = "// no"; \n t'
+    assert df2.select(PP.strip_comments("c").alias("r")).collect()[0].r == 's = "// no";  \n  t'
 
 
 def test_dot_roundtrip_and_reader(spark, tmp_path):
@@ -98,3 +98,10 @@ def test_write_modes(spark, tmp_path):
         write_records(recs, out)
     write_records(recs.union(recs), out, mode="ignore")  # existing output kept
     assert read_records(spark, out).count() == 1
+
+
+def test_long_literals_and_comments(spark):
+    long = '"' + "x" * 1_000_000 + '"'
+    df = spark.createDataFrame([(f"a = {long}; int/**/cc(int b) // it's", f'digraph "g" {{\n"1" [label = {long} ]\n}}')], "c string, dot string")
+    r = df.select(PP.strip_comments("c").alias("c"), F.size(F.regexp_extract_all("dot", F.lit(DOT.NODE_STMT), 1)).alias("n")).first()
+    assert r.c == f"a = {long}; int cc(int b)  " and r.n == 1
