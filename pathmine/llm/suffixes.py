@@ -233,7 +233,7 @@ def _heavy_marks(rows: DataFrame) -> DataFrame:
     return full.unionByName(lead.select("doc", "th", (F.col("pos") + F.col("o")).alias("start"), (F.col("pos") + F.col("o") + WINDOW).alias("end")))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", heavy_rows: int = 1_000_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", heavy_rows: int = 200_000) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes).
 
     A null text is empty. Rows with a null id are kept whole and are no source. Rows with the same id are one
