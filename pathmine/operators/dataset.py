@@ -78,47 +78,57 @@ def render_records(ctx: DataFrame, numbering: DataFrame) -> DataFrame:
     return j.select("graph_id", "rec", F.concat(F.concat_ws("\n", *parts), F.lit("\n")).alias("record"))
 
 
+# Fixed value: the section headers of the record format.
+SECTION = "path: (ast|cfg|cdg|ddg)[ \\t]*"
+
+
 def parse_records(records: DataFrame) -> DataFrame:
     """A4: record text -> long contexts with a raw line and its position.
 
-    Output: (rec_id, label, file, kind, pos, line). Header lines are recognised only at the
-    record's head positions (Q25); section lines switch the kind."""
-    lines = records.select(F.col("record"), F.posexplode(F.split("record", "\n")).alias("pos", "line"))
-    lines = lines.withColumn("rec_id", F.regexp_extract(F.col("record"), r"^#(\d+)", 1).try_cast("long"))
-    lines = lines.withColumn("label", F.regexp_extract(F.col("record"), r"(?m)^label:(.*)$", 1))
-    lines = lines.withColumn("file", F.regexp_extract(F.col("record"), r"(?m)^file:(.*)$", 1))
-    sec = F.regexp_extract("line", r"^path: (ast|cfg|cdg|ddg)\s*$", 1)
-    lines = lines.withColumn("_sec", F.when(sec != "", sec))
-    w = Window.partitionBy("rec_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    lines = lines.withColumn("kind", F.last("_sec", ignorenulls=True).over(w))
-    return lines.where((F.col("pos") >= 3) & F.col("_sec").isNull() & F.col("kind").isNotNull() & (F.col("line") != "")).select(
-        "rec_id", "label", "file", "kind", "pos", "line"
+    Output: (rec_id, label, file, kind, pos, line, pair_no, next_line). Header lines are recognised only at the
+    record's head positions (Q25); section lines switch the kind. ``pair_no`` numbers the two-field lines of a record
+    from 1, ``next_line`` is the two-field line after them (B10). Each record is cut inside its own row, so that
+    records of several datasets with the same number never mix; no shuffle."""
+    text = F.regexp_replace("record", "\r", "")
+    sections = F.split(text, rf"\n(?={SECTION}(?:\n|$))")
+
+    def lines_of(section, k):
+        kind = F.when(k > 0, F.regexp_extract(section, f"^{SECTION}", 1))
+        return F.transform(F.split(section, "\n"), lambda x, i: F.struct(kind.alias("kind"), x.alias("line"), (i == 0).alias("head")))
+
+    lines = F.transform(F.flatten(F.transform(sections, lines_of)), lambda x, i: F.struct(
+        x["kind"].alias("kind"), i.alias("pos"), x["line"].alias("line"), x["head"].alias("head"),
+        (F.size(F.split(x["line"], "\t")) == 2).alias("two")))
+    body = F.filter(lines, lambda x: (x["pos"] >= 3) & x["kind"].isNotNull() & ~x["head"] & (x["line"] != ""))
+    r = records.select(
+        F.regexp_extract("record", r"^#(\d+)", 1).try_cast("long").alias("rec_id"),
+        F.regexp_extract(text, r"(?m)^label:(.*)$", 1).alias("label"),
+        F.regexp_extract(text, r"(?m)^file:(.*)$", 1).alias("file"),
+        body.alias("_body"),
     )
+    twos = F.filter("_body", lambda x: x["two"])
+    after = F.slice(twos, F.lit(2), F.size(twos))
+    paired = F.transform(F.zip_with(twos, after, lambda x, y: F.struct(x.alias("x"), y["line"].alias("next"))), lambda p, i: F.struct(
+        p["x"]["kind"].alias("kind"), p["x"]["pos"].alias("pos"), p["x"]["line"].alias("line"), (i + 1).alias("pair_no"), p["next"].alias("next_line")))
+    others = F.transform(F.filter("_body", lambda x: ~x["two"]), lambda x: F.struct(
+        x["kind"].alias("kind"), x["pos"].alias("pos"), x["line"].alias("line"), F.lit(None).cast("int").alias("pair_no"),
+        F.lit(None).cast("string").alias("next_line")))
+    return r.select("rec_id", "label", "file", F.inline(F.concat(others, paired)))
 
 
 def repair_contexts(parsed: DataFrame) -> DataFrame:
     """B10 + B9 input: split lines on TAB; two-field lines pair up in order inside one record
     (first gives start + path head, second gives path tail + end; a literal ``\\n`` is removed
     from the tail). Output: (rec_id, label, file, kind, pos, start_token, path, end_token)."""
-    f = parsed.withColumn("_f", F.split("line", "\t")).withColumn("_n", F.size("_f"))
-    three = f.where(F.col("_n") == 3).select(
-        "rec_id", "label", "file", "kind", "pos",
-        F.trim(F.get("_f", 0)).alias("start_token"),
-        F.trim(F.get("_f", 1)).alias("path"),
-        F.trim(F.get("_f", 2)).alias("end_token"),
-    )
-    two = f.where(F.col("_n") == 2)
-    w = Window.partitionBy("rec_id").orderBy("pos")
-    two = two.withColumn("_i", F.row_number().over(w)).withColumn("_nxt", F.lead("_f").over(w)).withColumn(
-        "_nkind", F.lead("kind").over(w)
-    )
-    fixed = two.where(F.col("_i") % 2 == 1).select(
+    f = parsed.withColumn("_f", F.split("line", "\t")).withColumn("_nxt", F.split("next_line", "\t"))
+    odd = F.col("pair_no") % 2 == 1
+    tail = F.trim(F.regexp_replace(F.get("_nxt", 0), r"\\n", ""))
+    return f.where((F.size("_f") == 3) | odd).select(
         "rec_id", "label", "file", "kind", "pos",
         F.trim(F.get("_f", 0)).alias("start_token"),
-        F.concat(F.trim(F.get("_f", 1)), F.trim(F.regexp_replace(F.get("_nxt", 0), r"\\n", ""))).alias("path"),
-        F.trim(F.get("_nxt", 1)).alias("end_token"),
+        F.when(odd, F.concat(F.trim(F.get("_f", 1)), tail)).otherwise(F.trim(F.get("_f", 1))).alias("path"),
+        F.trim(F.when(odd, F.get("_nxt", 1)).otherwise(F.get("_f", 2))).alias("end_token"),
     )
-    return three.unionByName(fixed)
 
 
 def valid_contexts(ctx: DataFrame) -> DataFrame:

@@ -345,11 +345,12 @@ def q_parse_node_label(spark, sf):
 SELECT gid AS graph_id, node_id,
        CASE WHEN typ = name THEN '<SELF>' ELSE typ END AS type,
        CASE WHEN typ = name THEN '<SELF>' ELSE tok END AS token FROM o0
+UNION ALL SELECT gid, parent || '_' || CAST(ord AS VARCHAR), substr(ntype, 2, length(ntype) - 2), tok FROM l
 UNION ALL SELECT gid, '1000101', 'METHOD', '<SELF>' FROM g""",
 )
 def q_mask_self(spark, sf):
     g, n, _ = V.v1_trees(spark, sf)
-    j = n.where(~F.col("node_id").contains("_")).join(g, "graph_id")
+    j = n.join(g, "graph_id")
     t, k = FN.mask_self("type", "token", "name")
     return j.select("graph_id", "node_id", t.alias("type"), k.alias("token"))
 
@@ -454,7 +455,7 @@ def q_child_ordinal(spark, sf):
 @register(
     "reachable",
     f"""WITH RECURSIVE {S.events_ctes()},
-e0 AS (SELECT gid, src, dst FROM ed_ddg WHERE label = 'v0'),
+e0 AS (SELECT DISTINCT gid, src, dst FROM ed_ddg),
 rt AS (SELECT gid, CASE WHEN bool_or(node_id = '1000101') THEN '1000101' ELSE min(node_id) END AS root FROM nn GROUP BY gid),
 lim AS (SELECT max(c) AS m FROM (SELECT count(*) AS c FROM nn GROUP BY gid)),
 r(gid, node_id, depth) AS (
@@ -465,7 +466,7 @@ SELECT gid AS graph_id, node_id, min(depth) AS depth FROM r GROUP BY gid, node_i
 )
 def q_reachable(spark, sf):
     _, n, e = V.v3_dependence(spark, sf)
-    return T.reachable(n, e.where(F.col("label") == "v0"), T.entry_nodes(n, ExtractOptions().entry_id))
+    return T.reachable(n, e, T.entry_nodes(n, ExtractOptions().entry_id))
 
 
 @register(
@@ -481,7 +482,7 @@ def q_resume_anti(spark, sf):
 
 # ---------------------------------------------------------------- A5 / A4 / B9 / B10 / H15 record text
 from pathmine.operators.numbering import global_position  # noqa: E402
-from pathmine.session import ensure_checkpoint_dir  # noqa: E402
+from pathmine.session import cut_lineage, ensure_checkpoint_dir  # noqa: E402
 from pathmine.sources import records as R  # noqa: E402
 
 
@@ -749,20 +750,20 @@ def q_size_filter(spark, sf):
 @register(
     "fn_ids_multiple",
     """SELECT doc_id, source AS project, row_number() OVER (PARTITION BY source ORDER BY CAST(doc_id AS VARCHAR)) - 1 AS fn_id
-FROM documents WHERE octet_length(encode(text)) + 49 <= 3072""",
+FROM documents""",
 )
 def q_fn_ids_multiple(spark, sf):
-    d = _docs(spark, sf).where(PP.size_ok("content", 3072)).withColumn("pos", F.lit(0))
+    d = _docs(spark, sf).withColumn("pos", F.lit(0))
     return PP.number_per_project(d).select("doc_id", "project", "fn_id")
 
 
 @register(
     "fn_ids_single",
     """SELECT doc_id, row_number() OVER (ORDER BY source, CAST(doc_id AS VARCHAR)) - 1 AS fn_id
-FROM documents WHERE octet_length(encode(text)) + 49 <= 3072""",
+FROM documents""",
 )
 def q_fn_ids_single(spark, sf):
-    d = _docs(spark, sf).where(PP.size_ok("content", 3072)).withColumn("pos", F.lit(0))
+    d = _docs(spark, sf).withColumn("pos", F.lit(0))
     return PP.number_global(d).select("doc_id", "fn_id")
 
 
@@ -786,20 +787,42 @@ def q_scan_pages(spark, sf):
     return _pages_as_files(spark, sf).select("project", "path", "length")
 
 
-@register("extract_blocks")
-def q_extract_blocks(spark, sf):
-    pages = V.table(spark, sf, "pages").select(
-        F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1).alias("project"),
-        F.col("page_id").cast("string").alias("path"),
-        F.array_join(F.regexp_extract_all("html", F.lit(r"(?s)<script>(.*?)</script>"), 1), "\n").alias("content"),
+def _order_files(spark, sf):
+    """One C text per order: project o_custkey, path o<o_orderkey>.c. Each holds an include, a continued macro with
+    an open brace, comments with braces, literals with escapes and braces, and two functions."""
+    k = F.col("o_orderkey").cast("string")
+    content = F.concat(
+        F.lit("#include <a.h>\n  #define OPEN(x) \\\n    int bad(int x) {\n// note { "), F.col("o_orderpriority"),
+        F.lit("\nstatic int get_"), k,
+        F.lit("(int a, char *b) {\n  char *s = \"}\\\"{\";\n  char c = '\\'';\n  if (a) { return 1; }\n  return 2; }\nint/* c */put_"), k,
+        F.lit("(int b) { /* } */ return b; }\n"),
     )
-    return PP.extract_functions(pages)
+    return V.table(spark, sf, "orders").select(
+        F.col("o_custkey").cast("string").alias("project"), F.concat(F.lit("o"), k, F.lit(".c")).alias("path"), content.alias("content"))
+
+
+_ORDER_FNS = r"""fns AS (
+SELECT CAST(o_custkey AS VARCHAR) AS project, 'o' || CAST(o_orderkey AS VARCHAR) || '.c' AS path, 0 AS pos, 'get_' || CAST(o_orderkey AS VARCHAR) AS name,
+       'static int get_' || CAST(o_orderkey AS VARCHAR) || ' (int a, char *b) ' || chr(10) || '{' || chr(10) || '  char *s = "}\"{";' || chr(10)
+       || '  char c = ' || chr(39) || '\' || chr(39) || chr(39) || ';' || chr(10) || '  if (a) { return 1; }' || chr(10) || '  return 2; }' AS code FROM orders
+UNION ALL
+SELECT CAST(o_custkey AS VARCHAR), 'o' || CAST(o_orderkey AS VARCHAR) || '.c', 1, 'put_' || CAST(o_orderkey AS VARCHAR),
+       'int put_' || CAST(o_orderkey AS VARCHAR) || ' (int b) ' || chr(10) || '{   return b; }' FROM orders)"""
+
+
+@register("extract_blocks", f"WITH {_ORDER_FNS} SELECT project, path, CAST(pos AS INTEGER) AS pos, name, code FROM fns")
+def q_extract_blocks(spark, sf):
+    files = _order_files(spark, sf)
+    return PP.extract_functions(files.withColumn("content", PP.strip_comments(PP.split_directives("content"))))
 
 
-@register("preprocess")
+@register(
+    "preprocess",
+    f"""WITH {_ORDER_FNS}
+SELECT project, row_number() OVER (PARTITION BY project ORDER BY path, pos) - 1 AS fn_id, code FROM fns""",
+)
 def q_preprocess(spark, sf):
-    files = _pages_as_files(spark, sf).withColumn("path", F.concat(F.col("path"), F.lit(".c")))
-    return PP.preprocess(files, 3072, "multiple")
+    return PP.preprocess(_order_files(spark, sf), 3072, "multiple")
 
 
 # ---------------------------------------------------------------- A3 graph dumps
@@ -808,10 +831,8 @@ from pathmine.sources import dot as DOT  # noqa: E402
 
 @register("graph_dump_roundtrip", S.v1_ast_paths())
 def q_graph_dump_roundtrip(spark, sf):
-    """V1 rendered to DOT text per graph (graphs within the size bound) and parsed back."""
-    g, n, e = V.v1_trees(spark, sf)
-    g, n, e = T.tree_size_filter(g, n, e, ExtractOptions().max_tree_size)
-    dumps = DOT.render_dot(g, n, e)
+    """V1 rendered to DOT text per graph and parsed back."""
+    dumps = DOT.render_dot(*V.v1_trees(spark, sf))
     return T.ast_paths(*DOT.parse_dot(dumps, "ast"), ExtractOptions())
 
 
@@ -826,9 +847,7 @@ def q_resume_stream(spark, sf):
     import uuid
 
     base = ensure_checkpoint_dir(spark).replace("file:", "") + f"/stream-{uuid.uuid4().hex}"
-    g, n, e = V.v1_trees(spark, sf)
-    g, n, e = T.tree_size_filter(g, n, e, ExtractOptions().max_tree_size)
-    dumps = global_position(DOT.render_dot(g, n, e), ["graph_id"], "pos")
+    dumps = global_position(DOT.render_dot(*V.v1_trees(spark, sf)), ["graph_id"], "pos")
     total = dumps.count()
     first = dumps.where(F.col("pos") < total // 2).drop("pos")
     second = dumps.where(F.col("pos") >= total // 2).drop("pos")
@@ -932,7 +951,8 @@ def q_vocab_cumulative(spark, sf):
     rows = _rows(spark, sf).withColumn("dataset", F.split("label", r"\|").getItem(0))
     sp = SP.split_by_dataset(rows, "dataset", FOPTS.seed)
     kept = D.select_kinds(sp.where(F.col("split") == "train"), FOPTS.include)
-    sc = VC.slot_contexts(kept, FOPTS.include).join(kept.select("graph_id", "dataset"), "graph_id")
+    kept = cut_lineage(kept)
+    sc = VC.slot_contexts(kept, FOPTS.include, ("dataset",))
     toks = sc.select("dataset", F.explode(F.array("start_token", "end_token")).alias("term"))
     v = (
         toks.groupBy("dataset", "term").agg(F.count(F.lit(1)).alias("freq")).withColumn("kind", F.lit("token"))

@@ -60,3 +60,37 @@ def test_select_kinds_rejects_empty_first_slot(spark):
     )
     kept = D.select_kinds(rows, ("ast", "cfg", "ddg")).collect()
     assert [(r.graph_id, r.line) for r in kept] == [("2", "b x,1,y c,3,d p,2,q")]
+
+
+def test_records_of_two_datasets_do_not_mix(spark):
+    one = "#0\nlabel:a\nfile:1.c\npath: ast\nx\tp^q\ty\nhead\tp^\n\\nq\ttail\npath: cfg\nm\tn\to\n"
+    two = "#0\r\nlabel:b\r\nfile:2.c\r\npath: ddg\r\nu\tv\tw\r\nlone\tr^\r\n"
+    recs = spark.createDataFrame([(one,), (two,)], "record string")
+    got = {(r.label, r.file, r.kind, r.start_token, r.path, r.end_token) for r in D.repair_contexts(D.parse_records(recs)).collect()}
+    assert {g for g in got if g[0] == "a"} == {
+        ("a", "1.c", "ast", "x", "p^q", "y"), ("a", "1.c", "ast", "head", "p^q", "tail"), ("a", "1.c", "cfg", "m", "n", "o")}
+    assert {g[:4] for g in got if g[0] == "b"} == {("b", "2.c", "ddg", "u"), ("b", "2.c", "ddg", "lone")}
+    assert not any(g[5] for g in got if g[3] == "lone")  # no partner in its own record
+    plan = D.repair_contexts(D.parse_records(recs))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+
+
+def test_crlf_records_are_separate(spark, tmp_path):
+    from pathmine.sources.records import read_records
+
+    for name, end in (("unix", "\n"), ("dos", "\r\n")):
+        text = "".join(end.join([f"#{i}", f"label:l{i}", f"file:{i}.c", "path: ast", "a\tb\tc", "", ""]) for i in range(2))
+        (tmp_path / name).write_bytes(text.encode())
+        back = D.parse_records(read_records(spark, str(tmp_path / name))).collect()
+        assert sorted((r.rec_id, r.label, r.line) for r in back) == [(0, "l0", "a\tb\tc"), (1, "l1", "a\tb\tc")], name
+
+
+def test_cumulative_vocab_spreads_without_a_product(spark):
+    from pathmine.operators.vocab import cumulative_vocab
+
+    v = spark.createDataFrame([("a", "token", "x", 2), ("c", "token", "x", 3), ("b", "token", "y", 1), ("d", "path", "z", 4)],
+                              "dataset string, kind string, term string, freq long").withColumn("dataset_ord", F.col("dataset"))
+    got = cumulative_vocab(v)
+    assert {(r.dataset, r.term): r.freq for r in got.collect()} == {
+        ("a", "x"): 2, ("b", "x"): 2, ("c", "x"): 5, ("d", "x"): 5, ("b", "y"): 1, ("c", "y"): 1, ("d", "y"): 1, ("d", "z"): 4}
+    assert "CartesianProduct" not in got._jdf.queryExecution().executedPlan().toString()
