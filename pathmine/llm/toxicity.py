@@ -171,8 +171,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
 
 
 def learn_words(rows: DataFrame, known: set[str], most: int = 500) -> list[str]:
-    """Words that mark toxic texts: in at least 8 of them, in at least as many toxic as clean ones, and after at least
-    8 different words (so that the words of one copied text don't count)."""
+    """Words that mark toxic texts: in at least 8 of them, in at least four times as many toxic as clean ones, and after at
+    least 8 different words (so that the words of one copied text don't count)."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
@@ -186,7 +186,7 @@ def learn_words(rows: DataFrame, known: set[str], most: int = 500) -> list[str]:
         F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
     stats = pairs.groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"),
                                       F.count(F.when(F.col("bad") > 0, 1)).alias("contexts"))
-    found = stats.where("bad >= 8 and contexts >= 8 and bad >= good").orderBy(F.desc("bad"), "word").limit(most)
+    found = stats.where("bad >= 8 and contexts >= 8 and bad >= 4 * good").orderBy(F.desc("bad"), "word").limit(most)
     return [r["word"] for r in found.collect() if r["word"] not in known]
 
 
