@@ -825,6 +825,57 @@ def q_preprocess(spark, sf):
     return PP.preprocess(_order_files(spark, sf), 3072, "multiple")
 
 
+# ---------------------------------------------------------------- A6-A9 sinks: written and read back
+from pathmine.sources import outputs as OUT  # noqa: E402
+
+
+def _new_folder(spark, name: str) -> str:
+    import uuid
+
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@register(
+    "sink_model_rows",
+    f"WITH {S.path_dataset_ctes()},{_MR} SELECT label || ' ' || array_to_string(list_concat(list_concat(ast, cfg), list_concat(cdg, ddg)), ' ') AS line FROM rows",
+)
+def q_sink_model_rows(spark, sf):
+    path, rows = _new_folder(spark, "model-rows"), _rows(spark, sf)
+    OUT.write_model_rows(rows.select(D.render_row(rows).alias("line")), path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+@register("sink_splits", f"{_FMT} SELECT split, line FROM kept WHERE split IS NOT NULL")
+def q_sink_splits(spark, sf):
+    path = _new_folder(spark, "splits")
+    OUT.write_splits(_kept(spark, sf), path)
+    return spark.read.schema("value string, split string").text(path).select("split", F.col("value").alias("line"))
+
+
+@register(
+    "sink_vocab",
+    f"""{_FMT},{S.train_slots_cte(FOPTS.include)}
+SELECT 'd' AS dataset, 'target' AS kind, label AS term, count(*) AS freq FROM tr GROUP BY label
+UNION ALL SELECT 'd', 'token', token, count(*) FROM (SELECT f[1] AS token FROM ts UNION ALL SELECT f[3] FROM ts) GROUP BY token
+UNION ALL SELECT 'd', 'path', f[2], count(*) FROM ts GROUP BY f[2]""",
+)
+def q_sink_vocab(spark, sf):
+    path, kept = _new_folder(spark, "vocab"), _kept(spark, sf)
+    OUT.write_vocab(P.train_vocab(kept, FOPTS), kept.groupBy("split").agg(F.count(F.lit(1)).alias("n")), path)
+    return spark.read.schema("dataset string, term string, freq long, kind string").parquet(f"{path}/vocab").select("dataset", "kind", "term", "freq")
+
+
+@register(
+    "sink_functions",
+    f"""WITH {_ORDER_FNS}
+SELECT project, row_number() OVER (PARTITION BY project ORDER BY path, pos) - 1 AS fn_id, code FROM fns""",
+)
+def q_sink_functions(spark, sf):
+    path = _new_folder(spark, "functions")
+    OUT.write_functions(PP.preprocess(_order_files(spark, sf), 3072, "multiple"), path)
+    return spark.read.parquet(path)
+
+
 # ---------------------------------------------------------------- A3 graph dumps
 from pathmine.sources import dot as DOT  # noqa: E402
 

@@ -105,3 +105,20 @@ def test_long_literals_and_comments(spark):
     df = spark.createDataFrame([(f"a = {long}; int/**/cc(int b) // it's", f'digraph "g" {{\n"1" [label = {long} ]\n}}')], "c string, dot string")
     r = df.select(PP.strip_comments("c").alias("c"), F.size(F.regexp_extract_all("dot", F.lit(DOT.NODE_STMT), 1)).alias("n")).first()
     assert r.c == f"a = {long}; int cc(int b)  " and r.n == 1
+
+
+def test_sinks_refuse_or_skip_an_existing_output(spark, tmp_path):
+    import pytest
+    from pyspark.errors import AnalysisException
+
+    from pathmine.sources import outputs as OUT
+
+    lines = spark.createDataFrame([("train", "a x"), ("test", "b y"), (None, "c z")], "split string, line string")
+    out = str(tmp_path / "splits")
+    OUT.write_splits(lines, out)
+    read = lambda: sorted((r.split, r.value) for r in spark.read.text(out).collect())
+    assert read() == [("test", "b y"), ("train", "a x")]
+    with pytest.raises(AnalysisException):
+        OUT.write_splits(lines, out)
+    OUT.write_splits(lines, out, "ignore")
+    assert len(read()) == 2
