@@ -193,16 +193,11 @@ def link_edges(fps: DataFrame, max_bits: int = 3, shard_rows: int = 4096) -> Dat
         _links_of_sorted(max_bits), "a long, b long")
 
 
-def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
-                   max_bits: int = 3) -> DataFrame:
-    """One row (id, fingerprint long, component long) per input row.
-
-    Null and empty texts have fingerprint 0 and link like any other. Rows with equal ids stay separate rows; a null
-    id never names a component (its row takes the smallest id it reaches, or null). Empty table: empty result.
-    """
+def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bits: int) -> DataFrame:
+    """(id, digest of the text, fp, root, component) per input row; ``root`` names the group even if all ids are null."""
     spark = docs.sparkSession
     C.small_batches(spark)
-    prints = C.written(docs.select(F.col(f"`{id_col}`").cast("long").alias("id"),
+    prints = C.written(docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), _digest(text_col).alias("digest"),
                                    fingerprint_column(text_col, shingle).alias("fp")), "simhash")
     # distinct fingerprints: numbered by their smallest id; one that only null ids hold gets an id of its own kind
     fps = C.written(prints.groupBy("fp").agg(F.min("id").alias("low")), "simhash-fps")
@@ -212,13 +207,42 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     comp = C.connected_components(edges)
     named = fps.join(comp, fps.fp == comp.node, "left").select("fp", "low", F.coalesce("component", "fp").alias("root"))
     lows = named.groupBy("root").agg(F.min("low").alias("component"))
-    of = named.join(lows, "root").select(F.col("fp").alias("_fp"), "component")
-    return prints.join(of, prints.fp == of["_fp"]).select("id", F.col("fp").alias("fingerprint"), "component")
+    of = named.join(lows, "root").select(F.col("fp").alias("_fp"), "root", "component")
+    return prints.join(of, prints.fp == of["_fp"]).select("id", "digest", "fp", "root", "component")
+
+
+def _digest(text_col: str):
+    """Null and empty texts differ here, so that a row is told from its twin of the same id."""
+    return F.xxhash64(F.col(f"`{text_col}`").cast("string").isNull(), F.col(f"`{text_col}`").cast("string"))
+
+
+def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
+                   max_bits: int = 3) -> DataFrame:
+    """One row (id, fingerprint long, component long) per input row.
+
+    Null and empty texts have fingerprint 0 and link like any other. Rows with equal ids stay separate rows; a null
+    id never names a component (its row takes the smallest id it reaches, or null). Empty table: empty result.
+    """
+    return _grouped(docs, id_col, text_col, shingle, max_bits).select("id", F.col("fp").alias("fingerprint"), "component")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
                max_bits: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its group; rows without an id stay only if no id is reached."""
-    groups = simhash_groups(docs, id_col, text_col, shingle, max_bits)
-    keep = groups.where(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("__kept_id"))
-    return docs.join(keep, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__kept_id")), "left_semi")
+    """One row of ``docs`` per group: that of the smallest id. Rows without an id come last, rows of one id are told
+    apart by their texts, and of rows equal in both any one stays. Columns unchanged; empty table: empty result.
+    """
+    rows = _grouped(docs, id_col, text_col, shingle, max_bits).groupBy("root", "id", "digest").agg(F.count(F.lit(1)).alias("n"))
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest", "n")).alias("f"))
+    keep = C.written(first.select(F.col("f.id").alias("__id"), F.col("f.digest").alias("__digest"), F.col("f.n").alias("__n")), "simhash-kept")
+    mine = docs.select(*(F.col(f"`{c}`") for c in docs.columns), F.col(f"`{id_col}`").cast("long").alias("__doc_id"),
+                       _digest(text_col).alias("__doc_digest"))
+
+    def rows_of(part: DataFrame) -> DataFrame:
+        same = F.col("__doc_id").eqNullSafe(F.col("__id")) & (F.col("__doc_digest") == F.col("__digest"))
+        return mine.join(part, same, "left_semi")
+
+    out = rows_of(keep.where("__n = 1"))
+    twins = keep.where("__n > 1")
+    if not twins.isEmpty():  # only rows that occur again whole pass through a second shuffle
+        out = out.unionByName(rows_of(twins).dropDuplicates(["__doc_id", "__doc_digest"]))
+    return out.drop("__doc_id", "__doc_digest")

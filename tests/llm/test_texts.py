@@ -46,8 +46,24 @@ def test_simhash_components(docs):
     for r in got:
         reach = [i for i, f in every if f in group[r["fingerprint"] & (1 << 64) - 1] and i is not None]
         assert r["component"] == min(reach, default=None)
+    kept = rows_of(simhash.keep_first(docs))
+    groups = {frozenset(g) for g in group.values()}
+    assert list(kept[0]) == docs.columns and len(kept) == len(groups)  # one row of each group, whatever its ids
+    for r in kept:
+        mine = group[simhash.fingerprint(r["text"])]
+        assert r["doc_id"] == min((i for i, f in every if f in mine and i is not None), default=None)
+
+
+def test_kept_rows_with_repeated_ids(spark):
+    """The row kept of a group is one of that group, also where another text has the same id or no id at all."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(1, a), (5, a), (5, b), (7, b), (7, b), (None, c), (None, c), (9, ""), (9, None), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("digest", F.lit(1)).withColumn("n", F.lit(2))
     kept = simhash.keep_first(docs)
-    assert kept.columns == docs.columns and {0, 3, 8} <= {r["doc_id"] for r in kept.collect()} and 4 not in {r["doc_id"] for r in kept.collect()}
+    assert kept.columns == docs.columns
+    got = [(r["doc_id"], r["text"] or "") for r in kept.collect()]
+    assert sorted(got, key=str) == sorted([(1, a), (5, b), (None, c), (9, "")], key=str)
+    assert simhash.keep_first(docs.limit(0)).count() == 0
 
 
 def test_golay_keys_meet():
