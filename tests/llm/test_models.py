@@ -137,3 +137,25 @@ def test_pipeline(spark):
     assert frames[4].count() <= frames[3].count()
     out = corpus_pipeline.run(spark, SMOKE)
     assert out.count() == frames[4].count() and out.select("doc_id").distinct().count() == out.count()
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Nulls in any column, empty and long texts, repeated rows, a column more, and empty tables through all stages."""
+    long = " ".join(f"word{i}" for i in range(30_000))
+    rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (None, None, "en", "a", 0), (3, long, "en", None, 9), (3, long, "en", None, 9),
+            (4, long + " more", None, "b", 9), (5, "you are an idiot", "en", "a", 3), (6, "clean words of a fine day", "en", "a", 3),
+            (None, "another text that has no id at all", "en", "a", 3), (3, "the third id again, with other words", "en", "a", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("component", F.lit("x"))
+    items = spark.createDataFrame([(1, None), (None, "x"), (2, "")], "item_id long, text string")
+    labels = spark.createDataFrame([(6, None, 0), (None, 1, 1), (6, 1, 0)], "doc_id long, quality int, toxic int")
+
+    def run(n, d, i, lab):
+        sf = str(tmp_path / n)
+        for name, df in (("documents", d), ("benchmark", i), ("labels", lab)):
+            df.write.parquet(f"{sf}/{name}.parquet")
+        return corpus_pipeline.run(spark, sf)
+
+    out = [(r["doc_id"], r["text_crc32"]) for r in run("odd", docs, items, labels).collect()]
+    assert len(out) == len(set(out)) and 5 not in {i for i, _ in out} and 4 not in {i for i, _ in out}
+    assert run("unlabelled", docs, items.limit(0), labels.limit(0)).count() == 5  # one each: empty, long, clean, without id, id 3 again
+    assert run("empty", docs.limit(0), items, labels).count() == 0
