@@ -769,22 +769,30 @@ def q_fn_ids_single(spark, sf):
 
 def _pages_as_files(spark, sf):
     """V6 pages written as a source tree: one directory per host, files named <page_id>.c."""
-    import uuid
-
-    base = ensure_checkpoint_dir(spark).replace("file:", "") + f"/pages-{uuid.uuid4().hex}"
+    base = _new_folder(spark, "pages")
     p = V.table(spark, sf, "pages").select(
         F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1).alias("project"), "page_id", "html"
     )
-    p.select("project", F.concat(F.lit("// page "), F.col("page_id").cast("string"), F.lit("\n"), F.col("html")).alias("value")).write.partitionBy(
+    p.select("project", F.concat(F.lit("// page "), F.col("page_id").cast("string"), F.lit("\n"), F.coalesce("html", F.lit(""))).alias("value")).write.partitionBy(
         "project"
     ).text(base)
     files = FS.scan_sources(spark, base)
     return files.select(F.regexp_replace("project", "^project=", "").alias("project"), "path", "content", "length")
 
 
-@register("scan_pages")
+_PAGE_TEXT = "'// page ' || CAST(page_id AS VARCHAR) || chr(10) || coalesce(html, '') || chr(10)"
+
+
+@register(
+    "scan_pages",
+    f"""SELECT coalesce(nullif(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1), ''), '__HIVE_DEFAULT_PARTITION__') AS project,
+CAST(sum(octet_length(encode({_PAGE_TEXT}))) AS BIGINT) AS n_bytes, CAST(sum(length({_PAGE_TEXT})) AS BIGINT) AS n_chars
+FROM pages GROUP BY 1""",
+)
 def q_scan_pages(spark, sf):
-    return _pages_as_files(spark, sf).select("project", "path", "length")
+    """Bytes and decoded characters of each project's files; how many files a project has is the writer's choice."""
+    return _pages_as_files(spark, sf).groupBy("project").agg(
+        F.sum("length").alias("n_bytes"), F.sum(F.length("content")).cast("long").alias("n_chars"))
 
 
 def _order_files(spark, sf):
@@ -895,9 +903,7 @@ from pathmine.streaming import incremental as INC  # noqa: E402
 def q_resume_stream(spark, sf):
     """V1 dumps arrive in two drops (graphs in the first half of the id order, then the rest);
     the stream is started once per drop and resumes from its checkpoint."""
-    import uuid
-
-    base = ensure_checkpoint_dir(spark).replace("file:", "") + f"/stream-{uuid.uuid4().hex}"
+    base = _new_folder(spark, "stream")
     dumps = global_position(DOT.render_dot(*V.v1_trees(spark, sf)), ["graph_id"], "pos")
     total = dumps.count()
     first = dumps.where(F.col("pos") < total // 2).drop("pos")
@@ -909,6 +915,29 @@ def q_resume_stream(spark, sf):
     return INC.read_output(spark, f"{base}/out")
 
 
+def _union_sql(*parts: str) -> str:
+    cols = ", ".join(T.PATH_COLS)
+    return " UNION ALL ".join(f"SELECT {cols} FROM ({p})" for p in parts)
+
+
+@register(
+    "resume_stream_kinds",
+    _union_sql(S.v1_ast_paths(), S.flow_walk(S.events_ctes(), "ed_cfg", "cfg"), S.flow_walk(S.events_ctes(), "ed_cfg", "cdg"),
+               S.flow_walk(S.events_ctes(), "ed_ddg", "ddg")),
+)
+def q_resume_stream_kinds(spark, sf):
+    """Dumps of all kinds (V1 trees, V2 flows as cfg and as cdg, V3) in two drops that share some graphs."""
+    base = _new_folder(spark, "stream-kinds")
+    graphs = {"ast": V.v1_trees(spark, sf), "cfg": V.v2_flows(spark, sf), "cdg": V.v2_flows(spark, sf), "ddg": V.v3_dependence(spark, sf)}
+    for kind, graph in graphs.items():
+        DOT.render_dot(*graph).select("graph_id", F.lit(kind).alias("kind"), "dot").write.mode("append").parquet(f"{base}/all")
+    dumps, part = spark.read.parquet(f"{base}/all"), F.crc32(F.col("graph_id")) % 5
+    for drop, rows in ((1, dumps.where(part < 3)), (2, dumps.where(part > 1))):
+        rows.write.parquet(f"{base}/in/drop={drop}")
+        INC.incremental_paths(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt")
+    return INC.read_output(spark, f"{base}/out")
+
+
 # ---------------------------------------------------------------- K graph-table queries (V9)
 from pathmine.operators import cpg as K  # noqa: E402
 

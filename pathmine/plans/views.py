@@ -196,6 +196,7 @@ CPG_CALL_BY_PRIORITY = {
     "4-NOT SPECIFIED": "<operator>.indirectFieldAccess",
     "5-LOW": "free",
 }
+CPG_ASSIGNMENT_BY_STATUS = {"F": "<operator>.assignmentMinus", "O": "<operator>.assignment", "P": "<operators>.assignmentOr"}
 CPG_TARGET_TYPE_BY_STATUS = {"F": "int", "O": "char*", "P": "char[8]"}
 
 
@@ -236,7 +237,7 @@ def v9_cpg(spark: SparkSession, sf_dir: str):
                         F.when(F.col("c_acctbal") > 5000, "const char*").otherwise("char*").alias("type_full_name"))
     call_name = _mapped(F.col("o_orderpriority"), CPG_CALL_BY_PRIORITY, "unknown")
     assign = o.select("graph_id", F.concat(F.lit("a"), "onode").alias("node_id"), F.lit("CALL").alias("label"),
-                      F.lit("<operator>.assignment").alias("name"), F.concat(F.lit("v"), F.col("k").cast("string"), F.lit(" = ...")).alias("code"),
+                      _mapped(F.col("o_orderstatus"), CPG_ASSIGNMENT_BY_STATUS, "<operator>.assignment").alias("name"), F.concat(F.lit("v"), F.col("k").cast("string"), F.lit(" = ...")).alias("code"),
                       F.lit("ANY").alias("type_full_name"))
     target = o.select("graph_id", F.concat(F.lit("t"), "onode").alias("node_id"), F.lit("IDENTIFIER").alias("label"),
                       F.concat(F.lit("v"), F.col("k").cast("string")).alias("name"), F.concat(F.lit("v"), F.col("k").cast("string")).alias("code"),
