@@ -76,17 +76,25 @@ def _links(nnodes: DataFrame, edges: DataFrame, with_label: bool = False, child_
 
     ``child_positions``: replace ``ord`` by the dense 1-based position among the parent's
     children (E4) and flag the first child. Only used on trees that passed the size filter,
-    so each window partition (one parent) is bounded."""
+    so each window partition (one parent) is bounded.
+
+    An edge whose target has no node row stays as a link that is not ``known``: it is not walked, and its source is
+    neither a leaf nor an exit. ``dangling_edges`` lists such edges."""
     cols = ["graph_id", "src", "dst", "ord"] + (["label"] if with_label else [])
     dst_attrs = nnodes.select(
-        "graph_id", F.col("node_id").alias("dst"), F.col("ntype").alias("dst_type"), F.col("ntoken").alias("dst_token")
+        "graph_id", F.col("node_id").alias("dst"), F.col("ntype").alias("dst_type"), F.col("ntoken").alias("dst_token"), F.lit(True).alias("known")
     )
-    j = edges.select(*cols).join(dst_attrs, ["graph_id", "dst"])
+    j = edges.select(*cols).join(dst_attrs, ["graph_id", "dst"], "left").fillna(False, ["known"])
     if child_positions:
         j = child_ordinal(j)
     return keep_short(j.repartition("graph_id", "src"))
 
 
+def dangling_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Edges whose target is not among the nodes of their graph; the walks leave them out."""
+    return edges.join(nodes.select("graph_id", F.col("node_id").alias("dst")), ["graph_id", "dst"], "left_anti")
+
+
 def child_ordinal(edges: DataFrame) -> DataFrame:
     """Dense 1-based child position per parent (the root keeps 0), plus a first-child flag."""
     w = Window.partitionBy("graph_id", "src").orderBy("ord", "dst")
@@ -128,6 +136,7 @@ def tree_walk(nnodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFram
                 F.col("l.dst_type").alias("dst_type"),
                 F.col("l.dst_token").alias("dst_token"),
                 F.col("l.first").alias("first"),
+                F.col("l.known").alias("known"),
             ),
             rounds,
         )
@@ -137,7 +146,7 @@ def tree_walk(nnodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFram
                 "graph_id", "node", "ids", "types", "ords", "token", F.col("dst").isNull().alias("is_leaf")
             )
         )
-        nxt = step.where(F.col("dst").isNotNull() & ~F.array_contains("ids", F.col("dst"))).select(
+        nxt = step.where(F.col("known") & ~F.array_contains("ids", F.col("dst"))).select(
             "graph_id",
             F.col("dst").alias("node"),
             F.concat("ids", F.array("dst")).alias("ids"),
@@ -306,6 +315,7 @@ def flow_paths(
                 (F.col("l.label") if labelled else F.lit(None).cast("string")).alias("elabel"),
                 F.col("l.dst_type").alias("dst_type"),
                 F.col("l.dst_token").alias("dst_token"),
+                F.col("l.known").alias("known"),
             ),
             rounds,
         )
@@ -315,7 +325,7 @@ def flow_paths(
                 "graph_id", "start_token", joined_types.alias("path"), F.col("token").alias("end_token"), "ords"
             )
         )
-        live = step.where(F.col("dst").isNotNull())
+        live = step.where("known")
         carried, elabel = F.col("carried"), F.col("elabel")
         if labelled:
             free = carried.isNull() | (carried == "")

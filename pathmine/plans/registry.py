@@ -48,6 +48,18 @@ def q_tree_size_filter(spark, sf):
     return sizes.where((F.col("n_nodes") > 0) & (F.col("n_nodes") <= 60))
 
 
+@register(
+    "dangling_edges",
+    f"""WITH {S.v1_ctes()}
+SELECT o.gid AS graph_id, '1000101' AS src, o.node_id AS dst FROM o JOIN orders USING (o_orderkey) WHERE o_orderstatus = 'P'""",
+)
+def q_dangling_edges(spark, sf):
+    """V1 without the nodes of pending orders: their edges are reported."""
+    _, nodes, edges = V.v1_trees(spark, sf)
+    gone = V.table(spark, sf, "orders").where("o_orderstatus = 'P'").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("node_id"))
+    return T.dangling_edges(nodes.join(gone, "node_id", "left_anti"), edges).select("graph_id", "src", "dst")
+
+
 # ---------------------------------------------------------------- I3 / I4 / I5 / C3
 @register("cfg_paths", S.flow_walk(S.events_ctes(), "ed_cfg", "cfg"))
 def q_cfg_paths(spark, sf):
@@ -103,7 +115,8 @@ def q_path_dataset(spark, sf):
 
 @register(
     "require_ast",
-    f"WITH {S.path_dataset_ctes()} SELECT graph_id, label FROM funcs",
+    f"""WITH pa AS ({S.v1_ast_paths()}), lab AS ({S.v1_labels()})
+SELECT gid AS graph_id, label FROM lab WHERE label <> '' AND gid IN (SELECT graph_id FROM pa)""",
 )
 def q_require_ast(spark, sf):
     g, n, e = V.v1_trees(spark, sf)
