@@ -74,23 +74,51 @@ def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 # ------------------------------------------------------------------ difference cover
+def _packed(*keys: np.ndarray) -> np.ndarray:
+    """One number per row that sorts as the rows' keys do, the left key first. Leading keys become dense names where the
+    bits of all would not fit, so symbols and ranks of any size keep their order."""
+    out = keys[0]
+    for key in keys[1:]:
+        bits = int(key.max(initial=0)).bit_length()
+        if int(out.max(initial=0)).bit_length() + bits > 62:
+            out = np.unique(out, return_inverse=True)[1].reshape(-1)
+            if int(out.max(initial=0)).bit_length() + bits > 62:
+                raise OverflowError("suffix keys do not fit 62 bits")
+        out = out << bits | key
+    return out
+
+
+def _smaller(n: int, *keys: np.ndarray) -> np.ndarray:
+    """How many of the first ``n`` rows sort before each later row. Both are packed together: dense names are only
+    comparable within one call."""
+    packed = _packed(*keys)
+    return np.searchsorted(np.sort(packed[:n]), packed[n:])
+
+
 def suffix_ranks(s: np.ndarray, covered: int = 1, need: int = WINDOW) -> np.ndarray:
-    """Ranks (from 1) of the suffixes of s (symbols below 2 ** 21, each standing for ``covered`` bytes), in an order that
-    is right over their first ``need`` bytes."""
+    """Ranks (from 1) of the suffixes of s (symbols from 0, each standing for ``covered`` bytes), in an order that is right
+    over their first ``need`` bytes."""
     n = len(s)
     p = np.concatenate([s, np.zeros(3, np.int64)])
     i0, i1, i2 = (np.arange(k, n, 3) for k in range(3))
     sample = np.concatenate([i1, i2])
-    _, names = np.unique(p[sample] << 42 | p[sample + 1] << 21 | p[sample + 2], return_inverse=True)
-    names = names.reshape(-1).astype(np.int64) + 1
-    if len(names) and names.max() < len(names) and covered * 3 < need:
-        r = suffix_ranks(np.concatenate([names[:len(i1)], [0], names[len(i1):]]), covered * 3, need)
-        names = np.delete(r, len(i1))
+    key = _packed(p[sample], p[sample + 1], p[sample + 2])
+    order = np.argsort(key)
+    key = key[order]
+    new = np.ones(len(order), bool)
+    new[1:] = key[1:] != key[:-1]
     rank = np.zeros(n + 3, np.int64)
-    rank[sample[np.argsort(names, kind="stable")]] = np.arange(1, len(sample) + 1)
-    rest = i0[np.argsort(p[i0] << 32 | rank[i0 + 1], kind="stable")]
-    before = np.searchsorted(np.sort(p[i1] << 32 | rank[i1 + 1]), p[rest] << 32 | rank[rest + 1])
-    before = before + np.searchsorted(np.sort(p[i2] << 42 | p[i2 + 1] << 21 | rank[i2 + 2]), p[rest] << 42 | p[rest + 1] << 21 | rank[rest + 2])
+    if covered * 3 < need and not new.all():
+        names = np.empty(len(order), np.int64)
+        names[order] = np.cumsum(new)
+        del key, order, new  # long strings: hold little while the names are sorted
+        r = suffix_ranks(np.concatenate([names[:len(i1)], [0], names[len(i1):]]), covered * 3, need)
+        rank[sample] = np.delete(r, len(i1)) - 1  # the separator is the smallest symbol: its own rank is 1
+    else:
+        rank[sample[order]] = np.arange(1, len(sample) + 1)
+    rest = i0[np.argsort(_packed(p[i0], rank[i0 + 1]))]
+    before = _smaller(len(i1), *(np.concatenate([x[i1 + k], x[rest + k]]) for k, x in enumerate((p, rank))))
+    before = before + _smaller(len(i2), *(np.concatenate([x[i2 + k], x[rest + k]]) for k, x in enumerate((p, p, rank))))
     before = np.maximum.accumulate(before) if len(before) else before
     out = np.zeros(n, np.int64)
     out[sample] = rank[sample] + np.searchsorted(before, rank[sample] - 1, side="right")

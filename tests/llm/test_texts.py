@@ -154,6 +154,24 @@ def test_suffix_order():
         assert starts == sorted(starts)
 
 
+def test_suffix_order_of_long_strings():
+    """Over 3.2 million bytes ranks pass 2 ** 21 on the first level and names on the deeper ones."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    block = rng.integers(97, 101, 1_200_000, dtype=np.uint8)
+    data = np.concatenate([block, rng.integers(97, 123, 1_000_000, dtype=np.uint8), block])
+    order = np.argsort(suffixes.suffix_ranks(data.astype(np.int64) + 1))
+    order = order[order <= len(data) - suffixes.WINDOW]
+    windows = np.lib.stride_tricks.sliding_window_view(data, suffixes.WINDOW)
+    for a in range(0, len(order) - 1, 1 << 17):
+        z = min(a + (1 << 17), len(order) - 1)
+        x, y = windows[order[a:z]], windows[order[a + 1:z + 1]]
+        at = (x != y).argmax(axis=1)
+        rows = np.arange(len(x))
+        assert (x[rows, at] <= y[rows, at]).all()
+
+
 def test_secrets(docs):
     kinds = [("assign", re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 12),
              ("access", re.compile("AKIA[A-Z0-9]+"), 18), ("hex", re.compile("[0-9a-f]+"), 16)]
