@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pathmine.llm import common as C
 
 BLANKS = r"\s+"
+#: Part of all words that a mix has unless the caller states another.
+SIZE = 2 / 3
 
 
 def _among(words: list[str]):
@@ -92,10 +94,10 @@ def _posterior(model: dict, words: Column) -> Column:
 
 
 def rate_of(steps: list[list[float]], p: list[Column]) -> Column:
-    """Rate after the given steps: each is a projected step from the one before, from 1."""
+    """Rate after the given steps: each is a step from the one before, from 1, projected on [0, 1]."""
     rate = F.lit(1.0)
     for z in steps:
-        rate = F.greatest(F.lit(0.0), rate - reduce(lambda a, b: a + b, [x * v for x, v in zip(p, z, strict=True)], F.lit(0.0)))
+        rate = F.greatest(F.lit(0.0), F.least(F.lit(1.0), rate - reduce(lambda a, b: a + b, [x * v for x, v in zip(p, z, strict=True)], F.lit(0.0))))
     return rate
 
 
@@ -103,11 +105,26 @@ def rate_column(steps: list[list[float]], n_domains: int) -> Column:
     return rate_of(steps, [F.col(f"_p{i}") for i in range(n_domains)])
 
 
+def shared_out(natural: list[float], weight: list[float], size: float) -> list[float]:
+    """Shares of all words that the domains give to a mix of ``size``: by weight, none more than its natural share. The
+    sum is ``size``, or what the domains with a weight have if that is less."""
+    goal, left, open_ = [0.0] * len(weight), size, [i for i, w in enumerate(weight) if w > 0]
+    while open_:
+        per = left / sum(weight[i] for i in open_)
+        short = [i for i in open_ if weight[i] * per >= natural[i]]
+        for i in short or open_:
+            goal[i] = natural[i] if short else weight[i] * per
+            left -= goal[i]
+        open_ = [i for i in open_ if i not in short] if short else []
+    return goal
+
+
 def fit_rates(table: DataFrame, n_domains: int, target: list[float] | None, temper: float = 0.7, tolerance: float = 1e-6,
-              headroom: float = 0.95, max_steps: int = 40) -> tuple[list[list[float]], dict]:
+              size: float = SIZE, max_steps: int = 40) -> tuple[list[list[float]], dict]:
     """Projected-gradient steps on 1/2 sum_d (expected share_d - target_d)^2, each domain's gradient scaled by its own
-    natural share. ``target``: weights per domain (default: natural shares to the power ``temper``). The target total
-    asks of no domain more than the ``headroom`` part of what it has, so rates need no repetition of documents."""
+    natural share. ``target``: weights per domain (default: natural shares to the power ``temper``). The mix has
+    the ``size`` part of all words, however scarce a domain is: a domain that has less than its weight asks for gives all it
+    has, and the others share the rest by their weights."""
     k = range(n_domains)
 
     def totals(steps: list[list[float]]) -> list[float]:
@@ -120,9 +137,7 @@ def fit_rates(table: DataFrame, n_domains: int, target: list[float] | None, temp
     weight = [w if s > 0 else 0.0 for w, s in zip(target or [s ** temper for s in natural], natural, strict=True)]
     if not sum(weight):
         return [], {"natural": natural, "target": natural, "reached": natural}
-    weight = [w / sum(weight) for w in weight]
-    scale = headroom * min(s / w for s, w in zip(natural, weight, strict=True) if w > 0)
-    goal, steps, now = [w * scale for w in weight], [], natural
+    goal, steps, now = shared_out(natural, weight, size), [], natural
     for _ in range(max_steps):
         off = [a - g for a, g in zip(now, goal, strict=True)]
         if max(map(abs, off)) < tolerance:
@@ -132,7 +147,8 @@ def fit_rates(table: DataFrame, n_domains: int, target: list[float] | None, temp
     return steps, {"natural": natural, "target": goal, "reached": now}
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, domain_col: str, target: dict[str, float] | None = None) -> tuple:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, domain_col: str, target: dict[str, float] | None = None,
+        size: float = SIZE) -> tuple:
     """(classifier, steps, totals, written feature table (doc_id, _crc, _tokens, _p...)) over all rows."""
     model = learn(docs, labels, id_col, text_col, domain_col)
     trained = bool(model["names"])
@@ -143,7 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, domain_c
     table = C.written(d.select(F.col("_id").alias("doc_id"), _draw("_id", "_text").alias("_u"), F.inline(found)).select(
         "doc_id", "_u", "_tokens", *(F.get("_p", i).alias(f"_p{i}") for i in range(len(model["names"])))), "mixing-features")
     goal = [float(target.get(n, 0.0)) for n in model["names"]] if target else None
-    steps, totals = fit_rates(table, len(model["names"]), goal) if trained else ([], {})
+    steps, totals = fit_rates(table, len(model["names"]), goal, size=size) if trained else ([], {})
     return model, steps, totals, table
 
 
@@ -161,14 +177,14 @@ def _copies(rate: Column, draw: Column) -> Column:
 
 
 def mix_rates(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "lang",
-              target: dict[str, float] | None = None) -> DataFrame:
+              target: dict[str, float] | None = None, size: float = SIZE) -> DataFrame:
     """One row per input row: doc_id, n_tokens, domain (likeliest; the first named on ties), p_domain, rate, copies.
 
     ``copies`` rounds the rate by a draw from the row's hash. Null and empty texts have no words and the prior as their
     posterior. Rows with a null or rare domain are classified like any other. Without labelled rows there is one
     domain 'all' and every rate is 1.
     """
-    model, steps, _, table = fit(docs, labels, id_col, text_col, domain_col, target)
+    model, steps, _, table = fit(docs, labels, id_col, text_col, domain_col, target, size)
     best = F.greatest(*(F.col(f"_p{i}") for i in range(len(model["names"])))) if len(model["names"]) > 1 else F.col("_p0")
     domain = F.coalesce(*(F.when(F.col(f"_p{i}") == F.col("_best"), F.lit(n)) for i, n in enumerate(model["names"])))
     return table.withColumn("_best", best).withColumn("_rate", rate_column(steps, len(model["names"]))).select(
@@ -177,9 +193,9 @@ def mix_rates(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
 
 
 def mix(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "lang",
-        target: dict[str, float] | None = None) -> DataFrame:
-    """``docs`` mixed: each row as often as its copies say (with the default target not or once); columns unchanged."""
-    model, steps, _, _ = fit(docs, labels, id_col, text_col, domain_col, target)
+        target: dict[str, float] | None = None, size: float = SIZE) -> DataFrame:
+    """``docs`` mixed to the ``size`` part of their words: each row once or not, as its copies say; columns unchanged."""
+    model, steps, _, _ = fit(docs, labels, id_col, text_col, domain_col, target, size)
     text, k = F.col(f"`{text_col}`").cast("string"), range(len(model["names"]))
     rate = _let(_posterior(model, _words(text)), lambda p: rate_of(steps, [F.get(p, i) for i in k]))
     draw = _draw_of(F.col(f"`{id_col}`").cast("long"), text)

@@ -76,6 +76,17 @@ def test_mixing_meets_targets(spark):
     assert right > 0.9
 
 
+def test_mix_size_does_not_depend_on_the_rarest_domain(spark):
+    natural = [0.6, 0.399, 0.001]
+    rows = [(1000.0 * x, *(float(i == k) for k in range(3))) for i, x in enumerate(natural)]
+    features = spark.createDataFrame(rows, "_tokens double, _p0 double, _p1 double, _p2 double")
+    _, totals = mixing.fit_rates(features, 3, None, size=0.7)
+    assert sum(totals["reached"]) == pytest.approx(0.7, abs=1e-5) and totals["reached"][2] == pytest.approx(0.001)
+    assert totals["target"][0] / totals["target"][1] == pytest.approx((0.6 / 0.399) ** 0.7)
+    assert mixing.shared_out([0.5, 0.5], [1.0, 0.0], 0.7) == [0.5, 0.0]
+    assert mixing.shared_out([0.9, 0.1], [1.0, 1.0], 0.15) == pytest.approx([0.075, 0.075])
+
+
 def test_mixing_edges(spark):
     odd = spark.createDataFrame([(1, None, None, 3.0), (None, "", "en", 3.0), (2, "a b", "en", 3.0)], "doc_id long, text string, lang string, rate double")
     labels = spark.createDataFrame([(2,)], "doc_id long")
