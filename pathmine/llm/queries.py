@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pathmine.llm import decontaminate, embeddings, licenses, mixing, secrets, sharding, simhash, suffixes, toxicity, warc
+from pathmine.llm import decontaminate, embeddings, licenses, merkle, mixing, secrets, sharding, simhash, suffixes, toxicity, warc
 from pathmine.llm.common import table
 
 QUERIES: dict = {}
@@ -71,3 +71,8 @@ def op9(spark, sf):
 @register("op2_suffix_array_dedup")
 def op2(spark, sf):
     return suffixes.remove_repeats(table(spark, sf, "documents")).drop("kept")
+
+
+@register("op13_document_fingerprints")
+def op13(spark, sf):
+    return merkle.edited_fingerprints(table(spark, sf, "documents"))
