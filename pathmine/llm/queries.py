@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pathmine.llm import decontaminate, embeddings, licenses, merkle, mixing, secrets, sharding, simhash, suffixes, toxicity, warc
+from pathmine.llm import decontaminate, embeddings, licenses, merkle, mixing, secrets, sharding, simhash, suffixes, toxicity, warc, whitening
 from pathmine.llm.common import table
 
 QUERIES: dict = {}
@@ -76,3 +76,8 @@ def op2(spark, sf):
 @register("op13_document_fingerprints")
 def op13(spark, sf):
     return merkle.edited_fingerprints(table(spark, sf, "documents"))
+
+
+@register("op12_embedding_whitening")
+def op12(spark, sf):
+    return whitening.whiten(table(spark, sf, "embeddings"))
