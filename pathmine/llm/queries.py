@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pathmine.llm import decontaminate, embeddings, licenses, merkle, mixing, secrets, sharding, simhash, suffixes, toxicity, warc, whitening
+from pathmine.llm import decontaminate, embeddings, licenses, merkle, mixing, periodic, secrets, sharding, simhash, suffixes, toxicity, warc, whitening
 from pathmine.llm.common import table
 
 QUERIES: dict = {}
@@ -81,3 +81,8 @@ def op13(spark, sf):
 @register("op12_embedding_whitening")
 def op12(spark, sf):
     return whitening.whiten(table(spark, sf, "embeddings"))
+
+
+@register("op11_periodic_runs")
+def op11(spark, sf):
+    return periodic.periodic_runs(table(spark, sf, "documents"), plant=True)
