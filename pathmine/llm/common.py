@@ -26,6 +26,14 @@ def bounded_batches(spark: SparkSession, rows: int = 2048, bytes_: str = "8m") -
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", bytes_)
 
 
+def partition_keys(spark: SparkSession, parts: int) -> list[int]:
+    """For each of ``parts`` hash partitions a number that ``repartition(parts, column)`` deals to it (some other
+    partition's number where none of the tried ones falls there)."""
+    tried = spark.range(24 * parts + 64).select("id", F.pmod(F.hash("id"), F.lit(parts)).alias("p")).groupBy("p").agg(F.min("id").alias("id"))
+    found = {r["p"]: r["id"] for r in tried.collect()}
+    return [found.get(p, p) for p in range(parts)]
+
+
 def id_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two columns an operator reads, under names of its own (other columns may clash)."""
     return df.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))

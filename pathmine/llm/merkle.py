@@ -10,13 +10,14 @@ differ the differing branches lead to the edited pieces.
 The printed fingerprint is the tree itself: ``root;section[paragraph{piece piece ...}...]...`` with 128 bits for the root
 and 32 for every other node. ``likeness`` and ``changed`` read nothing else.
 
-Following documents: the rows are range-sorted by id (ties by text hash, repeated rows by their place in the input, so
-no id or text holds up one task), each task walks its rows in order, and only the first and last row of every partition
-are joined across partitions.
+Following documents: a sort of the ids alone (ties by text hash, repeated rows by their place in the input, so no id or
+text holds up one task) gives the first key of every range. The rows are dealt by range once, a copy of the first row of
+the next range closes each range, and tasks walk their rows in order.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections import Counter
@@ -24,8 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathmine.llm import common as C
@@ -195,7 +195,6 @@ def locate_edits(pairs: DataFrame, before: str = "before", after: str = "after")
 
 
 _OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edit_start long"
-_EDGE = _OUT + ", part int, place string, text string"
 
 
 def _compared(doc, text: str, mine: tuple, following: str, theirs: tuple) -> tuple:
@@ -209,32 +208,19 @@ def _compared(doc, text: str, mine: tuple, following: str, theirs: tuple) -> tup
             likeness(mine[1], now), likeness(mine[1], theirs[1]), start)
 
 
-def _printed_parsed(text: str) -> tuple:
-    print_ = fingerprint(text)
-    return print_, parsed(print_)
-
-
 def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sorted rows of one partition: results for all but the last row, and the first and last row themselves."""
-    part, held, first = TaskContext.get().partitionId(), None, True
+    """Rows sorted by range, each range closed by a copy of the first row of the next: every row but those copies is
+    compared with the row after it."""
+    held = None
     for b in batches:
         out = []
-        for doc, text in zip(b["_id"].astype("Int64"), b["_text"], strict=True):
-            text = text or ""
-            now = (None if doc is pd.NA else int(doc), text, _printed_parsed(text))
+        for doc, text, copy in zip(b["_id"].astype("Int64"), b["_text"], b["_copy"], strict=True):
+            print_ = fingerprint(text or "")
+            now = (None if doc is pd.NA else int(doc), text or "", (print_, parsed(print_)))
             if held:
-                out.append((*_compared(*held, now[1], now[2]), part, "done", None))
-            else:
-                out.append((now[0], *[None] * 7, part, "first", text))
-            held, first = now, False
-        yield _frame(out)
-    if held:
-        yield _frame([(held[0], *[None] * 7, part, "last", held[1])])
-
-
-def _frame(rows: list) -> pd.DataFrame:
-    names = [c.split()[0] for c in _EDGE.split(", ")]
-    return pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64", "n_chars": "Int64", "edit_start": "Int64", "part": "Int32"})
+                out.append(_compared(*held, now[1], now[2]))
+            held = None if copy else now
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in _OUT.split(", ")]).astype({"doc_id": "Int64", "n_chars": "Int64", "edit_start": "Int64"})
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -243,26 +229,29 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     the edit changed nothing).
 
     The next document is the one after in (id, text hash, input place) order, null ids first, the first after the last; a
-    single document follows itself. Null text: empty. Repeated rows each get a row. Empty table: empty result.
+    single document follows itself. Null text: empty. Repeated rows each get a row. Empty table: empty result. The input
+    is read three times and must give the same rows in the same places (files do; write anything else first).
     """
     spark = docs.sparkSession
     C.bounded_batches(spark)
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     keys = ["_id", "_h", "_at"]
     rows = C.id_text(docs, id_col, text_col).withColumns({"_h": F.xxhash64("_text"), "_at": F.monotonically_increasing_id()})
-    walked = C.written(rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).select("_id", "_text").mapInPandas(_walk, _EDGE), "merkle")
-    # one first and one last row per partition: the partition numbers alone are ordered in one place
-    heads = walked.where("place = 'first'").select("part", F.col("text").alias("following"))
-    ring = heads.select("part").withColumn("after", F.coalesce(
-        F.lead("part").over(Window.orderBy("part")), F.min("part").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
-    tails = walked.where("place = 'last'").select("part", "doc_id", "text").join(F.broadcast(ring), "part").join(
-        heads.withColumnRenamed("part", "after"), "after").select("doc_id", "text", "following")
-
-    def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in _OUT.split(", ")]
-        for b in batches:
-            out = [_compared(None if doc is pd.NA else int(doc), text, _printed_parsed(text), following, _printed_parsed(following))
-                   for doc, text, following in zip(b["doc_id"].astype("Int64"), b["text"], b["following"], strict=True)]
-            yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64", "n_chars": "Int64", "edit_start": "Int64"})
-
-    return walked.where("place = 'done'").drop("part", "place", "text").unionByName(tails.mapInPandas(joined, _OUT))
+    # the first key of every range, from a sort of the keys alone: as many rows as there are partitions
+    firsts = [tuple(r["k"]) for r in rows.select(*keys).repartitionByRange(parts, *keys).groupBy(F.spark_partition_id()).agg(
+        F.min(F.struct(*keys)).alias("k")).select("k").collect()]
+    order = lambda k: (k[0] is not None, k[0] or 0, *k[1:])
+    firsts.sort(key=order)
+    bounds, places = [order(k) for k in firsts], C.partition_keys(spark, parts)
+
+    def ranged(i: pd.Series, h: pd.Series, at: pd.Series) -> pd.Series:
+        found = [bisect.bisect_right(bounds, order((None if k is pd.NA else int(k), x, y))) - 1 for k, x, y in zip(i.astype("Int64"), h, at, strict=True)]
+        return pd.Series(found, dtype="int64")
+
+    spread = spark.createDataFrame([(p, places[p % parts]) for p in range(len(firsts))], "_range long, _place long")
+    copied = spark.createDataFrame([(*k, (p - 1) % len(firsts)) for p, k in enumerate(firsts)], "id long, h long, at long, _range long")
+    closing = rows.join(F.broadcast(copied), rows["_id"].eqNullSafe(copied["id"]) & (rows["_h"] == copied["h"]) & (rows["_at"] == copied["at"])).select(
+        *keys, "_text", "_range", F.lit(True).alias("_copy"))
+    dealt = rows.withColumn("_range", F.pandas_udf(ranged, "long")(*keys)).select(*keys, "_text", "_range", F.lit(False).alias("_copy")).unionByName(closing)
+    placed = dealt.join(F.broadcast(spread), "_range").repartition(parts, "_place")
+    return placed.sortWithinPartitions("_range", "_copy", *keys).select("_id", "_text", "_copy").mapInPandas(_walk, _OUT)
