@@ -82,10 +82,10 @@ def render_records(ctx: DataFrame, numbering: DataFrame) -> DataFrame:
 SECTION = "path: (ast|cfg|cdg|ddg)[ \\t]*"
 
 
-def parse_records(records: DataFrame) -> DataFrame:
+def parse_records(records: DataFrame, keep: tuple = ()) -> DataFrame:
     """A4: record text -> long contexts with a raw line and its position.
 
-    Output: (rec_id, label, file, kind, pos, line, pair_no, next_line). Header lines are recognised only at the
+    Output: (columns ``keep`` of the records, rec_id, label, file, kind, pos, line, pair_no, next_line). Header lines are recognised only at the
     record's head positions (Q25); section lines switch the kind. ``pair_no`` numbers the two-field lines of a record
     from 1, ``next_line`` is the two-field line after them (B10). Each record is cut inside its own row, so that
     records of several datasets with the same number never mix; no shuffle."""
@@ -101,6 +101,7 @@ def parse_records(records: DataFrame) -> DataFrame:
         (F.size(F.split(x["line"], "\t")) == 2).alias("two")))
     body = F.filter(lines, lambda x: (x["pos"] >= 3) & x["kind"].isNotNull() & ~x["head"] & (x["line"] != ""))
     r = records.select(
+        *keep,
         F.regexp_extract("record", r"^#(\d+)", 1).try_cast("long").alias("rec_id"),
         F.regexp_extract(text, r"(?m)^label:(.*)$", 1).alias("label"),
         F.regexp_extract(text, r"(?m)^file:(.*)$", 1).alias("file"),
@@ -113,18 +114,19 @@ def parse_records(records: DataFrame) -> DataFrame:
     others = F.transform(F.filter("_body", lambda x: ~x["two"]), lambda x: F.struct(
         x["kind"].alias("kind"), x["pos"].alias("pos"), x["line"].alias("line"), F.lit(None).cast("int").alias("pair_no"),
         F.lit(None).cast("string").alias("next_line")))
-    return r.select("rec_id", "label", "file", F.inline(F.concat(others, paired)))
+    return r.select(*keep, "rec_id", "label", "file", F.inline(F.concat(others, paired)))
 
 
 def repair_contexts(parsed: DataFrame) -> DataFrame:
     """B10 + B9 input: split lines on TAB; two-field lines pair up in order inside one record
     (first gives start + path head, second gives path tail + end; a literal ``\\n`` is removed
-    from the tail). Output: (rec_id, label, file, kind, pos, start_token, path, end_token)."""
+    from the tail). Output: (kept columns, rec_id, label, file, kind, pos, start_token, path, end_token)."""
     f = parsed.withColumn("_f", F.split("line", "\t")).withColumn("_nxt", F.split("next_line", "\t"))
     odd = F.col("pair_no") % 2 == 1
     tail = F.trim(F.regexp_replace(F.get("_nxt", 0), r"\\n", ""))
+    keep = [c for c in parsed.columns if c not in ("line", "pair_no", "next_line")]
     return f.where((F.size("_f") == 3) | odd).select(
-        "rec_id", "label", "file", "kind", "pos",
+        *keep,
         F.trim(F.get("_f", 0)).alias("start_token"),
         F.when(odd, F.concat(F.trim(F.get("_f", 1)), tail)).otherwise(F.trim(F.get("_f", 1))).alias("path"),
         F.trim(F.when(odd, F.get("_nxt", 1)).otherwise(F.get("_f", 2))).alias("end_token"),

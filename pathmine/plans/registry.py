@@ -553,6 +553,21 @@ def q_c2v_parse(spark, sf):
     return _roundtrip(spark, sf).select("rec_id", "kind", "start_token", "path", "end_token")
 
 
+@register(
+    "c2v_parse_crlf",
+    f"""{_REC_SQL}
+SELECT d.dataset, rec AS rec_id, pd.kind, pd.start_token, pd.path, pd.end_token
+FROM pd JOIN num USING (graph_id), (VALUES ('unix'), ('windows')) d(dataset)""",
+)
+def q_c2v_parse_crlf(spark, sf):
+    """The records written with either kind of line end, read as two datasets."""
+    recs, paths = _records(spark, sf), {k: _new_folder(spark, f"records-{k}") for k in ("unix", "windows")}
+    R.write_records(recs, paths["unix"])
+    R.write_records(recs.withColumn("record", F.replace("record", F.lit("\n"), F.lit("\r\n"))), paths["windows"])
+    read = R.read_datasets(spark, paths)
+    return D.repair_contexts(D.parse_records(read, keep=("dataset",))).select("dataset", "rec_id", "kind", "start_token", "path", "end_token")
+
+
 @register(
     "repair_context",
     f"""{_REC_SQL}
@@ -808,6 +823,21 @@ def q_scan_pages(spark, sf):
         F.sum("length").alias("n_bytes"), F.sum(F.length("content")).cast("long").alias("n_chars"))
 
 
+@register(
+    "file_size_filter",
+    """WITH f AS (SELECT CAST(c_nationkey AS VARCHAR) AS project, CAST(sum(octet_length(encode(c_name)) + 1) AS BIGINT) AS length FROM customer GROUP BY c_nationkey)
+SELECT project, length FROM f WHERE length <= (SELECT floor(avg(length)) FROM f)""",
+)
+def q_file_size_filter(spark, sf):
+    """Customer names as a file per nation; files over the mean size are not read."""
+    base = _new_folder(spark, "names")
+    V.table(spark, sf, "customer").select(F.col("c_nationkey").alias("project"), F.col("c_name").alias("value")).repartition("project").write.partitionBy(
+        "project").text(base)
+    limit = int(FS.list_files(spark, base).agg(F.avg("length")).first()[0])
+    read = FS.scan_sources(spark, base, max_file_size=limit)
+    return read.select(F.regexp_replace("project", "^project=", "").alias("project"), F.octet_length("content").cast("long").alias("length"))
+
+
 def _order_files(spark, sf):
     """One C text per order: project o_custkey, path o<o_orderkey>.c. Each holds an include, a continued macro with
     an open brace, comments with braces, literals with escapes and braces, and two functions."""
@@ -908,6 +938,17 @@ def q_graph_dump_roundtrip(spark, sf):
     return T.ast_paths(*DOT.parse_dot(dumps, "ast"), ExtractOptions())
 
 
+@register("graph_dump_forms", S.v1_ast_paths())
+def q_graph_dump_forms(spark, sf):
+    """V1 dumps with bare ids, further attributes before and after the label, comments, and all statements on one line."""
+    dumps = DOT.render_dot(*V.v1_trees(spark, sf))
+    free = F.regexp_replace("dot", r'(?m)^"(\w+)" \[label = ("[^"]*+") \]', r'$1[shape="label=no", label=$2; style = bold] /* "$1" -> "$1" */')
+    free = F.translate(F.regexp_replace(free, r'(?m)^"(\w+)" -> "(\w+)"', "$1->$2;"), "\n", " ")
+    dumps = dumps.withColumn("dot", free)
+    unread = DOT.unread_statements(dumps).where("unread > 0")
+    return T.ast_paths(*DOT.parse_dot(dumps.join(unread, "graph_id", "left_anti"), "ast"), ExtractOptions())
+
+
 # ---------------------------------------------------------------- J1 incremental stream
 from pathmine.streaming import incremental as INC  # noqa: E402
 

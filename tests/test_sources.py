@@ -103,8 +103,9 @@ def test_write_modes(spark, tmp_path):
 def test_long_literals_and_comments(spark):
     long = '"' + "x" * 1_000_000 + '"'
     df = spark.createDataFrame([(f"a = {long}; int/**/cc(int b) // it's", f'digraph "g" {{\n"1" [label = {long} ]\n}}')], "c string, dot string")
-    r = df.select(PP.strip_comments("c").alias("c"), F.size(F.regexp_extract_all("dot", F.lit(DOT.NODE_STMT), 1)).alias("n")).first()
-    assert r.c == f"a = {long}; int cc(int b)  " and r.n == 1
+    r = df.select(PP.strip_comments("c").alias("c")).first()
+    said = DOT.statements(df.select(F.lit("g").alias("graph_id"), "dot")).collect()
+    assert r.c == f"a = {long}; int cc(int b)  " and [(s.ids, len(s.label)) for s in said] == [(["1"], len(long))]
 
 
 def test_sinks_refuse_or_skip_an_existing_output(spark, tmp_path):
@@ -122,3 +123,89 @@ def test_sinks_refuse_or_skip_an_existing_output(spark, tmp_path):
         OUT.write_splits(lines, out)
     OUT.write_splits(lines, out, "ignore")
     assert len(read()) == 2
+
+
+FORMS = """// exported
+strict digraph tree_1 { rankdir=LR; node [shape=box, label="not a node"];
+  a [shape=box, label="(METHOD,foo)", color="label=\\"(X,y)\\""]; b[label="(CALL,p [q])"]c [ label = "(ID,z)" ] [weight=2]
+  /* "x" [label="(GONE,1)"] */
+  "d e" [label="(LIT,it's; \\"{\\" -> 7)"]
+# line note
+  a -> b -> c [label = "v"]; a:p:n -> "d e"
+  subgraph cluster_0 { -1.5 [label="(NUM,1)"]; c -> -1.5 }
+  b [label="(CALL,p)"]
+}
+"""
+
+
+def test_dot_forms(spark):
+    dumps = spark.createDataFrame([("g", FORMS), ("h", 'graph {a--b; {b c} -> d; "u" [label=<<b>x</b>>]}'), ("e", ""), ("n", None)], "graph_id string, dot string")
+    g, n, e = DOT.parse_dot(dumps, "ddg")
+    assert {r.graph_id: r.name for r in g.collect()} == {"g": "tree_1", "h": "", "e": "", "n": ""}
+    nodes = sorted((r.node_id, r.type, r.token) for r in n.where("graph_id = 'g'").collect())
+    assert nodes == [("-1.5", "NUM", "1"), ("a", "METHOD", "foo"), ("b", "CALL", "p"), ("c", "ID", "z"), ("d e", "LIT", 'it\'s; \\"{\\" -> 7')]
+    edges = [(r.src, r.dst, r.label) for r in e.where("graph_id = 'g'").orderBy("ord").collect()]
+    assert edges == [("a", "b", "v"), ("b", "c", "v"), ("a", "d e", None), ("c", "-1.5", None)]
+    unread = {r.graph_id: r.unread for r in DOT.unread_statements(dumps).collect()}
+    assert unread["g"] == 0 and unread["e"] == 0 and unread["h"] > 0
+
+
+def test_dot_file_names_are_decoded(spark, tmp_path):
+    (tmp_path / "a b+%é.dot").write_text('digraph "x" {}')
+    assert [r.graph_id for r in DOT.read_dot_files(spark, str(tmp_path)).collect()] == ["a b+%é"]
+
+
+def test_scan_leaves_out_bad_bytes_and_unwanted_files(spark, tmp_path):
+    import random
+
+    proj = tmp_path / "src" / "proj1"
+    (proj / ".git").mkdir(parents=True)
+    rnd = random.Random(4)
+    blobs = [b"// caf\xe9 \xef\xbf\xbd \xef\xb7\x90 1\nint f(int a) { return 1; }\n", bytes(rnd.randrange(256) for _ in range(5000)), b"", "é　ok".encode() + b"\xf0\x9f\x98"]
+    for i, b in enumerate(blobs):
+        (proj / f"{i}.c").write_bytes(b)
+    (proj / ".git" / "pack.c++").write_bytes(b"x" * 4000)  # hidden and empty files are not listed
+    (proj / "big.c++").write_bytes(b"x" * 4000)
+    (proj / "huge.c").write_bytes(b"x" * 5001)
+    (proj / "notes.txt").write_bytes(b"\xff")
+    files = FS.scan_sources(spark, str(tmp_path / "src"), extensions=FS.SOURCE_EXTENSIONS, max_file_size=5000)
+    got = {r.path: r.content for r in files.collect()}
+    assert got == {f"proj1/{i}.c": b.decode("utf-8", "ignore") for i, b in enumerate(blobs) if b} | {"proj1/big.c++": "x" * 4000}
+    small = FS.scan_sources(spark, str(tmp_path / "src"), max_file_size=100)
+    assert sorted(r.length for r in small.collect()) == [1, len(blobs[3]), len(blobs[0])]
+    plan = small._jdf.queryExecution().toString()
+    assert "LessThanOrEqual(length,100)" in plan
+    names = [r.code for r in PP.preprocess(files, 3072, "single").collect()]
+    assert names == ["int f (int a) \n{ return 1; }"]
+    (tmp_path / "fns").mkdir()
+    for i, b in enumerate(blobs):
+        (tmp_path / "fns" / f"{i}.c").write_bytes(b)
+    assert sorted(r.fn_id for r in FS.scan_functions(spark, str(tmp_path / "fns"), max_file_size=100).collect()) == [0, 3]
+
+
+def test_records_are_split_by_bytes(spark, tmp_path):
+    from pathmine.operators import dataset as D
+    from pathmine.sources.records import read_datasets, read_records
+
+    def record(i, odd):
+        lines = [f"x{i}\tP{j}\ty" for j in range(i % 7)] + (["#\tP\ty", "#5\tQ\tz", "##"] if odd and i % 11 == 0 else [])
+        return "\n".join([f"#{i}", f"label:n|{i}", f"file:{i}.c", "path: ast", *lines, "path: cfg", "path: cdg", "path: ddg"]) + "\n"
+
+    for odd in (False, True):
+        for eol in ("\n", "\r\n"):
+            text = "\n".join(record(i, odd) for i in range(600)).replace("\n", eol)
+            path = tmp_path / f"{odd}-{len(eol)}"
+            path.mkdir()
+            (path / "d.c2v").write_bytes(text.encode())
+            keep = spark.conf.get("spark.sql.files.maxPartitionBytes")
+            spark.conf.set("spark.sql.files.maxPartitionBytes", "1500b")
+            try:
+                recs = read_records(spark, str(path))
+                assert recs.rdd.getNumPartitions() > 1
+                got = sorted((r.record for r in recs.collect()), key=lambda t: int(t[1:t.index("\n")]))
+            finally:
+                spark.conf.set("spark.sql.files.maxPartitionBytes", keep)
+            assert [r.replace("\r", "") for r in got] == [record(i, odd).rstrip("\n") for i in range(600)]
+    both = read_datasets(spark, {"a": str(tmp_path / "False-1"), "b": str(tmp_path / "True-2")})
+    assert {r.dataset: r["count"] for r in both.groupBy("dataset").count().collect()} == {"a": 600, "b": 600}
+    assert D.parse_records(both).count() > 0
