@@ -3,33 +3,43 @@
 Equal 50-byte strings must be sorted in one place. An anchor is a 20-byte string whose hash is the smallest in some
 50-byte window; equal windows hold equal anchors at equal places, so the anchor's hash says where both windows go.
 
-1. Every document gives its anchors; hashes that occur in one document only are out (one aggregate).
-2. A bitmap of fixed size over the remaining hashes goes to all tasks. A second pass over the texts cuts the context of
-   each anchor (all windows that hold it) and deals contexts by anchor. A bit set by chance only costs work.
-3. A task collapses equal contexts to the smallest document. The rest it sorts by the difference cover modulo 3: sort
-   the triples at positions 1 and 2 modulo 3, name them, recurse on the names until they cover a window, sort the
-   remaining suffixes by (symbol, rank of the next) and merge. Adjacent suffixes are compared over 50 bytes; a run of
-   equal ones marks all but those of its smallest document.
-4. Marks are united per document and cut out of its text.
-
-An anchor with more than ``heavy_rows`` contexts is not given to one task: equal contexts are collapsed and their windows
-grouped by bytes instead.
+1. The texts are written once, in blocks of some 2 MB hash-bucketed by block number. Everything later is joined to them
+   by block, so no exchange ever carries a text.
+2. Whole texts are collapsed first: of equal texts only those of the smallest id go on, the others are wholly repeated.
+3. Every block gives its distinct anchor hashes, packed by hash range (as many ranges as the bytes ask for, so that a
+   range's hashes fit a task at any size). A task per range answers each block with a bit per hash: does it stand in two
+   documents, and in how many places. The bits are exact up to equal hashes, which only cost work.
+4. A block cuts the context of each shared anchor (all windows that hold it), once for equal contexts, and deals contexts
+   by anchor. A task keeps the smallest document of equal contexts and sorts the rest by the difference cover modulo 3:
+   sort the triples at positions 1 and 2 modulo 3, name them, recurse on the names until they cover a window, sort the
+   remaining suffixes by (symbol, rank of the next) and merge. Adjacent suffixes are compared over 50 bytes; a run of equal
+   ones marks all but those of its smallest document.
+5. An anchor with more than ``hot`` places is dealt over tasks by longer strings: contexts are collapsed with
+   pre-aggregation, their windows split into classes by place of the anchor (16, 8, 4, 2, 1 places), each class keyed by
+   the 35 to 50 bytes that its windows share, and classes of at most ``hot`` contexts sorted in the same way; only larger
+   ones are split on. A class of one place is one window, so the splitting ends.
+6. Marks come back per block and are cut out of its texts.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathmine.llm import common as C
 
 WINDOW, GRAM = 50, 20
-BITMAP_BITS = 1 << 27
+SPARE = WINDOW - GRAM
+BLOCK_BYTES = 2 << 20
+LOW_BITS = 24
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -62,15 +72,27 @@ def _sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(out[:n], out[width - now:width - now + n])
 
 
-def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes) of the grams that are smallest in some window; ties all count."""
-    if len(text) < WINDOW:
+def anchors(data: np.ndarray, ends: np.ndarray, step: int = BLOCK_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, hashes) of the grams that are smallest in some window of one of the joined texts; ties all count.
+    ``ends``: where each text ends in ``data``; windows never cross an end. Done ``step`` windows at a time."""
+    w, found, hashes = SPARE + 1, [], []
+    crossing = np.zeros(len(data) + 1, np.int32)  # places of windows that would cross an end
+    inner = ends[ends < len(data)]
+    np.add.at(crossing, np.maximum(inner - WINDOW + 1, 0), 1)
+    np.subtract.at(crossing, inner, 1)
+    crossing = np.cumsum(crossing)
+    for a in range(0, max(0, len(data) - WINDOW + 1), step):
+        h = gram_hashes(data[a:a + step + WINDOW - 1])
+        low = _sliding(h, w, np.minimum)
+        low[crossing[a:a + len(low)] > 0] = 0
+        edge = np.zeros(w - 1, np.uint64)
+        at = np.flatnonzero((_sliding(np.concatenate([edge, low, edge]), w, np.maximum) == h) & (h > 0))
+        found.append(at + a)
+        hashes.append(h[at].astype(np.int64))
+    if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    h, w = gram_hashes(np.frombuffer(text, np.uint8)), WINDOW - GRAM + 1
-    low = _sliding(h, w, np.minimum)
-    edge = np.zeros(w - 1, np.uint64)
-    at = np.flatnonzero(_sliding(np.concatenate([edge, low, edge]), w, np.maximum) == h)
-    return at, h[at].astype(np.int64)
+    at, first = np.unique(np.concatenate(found), return_index=True)
+    return at, np.concatenate(hashes)[first]
 
 
 # ------------------------------------------------------------------ difference cover
@@ -150,158 +172,324 @@ def repeated_starts(contexts: list[bytes], docs: np.ndarray) -> tuple[np.ndarray
     return of[hit], offset[hit]
 
 
-def marks_of(rows: pd.DataFrame, at_once: int = 12_000) -> Iterator[pd.DataFrame]:
-    """Marks (doc, th, start, end) of context rows (h, doc, th, pos, ctx) that hold whole anchor groups. Groups are
-    sorted together up to ``at_once`` contexts; a single larger group is sorted alone."""
-    def told(r, start, end):
-        return pd.DataFrame({"doc": r["doc"].to_numpy(), "th": r["th"].to_numpy(), "start": start, "end": end})
+# ------------------------------------------------------------------ marks of one task's contexts
+_MARKS = "block long, marks binary"
+_REFS = "block long, leads binary, later binary"
 
-    code = pd.factorize(rows["ctx"])[0]
+
+class _Marks:
+    """Marks (place in block, start, end) gathered by block."""
+
+    def __init__(self):
+        self.of: dict[int, list[np.ndarray]] = {}
+
+    def add(self, block: int, refs: bytes, start: int, end: int) -> None:
+        """The bytes from ``start`` to ``end`` of a context, at each of its places (text in block, start of context)."""
+        at = np.frombuffer(refs, np.int32).reshape(-1, 2)
+        if len(at):
+            self.of.setdefault(int(block), []).append(np.stack([at[:, 0], at[:, 1] + start, at[:, 1] + end], axis=1).astype(np.int32))
+
+    def rows(self) -> pd.DataFrame:
+        out = pd.DataFrame({"block": np.array(list(self.of), np.int64), "marks": [np.concatenate(m).tobytes() for m in self.of.values()]})
+        self.of = {}
+        return out
+
+
+def _runs(which: np.ndarray, offset: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(context, first start, last start) of neighbouring repeated starts."""
+    if len(which):
+        new = np.flatnonzero(np.r_[True, (which[1:] != which[:-1]) | (offset[1:] != offset[:-1] + 1)])
+        last = np.r_[new[1:] - 1, len(which) - 1]
+        yield from zip(which[new].tolist(), offset[new].tolist(), offset[last].tolist(), strict=True)
+
+
+def marks_of(rows: pd.DataFrame, at_once: int = 12_000) -> pd.DataFrame:
+    """Marks of context rows (h, ctx, doc, block, leads, later) that hold whole anchor groups. Groups are sorted together
+    up to ``at_once`` contexts; a single larger group is sorted alone."""
+    marks, code = _Marks(), pd.factorize(rows["ctx"])[0]
     rows = rows.assign(code=code, low=rows.groupby(code)["doc"].transform("min"))
-    again = rows[(rows["doc"] > rows["low"])]
-    if len(again):
-        size = again["ctx"].str.len().to_numpy()
-        full = size >= WINDOW
-        yield told(again[full], again["pos"].to_numpy()[full], (again["pos"].to_numpy() + size)[full])
+    for block, ctx, leads, later, first in zip(rows["block"], rows["ctx"], rows["leads"], rows["later"], rows["doc"] == rows["low"], strict=True):
+        marks.add(block, later if first else leads + later, 0, len(ctx))
     kinds = rows.drop_duplicates(["h", "code"])
     kinds = kinds[kinds.groupby("h")["code"].transform("size") > 1]
+    lead = {c: list(zip(g["block"], g["leads"], strict=True)) for c, g in rows[(rows["doc"] == rows["low"]) & rows["code"].isin(kinds["code"])].groupby("code")}
     if not len(kinds):
-        return
-    lead = rows[rows["doc"] == rows["low"]]
-    group = (kinds["h"] != kinds["h"].shift()).cumsum().to_numpy()
-    starts = np.searchsorted(group, np.unique(group))
+        return marks.rows()
+    starts = np.flatnonzero((kinds["h"] != kinds["h"].shift()).to_numpy())
     cut = [0]
     for a, z in zip(starts, [*starts[1:], len(kinds)], strict=True):
         if z - cut[-1] > at_once and a > cut[-1]:
             cut.append(int(a))
     for a, z in zip(cut, [*cut[1:], len(kinds)], strict=True):
         part = kinds.iloc[a:z].drop_duplicates("code")
-        which, offset = repeated_starts(part["ctx"].tolist(), part["low"].to_numpy())
-        if not len(which):
-            continue
-        new = np.r_[True, (which[1:] != which[:-1]) | (offset[1:] != offset[:-1] + 1)]
-        runs = pd.DataFrame({"code": part["code"].to_numpy()[which[new]], "o1": offset[new], "o2": offset[np.r_[np.flatnonzero(new)[1:] - 1, len(offset) - 1]]})
-        hit = lead.merge(runs, on="code")
-        yield told(hit, (hit["pos"] + hit["o1"]).to_numpy(), (hit["pos"] + hit["o2"] + WINDOW).to_numpy())
+        codes = part["code"].to_numpy()
+        for i, first, last in _runs(*repeated_starts(part["ctx"].tolist(), part["low"].to_numpy())) if len(part) else ():
+            for block, leads in lead[codes[i]]:
+                marks.add(block, leads, first, last + WINDOW)
+    return marks.rows()
 
 
-# ------------------------------------------------------------------ Spark
-def _hash_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _whole_groups(batches: Iterator[pd.DataFrame], key: str, rows_at_once: int = 60_000) -> Iterator[pd.DataFrame]:
+    """Rows sorted by ``key``, gathered to frames that end between two keys."""
+    held: list[pd.DataFrame] = []
     for b in batches:
-        found = [np.unique(anchors((t or "").encode("utf-8", "replace"))[1], return_counts=True) for t in b["_text"]]
-        yield pd.DataFrame({"h": np.concatenate([h for h, _ in found]), "doc": np.repeat(b["_id"].to_numpy(np.int64), [len(h) for h, _ in found]),
-                            "n": np.concatenate([n for _, n in found]).astype(np.int32)})
+        held.append(b)
+        if sum(map(len, held)) > rows_at_once:
+            rows = pd.concat(held, ignore_index=True)
+            cut = int(rows[key].searchsorted(rows[key].iloc[-1]))
+            if cut:
+                yield rows.iloc[:cut]
+            held = [rows.iloc[cut:]]
+    if held and sum(map(len, held)):
+        yield pd.concat(held, ignore_index=True)
 
 
-def bitmap(hashes: DataFrame, bits: int = BITMAP_BITS) -> np.ndarray:
-    """Set bits as bytes: words of 64 bits joined by OR, then 1,024 rows whatever the data."""
-    words = hashes.select(F.pmod("h", F.lit(bits)).alias("i")).select((F.col("i") / 64).cast("long").alias("w"), F.col("i") % 64).toDF("w", "b").groupBy(
-        "w").agg(F.bit_or(F.expr("shiftleft(1L, cast(b as int))")).alias("v"))
-    per = max(1, bits // 64 // 1024)
-    out = np.zeros(bits // 64, np.int64)
-    for r in words.groupBy((F.col("w") / per).cast("int").alias("g")).agg(F.collect_list("w").alias("w"), F.collect_list("v").alias("v")).toLocalIterator():
-        out[np.array(r["w"])] = np.array(r["v"], np.int64)
-    return out.view(np.uint8)
+def _sorted_marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for rows in _whole_groups(batches, "h"):
+        yield marks_of(rows)
 
 
-def contexts(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(h, doc, th, pos, ctx) of the anchors whose hash the bitmap of ``found`` holds."""
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap(found).tobytes())
+# ------------------------------------------------------------------ blocks of texts
+def written_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(block, size, ids, texts) of the rows (_id, _text), written once in the shared folder, bucketed by block."""
+    spark = docs.sparkSession
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = np.frombuffer(shared.value, np.uint8)
+        part, n, size, ids, texts = TaskContext.get().partitionId() << 33, 0, 0, [], []
+        for b in batches:
+            for i, t in zip(b["_id"].astype("Int64"), b["_text"], strict=True):
+                ids.append(None if i is pd.NA else int(i))
+                texts.append(t)
+                size += len(t or "")
+                if size >= block_bytes or len(ids) >= 1 << 16:
+                    yield pd.DataFrame({"block": [part + n], "size": [size], "ids": [ids], "texts": [texts]})
+                    n, size, ids, texts = n + 1, 0, [], []
+        if ids:
+            yield pd.DataFrame({"block": [part + n], "size": [size], "ids": [ids], "texts": [texts]})
+
+    name, path = f"blocks_{uuid.uuid4().hex}", C.shared_path(spark, "blocks")
+    rows = docs.mapInPandas(run, "block long, size long, ids array<long>, texts array<string>")
+    rows.write.format("parquet").bucketBy(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "block").option("path", path).saveAsTable(name)
+    blocks = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the name only: the files stay in the shared folder, the frame holds their places
+    return blocks
+
+
+def joined(blocks: DataFrame, other: DataFrame, how: str = "inner") -> DataFrame:
+    """Blocks with the columns of ``other`` (one row per block): only ``other`` is exchanged."""
+    return blocks.join(other.hint("shuffle_hash"), "block", how)
+
+
+class _Block:
+    """The texts of one block joined, those that take part: with an id, not a copy of a smaller document's."""
+
+    def __init__(self, ids, texts, copies):
+        skip = set(() if copies is None else copies)
+        self.place = [i for i, doc in enumerate(ids) if doc is not None and doc == doc and i not in skip]
+        parts = [(texts[i] or "").encode("utf-8", "replace") for i in self.place]
+        self.bytes, self.doc = b"".join(parts), np.array([int(ids[i]) for i in self.place], np.int64)
+        self.ends = np.cumsum([len(p) for p in parts]).astype(np.int64)
+        self.at, self.h = anchors(np.frombuffer(self.bytes, np.uint8), self.ends)
+        self.of = np.searchsorted(self.ends, self.at, side="right")
+
+    def distinct(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """(distinct leading bits of the hashes, which one each anchor has)."""
+        return np.unique(self.h >> (63 - bits), return_inverse=True)
+
+
+def _hash_rows(bits: int):
+    """A row per block and hash range: the distinct hashes' low bits, places, and whether two texts hold them."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for block, ids, texts, copies in zip(b["block"], b["ids"], b["texts"], b["copies"], strict=True):
+                x = _Block(ids, texts, copies)
+                if not len(x.at):
+                    continue
+                found, of = x.distinct(bits)
+                places = np.minimum(np.bincount(of), 65535).astype(np.uint16)
+                pairs = np.unique(of * len(x.doc) + x.of)
+                several = np.bincount(pairs // len(x.doc), minlength=len(found)) > 1
+                low = (found & ((1 << LOW_BITS) - 1)).astype(np.uint32).view(np.uint8).reshape(-1, 4)[:, :3]
+                ranges, start = np.unique(found >> LOW_BITS, return_index=True)
+                cut = list(zip(start, [*start[1:], len(found)], strict=True))
+                yield pd.DataFrame({"g": ranges, "block": block, "low": [low[a:z].tobytes() for a, z in cut],
+                                    "places": [places[a:z].tobytes() for a, z in cut], "several": [np.packbits(several[a:z]).tobytes() for a, z in cut]})
+
+    return run
+
+
+def _answers(hot: int):
+    """For each row of one hash range: which of its hashes stand in two documents, and which in over ``hot`` places."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in _whole_groups(batches, "g", 2_000):
+            for _, r in rows.groupby("g"):
+                places = [np.frombuffer(p, np.uint16) for p in r["places"]]
+                low = np.frombuffer(b"".join(r["low"]), np.uint8).reshape(-1, 3).astype(np.int64) @ np.array([1, 1 << 8, 1 << 16])
+                several = np.concatenate([np.unpackbits(np.frombuffer(s, np.uint8), count=len(p)) for s, p in zip(r["several"], places, strict=True)])
+                _, of = np.unique(low, return_inverse=True)
+                shared = np.bincount(of, weights=1 + several)[of] > 1
+                many = shared & (np.bincount(of, weights=np.concatenate(places))[of] > hot)
+                ends = np.cumsum([len(p) for p in places])
+                yield pd.DataFrame({"block": r["block"].to_numpy(), "g": r["g"].to_numpy(), "n_hot": [int(m.sum()) for m in np.split(many, ends[:-1])],
+                                    "shared": [np.packbits(x).tobytes() for x in np.split(shared & ~many, ends[:-1])],
+                                    "hot": [np.packbits(x).tobytes() for x in np.split(many, ends[:-1])]})
+
+    return run
+
+
+def _context_rows(bits: int, which: str):
+    """Contexts of the anchors that the answer ``which`` names: (h, ctx, anchor, doc, block, leads, later), equal ones of a
+    block once. ``leads`` are places in texts of the smallest document, ``later`` the others."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for block, ids, texts, copies, answers in zip(b["block"], b["ids"], b["texts"], b["copies"], b["answers"], strict=True):
+                x = _Block(ids, texts, copies)
+                found, of = x.distinct(bits)
+                _, sizes = np.unique(found >> LOW_BITS, return_counts=True)
+                said = np.concatenate([np.unpackbits(np.frombuffer(a[which], np.uint8), count=n) for a, n in zip(answers, sizes, strict=True)])
+                keep = np.flatnonzero(said[of])
+                begin = np.r_[0, x.ends[:-1]][x.of[keep]]
+                left, right = np.maximum(x.at[keep] - SPARE, begin), np.minimum(x.at[keep] + WINDOW, x.ends[x.of[keep]])
+                held: dict[tuple[int, bytes, int], list] = {}
+                for h, a, z, at, t, s in zip(x.h[keep].tolist(), left.tolist(), right.tolist(), x.at[keep].tolist(), x.of[keep].tolist(), begin.tolist(), strict=True):
+                    held.setdefault((h, x.bytes[a:z], at - a), []).append((t, a - s))
+                out = []
+                for (h, ctx, anchor), refs in held.items():
+                    docs = x.doc[[t for t, _ in refs]]
+                    low = docs.min()
+                    place = np.array([(x.place[t], a) for t, a in refs], np.int32)
+                    out.append((h, ctx, anchor, int(low), block, place[docs == low].tobytes(), place[docs > low].tobytes()))
+                if out:
+                    yield pd.DataFrame(out, columns=["h", "ctx", "anchor", "doc", "block", "leads", "later"])
+
+    return run
+
+
+_CONTEXT = f"h long, ctx binary, anchor int, doc long, {_REFS}"
+
+
+# ------------------------------------------------------------------ anchors with very many places
+_DEALT = f"key long, ctx binary, anchor int, least int, o int, doc long, {_REFS}"
+
+
+def _split(step: int):
+    """Rows of the windows whose anchor begins ``least`` to ``least + 2 step - 1`` bytes after their start -> two halves,
+    keyed by the bytes that all windows of a half share (51 - step of them)."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for doc, th, text in zip(b["_id"], b["_th"], b["_text"], strict=True):
-                data = (text or "").encode("utf-8", "replace")
-                at, h = anchors(data)
-                i = h % BITMAP_BITS
-                keep = held[i >> 3] >> (i & 7).astype(np.uint8) & 1 == 1
-                at, h = at[keep], h[keep]
-                if len(at):
-                    left = np.maximum(at - (WINDOW - GRAM), 0)
-                    out.append((h, np.full(len(h), doc, np.int64), np.full(len(h), th, np.int64), left,
-                                [data[a:z] for a, z in zip(left.tolist(), (at + WINDOW).tolist(), strict=True)]))
+            for key, ctx, anchor, least, o, doc, block, leads, later in b[[c.split()[0] for c in _DEALT.split(", ")]].itertuples(index=False):
+                for low in (least, least + step):
+                    a, z = max(0, anchor - low - step + 1), min(len(ctx), anchor + WINDOW - low)
+                    if low <= min(SPARE, anchor) and z - a >= WINDOW and z >= anchor + GRAM + max(0, SPARE + 1 - low - step):
+                        shared = ctx[anchor - low:anchor + GRAM + max(0, SPARE + 1 - low - step)]
+                        name = hashlib.blake2b(b"%d,%d," % (key, low) + shared, digest_size=8).digest()
+                        out.append((int.from_bytes(name, "little", signed=True), ctx[a:z], anchor - a, low, o + a, doc, block, leads, later))
             if out:
-                *numbers, cuts = zip(*out, strict=True)
-                yield pd.DataFrame(dict(zip(("h", "doc", "th", "pos"), map(np.concatenate, numbers), strict=True)) | {"ctx": [c for x in cuts for c in x]})
+                yield pd.DataFrame(out, columns=[c.split()[0] for c in _DEALT.split(", ")])
 
-    return docs.mapInPandas(run, "h long, doc long, th long, pos int, ctx binary")
+    return run
 
 
-def _sorted_marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by anchor: whole anchor groups, gathered to some 100,000 rows."""
-    held: list[pd.DataFrame] = []
+def _kind_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Distinct contexts sorted by key -> the same with the runs of starts that smaller documents hold."""
+    for rows in _whole_groups(batches, "key", 20_000):
+        rows = rows.reset_index(drop=True)
+        found: list[list] = [[] for _ in range(len(rows))]
+        several = rows[rows.groupby("key")["ctx"].transform("size") > 1]
+        for _, g in several.groupby("key"):
+            at = g.index.to_numpy()
+            for i, first, last in _runs(*repeated_starts(g["ctx"].tolist(), g["low"].to_numpy())):
+                found[at[i]].append([first, last + WINDOW])
+        yield rows.assign(runs=[np.array(f, np.int32).tobytes() for f in found])
+
+
+def _told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Dealt rows with their context's smallest document and runs -> marks."""
     for b in batches:
-        held.append(b)
-        if sum(map(len, held)) > 100_000:
-            rows = pd.concat(held, ignore_index=True)
-            cut = int(rows["h"].searchsorted(rows["h"].iloc[-1]))
-            if cut:
-                yield from marks_of(rows.iloc[:cut])
-            held = [rows.iloc[cut:]]
-    if held:
-        rows = pd.concat(held, ignore_index=True)
-        if len(rows):
-            yield from marks_of(rows)
-
-
-def _heavy_marks(rows: DataFrame) -> DataFrame:
-    """The same marks for anchors with very many contexts, without giving an anchor to one task: contexts are collapsed
-    and their windows grouped by bytes, both pre-aggregated before the shuffle."""
-    n = F.octet_length("ctx")
-    kinds = C.written(rows.groupBy("ctx").agg(F.min("doc").alias("low")), "heavy-contexts")
-    placed = rows.join(kinds, "ctx")
-    full = placed.where((F.col("doc") > F.col("low")) & (n >= WINDOW)).select("doc", "th", F.col("pos").alias("start"), (F.col("pos") + n).alias("end"))
-    w = kinds.where(n >= WINDOW).select("ctx", "low", F.explode(F.sequence(F.lit(0), n - WINDOW)).alias("o")).withColumn(
-        "w", F.expr(f"substring(ctx, o + 1, {WINDOW})"))
-    first = w.groupBy("w").agg(F.min("low").alias("first"))
-    hits = w.join(first, "w").where(F.col("low") > F.col("first")).select("ctx", "o")
-    lead = placed.where(F.col("doc") == F.col("low")).join(hits, "ctx")
-    return full.unionByName(lead.select("doc", "th", (F.col("pos") + F.col("o")).alias("start"), (F.col("pos") + F.col("o") + WINDOW).alias("end")))
-
-
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", heavy_rows: int = 200_000) -> DataFrame:
-    """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes).
+        marks = _Marks()
+        for ctx, o, doc, block, leads, later, low, runs in zip(*(b[c] for c in ("ctx", "o", "doc", "block", "leads", "later", "low", "runs")), strict=True):
+            marks.add(block, later if doc == low else leads + later, o, o + len(ctx))
+            for first, end in np.frombuffer(runs, np.int32).reshape(-1, 2).tolist() if doc == low else ():
+                marks.add(block, leads, o + first, o + end)
+        yield marks.rows()
+
+
+def hot_marks(rows: DataFrame, hot: int) -> list[DataFrame]:
+    """Marks of context rows whose anchors have too many places for one task."""
+    parts, out = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), []
+    todo = rows.select(F.col("h").alias("key"), "ctx", "anchor", F.lit(0).alias("least"), F.lit(0).alias("o"), "doc", "block", "leads", "later")
+    for step in (16, 8, 4, 2, 1):
+        todo = C.written(todo.mapInPandas(_split(step), _DEALT), "dealt")
+        kinds = todo.groupBy("key", "ctx").agg(F.min("doc").alias("low"))
+        sizes = C.written(kinds.groupBy("key").count().where(F.col("count") > hot).select("key"), "large-classes")
+        last = step == 1 or sizes.isEmpty()
+        small = kinds if last else kinds.join(sizes, "key", "left_anti")
+        runs = small.repartition(parts, "key").sortWithinPartitions("key").mapInPandas(_kind_runs, "key long, ctx binary, low long, runs binary")
+        here = todo if last else todo.join(sizes, "key", "left_anti")
+        out.append(here.join(runs, ["key", "ctx"]).mapInPandas(_told, _MARKS))
+        if last:
+            break
+        todo = todo.join(sizes, "key", "left_semi")
+    return out
 
-    A null text is empty. Rows with a null id are kept whole and are no source. Rows with the same id are one
-    document to the others (no smaller id); equal rows give equal results. Empty table: empty result.
-    """
-    spark = docs.sparkSession
-    C.small_batches(spark, 512)
-    d = C.id_text(docs, id_col, text_col).withColumn("_th", F.xxhash64("_text"))
-    sources = d.where("_id is not null")
-    found = C.written(sources.select("_id", "_text").mapInPandas(_hash_rows, "h long, doc long, n int").groupBy("h").agg(
-        F.min("doc").alias("a"), F.max("doc").alias("z"), F.sum("n").alias("n")).where("a < z").select("h", "n"), "anchors")
-    rows = contexts(sources, found.select("h"))
-    heavy = found.where(F.col("n") > heavy_rows).select("h")
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    schema = "doc long, th long, start int, end int"
 
-    def sort_and_mark(r: DataFrame) -> DataFrame:
-        return r.repartition(parts, "h").sortWithinPartitions("h").mapInPandas(_sorted_marks, schema)
+# ------------------------------------------------------------------ the operator
+def copies_of(blocks: DataFrame) -> DataFrame:
+    """(block, copies): the texts in each block (by place) that a smaller document also holds whole."""
+    each = blocks.select("block", F.posexplode(F.arrays_zip("ids", "texts")).alias("i", "d")).where("d.ids is not null").select(
+        "block", "i", F.col("d.ids").alias("doc"), F.sha2(F.coalesce("d.texts", F.lit("")), 256).alias("text"))
+    # equal texts of one block come as one row, so a text that a third of all rows hold is no more rows than blocks
+    per = each.groupBy("text", "block").agg(F.min("doc").alias("low"), F.collect_list(F.struct("doc", "i")).alias("held"))
+    lows = per.groupBy("text").agg(F.min("low").alias("least"), F.sum(F.size("held")).alias("n")).where("n > 1").drop("n")
+    later = per.join(lows, "text").select("block", F.filter("held", lambda x: x["doc"] > F.col("least")).alias("held")).where(F.size("held") > 0)
+    return later.groupBy("block").agg(F.flatten(F.collect_list(F.transform("held", lambda x: x["i"]))).alias("copies"))
 
-    if heavy.isEmpty():
-        marks = sort_and_mark(rows)
-    else:
-        marks = sort_and_mark(rows.join(heavy, "h", "left_anti")).unionByName(_heavy_marks(C.written(rows.join(heavy, "h", "left_semi"), "heavy-rows")))
-    spans = C.written(marks.groupBy("doc", "th").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("marks")), "marks")
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for doc, text, found_marks in zip(b["_id"], b["_text"], b["marks"], strict=True):
+def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        for ids, texts, copies, found in zip(b["ids"], b["texts"], b["copies"], b["marks"], strict=True):
+            copies = set(() if copies is None else copies)
+            marks = np.frombuffer(b"".join(() if found is None else found), np.int32).reshape(-1, 3)
+            marks = marks[np.lexsort((marks[:, 1], marks[:, 0]))]
+            first, last, out = np.searchsorted(marks[:, 0], np.arange(len(ids))), np.searchsorted(marks[:, 0], np.arange(len(ids)), side="right"), []
+            for i, (doc, text) in enumerate(zip(ids, texts, strict=True)):
                 data = (text or "").encode("utf-8", "replace")
-                united: list[list[int]] = []
-                for m in found_marks if found_marks is not None else ():
-                    if united and m["start"] <= united[-1][1]:
-                        united[-1][1] = max(united[-1][1], m["end"])
+                united: list[list[int]] = [[0, len(data)]] if i in copies and len(data) >= WINDOW else []
+                for start, end in marks[first[i]:last[i], 1:].tolist() if not united else ():
+                    if united and start <= united[-1][1]:
+                        united[-1][1] = max(united[-1][1], end)
                     else:
-                        united.append([m["start"], m["end"]])
+                        united.append([start, end])
                 ends = [0, *(e for _, e in united)]
                 kept = b"".join(data[a:z] for a, z in zip(ends, [*(s for s, _ in united), len(data)], strict=True))
-                out.append((doc, len(data), len(data) - len(kept), len(united), hashlib.sha256(kept).hexdigest(), kept))
+                out.append((None if doc is None or doc != doc else int(doc), len(data), len(data) - len(kept), len(united), hashlib.sha256(kept).hexdigest(), kept))
             yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]).astype({"doc_id": "Int64"})
 
-    joined = d.join(spans, (d["_id"] == spans["doc"]) & (d["_th"] == spans["th"]), "left").select("_id", "_text", "marks")
-    return joined.mapInPandas(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = 32_768, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes).
+
+    A null text is empty. Rows with a null id are kept whole and are no source. Rows with the same id are one document to
+    the others (no smaller id); equal rows give equal results. A long text is a block of its own, hashed piece by piece.
+    Other columns are not read. Empty table: empty result. ``hot`` bounds the contexts that one task sorts together.
+    """
+    spark = docs.sparkSession
+    C.bounded_batches(spark)
+    blocks = written_blocks(C.id_text(docs, id_col, text_col), block_bytes)
+    size = blocks.agg(F.sum("size")).first()[0] or 0
+    bits = max(4, (size // 8).bit_length() - 18) + LOW_BITS  # ranges of at most some 2^18 hashes
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    copies = C.written(copies_of(blocks), "copies")
+    blocks = joined(blocks, copies, "left")
+    hashes = blocks.mapInPandas(_hash_rows(bits), "g long, block long, low binary, places binary, several binary")
+    answers = C.written(hashes.repartition(parts, "g").sortWithinPartitions("g").mapInPandas(
+        _answers(hot), "block long, g long, n_hot int, shared binary, hot binary"), "answers")
+    per_block = answers.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("g", "shared", "hot"))).alias("answers"))
+    asked = joined(blocks, per_block)
+    rows = asked.mapInPandas(_context_rows(bits, "shared"), _CONTEXT)
+    marks = [rows.drop("anchor").repartition(parts, "h").sortWithinPartitions("h").mapInPandas(_sorted_marks, _MARKS)]
+    if not answers.where("n_hot > 0").isEmpty():
+        marks += hot_marks(asked.mapInPandas(_context_rows(bits, "hot"), _CONTEXT), hot)
+    spans = C.written(reduce(DataFrame.unionByName, marks).groupBy("block").agg(F.collect_list("marks").alias("marks")), "marks")
+    return joined(blocks, spans, "left").mapInPandas(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

@@ -131,11 +131,11 @@ def brute_removed(rows):
     return out
 
 
-@pytest.mark.parametrize("heavy", [1_000_000, 2])
-def test_repeats(docs, heavy):
+@pytest.mark.parametrize(("hot", "block_bytes"), [(1_000_000, 1 << 21), (2, 3000), (1, 200_000), (40, 200)])
+def test_repeats(docs, hot, block_bytes):
     want = brute_removed([(r["doc_id"], r["text"]) for r in docs.collect() if r["doc_id"] is not None])
     joined = docs.select("doc_id", F.xxhash64("text").alias("h"), "text").collect()
-    got = rows_of(suffixes.remove_repeats(docs, heavy_rows=heavy))
+    got = rows_of(suffixes.remove_repeats(docs, hot=hot, block_bytes=block_bytes))
     assert len(got) == len(joined)
     found = {(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got if r["doc_id"] is not None}
     assert found == {(i, *v) for (i, _), v in want.items()}
