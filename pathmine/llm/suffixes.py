@@ -177,56 +177,58 @@ _MARKS = "block long, marks binary"
 _REFS = "block long, leads binary, later binary"
 
 
-class _Marks:
-    """Marks (place in block, start, end) gathered by block."""
-
-    def __init__(self):
-        self.of: dict[int, list[np.ndarray]] = {}
-
-    def add(self, block: int, refs: bytes, start: int, end: int) -> None:
-        """The bytes from ``start`` to ``end`` of a context, at each of its places (text in block, start of context)."""
-        at = np.frombuffer(refs, np.int32).reshape(-1, 2)
-        if len(at):
-            self.of.setdefault(int(block), []).append(np.stack([at[:, 0], at[:, 1] + start, at[:, 1] + end], axis=1).astype(np.int32))
-
-    def rows(self) -> pd.DataFrame:
-        out = pd.DataFrame({"block": np.array(list(self.of), np.int64), "marks": [np.concatenate(m).tobytes() for m in self.of.values()]})
-        self.of = {}
-        return out
-
-
-def _runs(which: np.ndarray, offset: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """(context, first start, last start) of neighbouring repeated starts."""
-    if len(which):
-        new = np.flatnonzero(np.r_[True, (which[1:] != which[:-1]) | (offset[1:] != offset[:-1] + 1)])
-        last = np.r_[new[1:] - 1, len(which) - 1]
-        yield from zip(which[new].tolist(), offset[new].tolist(), offset[last].tolist(), strict=True)
+def _marks(parts: list[tuple]) -> pd.DataFrame:
+    """A row per block: its marks (text in block, start, end) as int32 triples. Each part is (blocks, references, first,
+    end): references are byte strings of int32 pairs (text in block, start of context) and first and end places in it."""
+    blocks, marks = [np.zeros(0, np.int64)], [np.zeros((0, 3), np.int32)]
+    for block, refs, first, end in parts:
+        n = np.array([len(r) >> 3 for r in refs], np.int64)
+        at = np.frombuffer(b"".join(refs), np.int32).reshape(-1, 2)
+        blocks.append(np.repeat(np.asarray(block, np.int64), n))
+        marks.append(np.stack([at[:, 0], at[:, 1] + np.repeat(first, n), at[:, 1] + np.repeat(end, n)], axis=1).astype(np.int32))
+    block, mark = np.concatenate(blocks), np.concatenate(marks)
+    order = np.argsort(block, kind="stable")
+    kinds, start = np.unique(block[order], return_index=True)
+    data, cut = mark[order].tobytes(), [*(12 * start).tolist(), 12 * len(order)]
+    return pd.DataFrame({"block": kinds, "marks": [data[a:z] for a, z in zip(cut[:-1], cut[1:], strict=True)]})
+
+
+def _whole(rows: pd.DataFrame) -> tuple:
+    """Places of equal contexts in other than the smallest document (column ``low``): repeated from end to end."""
+    first = (rows["doc"] == rows["low"]).to_numpy()
+    refs = [later if f else leads + later for f, leads, later in zip(first, rows["leads"], rows["later"], strict=True)]
+    return rows["block"].to_numpy(), refs, np.zeros(len(rows), np.int64), rows["ctx"].str.len().to_numpy(np.int64)
+
+
+def _runs(which: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, first start, end) of neighbouring repeated windows."""
+    new = np.flatnonzero(np.r_[True, (which[1:] != which[:-1]) | (offset[1:] != offset[:-1] + 1)]) if len(which) else np.zeros(0, np.int64)
+    return which[new], offset[new], offset[np.r_[new[1:] - 1, len(which) - 1]] + WINDOW if len(which) else offset
 
 
 def marks_of(rows: pd.DataFrame, at_once: int = 12_000) -> pd.DataFrame:
     """Marks of context rows (h, ctx, doc, block, leads, later) that hold whole anchor groups. Groups are sorted together
     up to ``at_once`` contexts; a single larger group is sorted alone."""
-    marks, code = _Marks(), pd.factorize(rows["ctx"])[0]
+    code = pd.factorize(rows["ctx"])[0]
     rows = rows.assign(code=code, low=rows.groupby(code)["doc"].transform("min"))
-    for block, ctx, leads, later, first in zip(rows["block"], rows["ctx"], rows["leads"], rows["later"], rows["doc"] == rows["low"], strict=True):
-        marks.add(block, later if first else leads + later, 0, len(ctx))
+    parts = [_whole(rows)]
     kinds = rows.drop_duplicates(["h", "code"])
     kinds = kinds[kinds.groupby("h")["code"].transform("size") > 1]
-    lead = {c: list(zip(g["block"], g["leads"], strict=True)) for c, g in rows[(rows["doc"] == rows["low"]) & rows["code"].isin(kinds["code"])].groupby("code")}
-    if not len(kinds):
-        return marks.rows()
     starts = np.flatnonzero((kinds["h"] != kinds["h"].shift()).to_numpy())
     cut = [0]
-    for a, z in zip(starts, [*starts[1:], len(kinds)], strict=True):
+    for a, z in zip(starts, [*starts[1:], len(kinds)] if len(starts) else [], strict=True):
         if z - cut[-1] > at_once and a > cut[-1]:
             cut.append(int(a))
+    found = []
     for a, z in zip(cut, [*cut[1:], len(kinds)], strict=True):
         part = kinds.iloc[a:z].drop_duplicates("code")
-        codes = part["code"].to_numpy()
-        for i, first, last in _runs(*repeated_starts(part["ctx"].tolist(), part["low"].to_numpy())) if len(part) else ():
-            for block, leads in lead[codes[i]]:
-                marks.add(block, leads, first, last + WINDOW)
-    return marks.rows()
+        if len(part):
+            which, first, end = _runs(*repeated_starts(part["ctx"].tolist(), part["low"].to_numpy()))
+            found.append(pd.DataFrame({"code": part["code"].to_numpy()[which], "first": first, "end": end}))
+    if found:
+        hit = rows.loc[rows["doc"] == rows["low"], ["code", "block", "leads"]].merge(pd.concat(found), on="code")
+        parts.append((hit["block"].to_numpy(), hit["leads"].tolist(), hit["first"].to_numpy(np.int64), hit["end"].to_numpy(np.int64)))
+    return _marks(parts)
 
 
 def _whole_groups(batches: Iterator[pd.DataFrame], key: str, rows_at_once: int = 60_000) -> Iterator[pd.DataFrame]:
@@ -350,17 +352,24 @@ def _context_rows(bits: int, which: str):
                 keep = np.flatnonzero(said[of])
                 begin = np.r_[0, x.ends[:-1]][x.of[keep]]
                 left, right = np.maximum(x.at[keep] - SPARE, begin), np.minimum(x.at[keep] + WINDOW, x.ends[x.of[keep]])
-                held: dict[tuple[int, bytes, int], list] = {}
-                for h, a, z, at, t, s in zip(x.h[keep].tolist(), left.tolist(), right.tolist(), x.at[keep].tolist(), x.of[keep].tolist(), begin.tolist(), strict=True):
-                    held.setdefault((h, x.bytes[a:z], at - a), []).append((t, a - s))
-                out = []
-                for (h, ctx, anchor), refs in held.items():
-                    docs = x.doc[[t for t, _ in refs]]
-                    low = docs.min()
-                    place = np.array([(x.place[t], a) for t, a in refs], np.int32)
-                    out.append((h, ctx, anchor, int(low), block, place[docs == low].tobytes(), place[docs > low].tobytes()))
-                if out:
-                    yield pd.DataFrame(out, columns=["h", "ctx", "anchor", "doc", "block", "leads", "later"])
+                kind: dict[tuple[int, bytes, int], int] = {}
+                code = np.array([kind.setdefault((h, x.bytes[a:z], at - a), len(kind)) for h, a, z, at in zip(
+                    x.h[keep].tolist(), left.tolist(), right.tolist(), x.at[keep].tolist(), strict=True)], np.int64)
+                if not len(code):
+                    continue
+                doc, low = x.doc[x.of[keep]], np.full(len(kind), np.iinfo(np.int64).max)
+                np.minimum.at(low, code, doc)
+                lead = doc == low[code]
+                order = np.lexsort((~lead, code))
+                refs = np.stack([np.array(x.place)[x.of[keep]], left - begin], axis=1).astype(np.int32)[order].tobytes()
+                n, n_lead = np.bincount(code, minlength=len(kind)), np.bincount(code, weights=lead, minlength=len(kind)).astype(np.int64)
+                end = 8 * np.cumsum(n)
+                start = end - 8 * n
+                cut = start + 8 * n_lead
+                h, ctx, anchor = zip(*kind, strict=True)
+                yield pd.DataFrame({"h": h, "ctx": ctx, "anchor": anchor, "doc": low, "block": block,
+                                    "leads": [refs[a:z] for a, z in zip(start.tolist(), cut.tolist(), strict=True)],
+                                    "later": [refs[a:z] for a, z in zip(cut.tolist(), end.tolist(), strict=True)]})
 
     return run
 
@@ -399,20 +408,20 @@ def _kind_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         several = rows[rows.groupby("key")["ctx"].transform("size") > 1]
         for _, g in several.groupby("key"):
             at = g.index.to_numpy()
-            for i, first, last in _runs(*repeated_starts(g["ctx"].tolist(), g["low"].to_numpy())):
-                found[at[i]].append([first, last + WINDOW])
+            for i, first, end in zip(*_runs(*repeated_starts(g["ctx"].tolist(), g["low"].to_numpy())), strict=True):
+                found[at[i]].append([first, end])
         yield rows.assign(runs=[np.array(f, np.int32).tobytes() for f in found])
 
 
 def _told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Dealt rows with their context's smallest document and runs -> marks."""
     for b in batches:
-        marks = _Marks()
-        for ctx, o, doc, block, leads, later, low, runs in zip(*(b[c] for c in ("ctx", "o", "doc", "block", "leads", "later", "low", "runs")), strict=True):
-            marks.add(block, later if doc == low else leads + later, o, o + len(ctx))
-            for first, end in np.frombuffer(runs, np.int32).reshape(-1, 2).tolist() if doc == low else ():
-                marks.add(block, leads, o + first, o + end)
-        yield marks.rows()
+        block, refs, first, end = _whole(b)
+        o = b["o"].to_numpy(np.int64)
+        runs = [np.frombuffer(r, np.int32).reshape(-1, 2) if d == low else np.zeros((0, 2), np.int32) for r, d, low in zip(b["runs"], b["doc"], b["low"], strict=True)]
+        of, run_ = np.repeat(np.arange(len(b)), [len(r) for r in runs]), np.concatenate([np.zeros((0, 2), np.int32), *runs])
+        yield _marks([(block, refs, first + o, end + o),
+                      (block[of], b["leads"].iloc[of].tolist(), run_[:, 0] + o[of], run_[:, 1] + o[of])])
 
 
 def hot_marks(rows: DataFrame, hot: int) -> list[DataFrame]:
