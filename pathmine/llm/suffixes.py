@@ -16,7 +16,7 @@ Equal 50-byte strings must be sorted in one place. An anchor is a 20-byte string
    ones marks all but those of its smallest document.
 5. An anchor with more than ``hot`` places is dealt over tasks by longer strings: contexts are collapsed with
    pre-aggregation, their windows split into classes by place of the anchor (16, 8, 4, 2, 1 places), each class keyed by
-   the 35 to 50 bytes that its windows share, and classes of at most ``hot`` contexts sorted in the same way; only larger
+   the 35 to 50 bytes that its windows share, and classes of at most 12,000 contexts sorted in the same way; only larger
    ones are split on. A class of one place is one window, so the splitting ends.
 6. Marks come back per block and are cut out of its texts.
 """
@@ -40,6 +40,8 @@ WINDOW, GRAM = 50, 20
 SPARE = WINDOW - GRAM
 BLOCK_BYTES = 2 << 20
 LOW_BITS = 24
+#: Contexts that are sorted together: some million symbols.
+AT_ONCE = 12_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -206,13 +208,13 @@ def _runs(which: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return which[new], offset[new], offset[np.r_[new[1:] - 1, len(which) - 1]] + WINDOW if len(which) else offset
 
 
-def marks_of(rows: pd.DataFrame, at_once: int = 12_000) -> pd.DataFrame:
-    """Marks of context rows (h, ctx, doc, block, leads, later) that hold whole anchor groups. Groups are sorted together
-    up to ``at_once`` contexts; a single larger group is sorted alone."""
+def marks_of(rows: pd.DataFrame, at_once: int = AT_ONCE) -> pd.DataFrame:
+    """Marks of context rows (h, ctx, anchor, doc, block, leads, later) that hold whole anchor groups. Groups are sorted
+    together up to ``at_once`` contexts; a single larger group is split by longer anchors first (``_classes``)."""
     code = pd.factorize(rows["ctx"])[0]
     rows = rows.assign(code=code, low=rows.groupby(code)["doc"].transform("min"))
     parts = [_whole(rows)]
-    kinds = rows.drop_duplicates(["h", "code"])
+    kinds = rows.drop_duplicates(["h", "code", "anchor"])
     kinds = kinds[kinds.groupby("h")["code"].transform("size") > 1]
     starts = np.flatnonzero((kinds["h"] != kinds["h"].shift()).to_numpy())
     cut = [0]
@@ -221,7 +223,11 @@ def marks_of(rows: pd.DataFrame, at_once: int = 12_000) -> pd.DataFrame:
             cut.append(int(a))
     found = []
     for a, z in zip(cut, [*cut[1:], len(kinds)], strict=True):
-        part = kinds.iloc[a:z].drop_duplicates("code")
+        part = kinds.iloc[a:z]
+        if len(part) > at_once and part["h"].iloc[0] == part["h"].iloc[-1]:
+            found += _large_group(part, at_once)
+            continue
+        part = part.drop_duplicates("code")
         if len(part):
             which, first, end = _runs(*repeated_starts(part["ctx"].tolist(), part["low"].to_numpy()))
             found.append(pd.DataFrame({"code": part["code"].to_numpy()[which], "first": first, "end": end}))
@@ -231,6 +237,37 @@ def marks_of(rows: pd.DataFrame, at_once: int = 12_000) -> pd.DataFrame:
     return _marks(parts)
 
 
+def _class(ctx: bytes, anchor: int, low: int, step: int) -> tuple[int, int, bytes] | None:
+    """The windows of a context whose anchor begins ``low`` to ``low + step - 1`` bytes after their start: (from, to, the
+    51 - step bytes that they share), None if the context holds none."""
+    a, z = max(0, anchor - low - step + 1), min(len(ctx), anchor + WINDOW - low)
+    shared = anchor + GRAM + max(0, SPARE + 1 - low - step)
+    return (a, z, ctx[anchor - low:shared]) if low <= min(SPARE, anchor) and z - a >= WINDOW and z >= shared else None
+
+
+def _large_group(kinds: pd.DataFrame, at_once: int) -> list[pd.DataFrame]:
+    """Runs (code, first, end) of one anchor's contexts, split into classes of windows until a class has at most
+    ``at_once`` contexts or one window."""
+    out = []
+    todo = [(16, low, list(zip(kinds["ctx"], kinds["anchor"], kinds["low"], kinds["code"], [0] * len(kinds), strict=True))) for low in (0, 16)]
+    while todo:
+        step, low, members = todo.pop()
+        classes: dict[bytes, list] = {}
+        for ctx, anchor, doc, code, o in members:
+            found = _class(ctx, anchor, low, step)
+            if found:
+                a, z, shared = found
+                classes.setdefault(shared, []).append((ctx[a:z], anchor - a, doc, code, o + a))
+        for group in classes.values():
+            if len(group) > at_once and step > 1:
+                todo += [(step // 2, half, group) for half in (low, low + step // 2)]
+            elif len(group) > 1:
+                which, first, end = _runs(*repeated_starts([g[0] for g in group], np.array([g[2] for g in group])))
+                code, o = np.array([g[3] for g in group])[which], np.array([g[4] for g in group])[which]
+                out.append(pd.DataFrame({"code": code, "first": first + o, "end": end + o}))
+    return out
+
+
 def _whole_groups(batches: Iterator[pd.DataFrame], key: str, rows_at_once: int = 60_000) -> Iterator[pd.DataFrame]:
     """Rows sorted by ``key``, gathered to frames that end between two keys."""
     held: list[pd.DataFrame] = []
@@ -294,9 +331,17 @@ class _Block:
         self.at, self.h = anchors(np.frombuffer(self.bytes, np.uint8), self.ends)
         self.of = np.searchsorted(self.ends, self.at, side="right")
 
-    def distinct(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
-        """(distinct leading bits of the hashes, which one each anchor has)."""
-        return np.unique(self.h >> (63 - bits), return_inverse=True)
+    def distinct(self, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(distinct leading bits of the hashes, the anchors sorted by them then by place, where each begins there)."""
+        lead, place = self.h >> (63 - bits), max(1, len(self.h)).bit_length()
+        if bits + place <= 63:  # sorting numbers is faster than sorting places by numbers
+            both = np.sort(lead << place | np.arange(len(lead)))
+            order, lead = both & ((1 << place) - 1), both >> place
+        else:
+            order = np.argsort(lead, kind="stable")
+            lead = lead[order]
+        start = np.flatnonzero(np.r_[True, lead[1:] != lead[:-1]]) if len(lead) else np.zeros(0, np.int64)
+        return lead[start], order, start
 
 
 def _hash_rows(bits: int):
@@ -307,13 +352,12 @@ def _hash_rows(bits: int):
                 x = _Block(ids, texts, copies)
                 if not len(x.at):
                     continue
-                found, of = x.distinct(bits)
-                places = np.minimum(np.bincount(of), 65535).astype(np.uint16)
-                pairs = np.unique(of * len(x.doc) + x.of)
-                several = np.bincount(pairs // len(x.doc), minlength=len(found)) > 1
+                found, order, start = x.distinct(bits)
+                places = np.minimum(np.diff(np.r_[start, len(order)]), 65535).astype(np.uint16)
+                several = x.of[order[start]] != x.of[order[np.r_[start[1:], len(order)] - 1]]
                 low = (found & ((1 << LOW_BITS) - 1)).astype(np.uint32).view(np.uint8).reshape(-1, 4)[:, :3]
-                ranges, start = np.unique(found >> LOW_BITS, return_index=True)
-                cut = list(zip(start, [*start[1:], len(found)], strict=True))
+                ranges, first = np.unique(found >> LOW_BITS, return_index=True)
+                cut = list(zip(first, [*first[1:], len(found)], strict=True))
                 yield pd.DataFrame({"g": ranges, "block": block, "low": [low[a:z].tobytes() for a, z in cut],
                                     "places": [places[a:z].tobytes() for a, z in cut], "several": [np.packbits(several[a:z]).tobytes() for a, z in cut]})
 
@@ -346,10 +390,10 @@ def _context_rows(bits: int, which: str):
         for b in batches:
             for block, ids, texts, copies, answers in zip(b["block"], b["ids"], b["texts"], b["copies"], b["answers"], strict=True):
                 x = _Block(ids, texts, copies)
-                found, of = x.distinct(bits)
+                found, order, start = x.distinct(bits)
                 _, sizes = np.unique(found >> LOW_BITS, return_counts=True)
                 said = np.concatenate([np.unpackbits(np.frombuffer(a[which], np.uint8), count=n) for a, n in zip(answers, sizes, strict=True)])
-                keep = np.flatnonzero(said[of])
+                keep = np.sort(order[np.repeat(said, np.diff(np.r_[start, len(order)])) > 0])
                 begin = np.r_[0, x.ends[:-1]][x.of[keep]]
                 left, right = np.maximum(x.at[keep] - SPARE, begin), np.minimum(x.at[keep] + WINDOW, x.ends[x.of[keep]])
                 kind: dict[tuple[int, bytes, int], int] = {}
@@ -389,9 +433,9 @@ def _split(step: int):
             out = []
             for key, ctx, anchor, least, o, doc, block, leads, later in b[[c.split()[0] for c in _DEALT.split(", ")]].itertuples(index=False):
                 for low in (least, least + step):
-                    a, z = max(0, anchor - low - step + 1), min(len(ctx), anchor + WINDOW - low)
-                    if low <= min(SPARE, anchor) and z - a >= WINDOW and z >= anchor + GRAM + max(0, SPARE + 1 - low - step):
-                        shared = ctx[anchor - low:anchor + GRAM + max(0, SPARE + 1 - low - step)]
+                    found = _class(ctx, anchor, low, step)
+                    if found:
+                        a, z, shared = found
                         name = hashlib.blake2b(b"%d,%d," % (key, low) + shared, digest_size=8).digest()
                         out.append((int.from_bytes(name, "little", signed=True), ctx[a:z], anchor - a, low, o + a, doc, block, leads, later))
             if out:
@@ -431,7 +475,7 @@ def hot_marks(rows: DataFrame, hot: int) -> list[DataFrame]:
     for step in (16, 8, 4, 2, 1):
         todo = C.written(todo.mapInPandas(_split(step), _DEALT), "dealt")
         kinds = todo.groupBy("key", "ctx").agg(F.min("doc").alias("low"))
-        sizes = C.written(kinds.groupBy("key").count().where(F.col("count") > hot).select("key"), "large-classes")
+        sizes = C.written(kinds.groupBy("key").count().where(F.col("count") > min(hot, AT_ONCE)).select("key"), "large-classes")
         last = step == 1 or sizes.isEmpty()
         small = kinds if last else kinds.join(sizes, "key", "left_anti")
         runs = small.repartition(parts, "key").sortWithinPartitions("key").mapInPandas(_kind_runs, "key long, ctx binary, low long, runs binary")
@@ -476,12 +520,13 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]).astype({"doc_id": "Int64"})
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = 32_768, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = 250_000, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes).
 
     A null text is empty. Rows with a null id are kept whole and are no source. Rows with the same id are one document to
     the others (no smaller id); equal rows give equal results. A long text is a block of its own, hashed piece by piece.
-    Other columns are not read. Empty table: empty result. ``hot`` bounds the contexts that one task sorts together.
+    Other columns are not read. Empty table: empty result. ``hot`` bounds the contexts of one anchor that go to one
+    task; it sorts at most 12,000 of them together.
     """
     spark = docs.sparkSession
     C.bounded_batches(spark)
@@ -497,7 +542,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     per_block = answers.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("g", "shared", "hot"))).alias("answers"))
     asked = joined(blocks, per_block)
     rows = asked.mapInPandas(_context_rows(bits, "shared"), _CONTEXT)
-    marks = [rows.drop("anchor").repartition(parts, "h").sortWithinPartitions("h").mapInPandas(_sorted_marks, _MARKS)]
+    marks = [rows.repartition(parts, "h").sortWithinPartitions("h").mapInPandas(_sorted_marks, _MARKS)]
     if not answers.where("n_hot > 0").isEmpty():
         marks += hot_marks(asked.mapInPandas(_context_rows(bits, "hot"), _CONTEXT), hot)
     spans = C.written(reduce(DataFrame.unionByName, marks).groupBy("block").agg(F.collect_list("marks").alias("marks")), "marks")

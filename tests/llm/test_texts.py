@@ -143,6 +143,31 @@ def test_repeats(docs, hot, block_bytes):
     assert suffixes.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_large_anchor_groups_are_split():
+    """The marks of one anchor's contexts are the same however few are sorted together."""
+    import numpy as np
+    import pandas as pd
+
+    rnd = random.Random(12)
+    gram, rows = b"0123456789abcdefghij", []
+    for i in range(300):
+        left, right = bytes(rnd.choice(b"xy") for _ in range(rnd.choice((30, 30, 12)))), bytes(rnd.choice(b"xy") for _ in range(rnd.choice((30, 30, 25))))
+        left, right = left[:-4] + b"zzzz"[: len(left)], b"qqqqqqqqqqqqqqqqqqqqqqq" + right[23:]
+        if len(left) + len(right) >= 30:
+            rows.append((7, left + gram + right, len(left), i, 1, np.array([[i, 0]], np.int32).tobytes(), b""))
+    frame = pd.DataFrame(rows, columns=["h", "ctx", "anchor", "doc", "block", "leads", "later"])
+
+    def covered(at_once):
+        out = set()
+        for m in suffixes.marks_of(frame, at_once)["marks"]:
+            for t, a, z in np.frombuffer(m, np.int32).reshape(-1, 3).tolist():
+                out |= {(t, k) for k in range(a, z)}
+        return out
+
+    want = covered(10**6)
+    assert want and all(covered(k) == want for k in (1, 5, 40))
+
+
 def test_suffix_order():
     import numpy as np
 
