@@ -117,6 +117,12 @@ def parse_records(records: DataFrame, keep: tuple = ()) -> DataFrame:
     return r.select(*keep, "rec_id", "label", "file", F.inline(F.concat(others, paired)))
 
 
+def record_heads(records: DataFrame, keep: tuple = ()) -> DataFrame:
+    """(kept columns, rec_id, label) of every record, with or without contexts."""
+    return records.select(*keep, F.regexp_extract("record", r"^#(\d+)", 1).try_cast("long").alias("rec_id"),
+                          F.regexp_extract("record", r"(?m)^label:([^\r\n]*)", 1).alias("label"))
+
+
 def repair_contexts(parsed: DataFrame) -> DataFrame:
     """B10 + B9 input: split lines on TAB; two-field lines pair up in order inside one record
     (first gives start + path head, second gives path tail + end; a literal ``\\n`` is removed

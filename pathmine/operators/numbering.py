@@ -8,6 +8,8 @@ and adds per-partition offsets from a table whose size is the partition count.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,19 +36,28 @@ def global_position(df: DataFrame, order_cols: list, out: str = "pos") -> DataFr
     )
 
 
-def number_within(df: DataFrame, group_cols: list, order_cols: list, out: str = "seq", bounded: bool = True) -> DataFrame:
+def number_within(df: DataFrame, group_cols: list, order_cols: list, out: str = "seq", bounded: bool = True, window_rows: int = 200_000) -> DataFrame:
     """0-based row number inside each group.
 
     ``bounded=True``: groups have a proven size bound (e.g. after the tree-size filter), so a
-    window partitioned by the group is fine. ``bounded=False``: a group may be huge; number
-    rows globally and subtract the group's first position (the group-start table is joined
-    back; AQE splits a skewed side).
+    window partitioned by the group is fine. ``bounded=False``: groups are counted first; only
+    those of at most ``window_rows`` rows go through a window, larger ones are numbered globally
+    and their first position is taken off (the group-start table is joined back; AQE splits a
+    skewed side). ``df`` is computed twice.
     """
+    w = Window.partitionBy(*group_cols).orderBy(*order_cols)
+    windowed = (F.row_number().over(w) - 1).cast("long")
     if bounded:
-        w = Window.partitionBy(*group_cols).orderBy(*order_cols)
-        return df.withColumn(out, (F.row_number().over(w) - 1).cast("long"))
-    keys = [F.col(c) if isinstance(c, str) else c for c in group_cols]
-    positioned = global_position(df, keys + list(order_cols), "_gpos")
+        return df.withColumn(out, windowed)
+    large = cut_lineage(df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > window_rows).drop("_n"))
+    if large.isEmpty():
+        return df.withColumn(out, windowed).select(*df.columns, out)
+    same = lambda x, y: reduce(lambda a, b: a & b, [x[c].eqNullSafe(y[c]) for c in group_cols])
+    small = df.join(large, same(df, large), "left_anti").withColumn(out, windowed)
+    keys = [F.col(c) for c in group_cols]
+    positioned = global_position(df.join(large, same(df, large), "left_semi"), keys + list(order_cols), "_gpos")
     starts = positioned.groupBy(*group_cols).agg(F.min("_gpos").alias("_gstart"))
-    numbered = positioned.join(starts, list(group_cols)).withColumn(out, F.col("_gpos") - F.col("_gstart"))
-    return numbered.select(*df.columns, out)
+    numbered = positioned.join(starts.select(*[F.col(c).alias(f"_g_{c}") for c in group_cols], "_gstart"),
+                               reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in group_cols]))
+    numbered = numbered.withColumn(out, F.col("_gpos") - F.col("_gstart"))
+    return small.select(*df.columns, out).unionByName(numbered.select(*df.columns, out))

@@ -31,11 +31,13 @@ def top_repos(repos: DataFrame, k: int) -> DataFrame:
     return repos.orderBy(F.col("stars").desc(), F.col("name")).limit(k)
 
 
-def union_repos(first: DataFrame, second: DataFrame) -> DataFrame:
-    """One row per link: the first list's, and within a list the earlier one. One aggregate."""
-    rest = [c for c in first.columns if c != "link"]
-    u = first.withColumn("_src", F.lit(0)).unionByName(second.withColumn("_src", F.lit(1))).withColumn("_pos", F.monotonically_increasing_id())
-    best = u.groupBy("link").agg(F.min_by(F.struct(*rest, "_src"), F.struct("_src", "_pos")).alias("_r"))
+def union_repos(first: DataFrame, second: DataFrame, pos_col: str | None = None) -> DataFrame:
+    """One row per link: the first list's, and within a list the one with the smaller ``pos_col`` (a row's place in
+    its list), then the smaller row; without ``pos_col`` the smaller row. One aggregate, the same whatever the partitions."""
+    rest = [c for c in first.columns if c not in ("link", pos_col)]
+    u = first.withColumn("_src", F.lit(0)).unionByName(second.withColumn("_src", F.lit(1)))
+    place = [F.col(pos_col)] if pos_col else []
+    best = u.groupBy("link").agg(F.min_by(F.struct(*rest, "_src"), F.struct("_src", *place, *rest)).alias("_r"))
     return best.select("link", *(F.col(f"_r.{c}").alias(c) for c in rest), F.col("_r._src").alias("source"))
 
 
@@ -102,6 +104,18 @@ def total_of_large(ranked: DataFrame, pos_col: str, value_col: str, threshold: i
     return out.drop("_large")
 
 
+def rank_repositories(first: DataFrame, second: DataFrame, counts: DataFrame, threshold: int = 1000, limit: int | None = None,
+                      existing: DataFrame | None = None, pos_col: str | None = None) -> DataFrame:
+    """L4: union of two lists (G2), without ``existing`` ones (C5), z-scores (D8), rank (F3), method counts (C6) and the
+    running total of large counts (E6), cut after ``limit``: REPO_COLS, zscore, rank, method_count, running_total."""
+    kept = REPO_COLS + ([pos_col] if pos_col else [])
+    repos = union_repos(first.select(*kept), second.select(*kept), pos_col)
+    repos = repos if existing is None else skip_existing(repos, existing)
+    ranked = attach_method_counts(rank_by(zscores(repos), [F.col("zscore").desc(), F.col("name")], "rank"), counts)
+    out = total_of_large(ranked, "rank", "method_count", threshold, limit)
+    return out.select(*REPO_COLS, "zscore", "rank", "method_count", F.col("running_total").cast("long"))
+
+
 def repo_slice(ranked: DataFrame, pos_col: str, start: int, end: int) -> DataFrame:
     """Inclusive positional slice [start, end]."""
     return ranked.where((F.col(pos_col) >= start) & (F.col(pos_col) <= end))

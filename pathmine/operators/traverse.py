@@ -395,15 +395,18 @@ def reachable(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame
     return seen
 
 
-def reach_from(edges: DataFrame, seeds: DataFrame, direction: str = "forward", checkpoint_every: int = 4) -> DataFrame:
+def reach_from(edges: DataFrame, seeds: DataFrame, direction: str = "forward", checkpoint_every: int = 4, plain_rounds: int = 16) -> DataFrame:
     """(graph_id, node_id) of every node at the end of a path of one or more edges from any seed
     (``direction='backward'``: every node from which such a path leads to a seed). Set
-    semantics: one visited set per graph, no per-origin state. Rounds are persisted and the
-    lineage is cut by a reliable checkpoint every ``checkpoint_every`` rounds."""
+    semantics: one visited set per graph, no per-origin state; a round joins only the nodes that
+    the round before it found. Rounds are persisted and the lineage is cut by a reliable checkpoint
+    every ``checkpoint_every`` rounds. After ``plain_rounds`` rounds what is left is deep: from there
+    on every round runs along whole chains of nodes with one way on (``_along_chains``), so rounds
+    grow with the branchings of a path, not with its length."""
     a, b = ("src", "dst") if direction == "forward" else ("dst", "src")
     e = cut_lineage(edges.select("graph_id", F.col(a).alias("node_id"), F.col(b).alias("nxt")).distinct())
     frontier = cut_lineage(seeds.select("graph_id", "node_id").distinct())
-    visited = None
+    visited, chains = None, None
     rounds = 0
     while True:
         rounds += 1
@@ -413,6 +416,9 @@ def reach_from(edges: DataFrame, seeds: DataFrame, direction: str = "forward", c
         nxt = keep_round(nxt, rounds, checkpoint_every)
         if nxt.isEmpty():
             break
+        if rounds >= plain_rounds:
+            chains = _chain_jumps(e) if chains is None else chains
+            nxt = cut_lineage(_along_chains(nxt, chains, visited))
         visited = nxt if visited is None else visited.unionByName(nxt)
         if rounds % checkpoint_every == 0:
             visited = cut_lineage(visited)
@@ -420,3 +426,30 @@ def reach_from(edges: DataFrame, seeds: DataFrame, direction: str = "forward", c
     if visited is None:
         return seeds.select("graph_id", "node_id").limit(0)
     return visited
+
+
+def _chain_jumps(e: DataFrame) -> list[DataFrame]:
+    """Tables (graph_id, node_id, nxt) of 1, 2, 4, ... steps over nodes with exactly one way on, until no node has so long
+    a chain before it, or (in a cycle of such nodes) the steps pass the number of nodes."""
+    pair = ["graph_id", "node_id"]
+    jump = cut_lineage(e.groupBy(*pair).agg(F.count(F.lit(1)).alias("ways"), F.first("nxt").alias("nxt")).where("ways = 1").drop("ways"))
+    longest = jump.groupBy("graph_id").count().agg(F.max("count")).first()[0] or 0
+    out = []
+    while not jump.isEmpty():
+        out.append(jump)
+        if 1 << len(out) > longest:
+            break
+        on = jump.select("graph_id", F.col("node_id").alias("nxt"), F.col("nxt").alias("further"))
+        jump = cut_lineage(jump.join(on, ["graph_id", "nxt"]).select(*pair, F.col("further").alias("nxt")))
+    return out
+
+
+def _along_chains(found: DataFrame, chains: list[DataFrame], visited: DataFrame | None) -> DataFrame:
+    """``found`` and every unvisited node on the chains that begin there. What lies behind a visited node is visited."""
+    pair = ["graph_id", "node_id"]
+    for jump in chains:
+        more = found.join(jump, pair).select("graph_id", F.col("nxt").alias("node_id"))
+        if visited is not None:
+            more = more.join(visited, pair, "left_anti")
+        found = cut_lineage(found.unionByName(more).distinct())
+    return found

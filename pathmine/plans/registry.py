@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pathmine.operators import pathcount as PC
 from pathmine.operators import traverse as T
 from pathmine.options import ExtractOptions
 from pathmine.plans import sql as S
@@ -43,9 +45,8 @@ FROM g LEFT JOIN (SELECT gid, count(*) n FROM o GROUP BY gid) oc USING (gid)
 WHERE 1 + coalesce(oc.n, 0) + coalesce(lc.n, 0) <= 60""",
 )
 def q_tree_size_filter(spark, sf):
-    graphs, nodes, _ = V.v1_trees(spark, sf)
-    sizes = nodes.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n_nodes"))
-    return sizes.where((F.col("n_nodes") > 0) & (F.col("n_nodes") <= 60))
+    _, nodes, _ = T.tree_size_filter(*V.v1_trees(spark, sf), 60)
+    return nodes.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n_nodes"))
 
 
 @register(
@@ -76,6 +77,39 @@ def q_ddg_paths(spark, sf):
     return T.flow_paths(*V.v3_dependence(spark, sf), "ddg", ExtractOptions())
 
 
+_DRAWS = "concat_ws('|', '0', graph_id, 'cfg', CAST(i AS VARCHAR))"
+
+
+def _forward(edges: DataFrame) -> DataFrame:
+    """Edges of V2; users with an even id keep only those to a later name, which leaves no cycle."""
+    return edges.where((F.col("graph_id").cast("long") % 2 == 1) | (F.col("src") < F.col("dst")))
+
+
+_FORWARD_SQL = S.events_ctes() + ", ed_fwd AS (SELECT * FROM ed_cfg WHERE CAST(gid AS BIGINT) % 2 = 1 OR src < dst)"
+
+
+@register(
+    "sample_flow_paths",
+    f"""WITH RECURSIVE every AS (SELECT * FROM ({S.flow_walk(_FORWARD_SQL, "ed_fwd", "cfg")})),
+tot AS (SELECT graph_id, CAST(count(*) AS HUGEINT) AS n FROM every GROUP BY graph_id),
+fl AS (
+  SELECT graph_id, n, 0 AS i, []::HUGEINT[] AS s FROM tot WHERE n > 5
+  UNION ALL
+  SELECT graph_id, n, i + 1, list_append(s, CASE WHEN list_contains(s, at) THEN n - 5 + i ELSE at END)
+  FROM (SELECT *, (CAST(CAST('0x' || substr(md5({_DRAWS}), 1, 15) AS BIGINT) AS HUGEINT) * 1152921504606846976
+                   + CAST('0x' || substr(md5({_DRAWS}), 16, 15) AS BIGINT)) % (n - 5 + i + 1) AS at FROM fl) WHERE i < 5)
+SELECT every.graph_id, kind, CAST(seq AS BIGINT) AS seq, start_token, path, end_token, CAST(tot.n AS BIGINT) AS n_contexts
+FROM every JOIN tot USING (graph_id) LEFT JOIN (SELECT graph_id, s FROM fl WHERE i = 5) d USING (graph_id)
+WHERE tot.n <= 5 OR list_contains(d.s, every.seq)""",
+)
+def q_sample_flow_paths(spark, sf):
+    """Five contexts per graph: graphs without a cycle by counts, the others enumerated."""
+    graphs, nodes, edges = V.v2_flows(spark, sf)
+    out, report = PC.sample_flow_paths(graphs, nodes, _forward(edges), "cfg", 5)
+    return out.join(report, "graph_id").select(
+        "graph_id", "kind", F.col("seq").cast("long").alias("seq"), "start_token", "path", "end_token", F.col("n_contexts").cast("long").alias("n_contexts"))
+
+
 @register("ddg_paths_contains", S.flow_walk(S.events_ctes(containment=True), "ed_ddg", "ddg"))
 def q_ddg_paths_contains(spark, sf):
     return T.flow_paths(*V.v3_dependence(spark, sf, containment=True), "ddg", ExtractOptions())
@@ -115,8 +149,10 @@ def q_path_dataset(spark, sf):
 
 @register(
     "require_ast",
-    f"""WITH pa AS ({S.v1_ast_paths()}), lab AS ({S.v1_labels()})
-SELECT gid AS graph_id, label FROM lab WHERE label <> '' AND gid IN (SELECT graph_id FROM pa)""",
+    f"""WITH {S.v1_pieces_ctes()}, lab AS ({S.v1_labels()}),
+ends AS (SELECT gid, top, o, min(len) AS len FROM pieces GROUP BY gid, top, o),
+pairs AS (SELECT DISTINCT a.gid FROM ends a JOIN ends b ON a.gid = b.gid AND a.top = b.top AND b.o - a.o BETWEEN 1 AND 2 AND a.len + 1 + b.len <= 8)
+SELECT gid AS graph_id, label FROM lab WHERE label <> '' AND gid IN (SELECT gid FROM pairs)""",
 )
 def q_require_ast(spark, sf):
     g, n, e = V.v1_trees(spark, sf)
@@ -199,11 +235,8 @@ def q_path_freq(spark, sf):
        (SELECT count(*) FROM kept WHERE split = 'train') AS train_rows_kept""",
 )
 def q_vocab_meta(spark, sf):
-    rows = _rows(spark, sf)
-    kept, split = P.format_dataset(_dataset(spark, sf), FOPTS, materialize=False)
-    n = rows.agg(F.bround(F.count(F.lit(1)).cast("double") * F.lit(0.89)).cast("long").alias("num_training_examples"))
-    k = kept.where(F.col("split") == "train").agg(F.count(F.lit(1)).alias("train_rows_kept"))
-    return n.crossJoin(k)
+    kept, _ = P.format_dataset(_dataset(spark, sf), FOPTS, materialize=False)
+    return VC.training_meta(_rows(spark, sf), kept)
 
 
 @register(
@@ -225,11 +258,7 @@ FROM hk""",
 def q_avg_paths(spark, sf):
     ctx = _dataset(spark, sf)
     lf = D.label_filter(ctx)
-    n = lf.agg(F.count_distinct("graph_id").alias("_n"))
-    hk = D.head_per_kind(D.valid_contexts(lf), FOPTS.max_paths)
-    sums = hk.agg(*[F.sum((F.col("kind") == k).cast("long")).alias(f"s_{k}") for k in ("ast", "cfg", "cdg", "ddg")])
-    j = sums.crossJoin(n)
-    return j.select(*[(F.col(f"s_{k}") / F.when(F.col("_n") > 0, F.col("_n"))).alias(f"avg_{k}") for k in ("ast", "cfg", "cdg", "ddg")])
+    return VC.avg_paths(D.head_per_kind(D.valid_contexts(lf), FOPTS.max_paths), lf)
 
 
 _EXCL = ("machinery|nation",)
@@ -458,11 +487,8 @@ def q_post_order(spark, sf):
 SELECT gid AS graph_id, src, dst, label, row_number() OVER (PARTITION BY gid, src ORDER BY ord) - 1 AS child_ord FROM ed_ddg""",
 )
 def q_child_ordinal(spark, sf):
-    from pyspark.sql import Window
-
     _, _, e = V.v3_dependence(spark, sf)
-    w = Window.partitionBy("graph_id", "src").orderBy("ord")
-    return e.select("graph_id", "src", "dst", "label", (F.row_number().over(w) - 1).cast("long").alias("child_ord"))
+    return T.child_ordinal(e).select("graph_id", "src", "dst", "label", (F.col("ord") - 1).alias("child_ord"))
 
 
 @register(
@@ -626,16 +652,17 @@ def _v8(spark, sf):
 
 
 def _ranked(spark, sf):
-    repos, ls, lf, counts = _v8(spark, sf)
-    un = RP.union_repos(ls.select(*RP.REPO_COLS), lf.select(*RP.REPO_COLS))
-    z = RP.zscores(un)
-    rk = RP.rank_by(z, [F.col("zscore").desc(), F.col("name")], "rank")
-    return RP.attach_method_counts(rk, counts)
+    _, ls, lf, counts = _v8(spark, sf)
+    un = RP.union_repos(ls.select(*RP.REPO_COLS, "list_pos"), lf.select(*RP.REPO_COLS, "list_pos"), "list_pos")
+    return RP.attach_method_counts(RP.rank_by(RP.zscores(un), [F.col("zscore").desc(), F.col("name")], "rank"), counts)
 
 
 @register("repos_project", f"WITH {_V8_SQL} SELECT name, link, stars, forks, size FROM repos")
 def q_repos_project(spark, sf):
-    return _v8(spark, sf)[0].select(*RP.REPO_COLS)
+    """V8 written as JSON with a further field, and read."""
+    path = _new_folder(spark, "repos")
+    _v8(spark, sf)[0].withColumn("topics", F.array(F.lit("c"))).write.json(path)
+    return RP.read_repos(spark, path)
 
 
 @register("top_repos", f"WITH {_V8_SQL} SELECT name, stars FROM repos ORDER BY stars DESC, name LIMIT 30")
@@ -646,7 +673,7 @@ def q_top_repos(spark, sf):
 @register("repo_union", f"WITH {_V8_SQL} SELECT name, link, stars, forks, size, src AS source FROM un")
 def q_repo_union(spark, sf):
     _, ls, lf, _ = _v8(spark, sf)
-    return RP.union_repos(ls.select(*RP.REPO_COLS), lf.select(*RP.REPO_COLS))
+    return RP.union_repos(ls.select(*RP.REPO_COLS, "list_pos"), lf.select(*RP.REPO_COLS, "list_pos"), "list_pos")
 
 
 @register(
@@ -718,8 +745,8 @@ SELECT name, link, stars, forks, size, zscore, rank, method_count,
        CAST(sum(CASE WHEN method_count > 1000 THEN method_count ELSE 0 END) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS running_total FROM mc""",
 )
 def q_rank_repositories(spark, sf):
-    r = RP.total_of_large(_ranked(spark, sf), "rank", "method_count", 1000)
-    return r.select("name", "link", "stars", "forks", "size", "zscore", "rank", "method_count", F.col("running_total").cast("long"))
+    _, ls, lf, counts = _v8(spark, sf)
+    return RP.rank_repositories(ls, lf, counts, 1000, pos_col="list_pos")
 
 
 # ---------------------------------------------------------------- L1 preprocessing (V5 documents, V6 pages)
@@ -886,6 +913,17 @@ def _new_folder(spark, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Two datasets by label; in each a record's number is the place of its graph id.
+_TEXT_PARTS = {"a": F.col("label") < "h", "b": F.col("label") >= "h"}
+_TEXT_SPLIT = """
+rn AS (SELECT *, CASE WHEN label < 'h' THEN 'a' ELSE 'b' END AS dataset FROM rows),
+rc AS (SELECT *, dataset || '|' || CAST(row_number() OVER (PARTITION BY dataset ORDER BY graph_id) - 1 AS VARCHAR) AS rid,
+              count(*) OVER (PARTITION BY dataset) AS n FROM rn),
+sh AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY md5(concat_ws('|', '0', rid)), rid) - 1 AS pos FROM rc),
+b AS (SELECT *, round_even(n::DOUBLE * 0.89::DOUBLE, 0) AS b1, round_even(n::DOUBLE * 0.035::DOUBLE, 0) AS b2, round_even(n::DOUBLE * 0.075::DOUBLE, 0) AS b3 FROM sh),
+sp2 AS (SELECT *, CASE WHEN pos < b1 THEN 'train' WHEN pos < b1 + b2 THEN 'val' WHEN pos < b1 + b2 + b3 THEN 'test' END AS split FROM b)"""
+
+
 @register(
     "sink_model_rows",
     f"WITH {S.path_dataset_ctes()},{_MR} SELECT label || ' ' || array_to_string(list_concat(list_concat(ast, cfg), list_concat(cdg, ddg)), ' ') AS line FROM rows",
@@ -912,8 +950,9 @@ UNION ALL SELECT 'd', 'path', f[2], count(*) FROM ts GROUP BY f[2]""",
 )
 def q_sink_vocab(spark, sf):
     path, kept = _new_folder(spark, "vocab"), _kept(spark, sf)
-    OUT.write_vocab(P.train_vocab(kept, FOPTS), kept.groupBy("split").agg(F.count(F.lit(1)).alias("n")), path)
-    return spark.read.schema("dataset string, term string, freq long, kind string").parquet(f"{path}/vocab").select("dataset", "kind", "term", "freq")
+    meta = kept.groupBy(F.col("split").alias("name")).agg(F.count(F.lit(1)).alias("value")).withColumn("dataset", F.lit("d"))
+    OUT.write_vocab(P.train_vocab(kept, FOPTS), meta, path)
+    return OUT.read_vocab(spark, path)[0]
 
 
 @register(
@@ -927,6 +966,23 @@ def q_sink_functions(spark, sf):
     return spark.read.parquet(path)
 
 
+@register(
+    "format_text",
+    f"""{_FMT.replace(S.split_ctes(), _TEXT_SPLIT).replace(S.kept_cte(FOPTS.include), S.kept_cte(FOPTS.include).replace("FROM sp", "FROM sp2"))}
+SELECT dataset, split, line FROM kept""",
+)
+def q_format_text(spark, sf):
+    """The dataset as text in two files, by the first word of the label, formatted into split files in one call."""
+    base, pd_ = _new_folder(spark, "format-text"), _dataset(spark, sf)
+    paths = {}
+    for name, mine in _TEXT_PARTS.items():
+        part = pd_.where(mine)
+        R.write_records(D.render_records(part, global_position(part.select("graph_id").distinct(), ["graph_id"], "rec")), f"{base}/{name}")
+        paths[name] = f"{base}/{name}"
+    P.format_text(spark, paths, f"{base}/out", FOPTS)
+    return spark.read.schema("value string, dataset string, split string").text(f"{base}/out/splits").select("dataset", "split", F.col("value").alias("line"))
+
+
 # ---------------------------------------------------------------- A3 graph dumps
 from pathmine.sources import dot as DOT  # noqa: E402
 
@@ -1014,6 +1070,16 @@ def q_calls_in_list(spark, sf):
     return K.calls_in(nodes, names).select("graph_id", "node_id", "name")
 
 
+@register(
+    "userspace_calls",
+    f"""WITH {S.v9_ctes()} SELECT gid AS graph_id, 'c' || onode AS node_id, cname AS name FROM cn
+WHERE cname IN ({", ".join(f"'{n}'" for n in K.USERSPACE_CALLS)})""",
+)
+def q_userspace_calls(spark, sf):
+    names = spark.createDataFrame([(n,) for n in K.USERSPACE_CALLS], "name string")
+    return K.calls_in(V.v9_cpg(spark, sf)[0], names).select("graph_id", "node_id", "name")
+
+
 @register(
     "arg_op_calls",
     f"""WITH {S.v9_ctes()}

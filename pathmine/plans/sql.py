@@ -281,9 +281,9 @@ def v9_ctes() -> str:
     return f"""{v1_ctes()},
 oo AS (SELECT o0.gid, o0.node_id AS onode, o0.ord AS k, orders.o_orderstatus AS st, o0.tok AS pr
        FROM o0 JOIN orders ON orders.o_orderkey = o0.o_orderkey),
-cn AS (SELECT *, CASE pr WHEN '1-URGENT' THEN 'malloc' WHEN '2-HIGH' THEN '<operator>.subtraction'
+cn AS (SELECT *, CASE WHEN pr = '5-LOW' AND k % 3 = 0 THEN 'copy_from_user' WHEN pr = '1-URGENT' AND k % 5 = 0 THEN '__get_user' ELSE CASE pr WHEN '1-URGENT' THEN 'malloc' WHEN '2-HIGH' THEN '<operator>.subtraction'
                          WHEN '3-MEDIUM' THEN '<operator>.addition' WHEN '4-NOT SPECIFIED' THEN '<operator>.indirectFieldAccess'
-                         WHEN '5-LOW' THEN 'free' ELSE 'unknown' END AS cname,
+                         WHEN '5-LOW' THEN 'free' ELSE 'unknown' END END AS cname,
                  CASE st WHEN 'F' THEN 'int' WHEN 'O' THEN 'char*' WHEN 'P' THEN 'char[8]' ELSE 'ANY' END AS ttype FROM oo),
 ll AS (SELECT gid, parent AS onode, parent || '_' || CAST(ord AS VARCHAR) AS lnode, ord AS arg,
               substr(ntype, 7, 1) AS flag, substr(ntype, 8, 1) AS status, tok AS code FROM l)"""

@@ -235,7 +235,9 @@ def v9_cpg(spark: SparkSession, sf_dir: str):
     param = cust.select("graph_id", F.lit("p").alias("node_id"), F.lit("PARAMETER").alias("label"), F.lit("arg").alias("name"),
                         F.lit("arg").alias("code"),
                         F.when(F.col("c_acctbal") > 5000, "const char*").otherwise("char*").alias("type_full_name"))
-    call_name = _mapped(F.col("o_orderpriority"), CPG_CALL_BY_PRIORITY, "unknown")
+    call_name = F.when((F.col("o_orderpriority") == "5-LOW") & (F.col("k") % 3 == 0), "copy_from_user").when(
+        (F.col("o_orderpriority") == "1-URGENT") & (F.col("k") % 5 == 0), "__get_user").otherwise(
+        _mapped(F.col("o_orderpriority"), CPG_CALL_BY_PRIORITY, "unknown"))
     assign = o.select("graph_id", F.concat(F.lit("a"), "onode").alias("node_id"), F.lit("CALL").alias("label"),
                       _mapped(F.col("o_orderstatus"), CPG_ASSIGNMENT_BY_STATUS, "<operator>.assignment").alias("name"), F.concat(F.lit("v"), F.col("k").cast("string"), F.lit(" = ...")).alias("code"),
                       F.lit("ANY").alias("type_full_name"))
