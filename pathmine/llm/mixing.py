@@ -4,7 +4,8 @@ A naive-Bayes classifier is learned from labelled rows (a bounded sample): for e
 how often each domain's texts hold each domain's marker words. Every document then gets its word count and a posterior
 over domains. Projected-gradient least squares fits a nonnegative rate per document so that the expected word total
 of each domain (rate x words x posterior) meets its target: an iteration is one aggregate over the written feature
-table, and a document's rate is an expression of its posterior and the few residual vectors so far.
+table, and a document's rate is an expression of its posterior and the few residual vectors so far. A rate over 1
+repeats a document. Every domain of the labelled rows counts: past ``max_domains`` the rarest are one domain ``other``.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 from pathmine.llm import common as C
 
 BLANKS = r"\s+"
-#: Part of all words that a mix has unless the caller states another.
-SIZE = 2 / 3
+#: The name of the domain that joins the rarest ones.
+OTHER = "other"
 
 
 def _among(words: list[str]):
@@ -31,30 +32,35 @@ def _words(text: Column) -> Column:
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, domain_col: str, max_rows: int = 20_000,
-          words_per_domain: int = 100, max_domains: int = 16, sharpness: float = 20.0) -> dict:
-    """Classifier from labelled rows: at most ``max_rows`` of them (smallest hashes of their ids), the ``max_domains``
-    most frequent domains, ``words_per_domain`` marker words each (by how much more frequent than elsewhere)."""
+          words_per_domain: int = 100, max_domains: int = 64, sharpness: float = 20.0) -> dict:
+    """Classifier from labelled rows: at most ``max_rows`` of them (smallest hashes of their ids), ``words_per_domain``
+    marker words for each domain (by how much more frequent than elsewhere). Domains after the ``max_domains`` most
+    frequent are learned as one, ``OTHER``."""
     ids = labels.select(F.col(id_col).cast("long").alias("_lid")).where("_lid is not null").distinct().orderBy(
         F.xxhash64("_lid"), "_lid").limit(max_rows)
     d = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"),
                     F.col(f"`{domain_col}`").cast("string").alias("_domain")).where("_domain is not null")
     rows = C.written(d.join(F.broadcast(ids), d["_id"] == ids["_lid"]).select("_text", "_domain"), "mixing-training")
-    domains = [(r["_domain"], r["n"]) for r in rows.groupBy("_domain").agg(F.count(F.lit(1)).alias("n")).orderBy(
-        F.desc("n"), "_domain").limit(max_domains).collect()]
-    names = [n for n, _ in domains]
-    if not names:
+    found = [(r["_domain"], r["n"]) for r in rows.groupBy("_domain").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "_domain").collect()]  # at most max_rows
+    if not found:
         return {"names": [], "markers": [], "prior": [], "theta": [], "sharpness": sharpness}
-    counts = rows.where(F.col("_domain").isin(names)).select("_domain", F.explode(F.array_distinct(_words(F.col("_text")))).alias("w")).groupBy(
-        "w").pivot("_domain", names).agg(F.count(F.lit(1)))
-    n_of = dict(domains)
-    share = {d: F.coalesce(F.col(f"`{d}`"), F.lit(0)) / n_of[d] for d in names}
+    own = found if len(found) <= max_domains else [d for d in found[:max_domains] if d[0] != OTHER]
+    rest_n = sum(n for d, n in found if d not in dict(own))
+    domains = own + ([(OTHER, rest_n)] if rest_n else [])
+    names, n_of = [n for n, _ in domains], dict(domains)
+    if rest_n:
+        rows = rows.withColumn("_domain", F.when(F.col("_domain").isin([d for d, _ in own]), F.col("_domain")).otherwise(OTHER))
+    # one row per word of the bounded sample
+    counts = C.written(rows.select("_domain", F.explode(F.array_distinct(_words(F.col("_text")))).alias("w")).groupBy(
+        "w").pivot("_domain", names).agg(F.count(F.lit(1))).toDF("w", *(f"n{i}" for i in range(len(names)))), "mixing-words")
+    share = {d: F.coalesce(F.col(f"n{i}"), F.lit(0)) / n_of[d] for i, d in enumerate(names)}
     markers = []
     for d in names:
         rest = reduce(lambda a, b: a + b, [share[x] for x in names if x != d], F.lit(0.0))
         top = counts.select("w", (share[d] * F.log((share[d] + 0.01) / (rest + 0.01))).alias("gain")).where("gain > 0").orderBy(
             F.desc("gain"), "w").limit(words_per_domain)
         markers.append([r["w"] for r in top.collect()])
-    held = rows.where(F.col("_domain").isin(names)).select("_domain", *_evidence(markers, F.col("_text")))
+    held = rows.select("_domain", *_evidence(markers, F.col("_text")))
     sums = {r["_domain"]: [r[f"_c{e}"] for e in range(len(names))] for r in held.groupBy("_domain").agg(
         *(F.sum(f"_c{e}").alias(f"_c{e}") for e in range(len(names)))).collect()}
     theta = []
@@ -94,10 +100,10 @@ def _posterior(model: dict, words: Column) -> Column:
 
 
 def rate_of(steps: list[list[float]], p: list[Column]) -> Column:
-    """Rate after the given steps: each is a step from the one before, from 1, projected on [0, 1]."""
+    """Rate after the given steps: each is a step from the one before, from 1, projected on what is not negative."""
     rate = F.lit(1.0)
     for z in steps:
-        rate = F.greatest(F.lit(0.0), F.least(F.lit(1.0), rate - reduce(lambda a, b: a + b, [x * v for x, v in zip(p, z, strict=True)], F.lit(0.0))))
+        rate = F.greatest(F.lit(0.0), rate - reduce(lambda a, b: a + b, [x * v for x, v in zip(p, z, strict=True)], F.lit(0.0)))
     return rate
 
 
@@ -105,26 +111,13 @@ def rate_column(steps: list[list[float]], n_domains: int) -> Column:
     return rate_of(steps, [F.col(f"_p{i}") for i in range(n_domains)])
 
 
-def shared_out(natural: list[float], weight: list[float], size: float) -> list[float]:
-    """Shares of all words that the domains give to a mix of ``size``: by weight, none more than its natural share. The
-    sum is ``size``, or what the domains with a weight have if that is less."""
-    goal, left, open_ = [0.0] * len(weight), size, [i for i, w in enumerate(weight) if w > 0]
-    while open_:
-        per = left / sum(weight[i] for i in open_)
-        short = [i for i in open_ if weight[i] * per >= natural[i]]
-        for i in short or open_:
-            goal[i] = natural[i] if short else weight[i] * per
-            left -= goal[i]
-        open_ = [i for i in open_ if i not in short] if short else []
-    return goal
-
-
 def fit_rates(table: DataFrame, n_domains: int, target: list[float] | None, temper: float = 0.7, tolerance: float = 1e-6,
-              size: float = SIZE, max_steps: int = 40) -> tuple[list[list[float]], dict]:
+              size: float | None = 1.0, max_steps: int = 40) -> tuple[list[list[float]], dict]:
     """Projected-gradient steps on 1/2 sum_d (expected share_d - target_d)^2, each domain's gradient scaled by its own
-    natural share. ``target``: weights per domain (default: natural shares to the power ``temper``). The mix has
-    the ``size`` part of all words, however scarce a domain is: a domain that has less than its weight asks for gives all it
-    has, and the others share the rest by their weights."""
+    natural share: (steps, totals). ``target``: weights per domain (default: natural shares to the power ``temper``).
+    The mix has ``size`` times the words of the corpus; None: as many as leave no domain less than it has, so that scarce
+    domains are repeated and none is thinned. Raises if a weighted domain has no words, or if the totals do not come
+    within ``tolerance`` of the target (documents of mixed domains can make a target unreachable)."""
     k = range(n_domains)
 
     def totals(steps: list[list[float]]) -> list[float]:
@@ -134,24 +127,34 @@ def fit_rates(table: DataFrame, n_domains: int, target: list[float] | None, temp
         return [(row[f"a{i}"] or 0.0) / n if n else 0.0 for i in k]
 
     natural = totals([])
-    weight = [w if s > 0 else 0.0 for w, s in zip(target or [s ** temper for s in natural], natural, strict=True)]
-    if not sum(weight):
+    if not sum(natural):
         return [], {"natural": natural, "target": natural, "reached": natural}
-    goal, steps, now = shared_out(natural, weight, size), [], natural
-    for _ in range(max_steps):
+    weight = [float(w) for w in target] if target else [x ** temper if x > 0 else 0.0 for x in natural]
+    if min(weight) < 0 or not sum(weight) or any(w > 0 and x <= 0 for w, x in zip(weight, natural, strict=True)):
+        raise ValueError(f"weights {weight} cannot be met by domains with the shares {natural}")
+    weight = [w / sum(weight) for w in weight]
+    whole = max(x / w for x, w in zip(natural, weight, strict=True) if w > 0) if size is None else size
+    goal, steps, now, missed = [whole * w for w in weight], [], natural, []
+    while True:
         off = [a - g for a, g in zip(now, goal, strict=True)]
-        if max(map(abs, off)) < tolerance:
-            break
-        steps.append([o / s if s > 0 else 0.0 for o, s in zip(off, natural, strict=True)])
+        missed.append(max(map(abs, off)))
+        if missed[-1] < tolerance:
+            return steps, {"natural": natural, "target": goal, "reached": now}
+        if len(steps) == max_steps or len(missed) > 6 and missed[-1] > 0.9 * missed[-6]:
+            raise ArithmeticError(f"target {goal} not reached, only {now}")
+        steps.append([o / x if x > 0 else 0.0 for o, x in zip(off, natural, strict=True)])
         now = totals(steps)
-    return steps, {"natural": natural, "target": goal, "reached": now}
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, domain_col: str, target: dict[str, float] | None = None,
-        size: float = SIZE) -> tuple:
-    """(classifier, steps, totals, written feature table (doc_id, _crc, _tokens, _p...)) over all rows."""
-    model = learn(docs, labels, id_col, text_col, domain_col)
+        size: float | None = 1.0, **learning) -> tuple:
+    """(classifier, steps, totals, written feature table (doc_id, _u, _tokens, _p...)) over all rows. Raises on a target
+    for a domain that the labelled rows do not have."""
+    model = learn(docs, labels, id_col, text_col, domain_col, **learning)
     trained = bool(model["names"])
+    unknown = sorted(set(target or ()) - set(model["names"]))
+    if unknown and trained:
+        raise ValueError(f"no labelled rows of {unknown}; known are {model['names']}")
     if not trained:
         model |= {"names": ["all"], "markers": [[]], "prior": [0.0], "theta": [[0.0]]}
     d = C.id_text(docs, id_col, text_col)
@@ -177,14 +180,15 @@ def _copies(rate: Column, draw: Column) -> Column:
 
 
 def mix_rates(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "lang",
-              target: dict[str, float] | None = None, size: float = SIZE) -> DataFrame:
+              target: dict[str, float] | None = None, size: float | None = 1.0, **learning) -> DataFrame:
     """One row per input row: doc_id, n_tokens, domain (likeliest; the first named on ties), p_domain, rate, copies.
 
-    ``copies`` rounds the rate by a draw from the row's hash. Null and empty texts have no words and the prior as their
-    posterior. Rows with a null or rare domain are classified like any other. Without labelled rows there is one
-    domain 'all' and every rate is 1.
+    ``copies`` rounds the rate by a draw from the row's hash, the same for repeated rows. Null and empty texts have no
+    words and the prior as their posterior; a text of any length is one row of features. Rows with a null or rare domain
+    are classified like any other. Without labelled rows there is one domain 'all' and every rate is 1. Empty table: empty
+    result. ``learning`` goes to ``learn``.
     """
-    model, steps, _, table = fit(docs, labels, id_col, text_col, domain_col, target, size)
+    model, steps, _, table = fit(docs, labels, id_col, text_col, domain_col, target, size, **learning)
     best = F.greatest(*(F.col(f"_p{i}") for i in range(len(model["names"])))) if len(model["names"]) > 1 else F.col("_p0")
     domain = F.coalesce(*(F.when(F.col(f"_p{i}") == F.col("_best"), F.lit(n)) for i, n in enumerate(model["names"])))
     return table.withColumn("_best", best).withColumn("_rate", rate_column(steps, len(model["names"]))).select(
@@ -193,9 +197,10 @@ def mix_rates(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
 
 
 def mix(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "lang",
-        target: dict[str, float] | None = None, size: float = SIZE) -> DataFrame:
-    """``docs`` mixed to the ``size`` part of their words: each row once or not, as its copies say; columns unchanged."""
-    model, steps, _, _ = fit(docs, labels, id_col, text_col, domain_col, target, size)
+        target: dict[str, float] | None = None, size: float | None = 1.0, **learning) -> DataFrame:
+    """``docs`` mixed to ``size`` times their words (see ``fit_rates``): each row as often as its copies say; columns
+    unchanged."""
+    model, steps, _, _ = fit(docs, labels, id_col, text_col, domain_col, target, size, **learning)
     text, k = F.col(f"`{text_col}`").cast("string"), range(len(model["names"]))
     rate = _let(_posterior(model, _words(text)), lambda p: rate_of(steps, [F.get(p, i) for i in k]))
     draw = _draw_of(F.col(f"`{id_col}`").cast("long"), text)

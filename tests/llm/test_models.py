@@ -76,15 +76,45 @@ def test_mixing_meets_targets(spark):
     assert right > 0.9
 
 
-def test_mix_size_does_not_depend_on_the_rarest_domain(spark):
-    natural = [0.6, 0.399, 0.001]
-    rows = [(1000.0 * x, *(float(i == k) for k in range(3))) for i, x in enumerate(natural)]
-    features = spark.createDataFrame(rows, "_tokens double, _p0 double, _p1 double, _p2 double")
-    _, totals = mixing.fit_rates(features, 3, None, size=0.7)
-    assert sum(totals["reached"]) == pytest.approx(0.7, abs=1e-5) and totals["reached"][2] == pytest.approx(0.001)
+def features_of(spark, natural):
+    rows = [(100.0, *(float(i == k) for k in range(len(natural)))) for i, x in enumerate(natural) for _ in range(round(1000 * x))]
+    return spark.createDataFrame(rows, "_tokens double, " + ", ".join(f"_p{k} double" for k in range(len(natural))))
+
+
+def test_targets_are_met_or_refused(spark):
+    table_ = features_of(spark, [0.73, 0.27])
+    _, totals = mixing.fit_rates(table_, 2, [0.5, 0.5])
+    assert totals["reached"] == pytest.approx([0.5, 0.5], abs=1e-6)  # the scarce domain is repeated
+    _, totals = mixing.fit_rates(features_of(spark, [0.6, 0.399, 0.001]), 3, None, size=None)
+    ratio = [a / b for a, b in zip(totals["reached"], [0.6, 0.399, 0.001], strict=True)]
+    assert min(ratio) == pytest.approx(1, abs=1e-4) and ratio[2] > 2  # no domain is thinned
     assert totals["target"][0] / totals["target"][1] == pytest.approx((0.6 / 0.399) ** 0.7)
-    assert mixing.shared_out([0.5, 0.5], [1.0, 0.0], 0.7) == [0.5, 0.0]
-    assert mixing.shared_out([0.9, 0.1], [1.0, 1.0], 0.15) == pytest.approx([0.075, 0.075])
+    with pytest.raises(ValueError):
+        mixing.fit_rates(features_of(spark, [1.0, 0.0]), 2, [0.5, 0.5])
+    both = spark.createDataFrame([(10.0, 0.5, 0.5), (10.0, 0.6, 0.4)], "_tokens double, _p0 double, _p1 double")
+    with pytest.raises(ArithmeticError):
+        mixing.fit_rates(both, 2, [0.05, 0.95])
+
+
+def test_twenty_domains(spark):
+    """Every domain is told apart and weighed, the scarcest too; merged ones are one domain of their own."""
+    rnd, rows = random.Random(3), []
+    for k in range(20):
+        for _ in range(4 if k == 19 else 30):
+            rows.append((len(rows), " ".join(f"d{k}w{rnd.randrange(40)}" for _ in range(30)), f"lang{k:02d}"))
+    docs = spark.createDataFrame([*rows, (None, None, None), (3, rows[3][1], "lang00"), (9000, "d5w1 " * 20_000, None)], "doc_id long, text string, lang string")
+    labels = docs.select("doc_id")
+    got = {(r["doc_id"], r["n_tokens"]): r for r in mixing.mix_rates(docs, labels).collect()}
+    assert all(got[i, 30]["domain"] == lang for i, _, lang in rows) and got[9000, 20_000]["domain"] == "lang05"
+    target = {"lang19": 0.5, "lang00": 0.5}
+    model, _, totals, _ = mixing.fit(docs.where("doc_id < 9000"), labels, "doc_id", "text", "lang", target)
+    reached = dict(zip(model["names"], totals["reached"], strict=True))
+    assert reached["lang19"] == pytest.approx(0.5, abs=1e-5) and reached["lang00"] == pytest.approx(0.5, abs=1e-5)
+    assert sum(reached.values()) == pytest.approx(1, abs=1e-4)
+    with pytest.raises(ValueError):
+        mixing.mix_rates(docs, labels, target={"lang19": 1.0, "klingon": 1.0})
+    few = mixing.learn(docs, labels, "doc_id", "text", "lang", max_domains=3)
+    assert few["names"] == ["lang00", "lang01", "lang02", mixing.OTHER]
 
 
 def test_mixing_edges(spark):
