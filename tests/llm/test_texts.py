@@ -104,6 +104,35 @@ def test_sharding(docs):
     assert sharding.shard(docs.limit(0)).count() == 0
 
 
+def test_stored_map_is_edited(spark, tmp_path):
+    """The second run edits the first one's map: what need not move stays; equal loads store nothing new; a shard more
+    takes slots only into itself."""
+    path = str(tmp_path / "map")
+    rnd = random.Random(9)
+    rows = [(i, "x" * rnd.randrange(1, 400)) for i in range(3000)]
+    first = spark.createDataFrame(rows, "doc_id long, text string")
+    more = first.unionByName(spark.createDataFrame([(10_000 + i, "y" * 700) for i in range(200)], "doc_id long, text string"))
+
+    def run(docs, n=4):
+        got = rows_of(sharding.shard(docs, n, n_slots=64, map_path=path))
+        for k in range(n):
+            assert sorted(r["slot"] for r in got if r["shard"] == k) == list(range(sum(r["shard"] == k for r in got)))
+        load = [sum(r["size"] for r in got if r["shard"] == k) for k in range(n)]
+        return {r["map_version"] for r in got}, sharding.newest_map(spark, path)[1], load
+
+    (v1,), map1, load1 = run(first)
+    (again,), same, _ = run(first)
+    assert v1 == again == 1 and same == map1
+    (v2,), map2, load2 = run(more)
+    assert v2 == 2 and 0 < sum(a != b for a, b in zip(map1, map2, strict=True)) < 32
+    for load in (load1, load2):
+        assert max(load) - min(load) < 0.02 * sum(load) / 4
+    (v3,), map3, load3 = run(more, 5)
+    assert v3 == 3 and 4 in map3 and max(load3) - min(load3) < 0.1 * sum(load3) / 5
+    with pytest.raises(ValueError):
+        sharding.shard(more, 3, n_slots=64, map_path=path)
+
+
 def test_map_edits():
     load = [random.randint(1, 1000) for _ in range(512)]
     first = [s % 8 for s in range(512)]
