@@ -13,7 +13,16 @@ CRLF = "\r\n"
 #: What is cut out of a page, what ends a line, and the named characters that are decoded.
 HIDDEN = [r"(?s)<!--.*?-->", r"(?is)<script\b.*?(</script\s*>|\z)", r"(?is)<style\b.*?(</style\s*>|\z)", r"(?is)<head\b.*?(</head\s*>|\z)"]
 BREAKS = r"(?i)<(br|/?p|/?div|/?li|/?ul|/?ol|/?tr|/?table|/?h[1-6]|/?article|/?section|/?nav|/?header|/?footer|/?title)\b[^>]*>"
-NAMED = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
+NAMED = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&copy;", "\u00a9"), ("&reg;", "\u00ae"), ("&middot;", "\u00b7"),
+         ("&laquo;", "\u00ab"), ("&raquo;", "\u00bb"), ("&ndash;", "\u2013"), ("&mdash;", "\u2014"), ("&hellip;", "\u2026"), ("&lsquo;", "\u2018"),
+         ("&rsquo;", "\u2019"), ("&ldquo;", "\u201c"), ("&rdquo;", "\u201d"), ("&bull;", "\u2022"), ("&euro;", "\u20ac"), ("&agrave;", "\u00e0"),
+         ("&eacute;", "\u00e9"), ("&egrave;", "\u00e8"), ("&uuml;", "\u00fc"), ("&ouml;", "\u00f6"), ("&auml;", "\u00e4"), ("&szlig;", "\u00df"),
+         ("&ntilde;", "\u00f1"), ("&amp;", "&")]
+#: A numbered character up to six digits; one that names no character is left as it stands.
+NUMBERED = r"&#(?:[0-9]{1,6}|[xX][0-9a-fA-F]{1,6});"
+TAG = r"</?[A-Za-z!?][^>]*>"
+#: An anchor's address in any of the three quotings; a tag ends at its first ">".
+LINK = r"""(?i)<a(?:\s[^>]*?)?\shref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 
 
 def _uuid(text: Column) -> Column:
@@ -26,13 +35,27 @@ def _sha(text: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(text, 256))
 
 
+def _numbered(text: Column) -> Column:
+    """Numbered characters decoded, but for numbers that name none (0, halves of pairs, over 10FFFF)."""
+    said, between = F.regexp_extract_all(text, F.lit(NUMBERED), F.lit(0)), F.split(text, NUMBERED)
+
+    def char(x: Column) -> Column:
+        digits = F.regexp_replace(x, "[&#xX;]", "")
+        code = F.when(F.lower(x).startswith("&#x"), F.conv(digits, 16, 10)).otherwise(F.conv(digits, 10, 10)).cast("int")
+        good = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+        return F.when(good, F.decode(F.unhex(F.lpad(F.hex(F.when(good, code).otherwise(32)), 8, "0")), "UTF-32")).otherwise(x)
+
+    return F.array_join(F.zip_with(between, said, lambda b, x: F.concat(b, F.coalesce(char(x), F.lit("")))), "")
+
+
 def plain_text(html: Column) -> Column:
     """Visible text: one line per block, blanks collapsed."""
     t = html
     for pattern in HIDDEN:
         t = F.regexp_replace(t, pattern, " ")
     t = F.regexp_replace(F.regexp_replace(t, r"\s+", " "), BREAKS, "\n")
-    t = F.regexp_replace(t, r"<[^>]*>", "")
+    t = F.regexp_replace(t, TAG, "")
+    t = F.when(t.contains("&#"), _numbered(t)).otherwise(t)
     for name, char in NAMED:
         t = F.replace(t, F.lit(name), F.lit(char))
     t = F.regexp_replace(F.regexp_replace(t, " +", " "), " ?\n[ \n]*", "\n")
@@ -57,9 +80,10 @@ def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 def derivatives(found: DataFrame) -> DataFrame:
     """Two rows per response: its metadata record (warc-fields: source headers, title, outgoing links) and its
     conversion record (plain text). Both carry the response's record id, headers and payload digest. Nothing is
-    shuffled; equal responses give equal records; an empty payload gives an empty conversion."""
+    shuffled; equal responses give equal records; an empty payload gives an empty conversion; a page of any length is one
+    row. An empty table gives an empty result."""
     title = F.regexp_replace(F.regexp_extract("payload", r"(?is)<title[^>]*>(.*?)</title", 1), r"\s+", " ")
-    links = F.regexp_extract_all("payload", F.lit(r'(?i)<a\s[^>]*href="([^"]*)"'), F.lit(1))
+    links = F.transform(F.regexp_extract_all("payload", F.lit(LINK), F.lit(1)), lambda x: F.regexp_replace(x, "^[\"']|[\"']$", ""))
     fields = F.concat(F.lit("source-headers: "), F.replace(F.col("http_headers"), F.lit(CRLF), F.lit(" | ")), F.lit(f"{CRLF}source-payload-digest: "),
                       F.col("payload_digest"), F.lit(f"{CRLF}title: "), title, F.lit(CRLF),
                       F.array_join(F.transform(links, lambda x: F.concat(F.lit("outlink: "), x, F.lit(CRLF))), ""))
@@ -76,11 +100,13 @@ def derivatives(found: DataFrame) -> DataFrame:
 
 
 def record_text(d: DataFrame, date: str = "1970-01-01T00:00:00Z") -> Column:
-    """A derivative row as a WARC 1.1 record without its closing empty lines."""
+    """A derivative row as a WARC 1.1 record without its closing empty lines; the response's headers stand in
+    ``WARC-Source-Headers``, their line ends as `` | ``. ``date``: of the run that made the records."""
     lines = [("WARC-Type", "record_type"), ("WARC-Record-ID", "record_id"), ("WARC-Refers-To", "refers_to"), ("WARC-Target-URI", "target_uri"),
              ("WARC-Block-Digest", "block_digest"), ("WARC-Source-Payload-Digest", "source_payload_digest"), ("Content-Type", "content_type"),
              ("Content-Length", "content_length")]
-    head = F.concat(*(x for name, c in lines for x in (F.lit(f"{CRLF}{name}: "), F.col(c).cast("string"))))
+    head = F.concat(*(x for name, c in lines for x in (F.lit(f"{CRLF}{name}: "), F.col(c).cast("string"))),
+                    F.lit(f"{CRLF}WARC-Source-Headers: "), F.replace(F.col("source_headers"), F.lit(CRLF), F.lit(" | ")))
     return F.concat(F.lit(f"WARC/1.1{CRLF}WARC-Date: {date}"), head, F.lit(CRLF * 2), F.col("block"))
 
 
@@ -121,7 +147,12 @@ def oracle() -> str:
     for p in HIDDEN:
         t = f"regexp_replace({t}, {quoted(p)}, ' ', 'g')"
     t = f"regexp_replace(regexp_replace({t}, '\\s+', ' ', 'g'), {quoted(BREAKS)}, chr(10), 'g')"
-    t = f"regexp_replace({t}, '<[^>]*>', '', 'g')"
+    t = f"regexp_replace({t}, {quoted(TAG)}, '', 'g')"
+    num = quoted(NUMBERED)
+    code = "CASE WHEN lower(x) LIKE '&#x%' THEN CAST('0x' || regexp_replace(x, '[&#xX;]', '', 'g') AS INTEGER) ELSE CAST(regexp_replace(x, '[&#xX;]', '', 'g') AS INTEGER) END"
+    char = f"CASE WHEN {code} > 0 AND {code} < 1114112 AND {code} NOT BETWEEN 55296 AND 57343 THEN chr({code}) ELSE x END"
+    t = f"""(SELECT CASE WHEN contains(q, '&#') THEN array_to_string(list_transform(list_zip(string_split_regex(q, {num}),
+            list_transform(regexp_extract_all(q, {num}), lambda x: {char})), lambda z: z[1] || coalesce(z[2], '')), '') ELSE q END FROM (SELECT {t} AS q))"""
     for name, char in NAMED:
         t = f"replace({t}, {quoted(name)}, {quoted(char)})"
     t = f"regexp_replace(regexp_replace({t}, ' +', ' ', 'g'), ' ?\\n[ \\n]*', chr(10), 'g')"
@@ -129,7 +160,8 @@ def oracle() -> str:
     nl = "chr(13) || chr(10)"
     made = f"'HTTP/1.1 200 OK' || {nl} || 'Content-Type: text/html; charset=utf-8' || {nl} || 'Content-Length: ' || strlen(payload)"
     title = r"regexp_replace(regexp_extract(payload, '(?is)<title[^>]*>(.*?)</title', 1), '\s+', ' ', 'g')"
-    links = f"""list_aggregate(list_transform(regexp_extract_all(payload, '(?i)<a\\s[^>]*href="([^"]*)"', 1), lambda x: 'outlink: ' || x || {nl}), 'string_agg', '')"""
+    bare = f"""regexp_replace(x, {quoted("^[\"']|[\"']$")}, '', 'g')"""
+    links = f"""list_aggregate(list_transform(regexp_extract_all(payload, {quoted(LINK)}, 1), lambda x: 'outlink: ' || {bare} || {nl}), 'string_agg', '')"""
     return f"""
 WITH p AS (SELECT CAST(page_id AS BIGINT) AS page_id, coalesce(url, '') AS target_uri, coalesce(html, '') AS payload FROM pages),
 r AS (SELECT *, {uuid("'response|' || coalesce(page_id::VARCHAR, '') || '|' || target_uri || '|' || md5(payload)")} AS refers_to,

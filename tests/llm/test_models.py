@@ -144,6 +144,15 @@ def test_vectors(spark):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_warc_links_and_characters(spark):
+    html = """<html><a class='x' href='one'>a</a><A HREF = two>b</A><a title="href='no'" href = "th'ree">c</a><p>1 < 2 and 3 > 2</p>
+&copy;&#8212;&#x1F600;&#0;&#xD800;&eacute;&amp;#65; <!doctype z><b>end"""
+    d = warc.derivatives(warc.responses(spark.createDataFrame([(1, "u", html), (2, "v", "x " * 500_000)], "page_id long, url string, html string")))
+    got = {(r["page_id"], r["record_type"]): r["block"] for r in d.collect()}
+    assert [x for x in got[1, "metadata"].split("\r\n") if x.startswith("outlink")] == ["outlink: one", "outlink: two", "outlink: th'ree"]
+    assert got[1, "conversion"] == "abc\n1 < 2 and 3 > 2\n\u00a9\u2014\U0001F600&#0;&#xD800;\u00e9&#65; end" and len(got[2, "conversion"]) == 999_999
+
+
 def test_warc_round_trip(spark, tmp_path):
     pages = spark.createDataFrame([(1, "http://a/", "<title>A &amp; b</title><p>Hi&nbsp;you<br>there<script>x<y</script>"), (2, None, None), (3, "u", ""),
                                    (3, "u", ""), (4, "h", "HTTP/1.1 404 No\r\nX: y\r\n\r\n<b>gone</b>\r\n\r\nmore")], "page_id long, url string, html string")
