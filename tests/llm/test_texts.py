@@ -262,13 +262,47 @@ def test_licenses(docs):
     assert licenses.scan_licenses(docs.limit(0)).count() == 0
 
 
+def test_notices_across_lines(spark):
+    """Wrapped notices are found wherever they stand, scattered words are not; against every window of every template."""
+    import textwrap
+
+    notices = dict(zip(("mit1", "mit", "apache-2", "nc1", "cc-by-nc", "cc-by", "gpl-3", "gpl", "bsd", "mpl-2"), (t for _, t in licenses.TEMPLATES), strict=True))
+    rows = []
+    for name, t in notices.items():
+        rows.append((name, say(37) + "\n" + "\n * ".join(textwrap.wrap(t.replace(" 2 0", ", 2.0"), 34)) + ".\n" + say(20)))
+        words = t.split()
+        rows.append(("far " + name, " ".join(w + " " + say(15) for w in words)))
+        rows.append(("changed " + name, say(5) + " " + " ".join(words[:3] + ["inserted"] + words[3:])))
+    rows += [("many", "Licensed under CC BY-NC 4.0. " * 3000), (None, "CC BY NC"), (None, "CC BY NC"), ("two", "cc by\nnc apache LICENSE, version 2")]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(docs).collect()}
+    split = lambda t: [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower()) if w]
+    for i, (name, text) in enumerate(rows):
+        w, labels, best = split(text), set(), 0.0
+        for label, t in licenses.TEMPLATES:
+            m = split(t)
+            length, step = licenses.windows(len(m), False)
+            for k in range(0, len(w), step):
+                share = len(set(m) & set(w[k:k + length])) / len(set(m))
+                if share >= 0.8:
+                    labels.add(label)
+                    best = max(best, share)
+        own = {label for label, p in licenses.PHRASES.items() if any(w[k:k + len(p.split())] == p.split() for k in range(len(w)))}
+        r = got[i]
+        assert (r["labels"], r["base_labels"]) == (",".join(sorted(labels | own)), ",".join(sorted(own))), name
+        assert r["score"] == pytest.approx(1.0 if own else best)
+        assert name is None or name in ("many", "two") or (r["score"] == 0) == name.startswith("far"), name
+    assert got[len(rows) - 4]["n_base"] == 3000 and got[len(rows) - 1]["base_labels"] == "apache-2,cc-by-nc"
+
+
 def test_license_join_is_exact(spark):
     vocab = [f"t{i}" for i in range(12)]
     templates = [("a", " ".join(vocab[:8])), ("b", " ".join(vocab[4:12])), ("c", " ".join(vocab[2:5]))]
     blocks = [(i, random.sample(vocab, random.randint(0, 10)) + ["zzz"]) for i in range(300)]
     docs = spark.createDataFrame([(i, " ".join(b)) for i, b in blocks], "_id long, _text string")
-    known, rank = licenses.ordered_templates(docs, templates, 0.8)
-    got = {(r["_id"], r["label"]) for r in licenses.block_matches(docs.withColumn("_words", F.split("_text", " ")), ["_id"], known, rank).collect()}
+    known, rank = licenses.ordered_templates(docs, [(label, t, 0.8) for label, t in templates])
+    sets = docs.select("_id", F.split("_text", " ").alias("_words"), F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("_t"))
+    got = {(r["_id"], templates[r["_t"]][0]) for r in licenses.block_matches(sets, ["_id"], known, rank).collect()}
     want = {(i, label) for i, b in blocks for label, t in templates if len(set(t.split()) & set(b)) >= 0.8 * len(t.split()) - 1e-9}
     assert got == want
 
