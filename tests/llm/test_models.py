@@ -144,6 +144,44 @@ def test_vectors(spark):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("common", [0.0, 0.5, 0.7, 0.85])
+def test_recall_at_the_asked_cosine(spark, common):
+    """Pairs between 0.90 and 0.92 in data with a common direction, against all pairs; a second length is searched too."""
+    rng = np.random.default_rng(5)
+    dim, n = 64, 2500
+
+    def spread(rows):
+        noise = rng.standard_normal((rows, dim - 1))
+        noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+        return np.concatenate([np.full((rows, 1), common), np.sqrt(1 - common**2) * noise], axis=1)
+
+    x = spread(n)
+    c = rng.uniform(0.901, 0.92, (600, 1))
+    side = spread(600) if common else rng.standard_normal((600, dim))
+    side -= (side * x[:600]).sum(axis=1, keepdims=True) * x[:600]
+    x = np.concatenate([x, c * x[:600] + np.sqrt(1 - c * c) * side / np.linalg.norm(side, axis=1, keepdims=True)])
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(90_000, [1.0, 0.0]), (90_001, [2.0, 0.0]), (90_002, [0.0, 1.0])]
+    got = {r["vec_id"]: r for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    u = embeddings.unit(x)
+    near = np.triu(u @ u.T >= 0.9, 1)
+    links = sum(got[i]["n_links"] for i in range(len(x)))
+    assert near.sum() >= 590 and 0.95 * 2 * near.sum() <= links <= 2 * near.sum()
+    assert got[90_001]["component_id"] == 90_000 and got[90_000]["n_links"] == 1 and got[90_002]["n_links"] == 0
+
+
+def test_large_buckets_are_dealt_in_pieces(spark):
+    rng = np.random.default_rng(6)
+    centre = rng.standard_normal(24)
+    rows = [(i, [float(v) for v in centre + 0.01 * rng.standard_normal(24)]) for i in range(60)] + [(100 + i, [float(v) for v in rng.standard_normal(24)]) for i in range(200)]
+    index_bucket = embeddings._halved.__defaults__
+    embeddings._halved.__defaults__ = (8,)
+    try:
+        got = {r["vec_id"]: r for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block=16).collect()}
+    finally:
+        embeddings._halved.__defaults__ = index_bucket
+    assert all(got[i]["n_links"] == 59 and got[i]["component_id"] == 0 for i in range(60)) and got[100]["n_links"] == 0
+
+
 def test_warc_links_and_characters(spark):
     html = """<html><a class='x' href='one'>a</a><A HREF = two>b</A><a title="href='no'" href = "th'ree">c</a><p>1 < 2 and 3 > 2</p>
 &copy;&#8212;&#x1F600;&#0;&#xD800;&eacute;&amp;#65; <!doctype z><b>end"""
