@@ -3,13 +3,17 @@
 A clause's words are tagged as insult, threat, target, negation, reported speech or other. Three letter-to-letter
 transducers rewrite the tags: one marks insults near a target and threats followed by a target, one marks what stands
 in a negation's scope, one what is reported. Their composition is one machine; each clause is run through it and
-matched clauses are scored by what they became, not by isolated words. Weights: prior log-odds, refitted on held-in
-labelled rows; insult words that labelled rows show are learned from them too.
+matched clauses are scored by what they became, not by isolated words: a clause counts with the weight that the machine's
+arcs add up to along it, a text with the sum over its clauses, further clauses of one kind counting less and less
+(log2(1 + n) of them). The arcs' weights are log-odds: priors, refitted on held-in labelled rows; insult words that
+labelled rows show are learned from them too.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import product
@@ -64,7 +68,12 @@ class Transducer:
         return out
 
 
-def target_transducer() -> Transducer:
+#: Weights of the arcs, as prior log-odds: an insult, a threat, a target near an insult, a negation, reported speech.
+PARTS = ("insult", "threat", "target", "negation", "reported")
+PRIOR = {"insult": 5.0, "threat": 5.5, "target": 0.8, "negation": -1.5, "reported": -1.0}
+
+
+def target_transducer(weights: dict[str, float] = PRIOR) -> Transducer:
     """i -> i+ within REACH words after a target; a target within REACH words after a threat -> h+ (a lone h is dropped)."""
     t = Transducer((0, 0))
     for near, pending in product(range(REACH + 1), repeat=2):
@@ -72,13 +81,13 @@ def target_transducer() -> Transducer:
         t.arcs[(near, pending), OTHER] = (OTHER, 0.0, fade)
         t.arcs[(near, pending), N] = (N, 0.0, fade)
         t.arcs[(near, pending), R] = (R, 0.0, fade)
-        t.arcs[(near, pending), I] = ("i+" if near else "i", 0.8 if near else 0.0, fade)
+        t.arcs[(near, pending), I] = ("i+", weights["insult"] + weights["target"], fade) if near else ("i", weights["insult"], fade)
         t.arcs[(near, pending), H] = (OTHER, 0.0, (near, REACH))
-        t.arcs[(near, pending), T] = ("h+", 0.0, (REACH, 0)) if pending else (T, 0.0, (REACH, 0))
+        t.arcs[(near, pending), T] = ("h+", weights["threat"], (REACH, 0)) if pending else (T, 0.0, (REACH, 0))
     return t
 
 
-def negation_transducer() -> Transducer:
+def negation_transducer(weights: dict[str, float] = PRIOR) -> Transducer:
     """Marks matches within REACH words after a negation with '-'."""
     t = Transducer((0,))
     for k in range(REACH + 1):
@@ -86,68 +95,75 @@ def negation_transducer() -> Transducer:
             t.arcs[(k,), s] = (s, 0.0, (max(k - 1, 0),))
         t.arcs[(k,), N] = (N, 0.0, (REACH,))
         for s in ("i", "i+", "h+"):
-            t.arcs[(k,), s] = (s + "-", -1.5, (max(k - 1, 0),)) if k else (s, 0.0, (0,))
+            t.arcs[(k,), s] = (s + "-", weights["negation"], (max(k - 1, 0),)) if k else (s, 0.0, (0,))
     return t
 
 
-def reported_transducer() -> Transducer:
+def reported_transducer(weights: dict[str, float] = PRIOR) -> Transducer:
     """Marks matches after a verb of speech, to the end of the clause, with '\"'."""
     t = Transducer(("own",))
     t.arcs[("own",), R] = (R, 0.0, ("told",))
     for s, m in product(("i", "i+", "h+"), ("", "-")):
-        t.arcs[("told",), s + m] = (f'{s}{m}"', -1.0, ("told",))
+        t.arcs[("told",), s + m] = (f'{s}{m}"', weights["reported"], ("told",))
     return t
 
 
-#: What a clause's word can have become, with its prior log-odds.
-BASE_WEIGHT = {"i": 3.0, "h": 3.5}
+#: What a clause's word can have become.
 MATCHES = [f"{s}{m}{q}" for s, m, q in product(("i", "i+", "h+"), ("", "-"), ("", '"'))]
 
 
-def grammar() -> Transducer:
+def parts_of(kind: str) -> list[int]:
+    """Which of PARTS a match of this kind has gone through."""
+    return [int(kind[0] == I), int(kind[0] == H), int(kind.startswith("i+")), int("-" in kind), int('"' in kind)]
+
+
+def grammar(weights: dict[str, float] = PRIOR) -> Transducer:
     symbols = [OTHER, I, H, T, N, R]
-    return target_transducer().compose(negation_transducer(), symbols).compose(reported_transducer(), symbols)
+    return target_transducer(weights).compose(negation_transducer(weights), symbols).compose(reported_transducer(weights), symbols)
 
 
 @dataclass
 class Model:
-    """Words with their tags, log-odds of each match kind, and the log-odds of a text without matches."""
+    """Words with their tags, weights of the machine's arcs, and the log-odds of a text without matches."""
 
     tags: dict[str, str]
     weights: dict[str, float]
     bias: float = -4.0
 
     def __post_init__(self) -> None:
-        self.machine = grammar()
+        self.machine = grammar(self.weights)
         self.hits = {w for w, t in self.tags.items() if t in (I, H)}
 
-    def matches(self, text: str | None) -> dict[str, float]:
-        """Match kind -> grammar weight of its best clause."""
-        low = (text or "").lower()
-        found: dict[str, float] = {}
+    def clauses(self, text: str | None) -> list[tuple[str, float]]:
+        """(kind, weight) of the heaviest match of each clause that has one, as the machine emits it."""
+        low, found = (text or "").lower(), []
         if self.hits.isdisjoint(WORD.findall(low)):
             return found
         for clause in CLAUSE.split(low):
             words = WORD.findall(clause)
             if self.hits.isdisjoint(words):
                 continue
-            state = self.machine.start
+            state, best = self.machine.start, None
             for w in words:
                 tag, weight, state = self.machine.step(state, self.tags.get(w, OTHER))
-                if tag[0] in BASE_WEIGHT and tag in PRIOR:
-                    found[tag] = max(found.get(tag, -9.0), weight + BASE_WEIGHT[tag[0]])
+                if tag in KINDS and (best is None or weight > best[1]):
+                    best = (tag, weight)
+            if best:
+                found.append(best)
         return found
 
+    def matches(self, text: str | None) -> dict[str, int]:
+        """Match kind -> number of clauses."""
+        return dict(Counter(kind for kind, _ in self.clauses(text)))
+
     def score(self, text: str | None) -> float:
-        z = self.bias + sum(self.weights[k] for k in self.matches(text))
+        found = self.clauses(text)
+        n, weight = Counter(kind for kind, _ in found), dict(found)
+        z = self.bias + sum(weight[k] * math.log2(1 + n[k]) for k in n)
         return float(1 / (1 + np.exp(-min(max(z, -30.0), 30.0))))
 
 
-def _prior() -> dict[str, float]:
-    return {m: BASE_WEIGHT[m[0]] + 2.0 + 0.8 * m.startswith("i+") - 1.5 * ("-" in m) - 1.0 * ('"' in m) for m in MATCHES}
-
-
-PRIOR = _prior()
+KINDS = frozenset(MATCHES)
 
 
 def seed_model() -> Model:
@@ -191,17 +207,23 @@ def learn_words(rows: DataFrame, known: set[str], most: int = 500) -> list[str]:
 
 
 def fit_weights(model: Model, rows: DataFrame, strength: float = 2.0) -> Model:
-    """Logistic regression of the label on the match kinds present, drawn to the prior weights. The rows are reduced
-    to counts per set of kinds (at most 2 ** 12) before they reach the driver."""
-    @F.pandas_udf("int")
-    def kinds(texts: pd.Series) -> pd.Series:
-        return pd.Series([sum(1 << MATCHES.index(k) for k in model.matches(t)) for t in texts], dtype="int32")
-
-    sets = rows.select(kinds("_text").alias("kinds"), "toxic").groupBy("kinds").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("bad")).collect()
-    x = np.array([[1.0, *(r["kinds"] >> i & 1 for i in range(len(MATCHES)))] for r in sets]).reshape(-1, 1 + len(MATCHES))
+    """Logistic regression of the label on how often each arc was gone through (as ``score`` counts it), drawn to the prior
+    weights. The rows are the bounded sample, reduced to counts per set of matches before they reach the driver."""
+    @F.pandas_udf("string")
+    def told(texts: pd.Series) -> pd.Series:
+        return pd.Series([",".join(f"{MATCHES.index(k)}:{n}" for k, n in sorted(model.matches(t).items())) for t in texts], dtype="object")
+
+    sets = rows.select(told("_text").alias("told"), "toxic").groupBy("told").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("bad")).collect()
+
+    def passes(said: str) -> list[float]:
+        out = np.zeros(len(PARTS))
+        for k, n in (x.split(":") for x in said.split(",") if x):
+            out += np.array(parts_of(MATCHES[int(k)])) * math.log2(1 + int(n))
+        return [1.0, *out]
+
+    x = np.array([passes(r["told"]) for r in sets]).reshape(-1, 1 + len(PARTS))
     n, bad = np.array([r["n"] for r in sets], float), np.array([r["bad"] for r in sets], float)
-    prior = np.array([model.bias, *(PRIOR[m] for m in MATCHES)])
+    prior = np.array([model.bias, *(PRIOR[p] for p in PARTS)])
     w = prior.copy()
     for _ in range(50):  # Newton steps
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -210,7 +232,7 @@ def fit_weights(model: Model, rows: DataFrame, strength: float = 2.0) -> Model:
         w += np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
-    return Model(model.tags, dict(zip(MATCHES, w[1:].tolist(), strict=True)), float(w[0]))
+    return Model(model.tags, dict(zip(PARTS, w[1:].tolist(), strict=True)), float(w[0]))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = 20_000) -> Model:
@@ -231,8 +253,9 @@ def score_column(model: Model, text_col: str = "text") -> Column:
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row per input row: doc_id, held_out, score, predicted. Only the text decides the score; null and empty texts
-    get the score of a text without matches; a null id is not held out."""
+    """One row per input row: doc_id, held_out, score, predicted. Only the text decides the score, so repeated texts have
+    equal ones; null and empty texts get the score of a text without matches; a text of any length is read whole; a null
+    id is not held out. Empty table: empty result."""
     model = train(docs, labels, id_col, text_col, **options)
     d = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), score_column(model, text_col).alias("score"))
     return d.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False)).alias("held_out"),

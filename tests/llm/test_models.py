@@ -32,6 +32,13 @@ def test_grammar_marks():
     assert set(m.matches("we kill you")) == {"h+"} and m.matches("we kill time") == {}
     assert set(m.matches("a moron came")) == {"i"} and m.matches(None) == {} == m.matches("")
     assert m.score("you are an idiot") > 0.5 > m.score("a fine day")
+    # the arcs' weights are the score's: heavier arcs, more clauses and a target raise it, negation and report lower it
+    z = lambda model, t: float(np.log(model.score(t) / (1 - model.score(t))))
+    mild = toxicity.Model(m.tags, {"insult": 1.0, "threat": 2.0, "target": 0.5, "negation": -0.7, "reported": -0.3}, -6.0)
+    assert z(mild, "a moron came") == pytest.approx(-5) and z(mild, "you moron") == pytest.approx(-4.5)
+    assert z(mild, "not a moron") == pytest.approx(-5.7) and z(mild, "he said a moron came") > z(mild, "she said not a moron came")
+    assert z(mild, "you moron. " * 50) == pytest.approx(-6 + 1.5 * np.log2(51)) and z(mild, "we kill you") == pytest.approx(-4)
+    assert m.score("") == m.score(None) == m.score("word " * 200_000)
 
 
 def test_composition_is_sequence():
