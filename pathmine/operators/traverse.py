@@ -5,14 +5,16 @@ Input model (one graph kind per call):
   nodes(graph_id, node_id, type, token)       -- token null = label without a token field
   edges(graph_id, src, dst, ord, label)       -- ord = child position; label used by ddg only
 
-Every loop round is one join of the frontier with a pre-joined ``links`` table
-(edge + destination attributes), followed by a reliable checkpoint that cuts the lineage.
-Rounds stop when the frontier is empty, so the number of rounds is the depth of the
-deepest graph, not the number of graphs.
+Trees are walked by pointer doubling (rounds: logarithm of the depth). Elsewhere every loop round is one join of the
+frontier with a pre-joined ``links`` table (edge + destination attributes), followed by a reliable checkpoint that cuts
+the lineage; rounds stop when the frontier is empty, so their number is the longest path of any graph, not the number of
+graphs.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,65 +104,34 @@ def child_ordinal(edges: DataFrame) -> DataFrame:
 
 
 def tree_walk(nnodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """Walk down from each root; return every reachable node with its root-to-node arrays
-    ``ids``, ``types`` (normalised) and ``ords`` (child positions, root = 0) and ``is_leaf``."""
+    """Every node reachable from its graph's root with its root-to-node arrays ``ids``, ``types`` (normalised) and ``ords``
+    (child positions, root = 0) and ``is_leaf``; a node with several parents has a row for each simple path.
+
+    Pointer doubling: a row holds the last stretch of a node's path and the node above it. A round puts the stretch of the
+    node above before it, which doubles it, so the rounds are the logarithm of the depth. Stretches that begin at the root
+    are finished and only looked up; what hangs on no root finds nothing above it, a cycle meets itself, and both end."""
     links = _links(nnodes, edges, child_positions=True)
-    frontier = keep_round(
-        roots.join(nnodes, (roots["graph_id"] == nnodes["graph_id"]) & (roots["root"] == nnodes["node_id"])).select(
-            roots["graph_id"],
-            F.col("node_id").alias("node"),
-            F.array(F.col("node_id")).alias("ids"),
-            F.array(F.col("ntype")).alias("types"),
-            F.array(F.lit(0).cast("long")).alias("ords"),
-            F.col("ntoken").alias("token"),
-        ),
-        1,
-    )
-    visited_nodes = []
-    rounds = 0
-    while True:
+    pair = ["graph_id", "node"]
+    top = roots.join(nnodes, (roots["graph_id"] == nnodes["graph_id"]) & (roots["root"] == nnodes["node_id"])).select(
+        roots["graph_id"], F.col("node_id").alias("node"), F.lit(None).cast("string").alias("above"), F.array("node_id").alias("ids"),
+        F.array("ntype").alias("types"), F.array(F.lit(0).cast("long")).alias("ords"), F.col("ntoken").alias("token"))
+    below = links.where("known").select(
+        "graph_id", F.col("dst").alias("node"), F.col("src").alias("above"), F.array("dst").alias("ids"), F.array("dst_type").alias("types"),
+        F.array(F.col("ord").cast("long")).alias("ords"), F.col("dst_token").alias("token"))
+    parents = links.select("graph_id", F.col("src").alias("node")).distinct().withColumn("_parent", F.lit(True))
+    start = top.unionByName(below).join(parents, pair, "left").withColumn("is_leaf", F.col("_parent").isNull()).drop("_parent")
+    start = keep_round(start, 1)
+    finished, grown, rounds = [start.where("above is null")], start.where("above is not null"), 1
+    while not grown.isEmpty():
         rounds += 1
-        f = frontier.alias("f")
-        lk = links.alias("l")
-        step = f.join(lk, (F.col("f.graph_id") == F.col("l.graph_id")) & (F.col("f.node") == F.col("l.src")), "left")
-        step = keep_round(
-            step.select(
-                F.col("f.graph_id").alias("graph_id"),
-                F.col("f.node").alias("node"),
-                F.col("f.ids").alias("ids"),
-                F.col("f.types").alias("types"),
-                F.col("f.ords").alias("ords"),
-                F.col("f.token").alias("token"),
-                F.col("l.dst").alias("dst"),
-                F.col("l.ord").cast("long").alias("ord"),
-                F.col("l.dst_type").alias("dst_type"),
-                F.col("l.dst_token").alias("dst_token"),
-                F.col("l.first").alias("first"),
-                F.col("l.known").alias("known"),
-            ),
-            rounds,
-        )
-        # one row per visited node: the leaf row, or the row of its first child edge
-        visited_nodes.append(
-            step.where(F.col("dst").isNull() | F.col("first")).select(
-                "graph_id", "node", "ids", "types", "ords", "token", F.col("dst").isNull().alias("is_leaf")
-            )
-        )
-        nxt = step.where(F.col("known") & ~F.array_contains("ids", F.col("dst"))).select(
-            "graph_id",
-            F.col("dst").alias("node"),
-            F.concat("ids", F.array("dst")).alias("ids"),
-            F.concat("types", F.array("dst_type")).alias("types"),
-            F.concat("ords", F.array("ord")).alias("ords"),
-            F.col("dst_token").alias("token"),
-        )
-        if nxt.isEmpty():
-            break
-        frontier = nxt
-    out = visited_nodes[0]
-    for extra in visited_nodes[1:]:
-        out = out.unionByName(extra)
-    return out
+        here = reduce(DataFrame.unionByName, [*finished, grown])
+        up = here.select("graph_id", F.col("node").alias("above"), F.col("above").alias("_above"), *(F.col(c).alias(f"_{c}") for c in ("ids", "types", "ords")))
+        step = grown.join(up, ["graph_id", "above"]).where(~F.arrays_overlap("_ids", "ids")).select(
+            *pair, F.col("_above").alias("above"), *(F.concat(f"_{c}", c).alias(c) for c in ("ids", "types", "ords")), "token", "is_leaf")
+        step = keep_round(step, rounds)
+        finished.append(step.where("above is null"))
+        grown = step.where("above is not null")
+    return reduce(DataFrame.unionByName, finished).drop("above")
 
 
 def tree_leaves(nnodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
