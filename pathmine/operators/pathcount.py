@@ -86,8 +86,8 @@ def sample_flow_paths(graphs: DataFrame, nodes: DataFrame, edges: DataFrame, kin
     upto = F.try_sum("n").over(Window.partitionBy("graph_id", "src").orderBy("ord", "dst").rowsBetween(Window.unboundedPreceding, 0)).cast(WIDE)
     steps = keep_short(children.withColumn("hi", upto).withColumn("lo", (F.col("hi") - F.col("n")).cast(WIDE)).select(
         "graph_id", F.col("src").alias("node"), "dst", "dst_type", "dst_token", "lo", "hi"))
-    frontier = drawn.join(nn, (drawn["graph_id"] == nn["graph_id"]) & (drawn["root"] == nn["node_id"])).select(
-        drawn["graph_id"], "rank", F.col("rank").alias("rest"), F.col("root").alias("node"), F.array("ntype").alias("types"),
+    frontier = drawn.join(nn.withColumnRenamed("node_id", "root"), ["graph_id", "root"]).select(
+        "graph_id", "rank", F.col("rank").alias("rest"), F.col("root").alias("node"), F.array("ntype").alias("types"),
         F.col("ntoken").alias("start_token"), F.col("ntoken").alias("token"))
     ended = []
     while True:
@@ -106,8 +106,8 @@ def sample_flow_paths(graphs: DataFrame, nodes: DataFrame, edges: DataFrame, kin
     for more in ended[1:]:
         out = out.unionByName(more)
     report = totals.select("graph_id", F.col("n").alias("n_contexts"), F.lit(False).alias("enumerated"))
-    left = graphs.join(totals, "graph_id", "left_anti")
-    rest, rest_report = _enumerated(left, nodes.join(left, "graph_id", "left_semi"), edges.join(left, "graph_id", "left_semi"), kind, k, opts)
+    left = cut_lineage(graphs.select("graph_id").join(totals, "graph_id", "left_anti"))
+    rest, rest_report = _enumerated(*(t.join(left, "graph_id", "left_semi") for t in (graphs, nodes, edges)), kind, k, opts)
     return out.unionByName(rest), report.unionByName(rest_report).select(*report_cols)
 
 

@@ -95,9 +95,9 @@ tot AS (SELECT graph_id, CAST(count(*) AS HUGEINT) AS n FROM every GROUP BY grap
 fl AS (
   SELECT graph_id, n, 0 AS i, []::HUGEINT[] AS s FROM tot WHERE n > 5
   UNION ALL
-  SELECT graph_id, n, i + 1, list_append(s, CASE WHEN list_contains(s, at) THEN n - 5 + i ELSE at END)
+  SELECT graph_id, n, i + 1, list_append(s, CASE WHEN list_contains(s, place) THEN n - 5 + i ELSE place END)
   FROM (SELECT *, (CAST(CAST('0x' || substr(md5({_DRAWS}), 1, 15) AS BIGINT) AS HUGEINT) * 1152921504606846976
-                   + CAST('0x' || substr(md5({_DRAWS}), 16, 15) AS BIGINT)) % (n - 5 + i + 1) AS at FROM fl) WHERE i < 5)
+                   + CAST('0x' || substr(md5({_DRAWS}), 16, 15) AS BIGINT)) % (n - 5 + i + 1) AS place FROM fl) WHERE i < 5)
 SELECT every.graph_id, kind, CAST(seq AS BIGINT) AS seq, start_token, path, end_token, CAST(tot.n AS BIGINT) AS n_contexts
 FROM every JOIN tot USING (graph_id) LEFT JOIN (SELECT graph_id, s FROM fl WHERE i = 5) d USING (graph_id)
 WHERE tot.n <= 5 OR list_contains(d.s, every.seq)""",
