@@ -54,10 +54,17 @@ def plain_text(html: Column) -> Column:
     for pattern in HIDDEN:
         t = F.regexp_replace(t, pattern, " ")
     t = F.regexp_replace(F.regexp_replace(t, r"\s+", " "), BREAKS, "\n")
-    t = F.regexp_replace(t, TAG, "")
-    t = F.when(t.contains("&#"), _numbered(t)).otherwise(t)
-    for name, char in NAMED:
-        t = F.replace(t, F.lit(name), F.lit(char))
+    def decoded(x: Column) -> Column:
+        for name, char in NAMED:
+            x = F.replace(x, F.lit(name), F.lit(char))
+        return x
+
+    def once(value: Column, body) -> Column:
+        """The body of a value that is computed once, however often the body names it."""
+        return F.get(F.transform(F.array(value), body), 0)
+
+    t = once(F.regexp_replace(t, TAG, ""), lambda x: F.when(x.contains("&#"), _numbered(x)).otherwise(x))
+    t = once(t, lambda x: F.when(x.contains("&"), decoded(x)).otherwise(x))
     t = F.regexp_replace(F.regexp_replace(t, " +", " "), " ?\n[ \n]*", "\n")
     return F.regexp_replace(t, r"^[ \n]+|[ \n]+\z", "")
 
