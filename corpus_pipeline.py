@@ -25,9 +25,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage 4: domain shares flattened (power 0.7) by repeating scarce domains; no domain is thinned. Texts without words have
-    the average domain."""
-    return mixing.mix(docs, table(spark, sf_dir, "labels"), size=None)
+    """Stage 4: domain shares flattened (power 0.7) by repeating scarce domains; every document stays at least once. Texts
+    without words have the average domain."""
+    return mixing.mix(docs, table(spark, sf_dir, "labels"), size=None, least=1.0)
 
 
 def deal_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -99,29 +99,30 @@ def _posterior(model: dict, words: Column) -> Column:
     return _let(_let(counts, logits), softmax)
 
 
-def rate_of(steps: list[list[float]], p: list[Column]) -> Column:
-    """Rate after the given steps: each is a step from the one before, from 1, projected on what is not negative."""
+def rate_of(steps: list[list[float]], p: list[Column], least: float = 0.0) -> Column:
+    """Rate after the given steps: each is a step from the one before, from 1, projected on ``least`` or more."""
     rate = F.lit(1.0)
     for z in steps:
-        rate = F.greatest(F.lit(0.0), rate - reduce(lambda a, b: a + b, [x * v for x, v in zip(p, z, strict=True)], F.lit(0.0)))
+        rate = F.greatest(F.lit(float(least)), rate - reduce(lambda a, b: a + b, [x * v for x, v in zip(p, z, strict=True)], F.lit(0.0)))
     return rate
 
 
-def rate_column(steps: list[list[float]], n_domains: int) -> Column:
-    return rate_of(steps, [F.col(f"_p{i}") for i in range(n_domains)])
+def rate_column(steps: list[list[float]], n_domains: int, least: float = 0.0) -> Column:
+    return rate_of(steps, [F.col(f"_p{i}") for i in range(n_domains)], least)
 
 
 def fit_rates(table: DataFrame, n_domains: int, target: list[float] | None, temper: float = 0.7, tolerance: float = 1e-6,
-              size: float | None = 1.0, max_steps: int = 40) -> tuple[list[list[float]], dict]:
+              size: float | None = 1.0, max_steps: int = 40, least: float = 0.0) -> tuple[list[list[float]], dict]:
     """Projected-gradient steps on 1/2 sum_d (expected share_d - target_d)^2, each domain's gradient scaled by its own
     natural share: (steps, totals). ``target``: weights per domain (default: natural shares to the power ``temper``).
     The mix has ``size`` times the words of the corpus; None: as many as leave no domain less than it has, so that scarce
-    domains are repeated and none is thinned. Raises if a weighted domain has no words, or if the totals do not come
-    within ``tolerance`` of the target (documents of mixed domains can make a target unreachable)."""
+    domains are repeated and none is thinned. ``least``: rates are that or more (1: no document is left out). Raises if
+    a weighted domain has no words, or if the totals do not come within ``tolerance`` of a given target (documents of mixed
+    domains can make it unreachable); with the default weights the nearest totals found are taken, as the result says."""
     k = range(n_domains)
 
     def totals(steps: list[list[float]]) -> list[float]:
-        r = rate_column(steps, n_domains)
+        r = rate_column(steps, n_domains, least)
         row = table.agg(F.sum("_tokens").alias("n"), *(F.sum(r * F.col("_tokens") * F.col(f"_p{i}")).alias(f"a{i}") for i in k)).first()
         n = row["n"] or 0.0
         return [(row[f"a{i}"] or 0.0) / n if n else 0.0 for i in k]
@@ -141,13 +142,15 @@ def fit_rates(table: DataFrame, n_domains: int, target: list[float] | None, temp
         if missed[-1] < tolerance:
             return steps, {"natural": natural, "target": goal, "reached": now}
         if len(steps) == max_steps or len(missed) > 6 and missed[-1] > 0.9 * missed[-6]:
+            if not target:
+                return steps, {"natural": natural, "target": goal, "reached": now}
             raise ArithmeticError(f"target {goal} not reached, only {now}")
         steps.append([o / x if x > 0 else 0.0 for o, x in zip(off, natural, strict=True)])
         now = totals(steps)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, domain_col: str, target: dict[str, float] | None = None,
-        size: float | None = 1.0, **learning) -> tuple:
+        size: float | None = 1.0, least: float = 0.0, **learning) -> tuple:
     """(classifier, steps, totals, written feature table (doc_id, _u, _tokens, _p...)) over all rows. Raises on a target
     for a domain that the labelled rows do not have."""
     model = learn(docs, labels, id_col, text_col, domain_col, **learning)
@@ -162,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, domain_c
     table = C.written(d.select(F.col("_id").alias("doc_id"), _draw("_id", "_text").alias("_u"), F.inline(found)).select(
         "doc_id", "_u", "_tokens", *(F.get("_p", i).alias(f"_p{i}") for i in range(len(model["names"])))), "mixing-features")
     goal = [float(target.get(n, 0.0)) for n in model["names"]] if target else None
-    steps, totals = fit_rates(table, len(model["names"]), goal, size=size) if trained else ([], {})
+    steps, totals = fit_rates(table, len(model["names"]), goal, size=size, least=least) if trained else ([], {})
     return model, steps, totals, table
 
 
@@ -197,12 +200,12 @@ def mix_rates(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
 
 
 def mix(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "lang",
-        target: dict[str, float] | None = None, size: float | None = 1.0, **learning) -> DataFrame:
+        target: dict[str, float] | None = None, size: float | None = 1.0, least: float = 0.0, **learning) -> DataFrame:
     """``docs`` mixed to ``size`` times their words (see ``fit_rates``): each row as often as its copies say; columns
     unchanged."""
-    model, steps, _, _ = fit(docs, labels, id_col, text_col, domain_col, target, size, **learning)
+    model, steps, _, _ = fit(docs, labels, id_col, text_col, domain_col, target, size, least, **learning)
     text, k = F.col(f"`{text_col}`").cast("string"), range(len(model["names"]))
-    rate = _let(_posterior(model, _words(text)), lambda p: rate_of(steps, [F.get(p, i) for i in k]))
+    rate = _let(_posterior(model, _words(text)), lambda p: rate_of(steps, [F.get(p, i) for i in k], least))
     draw = _draw_of(F.col(f"`{id_col}`").cast("long"), text)
     named = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.array_repeat(
         F.lit(0), _let(rate, lambda r: _copies(r, draw)).cast("int")).alias("_n"))
