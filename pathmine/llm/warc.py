@@ -13,11 +13,12 @@ CRLF = "\r\n"
 #: What is cut out of a page, what ends a line, and the named characters that are decoded.
 HIDDEN = [r"(?s)<!--.*?-->", r"(?is)<script\b.*?(</script\s*>|\z)", r"(?is)<style\b.*?(</style\s*>|\z)", r"(?is)<head\b.*?(</head\s*>|\z)"]
 BREAKS = r"(?i)<(br|/?p|/?div|/?li|/?ul|/?ol|/?tr|/?table|/?h[1-6]|/?article|/?section|/?nav|/?header|/?footer|/?title)\b[^>]*>"
-NAMED = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&copy;", "\u00a9"), ("&reg;", "\u00ae"), ("&middot;", "\u00b7"),
+NAMED = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&apos;", "'"), ("&reg;", "\u00ae"),
          ("&laquo;", "\u00ab"), ("&raquo;", "\u00bb"), ("&ndash;", "\u2013"), ("&mdash;", "\u2014"), ("&hellip;", "\u2026"), ("&lsquo;", "\u2018"),
          ("&rsquo;", "\u2019"), ("&ldquo;", "\u201c"), ("&rdquo;", "\u201d"), ("&bull;", "\u2022"), ("&euro;", "\u20ac"), ("&agrave;", "\u00e0"),
          ("&eacute;", "\u00e9"), ("&egrave;", "\u00e8"), ("&uuml;", "\u00fc"), ("&ouml;", "\u00f6"), ("&auml;", "\u00e4"), ("&szlig;", "\u00df"),
          ("&ntilde;", "\u00f1"), ("&amp;", "&")]
+COMMON = 6
 #: A numbered character up to six digits; one that names no character is left as it stands.
 NUMBERED = r"&#(?:[0-9]{1,6}|[xX][0-9a-fA-F]{1,6});"
 TAG = r"</?[A-Za-z!?][^>]*>"
@@ -54,8 +55,8 @@ def plain_text(html: Column) -> Column:
     for pattern in HIDDEN:
         t = F.regexp_replace(t, pattern, " ")
     t = F.regexp_replace(F.regexp_replace(t, r"\s+", " "), BREAKS, "\n")
-    def decoded(x: Column) -> Column:
-        for name, char in NAMED:
+    def decoded(x: Column, names: list) -> Column:
+        for name, char in names:
             x = F.replace(x, F.lit(name), F.lit(char))
         return x
 
@@ -64,7 +65,9 @@ def plain_text(html: Column) -> Column:
         return F.get(F.transform(F.array(value), body), 0)
 
     t = once(F.regexp_replace(t, TAG, ""), lambda x: F.when(x.contains("&#"), _numbered(x)).otherwise(x))
-    t = once(t, lambda x: F.when(x.contains("&"), decoded(x)).otherwise(x))
+    # &amp; comes last, and the rarer names are looked for only where another name is left
+    t = once(decoded(t, NAMED[:COMMON]), lambda x: F.when(x.rlike("&[b-z]|&a[^m]"), decoded(x, NAMED[COMMON:-1])).otherwise(x))
+    t = decoded(t, NAMED[-1:])
     t = F.regexp_replace(F.regexp_replace(t, " +", " "), " ?\n[ \n]*", "\n")
     return F.regexp_replace(t, r"^[ \n]+|[ \n]+\z", "")
 
