@@ -938,7 +938,7 @@ def _new_folder(spark, name: str) -> str:
 
 
 #: Two datasets by label; in each a record's number is the place of its graph id.
-_TEXT_PARTS = {"a": F.col("label") < "h", "b": F.col("label") >= "h"}
+_TEXT_PARTS = {"a": "label < 'h'", "b": "label >= 'h'"}
 _TEXT_SPLIT = """
 rn AS (SELECT *, CASE WHEN label < 'h' THEN 'a' ELSE 'b' END AS dataset FROM rows),
 rc AS (SELECT *, dataset || '|' || CAST(row_number() OVER (PARTITION BY dataset ORDER BY graph_id) - 1 AS VARCHAR) AS rid,
