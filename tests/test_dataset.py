@@ -94,3 +94,17 @@ def test_cumulative_vocab_spreads_without_a_product(spark):
     assert {(r.dataset, r.term): r.freq for r in got.collect()} == {
         ("a", "x"): 2, ("b", "x"): 2, ("c", "x"): 5, ("d", "x"): 5, ("b", "y"): 1, ("c", "y"): 1, ("d", "y"): 1, ("d", "z"): 4}
     assert "CartesianProduct" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_shuffle_sorts_places_not_rows(spark):
+    """The range sort sees the row numbers alone; rows with the same key keep one place each."""
+    rows = spark.createDataFrame([(str(i % 7), "x" * 50, i) for i in range(20)], "graph_id string, body string, i long")
+    out = SP.shuffle_rows(rows)
+    assert sorted(r.pos for r in out.collect()) == list(range(20)) and sorted(r.i for r in out.collect()) == list(range(20))
+    assert out.columns == ["graph_id", "body", "i", "pos"]
+    plan = out._jdf.queryExecution().analyzed().toString()
+    # two written tables: the rows, and their places without the body
+    scans = [line for line in plan.splitlines() if "LogicalRDD" in line]
+    assert len(scans) >= 2 and sum("body" in line for line in scans) == 1
+    both = SP.split_by_dataset(rows.withColumn("dataset", F.col("graph_id")), "dataset")
+    assert set(both.columns) == {"graph_id", "body", "i", "dataset", "pos", "split"} and both.count() == 20
