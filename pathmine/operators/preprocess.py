@@ -109,10 +109,10 @@ def extract_functions(files: DataFrame) -> DataFrame:
     return files.select("project", "path", "content").mapInPandas(run, FUNCTION_SCHEMA)
 
 
-def number_per_project(fns: DataFrame) -> DataFrame:
+def number_per_project(fns: DataFrame, at_most: DataFrame | None = None) -> DataFrame:
     """Dense id from 0 inside each project in (path, pos) order; a huge project is numbered
-    through the global range-sorted position, not one window task."""
-    return number_within(fns, ["project"], ["path", "pos"], out="fn_id", bounded=False)
+    through the global range-sorted position, not one window task. ``at_most(project, _n)``: see ``number_within``."""
+    return number_within(fns, ["project"], ["path", "pos"], out="fn_id", bounded=False, at_most=at_most)
 
 
 def number_global(fns: DataFrame) -> DataFrame:
@@ -127,5 +127,9 @@ def preprocess(files: DataFrame, max_size: int, mode: str = "multiple", overhead
     src = files.where(is_source_file("path"))
     cleaned = src.select("project", "path", strip_comments(split_directives("content")).alias("content"))
     fns = extract_functions(cleaned).where(size_ok("code", max_size, overhead))
-    numbered = number_per_project(fns) if mode == "multiple" else number_global(fns)
-    return numbered.select("project", "fn_id", "code")
+    if mode != "multiple":
+        return number_global(fns).select("project", "fn_id", "code")
+    # every function has an opening brace of its own, and cleaning adds none: sizes known without a scan in Python
+    braces = F.length("content") - F.length(F.replace(F.col("content"), F.lit("{"), F.lit("")))
+    at_most = src.groupBy("project").agg(F.coalesce(F.sum(braces), F.lit(0)).alias("_n"))
+    return number_per_project(fns, at_most).select("project", "fn_id", "code")

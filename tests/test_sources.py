@@ -209,3 +209,23 @@ def test_records_are_split_by_bytes(spark, tmp_path):
     both = read_datasets(spark, {"a": str(tmp_path / "False-1"), "b": str(tmp_path / "True-2")})
     assert {r.dataset: r["count"] for r in both.groupBy("dataset").count().collect()} == {"a": 600, "b": 600}
     assert D.parse_records(both).count() > 0
+
+
+def test_preprocess_counts_without_a_scan(spark, monkeypatch):
+    """Sizes of projects come from the braces of the texts, without Python; a project over the window's bound gets the same numbers."""
+    from pathmine.operators import numbering as N
+
+    text = "\nint f(int a) { if (a) { return 1; } return 2; }\n// int no(int a) {\nint g(int a) { return a; }\n"
+    files = spark.createDataFrame([(f"p{i % 2}", f"{i}.c", text if i else None) for i in range(6)], "project string, path string, content string")
+    want = sorted(map(tuple, PP.preprocess(files, 3072).collect()))
+    assert [r[:2] for r in want] == [("p0", i) for i in range(4)] + [("p1", i) for i in range(6)]
+    with monkeypatch.context() as m:
+        m.setattr(PP, "number_per_project", lambda f, n: N.number_within(f, ["project"], ["path", "pos"], "fn_id", bounded=False, window_rows=1, at_most=n))
+        assert sorted(map(tuple, PP.preprocess(files, 3072).collect())) == want
+
+    def refuse(batches):
+        raise AssertionError("scanned")
+        yield
+
+    monkeypatch.setattr(PP, "extract_functions", lambda f: f.mapInPandas(refuse, PP.FUNCTION_SCHEMA))
+    PP.preprocess(files, 3072)  # builds the plan: nothing is scanned yet
