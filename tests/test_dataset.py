@@ -108,3 +108,27 @@ def test_shuffle_sorts_places_not_rows(spark):
     assert len(scans) >= 2 and sum("body" in line for line in scans) == 1
     both = SP.split_by_dataset(rows.withColumn("dataset", F.col("graph_id")), "dataset")
     assert set(both.columns) == {"graph_id", "body", "i", "dataset", "pos", "split"} and both.count() == 20
+
+
+def test_shuffle_writes_keys_not_rows(spark):
+    """The rows are not written; rows of one key, and rows without any, keep one place each in the order of their keys."""
+    import hashlib
+
+    keys = [None if i % 6 == 5 else str(i % 7) for i in range(40)]
+    rows = spark.createDataFrame([(k, "x" * 50, i) for i, k in enumerate(keys)], "graph_id string, body string, i long")
+    out = SP.shuffle_rows(rows, "3")
+    got = out.orderBy("pos").collect()
+    assert [r.pos for r in got] == list(range(40)) and sorted(r.i for r in got) == list(range(40))
+    assert all(r.graph_id == keys[r.i] for r in got)
+    h = [hashlib.md5("|".join(["3"] + [r.graph_id] * (r.graph_id is not None)).encode()).hexdigest() for r in got]
+    assert h == sorted(h)
+    source = rows._jdf.queryExecution().analyzed().toString().strip().splitlines()[-1].strip()
+    scans = [line for line in out._jdf.queryExecution().analyzed().toString().splitlines() if "body" in line and "LogicalRDD" in line]
+    assert len(scans) == 1 and source in scans[0]
+
+
+def test_slots_may_be_made_before_the_rows(spark):
+    ctx = _ctx(spark, 3, 4)
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(D.model_rows(D.encode_slots(ctx), None)) == key(D.model_rows(ctx, None))
+    assert D.encode_slots(D.encode_slots(ctx)).columns == ["graph_id", "label", "kind", "seq", "slot"]
