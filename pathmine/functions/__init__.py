@@ -1,4 +1,4 @@
-"""Column-expression functions (no UDFs)."""
+"""Column functions."""
 
 from pathmine.functions.text import (  # noqa: F401
     decode_context,

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,3 +63,20 @@ def test_node_label_and_normalize(spark):
     t, k = FN.normalize_node("type", "token", "name")
     got = [(r.t, r.k) for r in p.select(t.alias("t"), k.alias("k")).collect()]
     assert got == [("(METHOD)", "self"), ("(<SELF>)", "self"), ("LITERAL", None), ("(X)", "ab")]
+
+
+def test_java_hash_of_a_batch(spark):
+    """Characters of one to four bytes, empty and null values and long texts side by side, hashed without a lambda."""
+    rng = random.Random(8)
+    texts = [None, "", "\0", "é", "a😀b", "(A)^(B)_(C)" * 300] + ["".join(rng.choice("aZ0^_|é€😀") for _ in range(rng.randint(0, 40))) for _ in range(200)]
+
+    def want(s):
+        h = 0
+        for ch in s:
+            h = (h * 31 + ord(ch)) % 2**32
+        return h - 2**32 if h >= 2**31 else h
+
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, s string").coalesce(1).select("i", FT.java_hash("s").alias("h"))
+    assert df.schema["h"].dataType.simpleString() == "bigint"
+    assert {r.i: r.h for r in df.collect()} == {i: None if s is None else want(s) for i, s in enumerate(texts)}
+    assert "aggregate(" not in df._jdf.queryExecution().executedPlan().toString()
