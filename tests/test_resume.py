@@ -96,3 +96,26 @@ def test_syscall_names_from_headers(spark):
     text = "#define __NR_read 0\r\n  # define SYS_openat 257\n#define OTHER 3\n# table\n0 common restart_syscall sys_restart_syscall\n12\t64\tbrk\tsys_brk\n"
     got = sorted(r.name for r in K.syscall_names(spark.createDataFrame([(text,), (None,)], "content string")).collect())
     assert got == ["brk", "openat", "read", "restart_syscall"]
+
+
+def test_path_dataset_walks_the_trees_once(spark, monkeypatch):
+    """The sample of the AST contexts is written as a part of the result and read for the functions; nothing computes it again."""
+    g = spark.createDataFrame([("g0", "getName"), ("g1", "123"), ("g2", "x")], "graph_id string, name string")
+    n = spark.createDataFrame([(f"g{i}", k, "T", f"t{k}") for i in range(3) for k in ("0", "1", "2")][:-1], "graph_id string, node_id string, type string, token string")
+    e = spark.createDataFrame([(f"g{i}", "0", k, int(k), None) for i in range(3) for k in ("1", "2")], "graph_id string, src string, dst string, ord long, label string")
+    opts, told = ExtractOptions(entry_id=None), {}
+
+    def keep(name, build):
+        told[name] = build()._jdf.queryExecution().optimizedPlan().toString()
+        build().write.parquet(f"{base}/{name}")
+        return spark.read.parquet(f"{base}/{name}")
+
+    import tempfile
+
+    base = tempfile.mkdtemp()
+    got = P.build_path_dataset((g, n, e), (g, n, e), None, None, opts, keep)
+    # g1 has no label, g2 no context: the other kind leaves them out too
+    assert {(r.graph_id, r.label, r.kind) for r in got.collect()} == {("g0", "get|name", "ast"), ("g0", "get|name", "cfg")}
+    assert list(told) == ["ast", "functions", "cfg"] and "ArrowEvalPython" in told["ast"]
+    assert not any("ArrowEvalPython" in told[k] for k in ("functions", "cfg"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, P.build_path_dataset((g, n, e), (g, n, e), None, None, opts).collect()))
