@@ -119,3 +119,24 @@ def test_path_dataset_walks_the_trees_once(spark, monkeypatch):
     assert list(told) == ["ast", "functions", "cfg"] and "ArrowEvalPython" in told["ast"]
     assert not any("ArrowEvalPython" in told[k] for k in ("functions", "cfg"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, P.build_path_dataset((g, n, e), (g, n, e), None, None, opts).collect()))
+
+
+def test_small_graphs_are_reached_in_rows(spark, monkeypatch):
+    """Reachability of small graphs takes no rounds, however deep they are, and finds what the rounds of large ones find."""
+    import random
+
+    rng = random.Random(6)
+    rows = [("deep", f"{i:03d}", f"{i + 1:03d}") for i in range(12)] + [("deep", f"{i:03d}", f"leaf{i}") for i in range(12)]
+    rows += [("web", rng.choice("abcdefgh"), rng.choice("abcdefghz")) for _ in range(14)] + [("web", "a", None), ("web", None, "a"), (None, "a", "b")]
+    e = spark.createDataFrame(rows, "graph_id string, src string, dst string")
+    s = spark.createDataFrame([("deep", "003"), ("web", "a"), ("web", None), (None, "a"), ("none", "a")], "graph_id string, node_id string")
+    rounds, keep = [], T.keep_round
+    monkeypatch.setattr(T, "keep_round", lambda *a: rounds.append(1) or keep(*a))
+    for way in ("forward", "backward"):
+        got = sorted((r.graph_id, r.node_id or "") for r in T.reach_from(e, s, way).collect())
+        assert not rounds and len(got) == len(set(got))
+        apart = T.reach_from(e, s, way, plain_rounds=3, row_edges=20)  # the web in a row, the deep graph in rounds
+        assert sorted((r.graph_id, r.node_id or "") for r in apart.collect()) == got and rounds
+        rounds.clear()
+    deep = T.reach_from(e, s).where("graph_id = 'deep'").count()
+    assert deep == 9 + 9
