@@ -229,3 +229,17 @@ def test_preprocess_counts_without_a_scan(spark, monkeypatch):
 
     monkeypatch.setattr(PP, "extract_functions", lambda f: f.mapInPandas(refuse, PP.FUNCTION_SCHEMA))
     PP.preprocess(files, 3072)  # builds the plan: nothing is scanned yet
+
+
+def test_dumps_are_parsed_once(spark):
+    """Graphs, nodes and edges of a dump are read from what one scan of the texts wrote; dumps without statements keep their graph."""
+    dumps = spark.createDataFrame([("a", 'digraph "f" { "1" [label = "(METHOD,f)"]; "2" [label = "(X,y)"]; "1" -> "2" }'), ("b", "digraph g { }"), ("c", ""), ("d", None)],
+                                  "graph_id string, dot string")
+    tables = DOT.parse_dot(dumps)
+    for t in tables:
+        plan = t._jdf.queryExecution().optimizedPlan().toString()
+        assert "Relation" in plan and "regexp_extract_all(dot" not in plan and "regexp_replace(dot" not in plan
+    g, n, e = tables
+    assert sorted((r.graph_id, r.name) for r in g.collect()) == [("a", "f"), ("b", "g"), ("c", ""), ("d", "")]
+    assert sorted((r.node_id, r.type, r.token) for r in n.collect()) == [("1", "METHOD", "f"), ("2", "X", "y")]
+    assert [(r.graph_id, r.src, r.dst, r.label) for r in e.collect()] == [("a", "1", "2", None)]
